@@ -254,7 +254,8 @@ def digest(found: DataFrame, *, key: str = "doc_id") -> DataFrame:
     """Counts of the base kinds, a hash of their spans and all spans as text, from ``find_secrets``."""
     joined = lambda some: F.array_join(F.transform(some, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     base = [r.kind for r in BASE]
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in base]
+    of = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("bigint")
+    counts = [of(k).alias(f"n_{k}") for k in base]
     return found.select(key, *counts, F.sha2(joined(F.filter("spans", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
