@@ -123,8 +123,11 @@ class ByteBPE:
         out = []
         for m in self.split.finditer(text):
             at = [m.start() + i for i, c in enumerate(m[0]) for _ in range(len(c.encode()))]
+            done = 0
             for t in self.model.tokenize(self.mapped(m[0])):
-                out.append((t.id, at[t.offsets[0]], at[t.offsets[1] - 1] + 1))
+                n = len(self.bytes_of[t.id])
+                out.append((t.id, at[done], at[done + n - 1] + 1))
+                done += n
         return out
 
     def decode(self, ids) -> bytes:

@@ -62,13 +62,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_byte_bpe, op3_embedding_neardup, op4_best_fit_packing, op5_quality, op6_topk, op7_secret_scan, op8_language, op9_line_dedup, op10_simhash)}
 
-_FINE = "embedding IS NOT NULL AND list_bool_and(list_transform(embedding, x -> x IS NOT NULL AND isfinite(x)))"
+_FINE = "embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))"
 
 ORACLES = {
     "op3_embedding_neardup": f"""
 WITH RECURSIVE v AS (
-  SELECT vec_id, list_transform(embedding, x -> x::DOUBLE) e FROM embeddings
-  WHERE {_FINE} AND list_bool_or(list_transform(embedding, x -> x <> 0))
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) e FROM embeddings
+  WHERE {_FINE} AND list_bool_or(list_transform(embedding, lambda x: x <> 0))
 ), links AS (
   SELECT a.vec_id a, b.vec_id b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9
 ), reach AS (
@@ -80,9 +80,9 @@ SELECT e.vec_id, coalesce(c.n, 0)::BIGINT n_links, least(e.vec_id, coalesce(l.m,
 FROM embeddings e LEFT JOIN counts c ON c.a = e.vec_id LEFT JOIN least l ON l.a = e.vec_id""",
     "op6_topk": f"""
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(1024 * x::DOUBLE)::BIGINT) q FROM embeddings WHERE {_FINE}
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) q FROM embeddings WHERE {_FINE}
 ), pairs AS (
-  SELECT a.vec_id query_id, b.vec_id, list_sum(list_transform(list_zip(a.q, b.q), p -> p[1] * p[2]))::BIGINT score
+  SELECT a.vec_id query_id, b.vec_id, list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2]))::BIGINT score
   FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
 ), ranked AS (
   SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS "rank", vec_id, score FROM pairs
