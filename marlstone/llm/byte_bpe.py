@@ -16,10 +16,10 @@ import struct
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import over_texts
+from marlstone.llm.common import held, over_texts
 
 #: Pieces that a task keeps at most, and the longest that it keeps.
-STORE, LONGEST = 400_000, 64
+STORE, LONGEST = 250_000, 64
 
 #: White space that isn't one space between two other characters; cutting there would change the split.
 _JOINED = re.compile(r"[^\S ] [^\S ]")
@@ -48,36 +48,34 @@ class PieceStore:
         if "  " in text or text[-1] == " " or _JOINED.search(text):
             return self.pack(text)
         first, *rest = text.split(" ")
-        held, out = self.ids, [self.pack(first)]
-        got = list(map(held.get, rest))
+        known, out = self.ids, [self.pack(first)]
+        got = list(map(known.get, rest))
         if None in got:
-            if len(held) > STORE:
-                held.clear()
+            if len(known) > STORE:
+                known.clear()
             for i, x in enumerate(got):
                 if x is None:
                     piece = rest[i]
-                    x = held.get(piece)
+                    x = known.get(piece)
                     if x is None:
                         x = self.pack(" " + piece)
                         if len(piece) <= LONGEST:
-                            held[piece] = x
+                            known[piece] = x
                     got[i] = x
         return b"".join(out + got)
 
 
-_MADE: dict[tuple, PieceStore] = {}
-
-
 def rank_store(path: str, pattern: str) -> PieceStore:
     """A store over a rank file, for uses that need ids alone."""
-    if (key := (path, pattern)) not in _MADE:
+
+    def make():
         import tiktoken
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        _MADE[key] = PieceStore(own.encode_ordinary)
-    return _MADE[key]
+        return PieceStore(tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary)
+
+    return held(("ids", path, pattern), make)
 
 
 class ByteBPE:
@@ -136,9 +134,7 @@ class ByteBPE:
 
 
 def bpe(path: str, pattern: str) -> ByteBPE:
-    if (key := (path, pattern, "bpe")) not in _MADE:
-        _MADE[key] = ByteBPE(path, pattern)
-    return _MADE[key]
+    return held(("bpe", path, pattern), lambda: ByteBPE(path, pattern))
 
 
 def encode(docs: DataFrame, *, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -31,6 +31,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_HELD: dict = {}
+
+
+def held(key, make: Callable):
+    """What a Python worker keeps from task to task: ``make()`` of the last key alone, so that the tables of one
+    operator are gone when the worker turns to another."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def slices(texts: list, size: int = SLICE_CHARS) -> Iterator[slice]:
     """Consecutive slices of a batch, each of one text or of at most ``size`` characters."""
     start, held = 0, 0

@@ -17,10 +17,10 @@ from collections import Counter
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import over_texts
+from marlstone.llm.common import held, over_texts
 
 #: Words that a task keeps at most.
-STORE = 400_000
+STORE = 250_000
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -83,19 +83,13 @@ def labelled_text(docs: DataFrame, *, sample_docs: int = 400, sample_chars: int
     return {r[label]: f" {r['words']} " for r in sorted(got, key=lambda r: r[label])}
 
 
-_MADE: dict[str, tuple] = {}
-
-
 def _predictor(model: dict[str, str]):
     """Function for a task that returns (language, score) of a text."""
     names = sorted(model)
     mark = hashlib.sha256(repr(sorted(model.items())).encode()).hexdigest()
 
     def make():
-        if mark not in _MADE:
-            _MADE.clear()
-            _MADE[mark] = ([SuffixAutomaton(model[n]) for n in names], {})
-        automata, held = _MADE[mark]
+        automata, known = held(("language", mark), lambda: ([SuffixAutomaton(model[n]) for n in names], {}))
 
         def one(x: str | None):
             words = Counter(_WORDS.findall((x or "").lower()))
@@ -103,14 +97,14 @@ def _predictor(model: dict[str, str]):
                 return "und", 0.0
             total = [0] * len(names)
             for w, k in words.items():
-                got = held.get(w)
+                got = known.get(w)
                 if got is None:
                     padded = f" {w} "
-                    got = [a.phrases(padded) for a in automata]
+                    got = tuple([a.phrases(padded) for a in automata])
                     if len(w) <= 64:
-                        if len(held) > STORE:
-                            held.clear()
-                        held[w] = got
+                        if len(known) > STORE:
+                            known.clear()
+                        known[w] = got
                 total = [t + k * n for t, n in zip(total, got)]
             cost = sorted((t * a.bits, n) for t, a, n in zip(total, automata, names))
             return cost[0][1], cost[1][0] / (cost[0][0] + cost[1][0]) if len(cost) > 1 else 1.0

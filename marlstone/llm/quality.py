@@ -14,10 +14,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import over_texts
+from marlstone.llm.common import held, over_texts
 
 _TOKENS = re.compile(r"\w+|[^\w\s]+")
-STORE = 500_000
+STORE = 250_000
 
 
 def features(text: str, size: int) -> tuple[list[str], list[int]]:
@@ -82,9 +82,6 @@ def fit(rows: list, *, grades: int, size: int, steps: int = 120, rate: float = 0
     return w, theta
 
 
-_MADE: dict[int, dict] = {}
-
-
 def score(docs: DataFrame, weights: np.ndarray, thresholds: np.ndarray, *, least: float = 0.5, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, grade, tail, kept`` of every whole text: expected grade, P(highest grade) and whether that is >= least.
 
@@ -95,22 +92,19 @@ def score(docs: DataFrame, weights: np.ndarray, thresholds: np.ndarray, *, least
 
     def make():
         w, theta = shared.value
-        if _MADE.get("of") != (mark := zlib.crc32(w.tobytes())):
-            _MADE.clear()
-            _MADE.update(of=mark, held={}, seen={})
-        held, weight = _MADE["held"], w.tolist()
+        known_at, weight = held(("quality", zlib.crc32(w.tobytes())), lambda: ({}, w.tolist()))
 
         def one(x: str):
             known, shape = features(x, size)
-            if len(held) > STORE:
-                held.clear()
+            if len(known_at) > STORE:
+                known_at.clear()
             spots = set(shape)
             for t in known:
-                i = held.get(t)
+                i = known_at.get(t)
                 if i is None:
                     i = index(t, size)
                     if len(t) <= 64:
-                        held[t] = i
+                        known_at[t] = i
                 spots.add(i)
             total = sum(weight[i] for i in sorted(spots))
             above = 1 / (1 + np.exp(np.clip(theta - total, -40, 40)))  # P(grade > k)

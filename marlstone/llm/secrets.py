@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import over_texts
+from marlstone.llm.common import held, over_texts
 
 
 @dataclass(frozen=True)
@@ -224,14 +224,9 @@ class Scanner:
         return found
 
 
-_MADE: dict[tuple, Scanner] = {}
-
-
 def scanner(kinds: tuple[str, ...]) -> Scanner:
-    if kinds not in _MADE:
-        named = {r.kind: r for r in BASE + MORE}
-        _MADE[kinds] = Scanner(tuple(named[k] for k in kinds))
-    return _MADE[kinds]
+    named = {r.kind: r for r in BASE + MORE}
+    return held(("secrets", kinds), lambda: Scanner(tuple(named[k] for k in kinds)))
 
 
 KINDS = tuple(r.kind for r in BASE + MORE)

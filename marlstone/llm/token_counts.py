@@ -14,10 +14,10 @@ from collections import Counter
 
 from pyspark.sql import DataFrame
 
-from marlstone.llm.common import over_texts
+from marlstone.llm.common import held, over_texts
 
 #: Trie nodes and pieces that a task keeps at most; beyond that it starts anew, which changes no result.
-NODES, PIECES = 1_500_000, 400_000
+NODES, PIECES = 1_000_000, 250_000
 
 
 def zipf_scores(path: str) -> dict[bytes, int]:
@@ -68,9 +68,6 @@ class ForwardTrie:
         return best[node], count[node]
 
 
-_MADE: dict[tuple, tuple] = {}
-
-
 def token_counts(docs: DataFrame, *, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, n_pretokens, n_tokens, score`` of every whole text; ``score`` is its log-probability in nats.
 
@@ -81,9 +78,7 @@ def token_counts(docs: DataFrame, *, path: str, pattern: str, key: str = "doc_id
     def make():
         import regex
 
-        if (path, pattern) not in _MADE:
-            _MADE[path, pattern] = (ForwardTrie(zipf_scores(path)), {})
-        trie, held = _MADE[path, pattern]
+        trie, known = held(("unigram", path, pattern), lambda: (ForwardTrie(zipf_scores(path)), {}))
         split = regex.compile(pattern).findall
 
         def piece(x: str) -> tuple[int, int, int]:
@@ -101,13 +96,13 @@ def token_counts(docs: DataFrame, *, path: str, pattern: str, key: str = "doc_id
             first, *rest = x.split(" ")
             p, n, s = piece(first)
             for w, k in Counter(rest).items():
-                got = held.get(w)
+                got = known.get(w)
                 if got is None:
                     got = piece(" " + w)
                     if len(w) <= 64:
-                        if len(held) > PIECES:
-                            held.clear()
-                        held[w] = got
+                        if len(known) > PIECES:
+                            known.clear()
+                        known[w] = got
                 p, n, s = p + k * got[0], n + k * got[1], s + k * got[2]
             return p, n, s / 1e6
 
