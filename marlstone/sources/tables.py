@@ -46,7 +46,7 @@ def not_ignored(files: DataFrame, globs: DataFrame) -> DataFrame:
     regex = F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(F.regexp_replace("glob", r"([.+(){}|^$\\])", r"\\$1"), r"\*", ".*"), r"\?", "."), F.lit("$"))
     rules = F.broadcast(globs.select(F.when(F.col("glob").endswith("/"), F.concat(F.lit("^"), F.col("glob"))).otherwise(regex).alias("rule")))
     base = F.element_at(F.split("path", "/"), -1)
-    return files.join(rules, F.expr("path rlike rule") | base.rlike(F.col("rule")), "left_anti")
+    return files.join(rules, F.regexp_like("path", F.col("rule")) | F.regexp_like(base, F.col("rule")), "left_anti")
 
 
 def nested_json(spark: SparkSession, path: str) -> DataFrame:
