@@ -16,7 +16,7 @@ import struct
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import held, over_texts
+from marlstone.llm.common import held, over_texts, small_batches
 
 #: Pieces that a task keeps at most, and the longest that it keeps.
 STORE, LONGEST = 250_000, 64
@@ -170,7 +170,7 @@ def decode(coded: DataFrame, *, path: str, pattern: str, key: str = "doc_id", id
             raw = [b.decode(x or ()) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary()), pa.array([x.decode("utf-8", "replace") for x in raw], pa.string())], [key, "bytes", "text"])
 
-    return coded.select(F.col(key), F.col(ids)).mapInArrow(run, f"{key} {kind}, bytes binary, text string")
+    return small_batches(coded).select(F.col(key), F.col(ids)).mapInArrow(run, f"{key} {kind}, bytes binary, text string")
 
 
 def round_trip(docs: DataFrame, *, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:

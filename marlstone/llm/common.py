@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 #: Texts are worked on in slices of about so many characters, so that memory does not follow the Arrow batch.
 SLICE_CHARS = 2_000_000
 
+#: Bytes of an Arrow batch between Spark and Python, about.
+BATCH_BYTES = "8m"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -31,6 +34,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """The same rows; Arrow batches of the session are bounded, as texts may be long and a task holds several."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df
+
+
 _HELD: dict = {}
 
 
@@ -83,4 +92,4 @@ def over_texts(df: DataFrame, make: Callable, schema: str, *, key: str = "doc_id
 
     parsed = StructType.fromDDL(schema)
     fields, types = parsed.names, [to_arrow_type(f.dataType) for f in parsed]
-    return df.select(F.col(key), F.col(text)).mapInArrow(run, f"{key} {kind}, {schema}")
+    return small_batches(df).select(F.col(key), F.col(text)).mapInArrow(run, f"{key} {kind}, {schema}")

@@ -17,7 +17,7 @@ from collections import Counter
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import held, over_texts
+from marlstone.llm.common import held, over_texts, small_batches
 
 #: Words that a task keeps at most.
 STORE = 250_000
@@ -137,7 +137,7 @@ def keep_known(docs: DataFrame, model: dict[str, str], *, text: str = "text") ->
         for batch in batches:
             yield batch.filter(pa.array([one(x)[0] != "und" for x in batch.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def held_out(key: str = "doc_id", folds: int = 5):

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import held, over_texts
+from marlstone.llm.common import held, over_texts, small_batches
 
 
 @dataclass(frozen=True)
@@ -279,7 +279,7 @@ def redact(docs: DataFrame, *, kinds: tuple[str, ...] = KINDS, text: str = "text
         for batch in batches:
             yield batch.set_column(at, batch.field(at), pa.array([one(x) for x in batch.column(at).to_pylist()], batch.field(at).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def brute(text: str) -> tuple[dict[str, int], str]:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import cut, over_texts
+from marlstone.llm.common import cut, over_texts, small_batches
 from marlstone.llm.components import components, join_labels
 
 #: Fingerprints with the same key in one chunk.
@@ -114,7 +114,7 @@ def link_fingerprints(fps: DataFrame, *, radius: int = 4) -> DataFrame:
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
-    return within.unionByName(across).mapInArrow(run, "a bigint, b bigint")
+    return small_batches(within.unionByName(across)).mapInArrow(run, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, *, words: int = 4, radius: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
