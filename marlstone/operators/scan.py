@@ -126,12 +126,14 @@ def hits(text: Column, rules: dict[str, str]) -> Column:
 
 def decoded(text: Column) -> Column:
     """What the text's base64 candidates decode to, joined; those that don't decode are left out."""
-    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(BASE64), F.lit(1)), lambda x: F.decode(F.try_to_binary(x, F.lit("base64")), "UTF-8")), " ")
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(BASE64), F.lit(1)), lambda x: F.make_valid_utf8(F.try_to_binary(x, F.lit("base64")).cast("string"))), " ")
 
 
 def firewall(df: DataFrame, text: str, rules: dict[str, str] = FIREWALL) -> DataFrame:
-    """Adds ``rules`` that match the text or what it hides in base64, ``risk`` (20 each, at most 100) and ``blocked``."""
-    found = F.array_sort(F.array_union(hits(F.col(text), rules), hits(decoded(F.col(text)), rules)))
+    """Adds ``rules`` that match the text, or as ``base64_`` rules the instructions that it hides in base64, ``risk`` (20
+    each, at most 100) and ``blocked``."""
+    hidden = F.transform(hits(decoded(F.col(text)), any_case(INSTRUCTIONS)), lambda k: F.concat(F.lit("base64_"), k))
+    found = F.array_sort(F.concat(hits(F.col(text), rules), hidden))
     df = df.withColumn("rules", found)
     return df.withColumn("risk", F.least(F.lit(100), 20 * F.size("rules"))).withColumn("blocked", F.size("rules") > 0)
 

@@ -62,7 +62,7 @@ QUERIES = {
     "H6_near_pairs": lambda s, d: H.near_pairs(index(s, d)),
     "H7_term_search": lambda s, d: H.term_search(t(s, d, "documents"), "doc_id", "text", TERMS, 10),
     "H8_substring_search": lambda s, d: t(s, d, "documents").where(F.lower(F.to_json(F.struct("text", "source"))).contains("licensed under")).select("doc_id"),
-    "H9_find": lambda s, d: t(s, d, "part").where(F.lower("p_name").contains("1")).select("p_partkey"),
+    "H9_find": lambda s, d: t(s, d, "part").where(F.lower("p_name").contains("e")).select("p_partkey"),
     "H10_focus": lambda s, d: H.focus(t(s, d, "embeddings").select(c("vec_id").alias("id"), c("embedding").alias("vector")), t(s, d, "embeddings").where("vec_id % 20 = 0").select(c("vec_id").alias("query"), c("embedding").alias("vector")), 0.15),
     "H11_set_cosine": lambda s, d: H.cosine_of_sets(t(s, d, "lineitem"), "l_orderkey", "l_partkey", least=0.1, k=10).select("a", "b", F.round("cosine", 6).alias("cosine")),
     "H12_term_overlap": lambda s, d: t(s, d, "documents").select("doc_id", F.size(F.array_intersect(words("text"), F.array(*[F.lit(x) for x in ("the", "of", "and", "de", "la", "der", "die", "que")]))).alias("score")),
@@ -82,7 +82,7 @@ ORACLES = {
     "H6_near_pairs": _F + f", g AS (SELECT fp_hi, fp_lo, min(id) id FROM f GROUP BY ALL) SELECT a.id a, b.id b, {_D} distance FROM g a JOIN g b ON a.id < b.id AND {_D} <= 3",
     "H7_term_search": "SELECT doc_id, score::BIGINT score FROM (SELECT doc_id, " + " + ".join(f"(length(text) - length(replace(lower(text), '{x}', ''))) // {len(x)}" for x in TERMS) + " score FROM documents) WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 10",
     "H8_substring_search": "SELECT doc_id FROM documents WHERE contains(lower(text), 'licensed under') OR contains(lower(source), 'licensed under')",
-    "H9_find": "SELECT p_partkey FROM part WHERE contains(lower(p_name), '1')",
+    "H9_find": "SELECT p_partkey FROM part WHERE contains(lower(p_name), 'e')",
     "H10_focus": "SELECT q.vec_id query, v.vec_id id FROM embeddings v JOIN embeddings q ON q.vec_id % 20 = 0 AND v.vec_id <> q.vec_id WHERE list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) ** 2 > 0.15",
     "H11_set_cosine": "WITH r AS (SELECT DISTINCT l_orderkey k, l_partkey x FROM lineitem), c AS (SELECT x FROM r GROUP BY x HAVING count(*) > greatest(2, (SELECT count(DISTINCT k) FROM r) * 0.05)), u AS (SELECT * FROM r WHERE x NOT IN (SELECT x FROM c)), z AS (SELECT k, count(*) n FROM u GROUP BY 1), p AS (SELECT a.k a, b.k b, count(*) / sqrt(max(za.n) * max(zb.n)) cosine FROM u a JOIN u b ON a.x = b.x AND a.k <> b.k JOIN z za ON za.k = a.k JOIN z zb ON zb.k = b.k GROUP BY ALL), q AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(cosine, 9) DESC, b) i FROM p WHERE cosine > 0.1) SELECT a, b, round(cosine, 6) cosine FROM q WHERE i <= 10",
     "H12_term_overlap": f"SELECT doc_id, len(list_intersect({_WL}, ['the', 'of', 'and', 'de', 'la', 'der', 'die', 'que']))::INTEGER score FROM documents",

@@ -38,7 +38,7 @@ def source_files(spark: SparkSession, root: str, *, suffixes: list[str], deny_di
     suffix = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
     fine = suffix.isin(list(suffixes)) & (F.col("length") <= max_bytes) & ~name.isin(list(deny_names)) & ~F.arrays_overlap(parts, F.array(*[F.lit(x) for x in deny_dirs or ["\0"]]))
     chosen = found.where(fine).orderBy("path").limit(max_files)
-    return chosen.select("path", suffix.alias("ext"), F.decode("content", "UTF-8").alias("text"), F.col("length").alias("n_bytes"), F.col("modificationTime").alias("mtime"))
+    return chosen.select("path", suffix.alias("ext"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"), F.col("length").alias("n_bytes"), F.col("modificationTime").alias("mtime"))
 
 
 def not_ignored(files: DataFrame, globs: DataFrame) -> DataFrame:
@@ -61,7 +61,7 @@ def write_json(df: DataFrame, path: str) -> None:
 def markdown_vault(spark: SparkSession, root: str) -> DataFrame:
     """Notes of a vault: class folder, stem, text and time of change."""
     md = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(root)
-    return md.select("path", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("note_dir"), F.regexp_extract("path", r"([^/]+)\.md$", 1).alias("stem"), F.decode("content", "UTF-8").alias("text"), F.col("modificationTime").alias("mtime"))
+    return md.select("path", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("note_dir"), F.regexp_extract("path", r"([^/]+)\.md$", 1).alias("stem"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"), F.col("modificationTime").alias("mtime"))
 
 
 def save_index(fingerprints: DataFrame, path: str) -> None:
