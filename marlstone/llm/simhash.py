@@ -134,6 +134,7 @@ def keep_one(docs: DataFrame, *, words: int = 4, radius: int = 4, key: str = "do
     """The same columns, one row of each group: the one with the smallest key (then text hash)."""
     groups = near_duplicates(docs, words=words, radius=radius, key=key, text=text)
     first = groups.groupBy("component_id").agg(F.min(F.struct(key, "mark")).alias("first")).select(F.col(f"first.{key}").alias("kept_key"), F.col("first.mark").alias("kept_mark"))
-    marked = docs.withColumn("kept_mark", F.xxhash64(F.coalesce(text, F.lit(""))))
-    kept = marked.join(first, (marked[key].eqNullSafe(first["kept_key"])) & (marked["kept_mark"] == first["kept_mark"]), "left_semi")
-    return kept.dropDuplicates([key, "kept_mark"]).select(docs.columns)
+    mark = "mark" + "_" * max(map(len, docs.columns))  # longer than any column's name
+    marked = docs.withColumn(mark, F.xxhash64(F.coalesce(text, F.lit(""))))
+    kept = marked.join(first, (marked[key].eqNullSafe(first["kept_key"])) & (marked[mark] == first["kept_mark"]), "left_semi")
+    return kept.dropDuplicates([key, mark]).select(docs.columns)

@@ -345,6 +345,8 @@ def test_simhash(spark, docs, odd, monkeypatch):
         monkeypatch.setattr(simhash, "CHUNK", chunk)
         got = simhash.near_duplicates(df).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0"), "component_id").collect()
         assert sorted((tuple(r) for r in got), key=repr) == want
+    clash = odd.withColumn("kept_mark", F.lit("own")).withColumn("first", F.lit(7))
+    assert simhash.keep_one(clash).columns == clash.columns and {(r.kept_mark, r.first) for r in simhash.keep_one(clash).collect()} == {("own", 7)}
     kept = [r.doc_id for r in simhash.keep_one(df).collect()]
     assert sorted(k for k in kept if k is not None) == sorted(set(least.values()))
 
