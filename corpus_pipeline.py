@@ -54,7 +54,8 @@ STAGES = [
     ("best_fit_packing", packed),
 ]
 
-#: Stages of this pipeline go beyond SQL; tests hold run() against a plain version.
+#: Stages of this pipeline go beyond SQL. Tests hold each stage's operator against brute force, and the documents that
+#: run() returns against the stages applied one by one; there is no plain version of the whole yet.
 ORACLE_SQL = None
 
 
