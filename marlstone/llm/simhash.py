@@ -67,48 +67,45 @@ def covering_masks(radius: int, bits: int = 64) -> list[int]:
     return [m - (m >> 63 << 64) for m in masks]
 
 
-def _spanning(fp: np.ndarray, nodes: np.ndarray, split: int | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def _spanning(fp: np.ndarray, split: int | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect what pairs within ``radius`` connect; with ``split``, pairs across that position only."""
-    order = np.arange(len(fp))
+    order, bits = np.arange(len(fp)), fp.view(np.uint64)
     label = order.copy()
     left, right = (order, order) if split is None else (order[:split], order[split:])
     for i in range(0, len(left), 256):
         some = left[i : i + 256]
-        near = np.bitwise_count(fp[some][:, None] ^ fp[right][None, :]) <= radius
+        near = np.bitwise_count(bits[some][:, None] ^ bits[right][None, :]) <= radius
         r, c = np.nonzero(near)
         join_labels(label, some[r], right[c])
     apart = label != order
-    return nodes[apart], nodes[label[apart]]
+    return fp[apart], fp[label[apart]]
 
 
 def link_fingerprints(fps: DataFrame, *, radius: int = 4) -> DataFrame:
-    """Links ``a, b`` of nodes whose distinct fingerprints differ in at most ``radius`` bits, enough to connect them.
-
-    ``fps`` has ``fp, node``.
-    """
+    """Links ``a, b`` of the distinct fingerprints ``fp`` that differ in at most ``radius`` bits, enough to connect them."""
     masks = F.array(*[F.lit(m) for m in covering_masks(radius)])
-    rows = fps.select("fp", "node", F.posexplode(masks).alias("t", "mask")).select("t", F.col("fp").bitwiseAND(F.col("mask")).alias("k"), "fp", "node")
+    rows = fps.select("fp", F.posexplode(masks).alias("t", "mask")).select("t", F.col("fp").bitwiseAND(F.col("mask")).alias("k"), "fp")
     hot = rows.groupBy("t", "k").count().where(F.col("count") > CHUNK).select("t", "k", F.ceil(F.col("count") / CHUNK).cast("int").alias("parts"))
     dealt = rows.join(hot, ["t", "k"], "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("parts")))
-    lists = dealt.groupBy("t", "k", "parts", "chunk").agg(F.collect_list("fp").alias("fps"), F.collect_list("node").alias("nodes")).where((F.size("fps") > 1) | (F.col("parts") > 1))
+    lists = dealt.groupBy("t", "k", "parts", "chunk").agg(F.collect_list("fp").alias("fps")).where((F.size("fps") > 1) | (F.col("parts") > 1))
     many = cut(lists.where("parts > 1"))
     none = F.array().cast("array<bigint>")
-    other = many.select("t", "k", F.col("chunk").alias("next"), F.col("fps").alias("fps2"), F.col("nodes").alias("nodes2"))
-    across = many.join(other, ["t", "k"]).where("chunk < next").select("fps", "nodes", "fps2", "nodes2")
-    within = lists.where("parts = 1").unionByName(many).select("fps", "nodes", none.alias("fps2"), none.alias("nodes2"))
+    other = many.select("t", "k", F.col("chunk").alias("next"), F.col("fps").alias("fps2"))
+    across = many.join(other, ["t", "k"]).where("chunk < next").select("fps", "fps2")
+    within = lists.where("parts = 1").unionByName(many).select("fps", none.alias("fps2"))
 
     def run(batches):
         for batch in batches:
             a, b = [], []
             cols = [(c.offsets.to_numpy(), c.flatten().to_numpy()) for c in batch.columns]
             for i in range(batch.num_rows):
-                f, n, f2, n2 = (v[o[i] - o[0] : o[i + 1] - o[0]] for o, v in cols)
+                f, f2 = (v[o[i] - o[0] : o[i + 1] - o[0]] for o, v in cols)
                 if len(f) == 2 and not len(f2):
                     if (int(f[0]) ^ int(f[1])).__and__((1 << 64) - 1).bit_count() <= radius:
-                        a.append(n[:1])
-                        b.append(n[1:])
+                        a.append(f[:1])
+                        b.append(f[1:])
                     continue
-                x, y = _spanning(np.concatenate([f, f2]).view(np.uint64), np.concatenate([n, n2]), len(f) if len(f2) else None, radius)
+                x, y = _spanning(np.concatenate([f, f2]), len(f) if len(f2) else None, radius)
                 a.append(x)
                 b.append(y)
             if a:
@@ -117,23 +114,37 @@ def link_fingerprints(fps: DataFrame, *, radius: int = 4) -> DataFrame:
     return small_batches(within.unionByName(across)).mapInArrow(run, "a bigint, b bigint")
 
 
+def _linked(docs: DataFrame, *, words: int, radius: int, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Rows ``key, mark, fp``, and ``fp, least, component, linked`` of each fingerprint: its smallest key, the smallest
+    fingerprint that links lead to, and whether there are any. Keys take no part in linking: they may be null or repeated.
+    """
+    rows = cut(fingerprints(docs, words=words, key=key, text=text))
+    fps = cut(rows.groupBy("fp").agg(F.min(key).alias("least")))
+    joined = components(link_fingerprints(fps.select("fp"), radius=radius)).withColumnRenamed("node", "fp")
+    return rows, fps.join(joined, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"), F.col("component").isNotNull().alias("linked"))
+
+
 def near_duplicates(docs: DataFrame, *, words: int = 4, radius: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, mark, fp, component_id`` for every row: the smallest key that links lead to, its own included.
 
     Texts that are null, empty or without words have fingerprint zero, which links like any other. Rows with a null
-    key belong to their fingerprint's component, which is null if no row of it has a key.
+    key belong to their fingerprint's component, which is null if no row of it has a key. Where keys are repeated,
+    components that share their smallest key have the same component_id, but aren't joined.
     """
-    rows = cut(fingerprints(docs, words=words, key=key, text=text))
-    fps = cut(rows.groupBy("fp").agg(F.min(key).alias("node")))
-    joined = components(link_fingerprints(fps.where("node is not null"), radius=radius))
-    known = fps.join(joined, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return rows.join(known, "fp").select(key, "mark", "fp", "component_id")
+    rows, known = _linked(docs, words=words, radius=radius, key=key, text=text)
+    names = cut(known.where("linked").groupBy("component").agg(F.min("least").alias("name")))
+    named = known.join(names, "component", "left").select("fp", F.coalesce("name", "least").alias("component_id"))
+    return rows.join(named, "fp").select(key, "mark", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, *, words: int = 4, radius: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The same columns, one row of each group: the one with the smallest key (then text hash)."""
-    groups = near_duplicates(docs, words=words, radius=radius, key=key, text=text)
-    first = groups.groupBy("component_id").agg(F.min(F.struct(key, "mark")).alias("first")).select(F.col(f"first.{key}").alias("kept_key"), F.col("first.mark").alias("kept_mark"))
+    """The same columns, one row of each group: the one with the smallest key (then text hash).
+
+    Groups are of linked fingerprints, whatever their keys: unlike texts with the same key, or without one, all stay.
+    """
+    rows, known = _linked(docs, words=words, radius=radius, key=key, text=text)
+    groups = rows.join(known.select("fp", "component"), "fp")
+    first = groups.groupBy("component").agg(F.min(F.struct(key, "mark")).alias("first")).select(F.col(f"first.{key}").alias("kept_key"), F.col("first.mark").alias("kept_mark"))
     mark = "mark" + "_" * max(map(len, docs.columns))  # longer than any column's name
     marked = docs.withColumn(mark, F.xxhash64(F.coalesce(text, F.lit(""))))
     kept = marked.join(first, (marked[key].eqNullSafe(first["kept_key"])) & (marked[mark] == first["kept_mark"]), "left_semi")

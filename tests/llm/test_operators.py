@@ -351,6 +351,19 @@ def test_simhash(spark, docs, odd, monkeypatch):
     assert sorted(k for k in kept if k is not None) == sorted(set(least.values()))
 
 
+def test_simhash_of_repeated_and_null_keys(spark):
+    """Keys take no part in linking: unlike texts of one key, and of none, stay apart and all stay."""
+    texts = [f"{w} " * 3 + f"stands {w} alone in text {w}" for w in ("alpha", "beta", "gamma", "delta", "epsilon", "zeta")]
+    fps = [plain_fingerprint(t) for t in texts]
+    assert min((a ^ b).bit_count() for i, a in enumerate(fps) for b in fps[:i]) > 4
+    rows = [(7, texts[0]), (7, texts[1]), (7, texts[0]), (None, texts[2]), (None, texts[3]), (None, texts[4]), (None, texts[4]), (8, texts[1]), (9, texts[5])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = simhash.keep_one(df).collect()
+    assert sorted(map(tuple, kept), key=repr) == sorted([(7, texts[0]), (7, texts[1]), *[(None, t) for t in texts[2:5]], (9, texts[5])], key=repr)
+    got = simhash.near_duplicates(df).select("doc_id", "component_id").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([(7, 7)] * 3 + [(8, 7), (9, 9)] + [(None, None)] * 4, key=repr)
+
+
 def test_covering_masks_miss_no_pair():
     masks, rnd = simhash.covering_masks(4), random.Random(0)
     for _ in range(20_000):
