@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from marlstone.llm import language, lines, packing, secrets, simhash
 from marlstone.llm.common import cut_folder, table
-from marlstone.llm.queries import END_ID, RANKS, SEQUENCE
+from marlstone.llm.queries import END_ID, RANKS, SEQUENCE, TOKENIZER
 
 
 def _sized(docs: DataFrame) -> DataFrame:
@@ -43,7 +43,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each piece of a document and its place in a training sequence."""
-    return packing.pack_documents(docs, **RANKS, size=SEQUENCE, end_id=END_ID)
+    return packing.pack_documents(docs, **RANKS, size=SEQUENCE, end_id=END_ID, tokenizer=TOKENIZER)
 
 
 STAGES = [

@@ -11,6 +11,8 @@ has; pieces take them by their rank within the length, which is counted in bucke
 from __future__ import annotations
 
 import bisect
+import json
+import re
 import zlib
 from collections import Counter
 
@@ -126,14 +128,31 @@ def best_fit(have: dict[int, int], size: int) -> list[tuple[int, list[tuple[int,
     return [(times, list(kind)) for kinds in open_.values() for times, kind in kinds]
 
 
-def pieces(docs: DataFrame, *, path: str, pattern: str, size: int, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, piece, start, length, ids_crc32``: documents' ids and ``end_id``, longer ones cut, the first piece short."""
+def added_tokens(tokenizer: str) -> dict[str, int]:
+    """Added tokens of a ``tokenizers`` JSON file, which stand for their ids wherever a text spells them."""
+    with open(tokenizer, encoding="utf-8") as f:
+        model = json.load(f)
+    tokens = model["added_tokens"]
+    if model["normalizer"] or any(x[k] for x in tokens for k in ("single_word", "lstrip", "rstrip")):
+        raise ValueError(f"{tokenizer}: normalizers and added tokens that depend on what stands around them are not built")
+    return {x["content"]: x["id"] for x in tokens}
+
+
+def pieces(docs: DataFrame, *, path: str, pattern: str, size: int, end_id: int, tokenizer: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key, piece, start, length, ids_crc32``: documents' ids and ``end_id``, longer ones cut, the first piece short.
+
+    Texts are split at the added tokens of ``tokenizer``, a JSON file over the same ranks; without one, a text that
+    spells such a token is ordinary text.
+    """
+    added = {k: i.to_bytes(4, "little") for k, i in (added_tokens(tokenizer) if tokenizer else {}).items()}
+    spelled = "|".join(map(re.escape, sorted(added, key=len, reverse=True)))  # the longest of those that start first
 
     def make():
         store, end = rank_store(path, pattern), end_id.to_bytes(4, "little")
+        parts = re.compile(f"({spelled})").split if added else lambda x: [x]
 
         def one(x):
-            ids = store.packed(x) + end
+            ids = b"".join([added[p] if p in added else store.packed(p) for p in parts(x)]) + end
             n = len(ids) // 4
             edges = [0, *range(n % size or size, n + 1, size)]
             return [(i, a, b - a, zlib.crc32(ids[4 * a : 4 * b])) for i, (a, b) in enumerate(zip(edges, edges[1:]))]
@@ -174,6 +193,6 @@ def pack(cut_pieces: DataFrame, *, size: int, key: str = "doc_id") -> DataFrame:
     )
 
 
-def pack_documents(docs: DataFrame, *, path: str, pattern: str, size: int = 2048, end_id: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, *, path: str, pattern: str, size: int = 2048, end_id: int = 0, tokenizer: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Tokenise once, then pack. A null text is an empty document, whose only id is ``end_id``."""
-    return pack(cut(pieces(docs, path=path, pattern=pattern, size=size, end_id=end_id, key=key, text=text)), size=size, key=key)
+    return pack(cut(pieces(docs, path=path, pattern=pattern, size=size, end_id=end_id, tokenizer=tokenizer, key=key, text=text)), size=size, key=key)

@@ -12,6 +12,8 @@ from marlstone.llm.common import table
 RANKS = {"path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
 #: Packing: tokens of a sequence, and the id that ends a document.
 SEQUENCE, END_ID = 2048, 0
+#: Packing: the file whose added tokens count where a text spells them.
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +29,7 @@ def op3_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), **RANKS, size=SEQUENCE, end_id=END_ID)
+    return packing.pack_documents(table(spark, sf_dir, "documents"), **RANKS, size=SEQUENCE, end_id=END_ID, tokenizer=TOKENIZER)
 
 
 def grades(labels: DataFrame) -> DataFrame:

@@ -156,6 +156,26 @@ def test_packing(odd, docs):
         assert len(held) <= 1.02 * math.ceil(sum(r.length for r in rows) / SEQUENCE) + 1
 
 
+def test_packing_of_added_tokens(spark, tmp_path):
+    """The registered query and the pipeline's stage against the ids of the JSON file."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    from marlstone.llm import queries
+
+    end = "<|endoftext|>"
+    texts = [f"text {end} x", f"a  {end}  b {end}{end}", end, f"{end} ", "<|endoftext", f"\n{end}\n\n x", None, "", " plain  text ", f"word {end}" * 1500]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    known, want = Tokenizer.from_file(P.path("byte_bpe_50k.json")), set()
+    for k, t in enumerate(texts):
+        ids = np.array([*known.encode(t or "", add_special_tokens=False).ids, END_ID], "<u4")
+        edges = [0, *range(len(ids) % SEQUENCE or SEQUENCE, len(ids) + 1, SEQUENCE)]
+        want |= {(k, i, a, b - a, zlib.crc32(ids[a:b].tobytes())) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False))}
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for got in (queries.op4_best_fit_packing(spark, str(tmp_path)), corpus_pipeline.packed(spark, docs, str(tmp_path))):
+        assert {tuple(r)[:5] for r in got.collect()} == want
+
+
 def test_packing_plans_are_sound():
     rnd = random.Random(2)
     for _ in range(300):
