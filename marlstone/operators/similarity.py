@@ -86,18 +86,37 @@ def focus(vectors: DataFrame, queries: DataFrame, least: float = 0.64) -> DataFr
     return pairs.where(d * d > least * dot("v.vector", "v.vector") * dot("q.vector", "q.vector")).select("query", "id")
 
 
-def cosine_of_sets(rows: DataFrame, key: str, item: str, *, least: float, k: int, max_share: float = 0.05) -> DataFrame:
-    """``a, b, cosine``: for each key the k others whose items are most alike. Items that more than ``max_share`` of the
-    keys hold say nothing and are left out (a parameter; 1.0 keeps all)."""
-    rows = rows.select(key, item).distinct()
-    n_keys = rows.select(key).distinct().agg(F.count(F.lit(1)).alias("n_keys"))
-    common = rows.groupBy(item).agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(n_keys)).where(F.col("df") > F.greatest(F.lit(2), F.col("n_keys") * max_share))
-    rows = rows.join(common, item, "left_anti")
-    size = rows.groupBy(key).agg(F.count(F.lit(1)).alias("size"))
-    sized = rows.join(size, key)
-    pairs = sized.alias("l").join(sized.alias("r"), F.expr(f"l.{item} = r.{item} and l.{key} <> r.{key}")).groupBy(F.col(f"l.{key}").alias("a"), F.col(f"r.{key}").alias("b")).agg((F.count(F.lit(1)) / F.sqrt(F.first("l.size") * F.first("r.size"))).alias("cosine"))
-    rn = F.row_number().over(Window.partitionBy("a").orderBy(F.desc(F.round("cosine", 9)), "b"))
-    return pairs.where(F.col("cosine") > least).withColumn("rn", rn).where(F.col("rn") <= k).drop("rn")
+def cosine_of_sets(rows: DataFrame, key: str, item: str, *, least: float, k: int, hot: int = 1000) -> DataFrame:
+    """``a, b, cosine``: for each key the k others whose items are most alike, ties by key.
+
+    Keys are joined by items that at most ``hot`` keys hold. Those that share none of these depend on the common items
+    and the number of items alone: keys that are alike in both are a class, in whose first k + 1 keys the nearest are.
+    No pair is left out, whatever ``hot`` is, and a common item's keys are never joined with each other.
+    """
+    rows = rows.where(F.col(key).isNotNull()).select(key, item).distinct()
+    often = rows.groupBy(item).agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > hot).select(item)
+    common = rows.join(often, item).groupBy(key).agg(F.array_sort(F.collect_set(item)).alias("common"))
+    none = F.array().cast(f"array<{rows.schema[item].dataType.simpleString()}>")
+    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("size")).join(common, key, "left").withColumn("common", F.coalesce("common", none))
+    near = lambda n, x, y: (n + F.size(F.array_intersect(f"{x}common", f"{y}common"))) / F.sqrt(F.col(f"{x}size") * F.col(f"{y}size"))
+    rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(F.round("cosine", 9)), "b"))
+
+    sized = rows.join(often, item, "left_anti").join(sizes, key)
+    first = lambda x: [F.first(f"{x}.{c}").alias(f"{x}{c}") for c in ("size", "common")]
+    pairs = sized.alias("l").join(sized.alias("r"), F.expr(f"l.{item} = r.{item} and l.{key} <> r.{key}")).groupBy(F.col(f"l.{key}").alias("a"), F.col(f"r.{key}").alias("b")).agg(F.count(F.lit(1)).alias("n"), *first("l"), *first("r"))
+    pairs = pairs.select("a", "b", near(F.col("n"), "l", "r").alias("cosine"))
+
+    members = sizes.where(F.size("common") > 0)
+    firsts = members.withColumn("rn", F.row_number().over(Window.partitionBy("common", "size").orderBy(key))).where(F.col("rn") <= k + 1)
+    kinds = firsts.where("rn = 1").select("common", "size", F.explode("common").alias("one"))
+    others = kinds.select(F.col("common").alias("rcommon"), F.col("size").alias("rsize"), "one")
+    meet = kinds.join(others, "one").select("common", "size", "rcommon", "rsize").distinct().withColumn("cosine", near(F.lit(0), "", "r")).where(F.col("cosine") > least)
+    theirs = firsts.select(F.col("common").alias("rcommon"), F.col("size").alias("rsize"), F.col(key).alias("b"))
+    best = meet.join(theirs, ["rcommon", "rsize"]).withColumn("rn", rank("common", "size")).where(F.col("rn") <= k + 1).select("common", "size", "b", "cosine")
+    alike = members.join(best, ["common", "size"]).where(F.col(key) != F.col("b")).select(F.col(key).alias("a"), "b", "cosine")
+
+    whole = pairs.where(F.col("cosine") > least).unionByName(alike).groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
+    return whole.withColumn("rn", rank("a")).where(F.col("rn") <= k).drop("rn")
 
 
 def multiply(a: DataFrame, b: DataFrame) -> DataFrame:
