@@ -8,6 +8,7 @@ from marlstone.operators import scan as S
 from marlstone.sources.tables import table as t
 
 c = F.col
+# what the SQL can express; the query has all rules
 SQL_RULES = {k: r for k, r in S.FIREWALL.items() if k != "html_hidden_prompt"}
 NEEDLES = {"head": ["<head>"], "nav": ["<nav>"], "list": ["<ul>", "<ol>"], "legal": ["Licensed", "license"], "table": ["<table"]}
 MARKS = {"n_class": "class", "n_script": "script", "n_link": "href"}
@@ -62,7 +63,7 @@ QUERIES = {
     "C9_segments": lambda s, d: S.segments(pages(s, d), "page_id", "html").select("page_id", "n", "kind", F.md5("body").alias("body")),
     "C10_segment_pipeline": lambda s, d: S.segment_pipeline(pages(s, d), "page_id", "html"),
     "C15_base64": lambda s, d: t(s, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(S.BASE64), F.lit(1))).alias("candidate")).select("doc_id", "candidate", F.try_to_binary("candidate", F.lit("base64")).isNotNull().alias("decodes")).where("length(candidate) % 4 = 0 and not candidate like '%=%'"),
-    "J1_firewall": lambda s, d: S.firewall(pages(s, d), "html", SQL_RULES).select("page_id", F.array_join("rules", ",").alias("rules"), "risk", "blocked").union(S.firewall(prompts(s, d), "text", SQL_RULES).select("conv_id", F.array_join("rules", ",").alias("rules"), "risk", "blocked")),
+    "J1_firewall": lambda s, d: S.firewall(pages(s, d), "html").select("page_id", F.array_join("rules", ",").alias("rules"), "risk", "blocked").union(S.firewall(prompts(s, d), "text").select("conv_id", F.array_join("rules", ",").alias("rules"), "risk", "blocked")),
     "J2_redaction": lambda s, d: prompts(s, d).select("id", S.redacted(c("text"), S.any_case(S.INSTRUCTIONS)).alias("text")),
     "J3_guards": lambda s, d: S.guard_findings(prompts(s, d), "id", "text"),
     "J4_trust": lambda s, d: S.trusted(prompts(s, d), "role", s.createDataFrame(TRUST, "source string, trust string")).select("id", "trust", (~(c("trust") == "trusted") & (F.size(S.hits(c("text"), S.any_case(S.INSTRUCTIONS))) > 0)).alias("blocked")),
