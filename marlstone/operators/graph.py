@@ -5,6 +5,8 @@ Loops go frontier by frontier: one join and one anti-join a round, lineage cut a
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,23 +15,27 @@ from marlstone.functions.lineage import cut
 # fixed values: impact by depth
 DEPTH_SCORES = (1.0, 0.75, 0.5, 0.25)
 
+#: Rounds after which what was found so far is cut as a whole, so that the plan doesn't grow with the depth.
+CUT_EVERY = 16
+
 
-def reach(edges: DataFrame, seeds: DataFrame, *, rounds: int = 50, both: bool = False) -> DataFrame:
+def reach(edges: DataFrame, seeds: DataFrame, *, rounds: int | None = None, both: bool = False) -> DataFrame:
     """``origin, node, depth``: what depends on each seed, directly or not, at its shortest depth; seeds at 0.
 
-    ``seeds`` has ``node``. With ``both`` edges are followed either way.
+    ``seeds`` has ``node``. With ``both`` edges are followed either way. ``rounds`` asks for depths up to it alone.
     """
     back = edges.select(F.col("dst").alias("node"), F.col("src").alias("next"))
     if both:
         back = back.unionByName(edges.select(F.col("src").alias("node"), F.col("dst").alias("next")))
     front = cut(seeds.select(F.col("node").alias("origin"), "node", F.lit(0).alias("depth")).distinct())
     seen = front
-    for depth in range(1, rounds + 1):
+    for depth in count(1) if rounds is None else range(1, rounds + 1):
         new = front.join(back, "node").select("origin", F.col("next").alias("node")).distinct().join(seen.select("origin", "node"), ["origin", "node"], "left_anti")
         front = cut(new.withColumn("depth", F.lit(depth)))
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
+        seen = seen if depth % CUT_EVERY else cut(seen)
     return seen
 
 
@@ -48,7 +54,7 @@ def impact(edges: DataFrame, seeds: DataFrame, *, max_depth: int = 5) -> DataFra
     return found.join(callers, "node", "left").select("origin", "node", "depth", F.least(F.lit(1.0), F.element_at(table, F.least(F.col("depth"), F.lit(3)) + 1) * factor).alias("score"))
 
 
-def levels(edges: DataFrame, *, rounds: int = 50) -> DataFrame:
+def levels(edges: DataFrame) -> DataFrame:
     """``node, level``: the longest way to something without dependencies; dependencies come first by (level, node).
 
     Nodes on or behind a cycle never settle and get a null level.
@@ -57,13 +63,14 @@ def levels(edges: DataFrame, *, rounds: int = 50) -> DataFrame:
     open_ = cut(edges.select("src", "dst").distinct())
     done = cut(nodes.join(open_, nodes["node"] == open_["src"], "left_anti").withColumn("level", F.lit(0)))
     settled = done
-    for level in range(1, rounds + 1):
+    for level in count(1):
         open_ = cut(open_.join(settled.select(F.col("node").alias("dst")), "dst", "left_anti"))
-        left = nodes.join(done.select("node"), "node", "left_anti")
+        left = nodes.where("node is not null").join(done.select("node"), "node", "left_anti")
         settled = cut(left.join(open_.select(F.col("src").alias("node")), "node", "left_anti").withColumn("level", F.lit(level)))
         if settled.isEmpty():
             break
         done = done.unionByName(settled)
+        done = done if level % CUT_EVERY else cut(done)
     return nodes.join(done, "node", "left")
 
 
@@ -107,15 +114,16 @@ def blast_score(layers: DataFrame) -> DataFrame:
     return layers.groupBy("query").agg(n.alias("n_files"), F.least(F.lit(100), F.least(F.lit(100), F.floor(n / 50 * 85)) + F.least(F.lit(35), F.floor(F.sqrt(w) * 7))).alias("score"))
 
 
-def on_cycle(edges: DataFrame, seeds: DataFrame, **kw) -> DataFrame:
+def on_cycle(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """For each seed whether a path leads from it back to it."""
     starts = edges.join(seeds.select(F.col("node").alias("dst")), "dst").select(F.col("dst").alias("origin"), F.col("src").alias("node"))
     back = edges.select(F.col("dst").alias("node"), F.col("src").alias("next"))
     front = seen = cut(starts.distinct())
-    for _ in range(kw.get("rounds", 50)):
+    for depth in count(1):
         front = cut(front.join(back, "node").select("origin", F.col("next").alias("node")).distinct().join(seen, ["origin", "node"], "left_anti"))
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
+        seen = seen if depth % CUT_EVERY else cut(seen)
     loops = seen.where("origin = node").select(F.col("origin").alias("node"), F.lit(True).alias("cyclic"))
     return seeds.select("node").distinct().join(loops, "node", "left").select("node", F.coalesce("cyclic", F.lit(False)).alias("cyclic"))
