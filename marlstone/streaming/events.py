@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import pandas as pd
@@ -10,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from marlstone.functions.lineage import cut_folder, remove
+
 SCHEMA = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
 
 
@@ -25,10 +26,11 @@ def drain(stream: DataFrame, mode: str) -> DataFrame:
     ones the last stays.
     """
     spark = stream.sparkSession
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-')}/stream-{uuid.uuid4().hex}"
+    folder = f"{cut_folder(spark)}/stream-{uuid.uuid4().hex}"
     part = lambda n: f"{folder}/out/batch={n if mode == 'append' else 0}"
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(part(n))).start()
     query.awaitTermination()
+    remove(spark, f"{folder}/state")
     return spark.read.schema(stream.schema).parquet(f"{folder}/out").select(stream.columns)
 
 
