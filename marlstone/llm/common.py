@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.functions.lineage import cut, cut_folder, join_unique, remove  # noqa: F401
+
 #: Texts are worked on in slices of about so many characters, so that memory does not follow the Arrow batch.
 SLICE_CHARS = 2_000_000
 
@@ -20,24 +21,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut_folder(spark: SparkSession) -> str:
-    """The shared folder that the session names in spark.checkpoint.dir; one of our own where it names none."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-
+def small_batches(df: DataFrame) -> DataFrame:
+    """The same rows; Arrow batches of the session are bounded, as texts may be long and a task holds several.
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` in the shared folder; lost executors then cost no recomputation."""
-    cut_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    Spark reads this setting when a job starts, which may be long after the operator has returned its plan, so it stays
+    set. A size that the session has set for itself is left alone.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name) == _default(name, df.sparkSession):
+        conf.set(name, BATCH_BYTES)
+    return df
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """The same rows; Arrow batches of the session are bounded, as texts may be long and a task holds several."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    return df
+def _default(name: str, spark: SparkSession) -> str:
+    return spark._jvm.org.apache.spark.sql.internal.SQLConf().getConfString(name)
 
 
 _HELD: dict = {}
