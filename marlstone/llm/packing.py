@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from marlstone.llm.byte_bpe import rank_store
 from marlstone.llm.common import cut, over_texts
 
-#: Pieces of one length that one task ranks, about.
-BUCKET_ROWS = 200_000
+#: Pieces of one length that are ranked together: about a thousandth of all, between these bounds.
+BUCKET_ROWS = 1_000, 200_000
 
 
 def reduce_and_fit(have: dict[int, int], size: int) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -180,7 +180,8 @@ def pack(cut_pieces: DataFrame, *, size: int, key: str = "doc_id") -> DataFrame:
             offset += length * each
         base += times
     slots = spark.createDataFrame(places or [(0, 0, 0, 0, 1, 0)], "length bigint, low bigint, high bigint, base bigint, each bigint, at bigint")
-    buckets = max(1, -(-max(have.values(), default=1) // BUCKET_ROWS))
+    low, high = BUCKET_ROWS
+    buckets = max(1, -(-max(have.values(), default=1) // min(high, max(low, sum(have.values()) // 1000))))
     dealt = cut_pieces.withColumn("bucket", F.pmod(F.xxhash64(key, "piece", "ids_crc32"), F.lit(buckets)))
     before = dealt.groupBy("length", "bucket").count().withColumn("before", F.sum("count").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)))
     order = Window.partitionBy("length", "bucket").orderBy(key, "piece", "ids_crc32")
