@@ -11,7 +11,7 @@ import re
 import zlib
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import held, over_texts
@@ -26,7 +26,7 @@ def features(text: str, size: int) -> tuple[list[str], list[int]]:
     known = set(map(str.lower, tokens))
     n = len(tokens) or 1
     loud = sum(map(str.isupper, tokens))
-    marks = sum(not t[0].isalnum() for t in known and tokens)
+    marks = sum(not t[0].isalnum() for t in tokens)
     shape = [f"distinct {int(8 * len(known) / n)}", f"loud {int(8 * loud / n)}", f"marks {int(8 * marks / n)}", f"size {min(14, n.bit_length())}"]
     return list(known), [zlib.crc32(s.encode(), 1) % size for s in shape]
 
@@ -35,9 +35,14 @@ def index(token: str, size: int) -> int:
     return zlib.crc32(token.encode()) % size
 
 
-def rated_features(docs: DataFrame, rated: DataFrame, *, grade: str, sample: int, size: int, key: str = "doc_id", text: str = "text") -> list:
-    """(grade, feature indices) of at most ``sample`` rated documents, taken by a hash of their keys."""
-    taken = rated.where(F.col(grade).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.min(grade).alias("grade")).orderBy(F.xxhash64(key), key).limit(sample)
+def rated_features(docs: DataFrame, rated: DataFrame, *, grade: str, sample: int, sample_features: int, size: int, key: str = "doc_id", text: str = "text") -> list:
+    """(grade, feature indices) of at most ``sample`` rated documents, taken by a hash of their keys, in turn as long as
+    they have at most ``sample_features`` features together: that is what the driver holds, however long texts are."""
+    graded = rated.where(F.col(grade).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.min(grade).alias("grade"))
+    n = max(1, graded.count())
+    share = F.shiftrightunsigned(F.xxhash64(key), 1) / F.lit(float(1 << 63))
+    few = graded.where(share * n < 2 * sample)  # about twice the sample, so that it needn't be taken from all
+    taken = few.orderBy(F.xxhash64(key), key).limit(sample)
 
     def make():
         def work(texts):
@@ -50,7 +55,40 @@ def rated_features(docs: DataFrame, rated: DataFrame, *, grade: str, sample: int
         return work
 
     some = docs.select(key, text).join(F.broadcast(taken.select(key)), key, "left_semi")
-    return over_texts(some, make, "found array<int>", key=key, text=text).join(F.broadcast(taken), key).select("grade", "found").collect()
+    found = over_texts(some, make, "found array<int>", key=key, text=text).join(F.broadcast(taken), key)
+    held = F.sum(F.size("found")).over(Window.orderBy(F.xxhash64(key), key, "found").rowsBetween(Window.unboundedPreceding, 0))  # of a sample
+    return found.withColumn("held", held).where(F.col("held") <= sample_features).select("grade", "found").collect()
+
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+
+class Likelihood:
+    """The mean log-likelihood of rated documents under weights and thresholds, and its slopes."""
+
+    def __init__(self, rows: list, size: int, decay: float):
+        self.y = np.array([r["grade"] for r in rows])
+        self.at = np.concatenate([np.asarray(r["found"], dtype=np.int64) for r in rows])
+        sizes = np.array([len(r["found"]) for r in rows])
+        self.owner, self.begin = np.repeat(np.arange(len(rows)), sizes), np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        self.size, self.decay = size, decay
+
+    def _sides(self, w: np.ndarray, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """P(grade <= y) and P(grade < y) of each document."""
+        score, edges = np.add.reduceat(w[self.at], self.begin), np.concatenate([[-np.inf], theta, [np.inf]])
+        return _sigmoid(edges[self.y + 1] - score), _sigmoid(edges[self.y] - score)
+
+    def loss(self, w: np.ndarray, theta: np.ndarray) -> float:
+        hi, lo = self._sides(w, theta)
+        return -np.log(np.maximum(hi - lo, 1e-9)).mean() + self.decay * (w @ w) / 2
+
+    def slopes(self, w: np.ndarray, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        hi, lo = self._sides(w, theta)
+        p, y = np.maximum(hi - lo, 1e-9), self.y
+        d_hi, d_lo = hi * (1 - hi) / p, lo * (1 - lo) / p  # slopes of log p by the upper and the lower edge
+        g = np.bincount(self.at, weights=((d_hi - d_lo) / len(y))[self.owner], minlength=self.size) + self.decay * w
+        return g, np.array([(np.sum(d_lo[y == k + 1]) - np.sum(d_hi[y == k])) / len(y) for k in range(len(theta))])
 
 
 def fit(rows: list, *, grades: int, size: int, steps: int = 120, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
@@ -60,20 +98,10 @@ def fit(rows: list, *, grades: int, size: int, steps: int = 120, rate: float = 0
     if not rows:
         return w, theta
     rows.sort(key=lambda r: (r["grade"], r["found"]))
-    y = np.array([r["grade"] for r in rows])
-    at = np.concatenate([np.asarray(r["found"], dtype=np.int64) for r in rows])
-    sizes = np.array([len(r["found"]) for r in rows])
-    owner, begin = np.repeat(np.arange(len(rows)), sizes), np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    model = Likelihood(rows, size, decay)
     m, v, mt, vt = np.zeros(size), np.zeros(size), np.zeros_like(theta), np.zeros_like(theta)
-    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
     for t in range(1, steps + 1):
-        score = np.add.reduceat(w[at], begin)
-        edges = np.concatenate([[-np.inf], theta, [np.inf]])
-        hi, lo = sig(edges[y + 1] - score), sig(edges[y] - score)
-        p = np.maximum(hi - lo, 1e-9)
-        d_hi, d_lo = hi * (1 - hi) / p, lo * (1 - lo) / p  # slopes of log p by the upper and the lower edge
-        g = np.bincount(at, weights=((d_hi - d_lo) / len(y))[owner], minlength=size) + decay * w
-        gt = np.array([(np.sum(d_lo[y == k + 1]) - np.sum(d_hi[y == k])) / len(y) for k in range(len(theta))])
+        g, gt = model.slopes(w, theta)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         mt, vt = 0.9 * mt + 0.1 * gt, 0.99 * vt + 0.01 * gt * gt
         a, b = 1 - 0.9**t, 1 - 0.99**t
@@ -116,7 +144,9 @@ def score(docs: DataFrame, weights: np.ndarray, thresholds: np.ndarray, *, least
     return over_texts(docs, make, "grade double, tail double, kept boolean", key=key, text=text)
 
 
-def classify(docs: DataFrame, rated: DataFrame, *, grade: str, grades: int, sample: int = 6_000, size: int = 1 << 18, least: float = 0.5, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Fit on a sample of at most ``sample`` rated documents and score all; see ``score`` for the columns."""
-    w, theta = fit(rated_features(docs, rated, grade=grade, sample=sample, size=size, key=key, text=text), grades=grades, size=size)
+def classify(docs: DataFrame, rated: DataFrame, *, grade: str, grades: int, sample: int = 6_000, sample_features: int = 4_000_000, size: int = 1 << 18, least: float = 0.5, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Fit on a sample of at most ``sample`` rated documents, of at most ``sample_features`` features together, and score
+    all; see ``score`` for the columns. Of repeated ratings of a key the lowest counts; null keys and grades aren't
+    learned from. Without rated documents all weights are zero, and an empty table of documents gives no rows."""
+    w, theta = fit(rated_features(docs, rated, grade=grade, sample=sample, sample_features=sample_features, size=size, key=key, text=text), grades=grades, size=size)
     return score(docs, w, theta, least=least, key=key, text=text)
