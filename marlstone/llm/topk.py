@@ -10,6 +10,8 @@ can still add reach the k-th best. Shards are merged by query. Scores are whole
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -73,9 +75,10 @@ def best_of_shard(ids: np.ndarray, x: np.ndarray, qid: int, q: np.ndarray, k: in
 def search(vectors: DataFrame, is_query, *, k: int = 10, key: str = "vec_id") -> DataFrame:
     """``query_id, rank, vec_id, score``: the k best other rows of each row for which ``is_query`` holds.
 
-    ``vectors`` has whole numbers in ``ints``. Vectors of another length than the query's are no candidates. All
-    candidates meet all queries, in groups of one shard and one block of queries that fit in a task whatever the data.
-    Scores beyond 64 bits are held at its ends.
+    ``vectors`` has whole numbers in ``ints``. Vectors of another length than the query's are no candidates, nor are
+    rows with the query's own id. Rows that repeat an id and its vector are one, as query and as candidate. An id with
+    several vectors is a candidate with each of them, and a query for each, with ranks of its own. A table without rows or queries gives none. All candidates meet all queries, in groups of one shard
+    and one block of queries that fit in a task whatever the data. Scores beyond 64 bits are held at its ends.
     """
     v = vectors.select(F.col(key).alias("id"), "ints", F.size("ints").alias("dims"))
     n, nq = v.agg(F.count(F.lit(1)), F.count_if(is_query(F.col("id")))).first()
@@ -86,7 +89,7 @@ def search(vectors: DataFrame, is_query, *, k: int = 10, key: str = "vec_id") ->
     asked = v.where(is_query(F.col("id"))).withColumn("block", deal(blocks)).withColumn("shard", spread(shards)).withColumn("query", F.lit(True)).select(some.columns)
 
     def group(t: pa.Table) -> pa.Table:
-        out = []
+        out, seen = [], Counter()
         ids, ask, dims = t["id"].to_numpy(), t["query"].to_numpy(), t["dims"].to_numpy()
         flat = t["ints"].combine_chunks()
         flat = (flat.combine_chunks() if isinstance(flat, pa.ChunkedArray) else flat).flatten().to_numpy()
@@ -94,25 +97,37 @@ def search(vectors: DataFrame, is_query, *, k: int = 10, key: str = "vec_id") ->
         for d in np.unique(dims):
             own = lambda m: np.stack([flat[b : b + d] for b in begin[m]]) if m.any() else np.empty((0, d), np.int64)  # noqa: B023, E731
             c, a = (dims == d) & ~ask, (dims == d) & ask
-            order = np.argsort(ids[c], kind="stable")
-            cid, x, q = ids[c][order], own(c)[order], own(a)
+            (cid, x), (qid, q) = _once(ids[c], own(c)), _once(ids[a], own(a))
+            nth = np.array([seen[i] for i in qid.tolist()], np.int64) + np.arange(len(qid)) - np.searchsorted(qid, qid) + 1
+            seen.update(qid.tolist())
             if not len(cid) or not len(q):
                 continue
             if d and float(np.abs(x).astype(float).max()) * float(np.abs(q).astype(float).max()) * d < 2**53:
                 xs, qs = x.astype(np.float64), q.astype(np.float64)  # sums are exact, and products fast
             else:
                 xs, qs = x.astype(object), q.astype(object)
-            for qid, one in zip(ids[a], qs, strict=True):
-                s, i = _best(cid, xs, qid, one, k)
-                out += [(int(qid), int(j), max(-(2**63), min(2**63 - 1, int(z)))) for z, j in zip(s, i, strict=True)]
-        cols = list(zip(*out, strict=True)) or [[], [], []]
-        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "vec_id", "score"), cols, strict=True)})
-
-    near = some.unionByName(asked).groupBy("shard", "block").applyInArrow(group, "query_id bigint, vec_id bigint, score bigint")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+            for asked_id, number, one in zip(qid, nth, qs, strict=True):
+                s, i = _best(cid, xs, asked_id, one, k)
+                out += [(int(asked_id), int(number), int(j), max(-(2**63), min(2**63 - 1, int(z)))) for z, j in zip(s, i, strict=True)]
+        cols = list(zip(*out, strict=True)) or [[], [], [], []]
+        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "nth", "vec_id", "score"), cols, strict=True)})
+
+    near = some.unionByName(asked).groupBy("shard", "block").applyInArrow(group, "query_id bigint, nth bigint, vec_id bigint, score bigint")
+    rank = F.row_number().over(Window.partitionBy("query_id", "nth").orderBy(F.desc("score"), "vec_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _once(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors in order of both, without repeated rows."""
+    order = np.argsort(ids, kind="stable")
+    if (np.diff(ids[order]) == 0).any():
+        order = np.lexsort((*x.T[::-1], ids))
+    ids, x = ids[order], x[order]
+    new = np.ones(len(ids), bool)
+    new[1:] = (ids[1:] != ids[:-1]) | (x[1:] != x[:-1]).any(axis=1)
+    return ids[new], x[new]
+
+
 def _best(ids, x, qid, q, k):
     if x.dtype == object:
         s = [sum(a * b for a, b in zip(row, q)) for row in x.tolist()]
