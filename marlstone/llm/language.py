@@ -1,10 +1,10 @@
 """Language identification by cross-parsing against suffix automata (operator 8).
 
-For each language a suffix automaton holds labelled text: the distinct words of a bounded sample of labelled
-documents, most frequent first. A word is parsed into phrases, each the longest match that the automaton allows. A
-phrase costs about log2 of the labelled text's length in bits (it points to a place there), so that languages with
-little text aren't favoured; the language whose phrases cost least over the whole text wins. Phrases end with words,
-which lets each distinct word be parsed once for all its occurrences.
+For each language a suffix automaton holds labelled text: the whole texts of a bounded sample of labelled documents,
+in lower case, words parted by one space. A document in the same form is parsed from left to right into phrases, each
+the longest match that the automaton allows; a character that it lacks is a phrase of its own. A phrase costs about
+log2 of the labelled text's length in bits (it points to a place there), so that languages with little text aren't
+favoured; the language whose phrases cost least over the whole text wins.
 """
 
 from __future__ import annotations
@@ -12,75 +12,93 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections import Counter
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import held, over_texts, small_batches
 
-#: Words that a task keeps at most.
-STORE = 250_000
-_WORDS = re.compile(r"[^\W\d_]+")
+_GAPS = re.compile(r"[\W\d_]+")
+
+
+def normal(text: str) -> str:
+    """Lower-case words of letters (Unicode category L) between single spaces, one at each end; empty without letters."""
+    x = _GAPS.sub(" ", text.lower())
+    if not x.isascii():  # numerals that aren't decimal, such as fractions and Roman ones, are left
+        import regex
+
+        x = regex.sub(r"\P{L}+", " ", x)
+    x = x.strip(" ")
+    return f" {x} " if x else ""
 
 
 class SuffixAutomaton:
-    """Recognises the substrings of a text; ``next[state]`` maps a character to a state."""
+    """Recognises the substrings of a text; a state is a dictionary from characters to states."""
 
     def __init__(self, text: str):
-        self.next: list[dict[str, int]] = [{}]
-        link, length, last = [-1], [0], 0
+        self.root: dict = {}
+        states, link, length, last = [self.root], [-1], [0], 0
         for c in text:
-            new = len(length)
+            new = len(states)
             length.append(length[last] + 1)
-            self.next.append({})
+            states.append({})
             link.append(0)
             p = last
-            while p >= 0 and c not in self.next[p]:
-                self.next[p][c] = new
+            while p >= 0 and c not in states[p]:
+                states[p][c] = new
                 p = link[p]
             if p >= 0:
-                q = self.next[p][c]
+                q = states[p][c]
                 if length[q] == length[p] + 1:
                     link[new] = q
                 else:
-                    copy = len(length)
+                    copy = len(states)
                     length.append(length[p] + 1)
-                    self.next.append(dict(self.next[q]))
+                    states.append(dict(states[q]))
                     link.append(link[q])
-                    while p >= 0 and self.next[p].get(c) == q:
-                        self.next[p][c] = copy
+                    while p >= 0 and states[p].get(c) == q:
+                        states[p][c] = copy
                         p = link[p]
                     link[q] = link[new] = copy
             last = new
+        for state in states:
+            for c, to in state.items():
+                state[c] = states[to]
         self.bits = math.log2(len(text) + 2)
 
     def phrases(self, text: str) -> int:
         """How many longest matches the text falls into; a character that the automaton lacks is one by itself."""
-        n, state, moves = 1, 0, self.next
+        root, n = self.root, 0
+        first, state = root.get, root
         for c in text:
-            to = moves[state].get(c)
-            if to is None:
-                n += state != 0
-                to = moves[0].get(c, 0)
-                n += to == 0
+            if (to := state.get(c)) is None:
+                n += state is not root
+                if (to := first(c)) is None:
+                    n += 1
+                    to = root
             state = to
-        return n
-
-
-def labelled_text(docs: DataFrame, *, sample_docs: int = 400, sample_chars: int = 40_000, languages: int = 256, key: str = "doc_id", text: str = "text", label: str = "lang") -> dict[str, str]:
-    """Language to text: at most ``sample_docs`` documents each, taken by a hash of their keys, whose distinct words
-    are kept up to ``sample_chars``; at most ``languages`` labels, the most frequent ones."""
-    rows = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull())
-    by = Window.partitionBy(label).orderBy(F.xxhash64(key), key)
-    common = rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(languages)
-    taken = rows.select(key, label).join(F.broadcast(common.select(label)), label).withColumn("nth", F.row_number().over(by)).where(F.col("nth") <= sample_docs).select(key).distinct()
-    words = rows.join(F.broadcast(taken), key, "left_semi").select(label, F.explode(F.regexp_extract_all(F.lower(text), F.lit("(\\p{L}+)"), F.lit(1))).alias("word"))
-    counted = words.where(F.length("word") <= 64).groupBy(label, "word").count()
-    before = Window.partitionBy(label).orderBy(F.desc("count"), "word")
-    kept = counted.withColumn("held", F.sum(F.length("word") + 1).over(before)).where(F.col("held") <= sample_chars)
-    got = kept.groupBy(label).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("held", "word"))), lambda x: x["word"]), " ").alias("words")).collect()
-    return {r[label]: f" {r['words']} " for r in sorted(got, key=lambda r: r[label])}
+        return n + (state is not root)
+
+
+def labelled_text(docs: DataFrame, *, sample_docs: int = 400, sample_chars: int = 100_000, key: str = "doc_id", text: str = "text", label: str = "lang") -> dict[str, str]:
+    """Language to the whole texts of a sample of its documents, in the form of ``normal``.
+
+    Documents are taken by a hash of their keys, about ``sample_docs`` of each language, and of these in turn as long
+    as their texts together have at most ``sample_chars`` characters; ones of over an eighth of that come last, the
+    shortest first. The first one is always taken, so that no language with letters is left out. The driver and each
+    worker hold about that many characters a language.
+    """
+    rows = docs.where(F.col(label).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(key).alias("k"), F.col(label).alias("l"), F.col(text).alias("t"), F.length(text).alias("n"))
+    counts = rows.groupBy("l").agg(F.count(F.lit(1)).alias("docs"))
+    share = F.shiftrightunsigned(F.xxhash64("k"), 1) / F.lit(float(1 << 63))
+    some = rows.join(counts, "l").where(share * F.col("docs") < sample_docs).withColumn("size", F.greatest("n", F.lit(sample_chars // 8)))
+    order = Window.partitionBy("l").orderBy("size", share, "k", "t")
+    taken = some.withColumn("nth", F.row_number().over(order)).withColumn("held", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    got = taken.where((F.col("nth") == 1) | (F.col("held") <= sample_chars)).select("l", "nth", "t").collect()
+    model: dict[str, str] = {}
+    for r in sorted(got, key=lambda r: (r["l"], r["nth"])):
+        model[r["l"]] = model.get(r["l"], " ") + normal(r["t"])[1:]
+    return model
 
 
 def _predictor(model: dict[str, str]):
@@ -89,24 +107,13 @@ def _predictor(model: dict[str, str]):
     mark = hashlib.sha256(repr(sorted(model.items())).encode()).hexdigest()
 
     def make():
-        automata, known = held(("language", mark), lambda: ([SuffixAutomaton(model[n]) for n in names], {}))
+        automata = held(("language", mark), lambda: [SuffixAutomaton(model[n]) for n in names])
 
         def one(x: str | None):
-            words = Counter(_WORDS.findall((x or "").lower()))
-            if not words or not names:
+            text = normal(x or "")
+            if not text or not names:
                 return "und", 0.0
-            total = [0] * len(names)
-            for w, k in words.items():
-                got = known.get(w)
-                if got is None:
-                    padded = f" {w} "
-                    got = tuple([a.phrases(padded) for a in automata])
-                    if len(w) <= 64:
-                        if len(known) > STORE:
-                            known.clear()
-                        known[w] = got
-                total = [t + k * n for t, n in zip(total, got)]
-            cost = sorted((t * a.bits, n) for t, a, n in zip(total, automata, names))
+            cost = sorted((a.phrases(text) * a.bits, n) for a, n in zip(automata, names))
             return cost[0][1], cost[1][0] / (cost[0][0] + cost[1][0]) if len(cost) > 1 else 1.0
 
         return one
@@ -116,7 +123,8 @@ def _predictor(model: dict[str, str]):
 
 def predict(docs: DataFrame, model: dict[str, str], *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, lang_pred, score`` of every whole text. ``und`` with score 0 if it is null or has no letters, or if the
-    model is empty; else the score is the second language's cost over both costs (1 if there is only one)."""
+    model is empty; else the score is the second language's cost over both costs (1 if there is only one). Of equal
+    costs the first label counts. One row for each input row, repeated ones too."""
     make = _predictor(model)
 
     def many():
@@ -127,7 +135,7 @@ def predict(docs: DataFrame, model: dict[str, str], *, key: str = "doc_id", text
 
 
 def keep_known(docs: DataFrame, model: dict[str, str], *, text: str = "text") -> DataFrame:
-    """The rows, with all columns, whose text isn't predicted ``und``."""
+    """The rows, with all columns, whose text isn't predicted ``und``; of an empty table none."""
     import pyarrow as pa
 
     make, at = _predictor(model), docs.columns.index(text)
