@@ -6,21 +6,28 @@ which occur twice have the same windows and so the same fingerprints: windows wi
 once. The others are matched by their whole content, each with its first occurrence, so that a window of any number of
 occurrences costs as many rows. Matches are extended line by line both ways beside that first occurrence. What
 matched windows and extensions cover is deleted; the first occurrence of a run, by key and then position, stays.
+
+Lines, contents and texts are compared by hashes of 128 bits, as deletion rests on them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import cut
+from marlstone.llm.common import cut, join_unique
 
 _DOC = ["key", "mark"]
 
 
+def _hash(x) -> Column:
+    """128 bits."""
+    return F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"))
+
+
 def _document(key: str, text: str):
     """What tells documents apart: the key, in a struct so that null equals null, and the text's hash."""
-    return F.struct(F.col(key).alias("key")).alias("key"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("mark")
+    return F.struct(F.col(key).alias("key")).alias("key"), _hash(F.coalesce(text, F.lit(""))).alias("mark")
 
 
 def windows_of_lines(docs: DataFrame, *, min_words: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -28,20 +35,19 @@ def windows_of_lines(docs: DataFrame, *, min_words: int, key: str = "doc_id", te
     by = Window.partitionBy(*_DOC)
     order, reach = by.orderBy("pos"), by.orderBy("at").rangeBetween(0, min_words - 1)
     split = docs.select(*_document(key, text), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    counted = split.select(*_DOC, "pos", F.xxhash64("line").alias("h"), F.regexp_count("line", F.lit(r"\S+")).cast("bigint").alias("n")).where("n > 0")
+    counted = split.select(*_DOC, "pos", _hash("line").alias("h"), F.regexp_count("line", F.lit(r"\S+")).cast("bigint").alias("n")).where("n > 0")
     placed = (
         counted.repartition(*_DOC)
-        .groupBy(*_DOC, "pos")  # rows with the same key and text are one document
-        .agg(F.min("h").alias("h"), F.min("n").alias("n"))
+        .dropDuplicates([*_DOC, "pos"])  # rows with the same key and text are one document
         .withColumn("idx", F.row_number().over(order))
         .withColumn("at", F.sum("n").over(order) - F.col("n"))
         .withColumn("total", F.sum("n").over(by))
     )
     return placed.select(
         *_DOC, "pos", "idx", "h",
-        F.min(F.struct("h", "idx")).over(reach).alias("print"),
+        F.min(F.struct(F.col("h.a").alias("a"), "idx")).over(reach).alias("print"),
         F.max("idx").over(reach).alias("last"),
-        F.xxhash64(F.collect_list("h").over(reach)).alias("content"),
+        _hash(F.collect_list("h").over(reach)).alias("content"),
         (F.col("at") + min_words <= F.col("total")).alias("whole"),
     )
 
@@ -52,12 +58,13 @@ def repeated_lines(docs: DataFrame, *, min_words: int = 50, key: str = "doc_id",
     Null and empty texts, and tables without rows, have none.
     """
     lines = cut(windows_of_lines(docs, min_words=min_words, key=key, text=text))
-    windows = lines.where("whole").withColumn("least", F.col("print.h"))
-    places = windows.select(*_DOC, F.col("print.idx").alias("at"), "least").distinct()
-    shared = places.groupBy("least").count().where("count > 1").select("least")
-    again = windows.join(shared, "least", "left_semi").select(*_DOC, "idx", "last", "content")
-    firsts = again.groupBy("content").agg(F.min(F.struct(*_DOC, "idx")).alias("first"), F.count(F.lit(1)).alias("seen")).where("seen > 1").select("content", "first")
-    matched = again.join(firsts, "content").where(F.struct(*_DOC, "idx") != F.col("first")).select(*_DOC, "idx", F.struct("idx", "last", "first").alias("match"))
+    windows = lines.where("whole").select(*_DOC, "idx", "last", "content", F.col("print.a").alias("least"), F.col("print.idx").alias("at"), F.xxhash64(*_DOC).alias("doc"))
+    n = windows.count()
+    spread = [f("doc").alias(f"doc{i}") for i, f in enumerate((F.min, F.max))] + [f("at").alias(f"at{i}") for i, f in enumerate((F.min, F.max))]
+    shared = windows.groupBy("least").agg(F.count(F.lit(1)).alias("many"), *spread).where("doc0 <> doc1 or at0 <> at1").select("least", "many")
+    again = cut(join_unique(windows, shared, "least", "many", n).select(*_DOC, "idx", "last", "content"))
+    firsts = again.groupBy("content").agg(F.min(F.struct(*_DOC, "idx")).alias("first"), F.count(F.lit(1)).alias("seen")).where("seen > 1")
+    matched = join_unique(again, firsts, "content", "seen", n).where(F.struct(*_DOC, "idx") != F.col("first")).select(*_DOC, "idx", F.struct("idx", "last", "first").alias("match"))
 
     order = Window.partitionBy(*_DOC).orderBy("idx")
     near = (
@@ -70,10 +77,12 @@ def repeated_lines(docs: DataFrame, *, min_words: int = 50, key: str = "doc_id",
     )
     near = cut(near.drop("match"))
     beside = lambda m: near.where(~F.col("covered") & F.col(m).isNotNull()).select(*_DOC, "pos", "idx", "h", F.lit(m).alias("side"), F.col(f"{m}.idx").alias("anchor"), F.col(f"{m}.first").alias("first"))
-    asked = beside("before").unionByName(beside("after")).withColumn("source", F.struct(F.col("first.key").alias("key"), F.col("first.mark").alias("mark"), (F.col("idx") - F.col("anchor") + F.col("first.idx")).alias("idx")))
-    source = lines.select(F.struct(*_DOC, "idx").alias("source"), F.col("h").alias("source_h"))
+    asked = beside("before").unionByName(beside("after")).withColumn("source", F.struct(F.col("first.key").alias("key"), F.col("first.mark").alias("mark"), (F.col("idx") - F.col("anchor") + F.col("first.idx")).alias("idx"))).drop("first")
+    # one row for each line asked for, found or not: a passage's first occurrence is asked for by all others
+    wanted = asked.groupBy("source").agg(F.count(F.lit(1)).alias("many"))
+    source = wanted.join(lines.select(F.struct(*_DOC, "idx").alias("source"), F.col("h").alias("source_h")), "source", "left")
     outward = Window.partitionBy(*_DOC, "side", "anchor").orderBy(F.abs(F.col("idx") - F.col("anchor")))
-    extended = asked.join(source, "source", "left").withColumn("unlike", F.sum(F.when(F.col("h") == F.col("source_h"), 0).otherwise(1)).over(outward)).where("unlike = 0")
+    extended = join_unique(asked, source, "source", "many", n).withColumn("unlike", F.sum(F.when(F.col("h") == F.col("source_h"), 0).otherwise(1)).over(outward)).where("unlike = 0")
     return near.where("covered").select(*_DOC, "pos").unionByName(extended.select(*_DOC, "pos").distinct()).distinct()
 
 
