@@ -11,12 +11,14 @@ comparison returns a spanning set of links only.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import cut, over_texts, small_batches
+from marlstone.llm.common import cut, join_unique, over_texts, small_batches
 from marlstone.llm.components import components, join_labels
 
 #: Fingerprints with the same key in one chunk.
@@ -46,18 +48,12 @@ def fingerprint(text: str, words: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, *, words: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, fp bigint, mark bigint`` of every whole text (null: empty); ``mark`` is the text's own hash."""
+    """``key, fp bigint, mark binary`` of every whole text (null: empty); ``mark`` is the text's MD5, 128 bits."""
 
     def make():
-        import xxhash
-
-        def one(x):
-            mark = xxhash.xxh64_intdigest(x.encode(), 42)
-            return fingerprint(x, words), mark - (mark >> 63 << 64)
+        return lambda texts: [(fingerprint(x, words), hashlib.md5(x.encode(), usedforsecurity=False).digest()) for x in texts]
 
-        return lambda texts: [one(x) for x in texts]
-
-    return over_texts(docs, make, "fp bigint, mark bigint", key=key, text=text)
+    return over_texts(docs, make, "fp bigint, mark binary", key=key, text=text)
 
 
 def covering_masks(radius: int, bits: int = 64) -> list[int]:
@@ -114,14 +110,15 @@ def link_fingerprints(fps: DataFrame, *, radius: int = 4) -> DataFrame:
     return small_batches(within.unionByName(across)).mapInArrow(run, "a bigint, b bigint")
 
 
-def _linked(docs: DataFrame, *, words: int, radius: int, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """Rows ``key, mark, fp``, and ``fp, least, component, linked`` of each fingerprint: its smallest key, the smallest
-    fingerprint that links lead to, and whether there are any. Keys take no part in linking: they may be null or repeated.
-    """
+def _linked(docs: DataFrame, *, words: int, radius: int, key: str, text: str) -> tuple[DataFrame, DataFrame, int]:
+    """Rows ``key, mark, fp``; ``fp, least, many, component`` of each fingerprint: its smallest key, its rows and the
+    smallest fingerprint that links lead to; and how many rows there are. Keys take no part in linking: they may be null
+    or repeated."""
     rows = cut(fingerprints(docs, words=words, key=key, text=text))
-    fps = cut(rows.groupBy("fp").agg(F.min(key).alias("least")))
+    fps = cut(rows.groupBy("fp").agg(F.min(key).alias("least"), F.count(F.lit(1)).alias("many")))
     joined = components(link_fingerprints(fps.select("fp"), radius=radius)).withColumnRenamed("node", "fp")
-    return rows, fps.join(joined, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"), F.col("component").isNotNull().alias("linked"))
+    known = cut(fps.join(joined, "fp", "left").select("fp", "least", "many", F.coalesce("component", "fp").alias("component")))
+    return rows, known, known.agg(F.coalesce(F.sum("many"), F.lit(0))).first()[0]
 
 
 def near_duplicates(docs: DataFrame, *, words: int = 4, radius: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -129,23 +126,24 @@ def near_duplicates(docs: DataFrame, *, words: int = 4, radius: int = 4, key: st
 
     Texts that are null, empty or without words have fingerprint zero, which links like any other. Rows with a null
     key belong to their fingerprint's component, which is null if no row of it has a key. Where keys are repeated,
-    components that share their smallest key have the same component_id, but aren't joined.
+    components that share their smallest key have the same component_id, but aren't joined. A table without rows gives
+    none; repeated rows are rows of one fingerprint.
     """
-    rows, known = _linked(docs, words=words, radius=radius, key=key, text=text)
-    names = cut(known.where("linked").groupBy("component").agg(F.min("least").alias("name")))
-    named = known.join(names, "component", "left").select("fp", F.coalesce("name", "least").alias("component_id"))
-    return rows.join(named, "fp").select(key, "mark", "fp", "component_id")
+    rows, known, n = _linked(docs, words=words, radius=radius, key=key, text=text)
+    names = known.groupBy("component").agg(F.min("least").alias("name"), F.count(F.lit(1)).alias("fps"))
+    named = join_unique(known.select("fp", "many", "component"), names, "component", "fps", known.count())
+    return join_unique(rows, named.select("fp", "many", F.col("name").alias("component_id")), "fp", "many", n).select(key, "mark", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, *, words: int = 4, radius: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The same columns, one row of each group: the one with the smallest key (then text hash).
 
     Groups are of linked fingerprints, whatever their keys: unlike texts with the same key, or without one, all stay.
+    Which rows stay is settled on keys and hashes alone; whole rows are shuffled once, to those.
     """
-    rows, known = _linked(docs, words=words, radius=radius, key=key, text=text)
-    groups = rows.join(known.select("fp", "component"), "fp")
-    first = groups.groupBy("component").agg(F.min(F.struct(key, "mark")).alias("first")).select(F.col(f"first.{key}").alias("kept_key"), F.col("first.mark").alias("kept_mark"))
-    mark = "mark" + "_" * max(map(len, docs.columns))  # longer than any column's name
-    marked = docs.withColumn(mark, F.xxhash64(F.coalesce(text, F.lit(""))))
-    kept = marked.join(first, (marked[key].eqNullSafe(first["kept_key"])) & (marked[mark] == first["kept_mark"]), "left_semi")
-    return kept.dropDuplicates([key, mark]).select(docs.columns)
+    rows, known, _ = _linked(docs, words=words, radius=radius, key=key, text=text)
+    one = F.struct(F.col(key).alias("key")).alias("key")  # in a struct, so that null equals null
+    firsts = rows.groupBy("fp").agg(F.min(F.struct(one, "mark")).alias("first")).join(known, "fp").groupBy("component").agg(F.min("first").alias("first"))
+    name = "kept" + "_" * max(map(len, docs.columns))  # longer than any column's name
+    marked = docs.withColumn(name, F.struct(F.struct(F.col(key).alias("key")).alias("key"), F.unhex(F.md5(F.coalesce(text, F.lit("")))).alias("mark")))
+    return marked.join(firsts.select(F.col("first").alias(name)), name, "left_semi").dropDuplicates([name]).select(docs.columns)
