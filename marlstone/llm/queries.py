@@ -64,9 +64,81 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_byte_bpe, op3_embedding_neardup, op4_best_fit_packing, op5_quality, op6_topk, op7_secret_scan, op8_language, op9_line_dedup, op10_simhash)}
 
+
+def _line_sql(words: int) -> str:
+    """Line dedup by its definition: whole windows compared by their lines, without fingerprints."""
+    order = "PARTITION BY doc_id ORDER BY idx"
+    some = "CASE WHEN m.idx IS NOT NULL THEN {'i': m.idx, 'last': m.last, 'fd': m.fd, 'fi': m.fi} END"
+    beside = lambda m: f"SELECT doc_id, pos, idx, line, '{m}' side, \"{m}\".i anchor, \"{m}\".fd fd, \"{m}\".fi + idx - \"{m}\".i fi FROM k WHERE NOT covered AND \"{m}\" IS NOT NULL"
+    return f"""
+WITH x AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) line, unnest(range(len(string_split(text, chr(10))))) pos FROM documents WHERE text IS NOT NULL
+), c AS (
+  SELECT *, len(regexp_extract_all(line, '[^ \\t\\n\\x0b\\f\\r]+')) n FROM x
+), p AS (
+  SELECT doc_id, pos, line, row_number() OVER w idx, sum(n) OVER (w ROWS UNBOUNDED PRECEDING) - n at0, sum(n) OVER (PARTITION BY doc_id) total
+  FROM c WHERE n > 0 WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
+), v AS (
+  SELECT *, at0 + {words} <= total whole, max(idx) OVER r AS last, list(line) OVER r content
+  FROM p WINDOW r AS (PARTITION BY doc_id ORDER BY at0 RANGE BETWEEN CURRENT ROW AND {words - 1} FOLLOWING)
+), f AS (
+  SELECT content, min({{'d': doc_id, 'i': idx}}) AS first FROM v WHERE whole GROUP BY content HAVING count(*) > 1
+), m AS (
+  SELECT doc_id, idx, v.last, f.first.d fd, f.first.i fi FROM v JOIN f USING (content) WHERE whole AND NOT (doc_id = f.first.d AND idx = f.first.i)
+), b AS (
+  SELECT p.doc_id, pos, p.idx, line, last_value({some} IGNORE NULLS) OVER ({order.replace("idx", "p.idx").replace("doc_id", "p.doc_id")}) AS "before",
+         first_value({some} IGNORE NULLS) OVER ({order.replace("idx", "p.idx").replace("doc_id", "p.doc_id")} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS "after"
+  FROM p LEFT JOIN m ON p.doc_id = m.doc_id AND p.idx = m.idx
+), k AS (
+  SELECT *, coalesce("before".last >= idx, false) covered FROM b WHERE "before" IS NOT NULL OR "after" IS NOT NULL
+), asked AS ({beside("before")} UNION ALL {beside("after")}
+), e AS (
+  SELECT a.doc_id, a.pos, sum(CASE WHEN a.line = s.line THEN 0 ELSE 1 END) OVER (PARTITION BY a.doc_id, side, anchor ORDER BY abs(a.idx - anchor)) unlike
+  FROM asked a LEFT JOIN p s ON s.doc_id = fd AND s.idx = fi
+), gone AS (
+  SELECT doc_id, pos FROM k WHERE covered UNION SELECT doc_id, pos FROM e WHERE unlike = 0
+), left_over AS (
+  SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) text FROM x ANTI JOIN gone USING (doc_id, pos) GROUP BY 1
+), sizes AS (SELECT doc_id, count(*) n FROM x GROUP BY 1), cuts AS (SELECT doc_id, count(*) n FROM gone GROUP BY 1)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(o.text, '') END text, coalesce(s.n, 0) n_lines, coalesce(c.n, 0) n_removed
+FROM documents d LEFT JOIN left_over o USING (doc_id) LEFT JOIN sizes s USING (doc_id) LEFT JOIN cuts c USING (doc_id)"""
+
+
+def _secret_sql() -> str:
+    """All spans by DuckDB's own search, rule by rule. A search that begins with as little as it can gives the places."""
+    either = "|".join("".join(f"[{x.upper()}{x}]" if x.isalpha() else x for x in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+    rules = {  # expression with the measured part as group 2, and its least length
+        "assign": (rf"""((?:{either})["\']?\x20*[:=]\x20*["\']?([A-Za-z0-9+/_.=-]+))""", 12),
+        "access": ("((AKIA[A-Z0-9]+))", 18),
+        "hex": ("(([0-9a-f]+))", 16),
+        "key_header": ("((-----BEGIN [A-Z ]*PRIVATE KEY-----))", 0),
+        "bearer": (r"(([Bb]earer\x20+[A-Za-z0-9._~+/-]+=*))", 30),
+    }
+    quoted = lambda r: "'[\\s\\S]*?" + r.replace("'", "''") + "'"
+    each = lambda r, g: f"unnest(regexp_extract_all(text, {quoted(r)}, {g}))"
+    found = " UNION ALL ".join(
+        f"SELECT doc_id, '{k}' kind, {i} place, {least} least, {each(r, 0)} seg, {each(r, 1)} hit, {each(r, 2)} part, generate_subscripts(regexp_extract_all(text, {quoted(r)}, 0), 1) nth FROM documents"
+        for i, (k, (r, least)) in enumerate(rules.items())
+    )
+    return f"""
+WITH found AS ({found}), placed AS (
+  SELECT *, sum(length(seg)) OVER (PARTITION BY doc_id, kind ORDER BY nth)::BIGINT stop FROM found
+), spans AS (
+  SELECT doc_id, kind, place, stop - length(hit) start, kind || ':' || (stop - length(hit)) || ':' || stop span FROM placed WHERE length(part) >= least
+), joined AS (
+  SELECT doc_id, count(*) FILTER (place = 0) n_assign, count(*) FILTER (place = 1) n_access, count(*) FILTER (place = 2) n_hex,
+         string_agg(span, ',' ORDER BY start, place) FILTER (place < 3) base, string_agg(span, ',' ORDER BY start, place) spans
+  FROM spans GROUP BY 1
+)
+SELECT doc_id, coalesce(n_assign, 0) n_assign, coalesce(n_access, 0) n_access, coalesce(n_hex, 0) n_hex, sha256(coalesce(base, '')) base_sha256, coalesce(spans, '') spans
+FROM documents LEFT JOIN joined USING (doc_id)"""
+
+
 _FINE = "embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))"
 
 ORACLES = {
+    "op7_secret_scan": _secret_sql(),
+    "op9_line_dedup": _line_sql(50),
     "op3_embedding_neardup": f"""
 WITH RECURSIVE v AS (
   SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) e FROM embeddings
@@ -82,12 +154,12 @@ SELECT e.vec_id, coalesce(c.n, 0)::BIGINT n_links, least(e.vec_id, coalesce(l.m,
 FROM embeddings e LEFT JOIN counts c ON c.a = e.vec_id LEFT JOIN least l ON l.a = e.vec_id""",
     "op6_topk": f"""
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) q FROM embeddings WHERE {_FINE}
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) q FROM embeddings WHERE {_FINE}
 ), pairs AS (
-  SELECT a.vec_id query_id, b.vec_id, list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2]))::BIGINT score
-  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+  SELECT a.vec_id query_id, a.nth, b.vec_id, list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2]))::BIGINT score
+  FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY len(q), q) nth FROM v WHERE vec_id % 100 = 0) a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q)
 ), ranked AS (
-  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS "rank", vec_id, score FROM pairs
+  SELECT query_id, row_number() OVER (PARTITION BY query_id, nth ORDER BY score DESC, vec_id)::INTEGER AS "rank", vec_id, score FROM pairs
 )
 SELECT query_id, "rank", vec_id, score FROM ranked WHERE "rank" <= 10""",
 }
