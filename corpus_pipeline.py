@@ -1,6 +1,9 @@
 """Corpus pipeline: language ID, line dedup, near-dedup, redaction of secrets, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+Columns beyond ``doc_id``, ``text``, ``lang`` and ``n_chars`` are carried along, whatever their names. Null keys and
+repeated rows are rows like any other: the near-dedup stage alone leaves one row of each group. An empty table of
+documents gives an empty one at every stage.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm import language, lines, packing, secrets, simhash
-from marlstone.llm.common import cut_folder, table
+from marlstone.llm.common import cut_folder, remove, table
 from marlstone.llm.queries import END_ID, RANKS, SEQUENCE, TOKENIZER
 
 
@@ -54,18 +57,22 @@ STAGES = [
     ("best_fit_packing", packed),
 ]
 
-#: Stages of this pipeline go beyond SQL. Tests hold each stage's operator against brute force, and the documents that
-#: run() returns against the stages applied one by one; there is no plain version of the whole yet.
+#: Stages of this pipeline go beyond SQL. Tests hold the rows of the whole against a plain version of all stages.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet in the shared folder and read again."""
+    """All stages over ``documents``, each written as Parquet in the shared folder and read again.
+
+    A stage's table is deleted when the next one is written; that of the last one, which the result reads, stays.
+    """
     folder = f"{cut_folder(spark)}/pipeline-{uuid.uuid4().hex}"
 
-    def step(docs: DataFrame, stage: tuple) -> DataFrame:
-        name, work = stage
+    def step(docs: DataFrame, at: int) -> DataFrame:
+        name, work = STAGES[at]
         work(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        if at:
+            remove(spark, f"{folder}/{STAGES[at - 1][0]}")
         return spark.read.parquet(f"{folder}/{name}")
 
-    return reduce(step, STAGES, table(spark, sf_dir, "documents"))
+    return reduce(step, range(len(STAGES)), table(spark, sf_dir, "documents"))
