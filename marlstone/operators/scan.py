@@ -108,15 +108,21 @@ CREDENTIALS = {
     "bearer_token": r"(?i)\bbearer\s+[A-Za-z0-9_./+=\-]{20,}",
     "private_key": r"(?i)-----BEGIN [A-Z ]*PRIVATE KEY-----",
 }
-BASE64 = r"\b([A-Za-z0-9+/]{24,}={0,2})"
+BASE64 = r"\b([A-Za-z0-9+/]{24,}={0,2}\b)"
 REMOVED = "[UNTRUSTED_CONTENT_REMOVED]"
 
 
 def any_case(rules: dict[str, str]) -> dict[str, str]:
-    return {k: f"(?i){r}" for k, r in rules.items()}
+    """The rules in any case. Line feeds alone end lines, as the flag ``d`` has it."""
+    return {k: f"(?id){r}" for k, r in rules.items()}
 
 
-FIREWALL = any_case(INSTRUCTIONS) | STRUCTURE
+FIREWALL = any_case(INSTRUCTIONS | STRUCTURE)
+
+
+def any_of(rules: dict[str, str]) -> str:
+    """One expression that matches where any of the rules does; each keeps its own flags."""
+    return "|".join(f"(?:{r})" for r in rules.values())
 
 
 def hits(text: Column, rules: dict[str, str]) -> Column:
@@ -124,23 +130,42 @@ def hits(text: Column, rules: dict[str, str]) -> Column:
     return F.array_sort(F.array_compact(F.array(*[F.when(text.rlike(r), F.lit(k)) for k, r in rules.items()])))
 
 
+def candidates(text: Column) -> Column:
+    """What may be base64 in the text, by the rule BASE64."""
+    return F.regexp_extract_all(text, F.lit(BASE64), F.lit(1))
+
+
 def decoded(text: Column) -> Column:
-    """What the text's base64 candidates decode to, joined; those that don't decode are left out."""
-    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(BASE64), F.lit(1)), lambda x: F.make_valid_utf8(F.try_to_binary(x, F.lit("base64")).cast("string"))), " ")
+    """What the text's base64 candidates decode to, line by line; those that don't decode are left out,
+    and so are bytes that aren't UTF-8."""
+    return F.array_join(F.transform(candidates(text), lambda x: F.replace(F.make_valid_utf8(F.try_to_binary(x, F.lit("base64")).cast("string")), F.lit("\ufffd"), F.lit(""))), "\n")
+
+
+def hidden_hits(df: DataFrame, text: str, out: str = "hidden") -> DataFrame:
+    """Adds the instructions that the text hides in base64, as ``base64_`` rules. Candidates are decoded once, in a step
+    of their own, and texts without any aren't scanned again."""
+    step = out + "_"
+    found = hits(F.col(step), any_case(INSTRUCTIONS))
+    some = F.when(F.col(step) != "", F.transform(found, lambda k: F.concat(F.lit("base64_"), k)))
+    return df.withColumn(step, decoded(F.col(text))).withColumn(out, F.coalesce(some, F.array().cast("array<string>"))).drop(step)
 
 
 def firewall(df: DataFrame, text: str, rules: dict[str, str] = FIREWALL) -> DataFrame:
     """Adds ``rules`` that match the text, or as ``base64_`` rules the instructions that it hides in base64, ``risk`` (20
     each, at most 100) and ``blocked``."""
-    hidden = F.transform(hits(decoded(F.col(text)), any_case(INSTRUCTIONS)), lambda k: F.concat(F.lit("base64_"), k))
-    found = F.array_sort(F.concat(hits(F.col(text), rules), hidden))
-    df = df.withColumn("rules", found)
+    df = hidden_hits(df, text).withColumn("rules", F.array_sort(F.concat(F.coalesce(hits(F.col(text), rules), F.array().cast("array<string>")), "hidden"))).drop("hidden")
     return df.withColumn("risk", F.least(F.lit(100), 20 * F.size("rules"))).withColumn("blocked", F.size("rules") > 0)
 
 
 def redacted(text: Column, rules: dict[str, str] = FIREWALL) -> Column:
     """The text with a mark for each match, rule by rule."""
-    return reduce(lambda t, r: F.regexp_replace(t, r, REMOVED.replace("[", r"\[")), rules.values(), text)
+    return reduce(lambda t, r: F.regexp_replace(t, r, REMOVED), rules.values(), text)
+
+
+def sanitized(df: DataFrame, text: str, rules: dict[str, str] = FIREWALL) -> DataFrame:
+    """Puts a mark in place of what the rules match and, if a base64 candidate hides an instruction, of all candidates."""
+    clean = redacted(F.col(text), rules)
+    return hidden_hits(df, text).withColumn(text, F.when(F.size("hidden") > 0, F.regexp_replace(clean, BASE64, REMOVED)).otherwise(clean)).drop("hidden")
 
 
 def guard_findings(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -157,20 +182,24 @@ def trusted(df: DataFrame, source: str, classes: DataFrame) -> DataFrame:
 def patch_findings(df: DataFrame, key: str, patch: str) -> DataFrame:
     """``key, rule_id, severity, evidence`` for each match on added lines; evidence has at most 160 characters."""
     found = [_named(patch, k, r) for k, r in PATCH.items()]
-    rows = df.select(key, F.explode(F.flatten(F.array(*found))).alias("f")).select(key, "f.*")
+    some = df.where(F.col(patch).rlike(any_of(PATCH)))  # one look tells most patches to be clean
+    rows = some.select(key, F.explode(F.flatten(F.array(*found))).alias("f")).select(key, "f.*")
     return rows.withColumn("severity", F.when(F.col("rule_id").isin(*WARNINGS), "WARN").otherwise("BLOCK"))
 
 
 def _named(patch: str, name: str, rule: str) -> Column:
-    every = F.regexp_extract_all(patch, F.lit(f"({rule})"), F.lit(1))
+    every = F.when(F.col(patch).rlike(rule), F.regexp_extract_all(patch, F.lit(f"({rule})"), F.lit(1))).otherwise(F.array().cast("array<string>"))
     return F.transform(every, lambda e: F.struct(F.lit(name).alias("rule_id"), F.substring(e, 1, 160).alias("evidence")))
 
 
-def invariants(df: DataFrame, *, files: str, patch: str, max_files: int, forbidden: list[str], imports: list[str]) -> DataFrame:
-    """Adds ``violations``: too many files, files under forbidden prefixes, functions added without docstrings, imports."""
+def invariants(df: DataFrame, *, files: str, patch: str, max_files: int, forbidden: list[str], imports: list[str], frozen: list[str] = (), tests: str | None = None) -> DataFrame:
+    """Adds ``violations``: too many files, files under forbidden or frozen prefixes, changes without a file under
+    ``tests``, functions added without docstrings, imports."""
     checks = [
         F.when(F.size(files) > max_files, "max_files"),
         *[F.when(F.exists(files, lambda f: f.startswith(p)), f"forbidden:{p}") for p in forbidden],
+        *[F.when(F.exists(files, lambda f: f.startswith(p)), f"must_not_modify:{p}") for p in frozen],
+        *([F.when(~F.exists(files, lambda f: f.startswith(tests)), "require_tests")] if tests else []),
         F.when(F.col(patch).contains("+def ") & ~F.col(patch).rlike(r'(?m)^\+\s+"""'), "docstrings"),
         *[F.when(F.col(patch).rlike(rf"(?m)^\+.*\b{i}\b"), f"import:{i}") for i in imports],
     ]
