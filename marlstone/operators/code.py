@@ -51,6 +51,106 @@ def typed_calls(files: DataFrame, builtins: list[str]) -> DataFrame:
     return c.join(alias, ["path", "head"], "left").join(own, ["path", "short"], "left").select("path", "line_no", "caller", "callee", kind.alias("call_type"))
 
 
+def call_sites(files: DataFrame) -> DataFrame:
+    """``path, line_no, caller, class_name, callee``: calls with their function's full name and its class. A call on
+    ``super()`` is one on ``super``; calls above any function have no caller and are left out."""
+    by = Window.partitionBy("path").orderBy("line_no")
+    word, name = F.regexp_extract("line", DEF, 2), F.regexp_extract("line", DEF, 3)
+    unindented = F.when(F.col("line").rlike(r"^(class|def)\s"), F.when(word == "class", name).otherwise(""))
+    rows = lines(files).withColumn("top", F.last(unindented, ignorenulls=True).over(by))
+    owner = F.when(F.col("line").rlike(r"^\s"), F.nullif("top", F.lit("")))
+    rows = rows.withColumn("scope", F.last(F.when(word == "def", F.struct(owner.alias("class_name"), F.concat_ws(".", owner, name).alias("full_name"))), ignorenulls=True).over(by))
+    found = F.regexp_extract_all("line", F.lit(r"((?:super\(\)\.)?[A-Za-z_][\w.]*)\s*\("), F.lit(1))
+    code = rows.where(~F.col("line").rlike(r"^\s*(def|class|import|from)\b") & F.col("scope").isNotNull())
+    calls_ = code.select("path", "line_no", F.col("scope.full_name").alias("caller"), F.col("scope.class_name").alias("class_name"), F.explode(found).alias("callee"))
+    return calls_.withColumn("callee", F.replace("callee", F.lit("super()."), F.lit("super.")))
+
+
+def typed_callees(sites: DataFrame, found: DataFrame, builtins: list[str]) -> DataFrame:
+    """``path, line_no, caller, class_name, callee, target, call_type`` of ``call_sites``, with ``imports``.
+
+    A plain name is the caller itself (recursive), an imported one, a builtin, a method of the class (internal) or
+    unknown. Of a chain, ``self`` and ``cls`` stand for the class, ``super`` for its parent (external), a head for what
+    it was imported as; what is left is external as it stands.
+    """
+    alias = found.where("not star").groupBy("path", F.col("alias").alias("head")).agg(F.max("target").alias("import"))
+    obj, method = F.regexp_extract("callee", r"^(.*)\.[^.]+$", 1), F.element_at(F.split("callee", r"\."), -1)
+    c = sites.withColumn("obj", obj).withColumn("method", method).withColumn("head", F.element_at(F.split("callee", r"\."), 1))
+    c = c.join(alias, ["path", "head"], "left")
+    inner, plain, owned = F.concat_ws(".", "class_name", "method"), F.col("obj") == "", F.col("class_name").isNotNull()
+    kind = lambda t, k: F.struct(t.alias("target"), F.lit(k).alias("call_type"))
+    beyond = F.concat("import", F.expr("substring(callee, length(head) + 1)"))
+    result = (
+        F.when(plain & (F.col("method") == F.element_at(F.split("caller", r"\."), -1)), kind(F.col("caller"), "recursive"))
+        .when(plain & F.col("import").isNotNull(), kind(F.col("import"), "external"))
+        .when(plain & F.col("method").isin(builtins), kind(F.concat(F.lit("builtins."), "method"), "external"))
+        .when(plain & owned, kind(inner, "internal"))
+        .when(plain, kind(F.col("method"), "unknown"))
+        .when(F.col("obj").isin("self", "cls") & owned, kind(inner, "internal"))
+        .when(F.col("obj") == "self", kind(F.col("method"), "unknown"))
+        .when((F.col("obj") == "super") & owned, kind(inner, "external"))
+        .when(F.col("import").isNotNull(), kind(beyond, "external"))
+        .otherwise(kind(F.col("callee"), "external"))
+    )
+    return c.withColumn("r", result).select("path", "line_no", "caller", "class_name", "callee", "r.*")
+
+
+def resolved_calls(typed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``path, line_no, caller, target, call_type, reason``: internal targets must be among the full names ``nodes``, as
+    they are or as a method of the caller's class; else their type is unknown and the reason is given."""
+    known = nodes.select(F.col("full_name").alias("target"), F.lit(True).alias("known")).distinct()
+    again = F.when((F.col("call_type") == "internal") & F.col("class_name").isNotNull(), F.concat_ws(".", "class_name", F.element_at(F.split("target", r"\."), -1)))
+    tried = typed.join(known, "target", "left").withColumn("again", F.when(F.col("known").isNull(), again))
+    tried = tried.join(known.select(F.col("target").alias("again"), F.col("known").alias("known_again")), "again", "left")
+    lost = (F.col("call_type") == "internal") & F.col("known").isNull() & F.col("known_again").isNull()
+    target = F.when(F.col("known_again"), F.col("again")).otherwise(F.col("target"))
+    return tried.select("path", "line_no", "caller", target.alias("target"), F.when(lost, "unknown").otherwise(F.col("call_type")).alias("call_type"), F.when(lost, "callee_not_in_graph").alias("reason"))
+
+
+def resolved_names(found: DataFrame, calls_: DataFrame) -> DataFrame:
+    """``name, resolution, full_name, score``: a short name with one full name is that; of several the one with the most
+    calls (2 for each call of it, and half for each call by or of it) unless the second has calls and is less than 1
+    behind, which is ambiguous."""
+    ends = calls_.select(F.col("target").alias("full_name"), F.lit(2.5).alias("s")).union(calls_.select("caller", F.lit(0.5)))
+    scores = ends.groupBy("full_name").agg(F.sum("s").alias("score"))
+    names = found.select("name", "full_name").distinct().join(scores, "full_name", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    best = Window.partitionBy("name").orderBy(F.desc("score"), "full_name")
+    ranked = names.withColumn("rn", F.row_number().over(best)).where("rn <= 2")
+    top = ranked.groupBy("name").agg(F.max(F.when(F.col("rn") == 1, F.col("full_name"))).alias("one"), F.max(F.when(F.col("rn") == 1, F.col("score"))).alias("score"), F.max(F.when(F.col("rn") == 2, F.col("score"))).alias("second"))
+    close = (F.col("second") > 0) & (F.col("score") - F.col("second") < 1.0)
+    kind = F.when(F.col("second").isNull(), "unique").when(close, "ambiguous").otherwise("graph_scored")
+    return top.select("name", kind.alias("resolution"), F.when(kind != "ambiguous", F.col("one")).alias("full_name"), "score")
+
+
+def import_links(found: DataFrame, modules: DataFrame) -> DataFrame:
+    """``path, target_path``: files whose module, or the last part of whose module, is a part of an import."""
+    names = modules.select(F.col("module").alias("part"), "path").union(modules.select(F.element_at(F.split("module", r"\."), -1), "path")).groupBy("part").agg(F.max("path").alias("target_path"))
+    parts = found.select("path", F.explode(F.array_distinct(F.split("target", r"\."))).alias("part")).distinct()
+    return parts.join(names, "part").where("path <> target_path").select("path", "target_path").distinct()
+
+
+def shared_symbols(found: DataFrame) -> DataFrame:
+    """``path, name, others``: a file's symbols that others define too, and how many do. A symbol of many files costs a
+    row for each of them, never one for each pair."""
+    one = found.select("path", "name").distinct()
+    often = one.groupBy("name").agg((F.count(F.lit(1)) - 1).alias("others")).where("others > 0")
+    return one.join(often, "name").select("path", "name", "others")
+
+
+def trace_impact(files: DataFrame, found: DataFrame) -> DataFrame:
+    """``home, path``: files that mention a name which ``home`` defines and they don't."""
+    return mentions(files, found).join(found.select("name", F.col("path").alias("home")).distinct(), "name").select("home", "path").distinct()
+
+
+def match_ratios(used: DataFrame, known: DataFrame, *, key: str = "path", most: int = 20) -> DataFrame:
+    """``key, total, matched, ratio, unmatched``: distinct symbols that a text uses (``key, name``) and which of them are
+    known (``name``); the first unmatched ones by name are given."""
+    rows = used.select(key, "name").distinct().join(known.select("name", F.lit(True).alias("ok")).distinct(), "name", "left")
+    first = rows.withColumn("rn", F.row_number().over(Window.partitionBy(key, F.col("ok").isNull()).orderBy("name")))
+    lost = F.array_join(F.array_sort(F.collect_list(F.when(F.col("ok").isNull() & (F.col("rn") <= most), F.col("name")))), ",")
+    return first.groupBy(key).agg(F.count(F.lit(1)).alias("total"), F.count("ok").alias("matched"), (F.count("ok") / F.count(F.lit(1))).alias("ratio"), lost.alias("unmatched"))
+
+
 def resolved_imports(found: DataFrame, modules: DataFrame) -> DataFrame:
     """Each import with the module of the longest dotted prefix of its target; null if there is none."""
     parts = F.split("target", r"\.")
@@ -126,6 +226,22 @@ def extracted(files: DataFrame, by_language: dict) -> DataFrame:
     return out
 
 
+def added_symbols(rows: DataFrame, key: str) -> DataFrame:
+    """``key, kind, name`` of the added lines of ``patch_lines``: names imported, defined and called there."""
+    code = rows.where("op = '+'")
+    found = {
+        "imported": F.array(F.regexp_extract("text", r"^\s*(?:from|import)\s+([\w.]+)", 1)),
+        "defined": F.array(F.regexp_extract("text", r"^\s*(?:async\s+)?(?:def|class)\s+(\w+)", 1)),
+        "referenced": F.when(~F.col("text").rlike(r"^\s*(?:async\s+)?(?:def|class)\b"), F.regexp_extract_all("text", F.lit(r"\b([A-Za-z_]\w*)\s*\("), F.lit(1))).otherwise(F.array().cast("array<string>")),
+    }
+    each = F.flatten(F.array(*[F.transform(names, _of_kind(k)) for k, names in found.items()]))
+    return code.select(key, F.explode(each).alias("s")).select(key, "s.*").where("name <> ''").distinct()
+
+
+def _of_kind(kind: str):
+    return lambda n: F.struct(F.lit(kind).alias("kind"), n.alias("name"))
+
+
 def patch_lines(patches: DataFrame, key: str, patch: str) -> DataFrame:
     """``key, file, hunk, op, text``: lines of unified diffs with the file and hunk that they belong to."""
     rows = patches.select(key, F.posexplode(F.split(patch, "\n")).alias("pos", "l"))

@@ -10,8 +10,13 @@ from marlstone.sources.tables import table as t
 c = F.col
 
 
+# a second class, in every other file
+MORE = "\nimport os, sys as system\n\nclass Extra(O@n):\n    @classmethod\n    def make(cls, n):\n        cls.close(n)\n        cls.run(n)\n        system.exit(n)\n        os.path.join(n)\n        super().run(n)\n        missing(n)\n\n    def run(self, n):\n        open(n)\n"
+
+
 def files(s, d):
-    """A module for each order: imports of its customer and parts, a class, and calls of the parts."""
+    """A module for each order: imports of its customer and parts, a class, calls of the parts, and at times a second
+    class of which the order numbered like the customer has the parent."""
     li = t(s, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_set("l_partkey")).alias("parts"))
     o = t(s, d, "orders").join(li, c("o_orderkey") == c("l_orderkey"))
     each = lambda f: F.array_join(F.transform("parts", f), "\n")
@@ -22,12 +27,13 @@ def files(s, d):
         F.lit("\n        self.close(len(n))\n\n    def close(self, n):\n        try:\n            shared_"), c("o_orderkey") % 30,
         F.lit("(n)\n        except:\n            pass\n\ndef shared_"), c("o_orderkey") % 30, F.lit("(x):\n    return shared_"), c("o_orderkey") % 30, F.lit("(x - 1)\n"),
     )
-    return o.select(F.concat(F.lit("m"), c("o_orderkey") % 20, F.lit("/o"), c("o_orderkey"), F.lit(".py")).alias("path"), text.alias("text"))
+    more = F.when(c("o_orderkey") % 2 == 0, F.replace(F.lit(MORE), F.lit("@n"), c("o_custkey").cast("string"))).otherwise("")
+    return o.select(F.concat(F.lit("m"), c("o_orderkey") % 20, F.lit("/o"), c("o_orderkey"), F.lit(".py")).alias("path"), F.concat(text, more).alias("text"))
 
 
-_F = """WITH li AS (SELECT l_orderkey, list_sort(list_distinct(list(l_partkey))) ps FROM lineitem GROUP BY 1), files AS (SELECT 'm' || (o_orderkey % 20) || '/o' || o_orderkey || '.py' path,
+_F = f"""WITH more AS (SELECT '{MORE}' more), """ + """li AS (SELECT l_orderkey, list_sort(list_distinct(list(l_partkey))) ps FROM lineitem GROUP BY 1), files AS (SELECT 'm' || (o_orderkey % 20) || '/o' || o_orderkey || '.py' path,
 'import m' || (o_custkey % 20) || '.c' || o_custkey || ' as cust' || chr(10) || 'from parts import ' || array_to_string(list_transform(ps, lambda p: 'p' || p), ', ') || chr(10) || 'from base import *' || chr(10) || chr(10) || 'class O' || o_orderkey || '(Base):' || chr(10) || '    def run(self, n):' || chr(10)
-|| array_to_string(list_transform(ps, lambda p: '        p' || p || '(n)'), chr(10)) || chr(10) || '        self.close(len(n))' || chr(10) || chr(10) || '    def close(self, n):' || chr(10) || '        try:' || chr(10) || '            shared_' || (o_orderkey % 30) || '(n)' || chr(10) || '        except:' || chr(10) || '            pass' || chr(10) || chr(10) || 'def shared_' || (o_orderkey % 30) || '(x):' || chr(10) || '    return shared_' || (o_orderkey % 30) || '(x - 1)' || chr(10) text, o_orderkey, o_custkey FROM orders JOIN li ON o_orderkey = l_orderkey),
+|| array_to_string(list_transform(ps, lambda p: '        p' || p || '(n)'), chr(10)) || chr(10) || '        self.close(len(n))' || chr(10) || chr(10) || '    def close(self, n):' || chr(10) || '        try:' || chr(10) || '            shared_' || (o_orderkey % 30) || '(n)' || chr(10) || '        except:' || chr(10) || '            pass' || chr(10) || chr(10) || 'def shared_' || (o_orderkey % 30) || '(x):' || chr(10) || '    return shared_' || (o_orderkey % 30) || '(x - 1)' || chr(10) || CASE WHEN o_orderkey % 2 = 0 THEN replace((SELECT more FROM more), '@n', o_custkey::VARCHAR) ELSE '' END text, o_orderkey, o_custkey FROM orders JOIN li ON o_orderkey = l_orderkey),
 lines AS (SELECT path, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) line_no FROM files),
 sym0 AS (SELECT path, line_no, length(regexp_extract(line, '^(\\s*)(class|def)\\s+([A-Za-z_]\\w*)', 1)) indent, regexp_extract(line, '^(\\s*)(class|def)\\s+([A-Za-z_]\\w*)', 2) word, regexp_extract(line, '^(\\s*)(class|def)\\s+([A-Za-z_]\\w*)', 3) name FROM lines WHERE regexp_matches(line, '^(\\s*)(class|def)\\s+([A-Za-z_]\\w*)')),
 sym1 AS (SELECT *, last_value(CASE WHEN indent = 0 THEN CASE WHEN word = 'class' THEN name ELSE '' END END IGNORE NULLS) OVER (PARTITION BY path ORDER BY line_no) own FROM sym0),
@@ -47,6 +53,20 @@ def modules(s, d):
 
 _MOD = "mods AS (SELECT replace(regexp_replace(path, '\\.py$', ''), '/', '.') module, path file FROM files UNION ALL SELECT 'm' || (c_custkey % 20) || '.c' || c_custkey, 'cust/' || c_custkey FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT 'm' || r_regionkey, 'pkg/' || r_regionkey FROM region)"
 
+def resolved(s, d):
+    f = files(s, d)
+    typed = C.typed_callees(C.call_sites(f), C.imports(f), BUILTINS)
+    return typed, C.resolved_calls(typed, C.symbols(f))
+
+
+def used_names(s, d):
+    return C.calls(files(s, d)).select("path", F.element_at(F.split("callee", r"\."), -1).alias("name"))
+
+
+def _patches(s, d):
+    return C.patch_lines(files(s, d).select("path", F.concat(F.lit("+++ b/x\n@@ -1 +1 @@\n+"), F.regexp_replace("text", "\n", "\n+")).alias("patch")), "path", "patch")
+
+
 QUERIES = {
     "C1_symbols": lambda s, d: C.symbols(files(s, d)),
     "C3_exact_symbols": lambda s, d: C.python_symbols(files(s, d)).select("path", "name", "kind", c("line_no").cast("int").alias("line_no")),
@@ -60,12 +80,33 @@ QUERIES = {
     "D2_call_types": lambda s, d: C.typed_calls(files(s, d), BUILTINS),
     "D5_prefix_imports": lambda s, d: C.resolved_imports(C.imports(files(s, d)).where("not star").select("path", "target").distinct(), modules(s, d)),
     "D6_suffix_imports": lambda s, d: C.suffix_imports(C.imports(files(s, d)).where("alias = 'cust'").select("path", F.regexp_extract("target", r"([^.]+)$", 1).alias("target")), modules(s, d)),
-    "D8_mentions": lambda s, d: C.mentions(files(s, d), C.symbols(files(s, d).where("path like 'm0/%'")).where("kind = 'function'")).groupBy("name").agg(F.count(F.lit(1)).alias("n")),
+    "D8_mentions": lambda s, d: C.mentions(files(s, d), C.symbols(files(s, d))).groupBy("name").agg(F.count(F.lit(1)).alias("n")),
     "D10_unknown": lambda s, d: C.imports(files(s, d)).where("alias = 'cust'").join(modules(s, d).select(c("module").alias("target")), "target", "left_anti").select("path", "target"),
     "E4_shared_imports": lambda s, d: C.imports(files(s, d)).groupBy("target").agg(F.count_distinct("path").alias("n")).where("n >= 3"),
     "E20_corpus_totals": lambda s, d: files(s, d).agg(F.count(F.lit(1)).alias("files"), F.sum(F.size(F.split("text", "\n")) - 1).alias("lines"), F.sum(F.octet_length("text")).alias("bytes")),
-    "F10_short_names": lambda s, d: C.symbols(files(s, d)).select("name", "full_name").distinct().groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("full_name").alias("one")).select("name", F.when(c("n") == 1, "unique").otherwise("ambiguous").alias("resolution"), F.when(c("n") == 1, c("one")).alias("full_name")),
+    "C14_added_symbols": lambda s, d: C.added_symbols(_patches(s, d), "path").groupBy("kind", "name").agg(F.count(F.lit(1)).alias("n")),
+    "D2_resolution": lambda s, d: resolved(s, d)[1],
+    "D3_callees": lambda s, d: resolved(s, d)[0].drop("class_name"),
+    "D7_imports": lambda s, d: C.import_links(C.imports(files(s, d)).where("not star"), modules(s, d)),
+    "D7_shared": lambda s, d: C.shared_symbols(C.symbols(files(s, d))).groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.max("others").alias("most")),
+    "D9_impact": lambda s, d: C.trace_impact(files(s, d), C.symbols(files(s, d))).groupBy("home").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("first")),
+    "D11_match_ratio": lambda s, d: C.match_ratios(used_names(s, d), C.symbols(files(s, d)).select("name")).withColumn("ratio", F.round("ratio", 3)),
+    "F10_short_names": lambda s, d: C.resolved_names(C.symbols(files(s, d)), resolved(s, d)[1]),
 }
+_TYPED = _F + r""", tops AS (SELECT path, line_no, line, last_value(CASE WHEN regexp_matches(line, '^(class|def)\s') THEN CASE WHEN line LIKE 'class%' THEN regexp_extract(line, '^class\s+([A-Za-z_]\w*)', 1) ELSE '' END END IGNORE NULLS) OVER (PARTITION BY path ORDER BY line_no) top FROM lines),
+scopes AS (SELECT *, last_value(CASE WHEN regexp_matches(line, '^\s*def\s+[A-Za-z_]') THEN {'c': CASE WHEN regexp_matches(line, '^\s') THEN nullif(top, '') END, 'n': regexp_extract(line, '^\s*def\s+([A-Za-z_]\w*)', 1)} END IGNORE NULLS) OVER (PARTITION BY path ORDER BY line_no) scope FROM tops),
+sites AS (SELECT path, line_no::INTEGER line_no, concat_ws('.', scope.c, scope.n) caller, scope.c class_name, replace(unnest(regexp_extract_all(line, '((?:super\(\)\.)?[A-Za-z_][\w.]*)\s*\(', 1)), 'super().', 'super.') callee FROM scopes WHERE scope IS NOT NULL AND NOT regexp_matches(line, '^\s*(def|class|import|from)\b')),
+alias AS (SELECT path, alias head, max(target) imp FROM imports WHERE NOT star GROUP BY ALL),
+parts AS (SELECT s.*, string_split(callee, '.')[1] head, string_split(callee, '.')[-1] method, regexp_extract(callee, '^(.*)\.[^.]+$', 1) obj, imp FROM sites s LEFT JOIN alias a ON a.path = s.path AND a.head = string_split(s.callee, '.')[1]),
+typed AS (SELECT path, line_no, caller, class_name, callee,
+  CASE WHEN obj = '' THEN CASE WHEN method = string_split(caller, '.')[-1] THEN caller WHEN imp IS NOT NULL THEN imp WHEN method IN ('len', 'print', 'range', 'open') THEN 'builtins.' || method ELSE concat_ws('.', class_name, method) END
+       WHEN obj IN ('self', 'cls', 'super') AND class_name IS NOT NULL THEN class_name || '.' || method WHEN obj = 'self' THEN method WHEN imp IS NOT NULL THEN imp || substr(callee, length(head) + 1) ELSE callee END target,
+  CASE WHEN obj = '' THEN CASE WHEN method = string_split(caller, '.')[-1] THEN 'recursive' WHEN imp IS NOT NULL OR method IN ('len', 'print', 'range', 'open') THEN 'external' WHEN class_name IS NOT NULL THEN 'internal' ELSE 'unknown' END
+       WHEN obj IN ('self', 'cls') AND class_name IS NOT NULL THEN 'internal' WHEN obj = 'self' THEN 'unknown' ELSE 'external' END call_type FROM parts)
+"""
+_RESOLVED = _TYPED + """, nodes AS (SELECT DISTINCT full_name FROM symbols), resolved AS (SELECT path, line_no, caller, target, CASE WHEN call_type = 'internal' AND target NOT IN (SELECT full_name FROM nodes) THEN 'unknown' ELSE call_type END call_type, CASE WHEN call_type = 'internal' AND target NOT IN (SELECT full_name FROM nodes) THEN 'callee_not_in_graph' END reason FROM typed)
+"""
+
 ORACLES = {
     "C1_symbols": _F + "SELECT * FROM symbols",
     "C3_exact_symbols": _F + "SELECT path, name, kind, line_no FROM symbols",
@@ -79,9 +120,22 @@ ORACLES = {
     "D2_call_types": _F + ", k AS (SELECT *, string_split(callee, '.')[-1] short, string_split(callee, '.')[1] head FROM calls) SELECT path, line_no, caller, callee, CASE WHEN short = caller THEN 'recursive' WHEN EXISTS (SELECT 1 FROM imports i WHERE i.path = k.path AND i.alias = head) THEN 'external' WHEN short IN ('len', 'print', 'range', 'open') THEN 'builtin' WHEN EXISTS (SELECT 1 FROM symbols y WHERE y.path = k.path AND y.name = short) THEN 'internal' ELSE 'unknown' END call_type FROM k",
     "D5_prefix_imports": _F + f", {_MOD} SELECT i.path, target, arg_max(file, length(module)) file FROM (SELECT DISTINCT path, target FROM imports WHERE NOT star) i LEFT JOIN mods ON target = module OR starts_with(target, module || '.') GROUP BY ALL",
     "D6_suffix_imports": _F + f", {_MOD}, i AS (SELECT path, string_split(target, '.')[-1] target FROM imports WHERE alias = 'cust') SELECT i.path, target, min(file) file FROM i JOIN mods ON string_split(module, '.')[-1] = target GROUP BY ALL",
-    "D8_mentions": _F + ", tok AS (SELECT DISTINCT path, unnest(regexp_extract_all(text, '[A-Za-z_]\\w*')) name FROM files), f AS (SELECT DISTINCT name, path FROM symbols WHERE kind = 'function' AND path LIKE 'm0/%') SELECT name, count(*) n FROM tok WHERE name IN (SELECT name FROM f) AND (name, path) NOT IN (SELECT name, path FROM f) GROUP BY 1",
+    "D8_mentions": _F + ", tok AS (SELECT DISTINCT path, unnest(regexp_extract_all(text, '[A-Za-z_]\\w*')) name FROM files), f AS (SELECT DISTINCT name, path FROM symbols) SELECT name, count(*) n FROM tok WHERE name IN (SELECT name FROM f) AND (name, path) NOT IN (SELECT name, path FROM f) GROUP BY 1",
     "D10_unknown": _F + f", {_MOD} SELECT path, target FROM imports WHERE alias = 'cust' AND target NOT IN (SELECT module FROM mods)",
     "E4_shared_imports": _F + "SELECT target, count(DISTINCT path) n FROM imports GROUP BY 1 HAVING count(DISTINCT path) >= 3",
     "E20_corpus_totals": _F + "SELECT count(*) files, sum(len(string_split(text, chr(10))) - 1)::BIGINT \"lines\", sum(strlen(text))::BIGINT bytes FROM files",
-    "F10_short_names": _F + "SELECT name, CASE WHEN count(DISTINCT full_name) = 1 THEN 'unique' ELSE 'ambiguous' END resolution, CASE WHEN count(DISTINCT full_name) = 1 THEN min(full_name) END full_name FROM symbols GROUP BY 1",
+    "C14_added_symbols": _F + """, added AS (SELECT DISTINCT path, 'imported' kind, regexp_extract(line, '^\\s*(?:from|import)\\s+([\\w.]+)', 1) name FROM lines
+  UNION SELECT path, 'defined', regexp_extract(line, '^\\s*(?:async\\s+)?(?:def|class)\\s+(\\w+)', 1) FROM lines
+  UNION SELECT path, 'referenced', unnest(regexp_extract_all(line, '\\b([A-Za-z_]\\w*)\\s*\\(', 1)) FROM lines WHERE NOT regexp_matches(line, '^\\s*(?:async\\s+)?(?:def|class)\\b'))
+SELECT kind, name, count(*) n FROM added WHERE name <> '' GROUP BY ALL""",
+    "D3_callees": _TYPED + "SELECT path, line_no, caller, callee, target, call_type FROM typed",
+    "D2_resolution": _RESOLVED + "SELECT * FROM resolved",
+    "D7_imports": _F + f", {_MOD}, names AS (SELECT part, max(file) file FROM (SELECT module part, file FROM mods UNION ALL SELECT string_split(module, '.')[-1], file FROM mods) GROUP BY 1), parts AS (SELECT DISTINCT path, unnest(string_split(target, '.')) part FROM imports WHERE NOT star) SELECT DISTINCT path, file target_path FROM parts JOIN names USING (part) WHERE path <> file",
+    "D7_shared": _F + ", one AS (SELECT DISTINCT path, name FROM symbols), o AS (SELECT name, count(*) - 1 others FROM one GROUP BY 1) SELECT path, count(*) n, max(others) most FROM one JOIN o USING (name) WHERE others > 0 GROUP BY 1",
+    "D9_impact": _F + ", tok AS (SELECT DISTINCT path, unnest(regexp_extract_all(text, '[A-Za-z_]\\w*')) name FROM files), f AS (SELECT DISTINCT name, path FROM symbols), hit AS (SELECT DISTINCT f.path home, tok.path FROM tok JOIN f USING (name) WHERE (tok.name, tok.path) NOT IN (SELECT name, path FROM f)) SELECT home, count(*) n, min(path) AS first FROM hit GROUP BY 1",
+    "D11_match_ratio": _F + ", u AS (SELECT DISTINCT path, string_split(callee, '.')[-1] name FROM calls), k AS (SELECT *, name IN (SELECT name FROM symbols) ok FROM u) SELECT path, count(*) total, count(*) FILTER (ok) matched, round(count(*) FILTER (ok) / count(*), 3) ratio, coalesce(array_to_string((list(name ORDER BY name) FILTER (NOT ok))[1:20], ','), '') unmatched FROM k GROUP BY 1",
+    "F10_short_names": _RESOLVED + """, ends AS (SELECT target full_name, 2.5 s FROM resolved UNION ALL SELECT caller, 0.5 FROM resolved), scores AS (SELECT full_name, sum(s)::DOUBLE score FROM ends GROUP BY 1),
+n AS (SELECT DISTINCT name, full_name FROM symbols), r AS (SELECT name, full_name, coalesce(score, 0) score, row_number() OVER (PARTITION BY name ORDER BY coalesce(score, 0) DESC, full_name) rn FROM n LEFT JOIN scores USING (full_name)),
+t AS (SELECT name, max(full_name) FILTER (rn = 1) one, max(score) FILTER (rn = 1) score, max(score) FILTER (rn = 2) "second" FROM r GROUP BY 1), k AS (SELECT *, CASE WHEN "second" IS NULL THEN 'unique' WHEN "second" > 0 AND score - "second" < 1 THEN 'ambiguous' ELSE 'graph_scored' END resolution FROM t)
+SELECT name, resolution, CASE WHEN resolution <> 'ambiguous' THEN one END full_name, score FROM k""",
 }
