@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.functions.text import entropy, ladder, merged_state, with_field_score
+
 c = F.col
 
 
@@ -69,3 +71,36 @@ def trace_audit(listed: DataFrame, present: DataFrame, tracked: DataFrame, ignor
     rows = listed.select(path).distinct().join(marked(present, "present"), path, "left").join(marked(above, "tracked"), path, "left").join(marked(ignored, "ignored"), path, "left")
     rows = rows.na.fill(False, ["present", "tracked", "ignored"]).where("present or tracked")
     return rows.withColumn("severity", F.when(c("tracked") | ~c("ignored"), "error").otherwise("info"))
+
+
+# fixed values: least structure, most disorder and least freshness of the states, from the best on
+STRUCTURE_STATES = {"STABLE": 0.8, "WEAK": 0.5, "UNSTABLE": 0.2}
+DISORDER_STATES = {"STABLE": 0.1, "WEAK": 0.3, "UNSTABLE": 0.6}
+PULSE_STATES = {"STABLE": 0.9, "WEAK": 0.7, "UNSTABLE": 0.4}
+
+
+def verify_corpus(files: DataFrame, stale: DataFrame, drift: DataFrame, *, group: str, first: int = 5) -> DataFrame:
+    """``group, s, c, p, score, state, verdict`` of each group of ``files`` (group, file, broken).
+
+    s is the share of files that aren't broken, p that of files that aren't stale (``stale``: group, file), c the
+    entropy of the characters of the drifted symbols' names (``drift``: group, file, symbol) of the first files by
+    name, in eighths of a byte, or without any the share of drifted files. The worst of their states is the score's;
+    an unstable one heals to weak. A group without broken and stale files whose score is stable is sealed.
+    """
+    total = files.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.count_if("broken").alias("n_broken"))
+    old = stale.groupBy(group).agg(F.count_distinct("file").alias("n_stale"))
+    few = drift.select(group, "file").distinct().withColumn("rn", F.row_number().over(Window.partitionBy(group).orderBy("file"))).where(c("rn") <= first)
+    names = drift.join(few.select(group, "file"), [group, "file"], "left_semi").groupBy(group).agg(F.array_join(F.array_sort(F.collect_list("symbol")), " ").alias("names"))
+    h = entropy(names, group, "names")
+    moved = drift.groupBy(group).agg(F.count_distinct("file").alias("n_moved"))
+    rows = total.join(old, group, "left").join(moved, group, "left").join(h, group, "left").na.fill(0, ["n_stale", "n_moved"])
+    unit = lambda x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
+    rows = rows.withColumns({"s": unit(1 - c("n_broken") / c("n")), "c": unit(F.coalesce(c("entropy") / 8, c("n_moved") / c("n"))), "p": unit(1 - c("n_stale") / c("n"))})
+
+    def state(x: str, least: dict[str, float], up: bool) -> Column:
+        return ladder(*[((c(x) >= v) if up else (c(x) <= v), k) for k, v in least.items()], otherwise=F.lit("DEGENERATE"))
+
+    worst = merged_state(merged_state(state("s", STRUCTURE_STATES, True), state("c", DISORDER_STATES, False)), state("p", PULSE_STATES, True))
+    scored = with_field_score(rows.withColumn("state", F.when(worst == "UNSTABLE", "WEAK").otherwise(worst)), "s", "c", "p", "score")
+    sealed = (c("state") == "STABLE") & (c("n_broken") == 0) & (c("n_stale") == 0)
+    return scored.select(group, "s", "c", "p", "score", "state", F.when(sealed, "SEALED_STABLE").when(c("state") == "WEAK", "WEAK").otherwise("DEGENERATE").alias("verdict"))

@@ -1,4 +1,4 @@
-"""Queries on manifests, stores, context selection and note vaults, over documents, pages, events, orders and parts."""
+"""Queries on manifests, stores, write guards and path aliases, over documents, events, orders, line items and parts."""
 
 from __future__ import annotations
 
@@ -22,24 +22,6 @@ def manifests(s, d):
 _M = "WITH docs AS (SELECT doc_id, source, sha256(text) sha256, n_chars FROM documents), o AS (SELECT * FROM docs WHERE doc_id % 10 <> 3), n AS (SELECT doc_id, source, CASE WHEN doc_id % 7 = 0 THEN reverse(sha256) ELSE sha256 END sha256, n_chars FROM docs WHERE doc_id % 11 <> 5) "
 
 
-def notes(s, d):
-    """Pages as notes of which each link word is a wikilink; the stem is the address's last part."""
-    p = t(s, d, "pages")
-    link = F.array_distinct(F.regexp_extract_all("html", F.lit('href="/([^"]*)"'), F.lit(1)))
-    return p.select("page_id", F.regexp_extract("url", r"^https?://([^./]+)", 1).alias("stem"), link.alias("links"), F.length("html").alias("size"))
-
-
-_N = "WITH notes AS (SELECT page_id, regexp_extract(url, '^https?://([^./]+)', 1) stem, list_distinct(regexp_extract_all(html, 'href=\"/([^\"]*)\"', 1)) links, length(html) size FROM pages), links AS (SELECT page_id, stem, unnest(links) target FROM notes) "
-
-
-def links(s, d):
-    return notes(s, d).select("page_id", "stem", F.explode("links").alias("target"))
-
-
-def ids(s, d):
-    return links(s, d).select("page_id", "stem", X.entity_id(c("target")).alias("target"))
-
-
 def impacts(s, d):
     """Line items as impact rows: the order is the target, the part the symbol, the discount its score."""
     return t(s, d, "lineitem").groupBy(c("l_orderkey").alias("target"), c("l_partkey").alias("symbol")).agg((F.max("l_discount") * 10).alias("score"))
@@ -57,33 +39,80 @@ def records(s, d):
 PATHS = [("working", "episodic", False), ("episodic", "experience", False), ("human_knowledge", "semantic", True)]
 
 
-def _buckets(s, d):
-    first = F.row_number().over(Window.partitionBy("target").orderBy(F.desc("score"), "symbol"))
-    bucket = X.ladder(((c("score") >= 0.85) & (first == 1), "primary"), (c("score") >= 0.6, "direct"), (c("score") >= 0.35, "indirect"), otherwise=F.lit("ignored"))
-    return impacts(s, d).withColumn("bucket", bucket).select("target", "symbol", "bucket")
+def changed(s, d):
+    """Line items as changed files of orders; some leave the workspace, on the way or for good."""
+    start = F.element_at(F.array(*[F.lit(x) for x in STARTS]), (c("l_suppkey") % len(STARTS) + 1).cast("int"))
+    return t(s, d, "lineitem").select(c("l_orderkey").alias("change"), F.concat(start, F.lit("p"), "l_partkey", F.lit(".py")).alias("path"), "l_returnflag", "l_linestatus")
+
 
+STARTS = ["src/", "src/../../", "a/../src/", "", "../a/", "/etc/", "./a/b/../../../"]
+_CH = f"SELECT l_orderkey change, ({STARTS})[l_suppkey % {len(STARTS)} + 1] || 'p' || l_partkey || '.py' path, l_returnflag, l_linestatus FROM lineitem"
+_OUT = f"({[x.startswith('/') or x in ('src/../../', '../a/', './a/b/../../../') for x in STARTS]})"
+
+
+def added(s, d):
+    """Added files of orders: parts by name, with or without a suffix of digits; what is selected are other items."""
+    end = F.element_at(F.array(*[F.lit(x) for x in ENDS]), (c("l_suppkey") % len(ENDS) + 1).cast("int"))
+    rows = t(s, d, "lineitem")
+    name = F.concat(F.lit("p"), c("l_partkey") % 40)
+    chosen = rows.where("l_returnflag <> 'R'").select(c("l_orderkey").alias("change"), F.concat(name, F.when(c("l_linenumber") % 2 == 0, ".py").otherwise("")).alias("path"))
+    return rows.select(c("l_orderkey").alias("change"), F.concat(name, end).alias("path")), chosen
+
+
+ENDS = [".py", "_ab12cd.py", "_ab12c.py", "_AB12CD.py"]
+
+
+RIGHTS = [("system", "working"), ("system", "episodic"), ("system", "human_knowledge"), ("user", "working")]
+
+
+def record_params(s, d):
+    """Events as new records: users are memories, k gives versions and hashes; errors come from the user."""
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    layer = F.element_at(F.array(*[F.lit(x) for x in ("working", "episodic", "human_knowledge")]), (c("user_id") % 3 + 1).cast("int"))
+    return t(s, d, "events").select("event_id", c("user_id").alias("memory_id"), layer.alias("layer"), F.when(c("event_type") == "error", "user").otherwise("system").alias("role"), (k % 7).alias("version"), F.floor(k / 3).alias("hash"))
 
-def _sampled(s, d):
-    """Ten chunks of each user's events; of each every second row, and the first and last rows."""
-    w = Window.partitionBy("user_id")
-    e = t(s, d, "events").withColumn("i", F.row_number().over(w.orderBy("ts", "event_id")) - 1).withColumn("n", F.count(F.lit(1)).over(w))
-    size = F.greatest(F.lit(1), F.floor(c("n") / 10))
-    return e.where((F.pmod(F.pmod(c("i"), size), F.lit(2)) == 0) | (c("i") == 0) | (c("i") == c("n") - 1)).select("event_id", F.floor(c("i") / size).alias("chunk"))
 
+def topics(s, d):
+    return t(s, d, "events").select(F.concat_ws(":", "user_id", "event_type").alias("topic"), "event_id", (F.get_json_object("props", "$.k").cast("bigint") % 25 == 0).alias("forced"))
 
-def _selection(s, d):
-    """For each customer the files to show for a bug fix: own orders at 1.0, their parts at 0.8, at most 15."""
-    o, li = t(s, d, "orders"), t(s, d, "lineitem")
-    own = o.select(c("o_custkey").alias("task"), F.concat(F.lit("o"), "o_orderkey").alias("file"), F.lit(1.0).alias("weight"))
-    dep = o.join(li, c("o_orderkey") == c("l_orderkey")).select(c("o_custkey").alias("task"), F.concat(F.lit("p"), "l_partkey").alias("file"), F.lit(0.8).alias("weight"))
-    best = own.unionByName(dep).groupBy("task", "file").agg(F.max("weight").alias("weight"))
-    return M.capped_by_group(best, "task", 15, F.desc("weight"), c("file")).select("task", "file", "weight")
+
+def proposals(s, d):
+    """Documents as proposed notes: some lack a replay or the note itself."""
+    return t(s, d, "documents").select(c("doc_id").alias("proposal_id"), c("source").alias("trace_id"), F.when(c("doc_id") % 8 != 0, c("lang")).alias("replay_id"), F.sha2("text", 256).alias("hash"), F.trim(F.substring("text", 1, 20)).alias("note"))
+
+
+def _gate(s, d):
+    li = changed(s, d).groupBy(c("change").alias("commit")).agg(F.array_sort(F.collect_list(F.regexp_replace("path", r"^(src/\.\./\.\.|/etc|\./a/b/\.\./\.\./\.\.)/", "src/"))).alias("files"))
+    o = t(s, d, "orders")
+    commits = o.select(c("o_orderkey").alias("commit"), F.when(c("o_orderstatus") == "P", "REJECTED").otherwise("APPROVED").alias("verdict")).join(li, "commit")
+    log = o.select(c("o_orderkey").alias("commit"), F.lit("PENDING").alias("status"), c("o_orderkey").alias("ts")).union(o.where("o_totalprice > 20000").select("o_orderkey", F.when(c("o_custkey") % 10 == 0, "DENIED").otherwise("APPROVED"), c("o_orderkey") + 1))
+    return M.commit_gate(commits, log, most=6)
+
+
+def paths(s, d):
+    """Parts as files under folders of their brand and type."""
+    return t(s, d, "part").select("p_partkey", F.concat_ws("/", F.regexp_replace("p_brand", "#", "_"), "p_type", F.concat(F.regexp_replace("p_name", " ", "_"), F.lit(".py"))).alias("path"))
+
+
+_PATHS = "paths AS (SELECT p_partkey, replace(p_brand, '#', '_') || '/' || p_type || '/' || replace(p_name, ' ', '_') || '.py' path FROM part)"
 
 
 def _prefixes(s, d):
-    """Folder names of parts that at least three share, the longest first, with an alias each."""
-    p = t(s, d, "part").groupBy(F.concat("p_brand", F.lit("/")).alias("prefix")).agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
-    return p.withColumn("alias", F.concat(F.lit("@"), F.row_number().over(Window.orderBy(F.desc(F.length("prefix")), "prefix")) - 1, F.lit("/")))
+    """Folders that at least three files share, the longest first, with an alias each."""
+    p = M.folders(paths(s, d), "path").groupBy("prefix").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
+    return M.numbered(p, F.desc(F.length("prefix")), c("prefix"), name="at").select("prefix", "n", F.concat(F.lit("@"), "at", F.lit("/")).alias("alias"))
+
+
+def _aliased(s, d):
+    """Aliases on paths, on the folders above them and on both ends of edges between parts that follow each other."""
+    p = paths(s, d).select(c("p_partkey").alias("id"), "path")
+    two = p.join(p.select((c("id") - 1).alias("id"), c("path").alias("next")), "id")
+    rows = p.select("id", F.lit("path").alias("kind"), "path").union(p.select("id", F.lit("parent"), F.regexp_replace("path", "[^/]+$", ""))).union(two.select("id", F.lit("src"), "path")).union(two.select("id", F.lit("dst"), "next"))
+    return M.aliased(rows, ["id", "kind"], "path", _prefixes(s, d))
+
+
+def _sources(s, d):
+    return t(s, d, "documents").select("source", F.size(F.filter(F.split("text", "\n"), lambda x: x.contains(":"))).alias("symbols"), X.code_lines(c("text")).alias("lines"))
 
 
 QUERIES = {
@@ -92,52 +121,24 @@ QUERIES = {
     "D17_freshness": lambda s, d: M.freshness(*manifests(s, d), "doc_id", "sha256", "source"),
     "D18_drift": lambda s, d: M.set_drift(t(s, d, "events").where("event_type = 'view'").select("user_id", F.hour("ts").alias("h")), t(s, d, "events").where("event_type = 'click'").select("user_id", F.hour("ts").alias("h")), "user_id", "h"),
     "D25_snapshot": lambda s, d: M.stale_snapshot(*[m.withColumn("mtime", c("n_chars") * F.when(F.substring("sha256", 1, 1) < "4", 1.5).otherwise(1.0)) for m in manifests(s, d)], "doc_id", "mtime", "n_chars", c("doc_id") % 40),
-    "D12_unauthorized": lambda s, d: t(s, d, "lineitem").select("l_partkey", "l_suppkey").distinct().join(t(s, d, "part").where("p_size > 10").select(c("p_partkey").alias("l_partkey")), "l_partkey", "left_anti"),
-    "D14_allowance": lambda s, d: t(s, d, "part").select("p_partkey", F.regexp_replace(F.concat("p_name", F.lit("_ab12cd.py")), r"_[a-f0-9]{6}\.py$", ".py").alias("clean")),
     "D22_subgraph": lambda s, d: t(s, d, "lineitem").select("l_orderkey", "l_partkey").distinct().join(t(s, d, "orders").where("o_totalprice > 100000").select(c("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi").join(t(s, d, "part").where("p_size < 20").select(c("p_partkey").alias("l_partkey")), "l_partkey", "left_semi"),
-    "D23_commit_gate": lambda s, d: t(s, d, "orders").join(t(s, d, "lineitem").groupBy(c("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("files"), F.bool_or(c("l_returnflag") == "R").alias("bad")), "o_orderkey").select("o_orderkey", ((c("o_orderstatus") == "F") & ~c("bad") & (c("files") <= 20)).alias("allowed")),
-    "E5_prefixes": _prefixes,
     "E7_savings": lambda s, d: t(s, d, "documents").groupBy("source").agg(F.sum(F.octet_length("text")).alias("before"), F.sum(F.octet_length(F.regexp_replace("text", r"\s+", " "))).alias("after")).withColumn("saved", F.round(100 * (1 - c("after") / c("before")), 4)),
-    "E14_vault_counts": lambda s, d: notes(s, d).groupBy(F.element_at(F.array(*[F.lit(x) for x in ("Executions", "Failures", "Decisions", "Entities", "Concepts")]), (c("page_id") % 5 + 1).cast("int")).alias("note_dir")).agg(F.count(F.lit(1)).alias("n")),
-    "E15_vault_quality": lambda s, d: notes(s, d).agg(F.count(F.lit(1)).alias("notes"), F.round(100 * (1 - F.count_distinct("stem") / F.count(F.lit(1))), 2).alias("duplicate_pct"), F.round(F.sum(F.size("links")) / F.count(F.lit(1)), 2).alias("density"), F.round(100 * F.avg((c("size") < 20).cast("int")), 2).alias("empty_pct")),
-    "C11_wikilinks": links,
-    "C12_candidates": lambda s, d: ids(s, d).select("target").distinct().join(notes(s, d).select(X.entity_id(c("stem")).alias("target")), "target", "left_anti"),
-    "D19_broken_links": lambda s, d: links(s, d).join(notes(s, d).select(c("stem").alias("target")), "target", "left_anti").groupBy("page_id").agg(F.count(F.lit(1)).alias("broken")),
-    "D19_orphans": lambda s, d: notes(s, d).select("stem").distinct().join(links(s, d).select(c("target").alias("stem")), "stem", "left_anti"),
     "F1_best_scores": lambda s, d: M.capped_by_group(impacts(s, d), "target", 3, F.desc("score"), c("symbol")).select("target", "symbol"),
-    "I1_selection": _selection,
-    "I2_buckets": _buckets,
-    "I3_targets": lambda s, d: _buckets(s, d).groupBy("target").pivot("bucket", ["primary", "direct", "indirect", "ignored"]).count().na.fill(0),
+    "D12_unauthorized": lambda s, d: M.unauthorized(changed(s, d), changed(s, d).where("l_returnflag = 'R' or l_linestatus = 'F'"), "change", "path"),
+    "D14_allowance": lambda s, d: M.allowances(*added(s, d), "change", "path"),
+    "D23_commit_gate": _gate,
+    "E5_prefixes": _prefixes,
+    "I6_collapse": lambda s, d: _sources(s, d).groupBy("source").agg(F.count_if((c("symbols") == 0) & (c("lines") < 10)).alias("collapsed"), F.count_if((c("symbols") == 0) & (c("lines") < 30)).alias("collapsed_aggressive"), F.count(F.lit(1)).alias("files")),
+    "I7_aliases": _aliased,
+    "K9_records": lambda s, d: M.create_records(record_params(s, d), s.createDataFrame(RIGHTS, "role string, layer string"), limit=500),
+    "K11_recall": lambda s, d: M.upserts(topics(s, d), "topic", "event_id", "forced"),
+    "K13_sync_gate": lambda s, d: M.sync_gate(proposals(s, d), t(s, d, "labels").where("quality = 1 and toxic = 0").select(c("doc_id").alias("proposal_id"))),
     "I5_dictionary": lambda s, d: t(s, d, "lineitem").join(t(s, d, "lineitem").groupBy("l_partkey").agg(F.count_distinct("l_orderkey").alias("n")).where("n >= 3"), "l_partkey", "left").groupBy("l_orderkey").agg(F.count("n").alias("refs"), F.count_if(c("n").isNull()).alias("residual")),
-    "I6_collapse": lambda s, d: t(s, d, "documents").groupBy(F.when(X.code_lines(c("text")) < 10, "collapsed").otherwise("kept").alias("how")).agg(F.count(F.lit(1)).alias("n")),
-    "I7_aliases": lambda s, d: t(s, d, "part").join(_prefixes(s, d), F.concat("p_brand", F.lit("/")) == c("prefix")).select("p_partkey", F.concat("alias", "p_name").alias("path")),
-    "I9_safety_rules": lambda s, d: impacts(s, d).groupBy("target").agg(F.count_if(c("score") > 0.5).alias("n")).select("target", F.array_join(F.array_compact(F.array(F.when(c("n") > 3, "check all callers"), F.when(c("n") > 0, "keep the signature"))), "; ").alias("rules")),
-    "I10_sampling": _sampled,
-    "I11_output_check": lambda s, d: t(s, d, "events").select("event_id", F.size(F.array_except(F.json_object_keys("props"), F.array(F.lit("name")))).alias("extra"), (F.length("props") > 9).alias("too_long")),
-    "K1_merged_notes": lambda s, d: notes(s, d).groupBy(X.entity_id(c("stem")).alias("entity")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")),
-    "K2_registry": lambda s, d: ids(s, d).groupBy("target").agg(F.min("page_id").alias("first_note")),
-    "K3_duplicates": lambda s, d: ids(s, d).select("target").distinct().join(notes(s, d).select(X.entity_id(c("stem")).alias("target")), "target", "left_semi"),
-    "K4_link_repair": lambda s, d: notes(s, d).select("page_id", F.array_join(F.array_sort(F.array_distinct(F.transform("links", lambda x: F.concat(F.lit("[["), X.entity_id(x), F.lit("]]"))))), " ").alias("text")),
-    "K5_backlinks": lambda s, d: links(s, d).groupBy("target").agg(F.array_join(F.array_sort(F.collect_set("stem")), ",").alias("sources")),
-    "K6_index": lambda s, d: notes(s, d).groupBy("stem").agg(F.count(F.lit(1)).alias("n"), F.max("page_id").alias("latest")),
-    "K7_rendered": lambda s, d: notes(s, d).select("page_id", F.format_string("# %s\n\nLinks: %d\nSize: %d\n", "stem", F.size("links"), "size").alias("text")),
     "K10_promotion": lambda s, d: M.promote(records(s, d), s.createDataFrame(PATHS, "layer string, target string, needs_approval boolean"), t(s, d, "events").where("event_type = 'purchase'").select(c("event_id").alias("memory_id"))),
-    "K11_recall": lambda s, d: t(s, d, "events").groupBy("user_id", "event_type").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id")),
-    "K13_sync_gate": lambda s, d: t(s, d, "labels").where("quality = 1 and toxic = 0").select("doc_id").join(t(s, d, "documents").select("doc_id", "source"), "doc_id").groupBy("source").agg(F.count(F.lit(1)).alias("accepted")),
 }
 
-_ID = "CASE WHEN {e} = '' THEN 'entity' ELSE {e} END"
-
-
-def _entity(x):
-    """Entity ids of single words, which the link words are."""
-    e = f"trim(regexp_replace(lower(regexp_replace({x}, '[|#][\\s\\S]*$', '')), '[^a-z0-9]+', '_', 'g'), '_')"
-    u = f"array_to_string(list_transform(list_filter(list_transform(string_split({e}, '_'), lambda w, i: {{'w': w, 'i': i}}), lambda z: z.w <> '' AND list_position(string_split({e}, '_'), z.w) = z.i), lambda z: z.w), '_')"
-    return _ID.format(e=u)
-
-
-_B = _I + ", r AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY score DESC, symbol) k FROM imp), b AS (SELECT target, symbol, CASE WHEN score >= 0.85::DOUBLE AND k = 1 THEN 'primary' WHEN score >= 0.6::DOUBLE THEN 'direct' WHEN score >= 0.35::DOUBLE THEN 'indirect' ELSE 'ignored' END bucket FROM r) "
-_P = "SELECT *, '@' || (row_number() OVER (ORDER BY length(prefix) DESC, prefix) - 1) || '/' alias FROM (SELECT p_brand || '/' prefix, count(*) n FROM part GROUP BY 1 HAVING count(*) >= 3)"
+_P = f"WITH {_PATHS}, folders AS (SELECT p_partkey, unnest(list_transform(range(1, 3), lambda n: array_to_string(string_split(path, '/')[1:n], '/') || '/')) prefix FROM paths), pre AS (SELECT prefix, n, '@' || (row_number() OVER (ORDER BY length(prefix) DESC, prefix) - 1) || '/' AS alias FROM (SELECT prefix, count(*) n FROM folders GROUP BY 1 HAVING count(*) >= 3))"
+_K9 = "SELECT event_id, user_id memory_id, (['working', 'episodic', 'human_knowledge'])[user_id % 3 + 1] \"layer\", CASE WHEN event_type = 'error' THEN 'user' ELSE 'system' END \"role\", k % 7 \"version\", k // 3 hash FROM (SELECT *, json_extract_string(props, '$.k')::BIGINT k FROM events)"
 
 ORACLES = {
     "D15_manifest_diff": _M + "SELECT coalesce(o.doc_id, n.doc_id) doc_id, CASE WHEN o.doc_id IS NULL THEN 'added' WHEN n.doc_id IS NULL THEN 'removed' ELSE 'changed' END change FROM o FULL JOIN n USING (doc_id) WHERE o.sha256 IS DISTINCT FROM n.sha256",
@@ -145,36 +146,24 @@ ORACLES = {
     "D17_freshness": _M + "SELECT o.source, count(*) n, count(*) FILTER (n.doc_id IS NULL) missing, count(*) FILTER (n.sha256 IS DISTINCT FROM o.sha256) stale, round(count(*) FILTER (n.sha256 IS DISTINCT FROM o.sha256) / count(*), 6) ratio FROM o LEFT JOIN n USING (doc_id) GROUP BY 1",
     "D18_drift": "WITH a AS (SELECT DISTINCT user_id, hour(ts) h FROM events WHERE event_type = 'view'), b AS (SELECT DISTINCT user_id, hour(ts) h FROM events WHERE event_type = 'click') SELECT user_id, count(*) FILTER (b.h IS NULL) only_a, count(*) FILTER (a.h IS NULL) only_b FROM a FULL JOIN b USING (user_id, h) GROUP BY 1",
     "D25_snapshot": _M + ", j AS (SELECT coalesce(o.doc_id, n.doc_id) doc_id, coalesce(abs(o.n_chars * CASE WHEN o.sha256 < '4' THEN 1.5 ELSE 1 END - n.n_chars * CASE WHEN n.sha256 < '4' THEN 1.5 ELSE 1 END) <= 0.01 AND o.n_chars = n.n_chars, false) same FROM o FULL JOIN n USING (doc_id)) SELECT doc_id % 40 grp, NOT bool_and(same) stale, count(*) FILTER (NOT same) n_changed FROM j GROUP BY 1",
-    "D12_unauthorized": "SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 10)",
-    "D14_allowance": "SELECT p_partkey, p_name || '.py' clean FROM part",
     "D22_subgraph": "SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_totalprice > 100000) AND l_partkey IN (SELECT p_partkey FROM part WHERE p_size < 20)",
-    "D23_commit_gate": "SELECT o_orderkey, o_orderstatus = 'F' AND NOT bad AND files <= 20 allowed FROM orders JOIN (SELECT l_orderkey, count(*) files, bool_or(l_returnflag = 'R') bad FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey",
-    "E5_prefixes": _P,
     "E7_savings": "WITH x AS (SELECT source, sum(strlen(text))::BIGINT \"before\", sum(strlen(regexp_replace(text, '\\s+', ' ', 'g')))::BIGINT \"after\" FROM documents GROUP BY 1) SELECT *, round(100 * (1 - \"after\" / \"before\"), 4) saved FROM x",
-    "E14_vault_counts": "SELECT (['Executions', 'Failures', 'Decisions', 'Entities', 'Concepts'])[page_id % 5 + 1] note_dir, count(*) n FROM pages GROUP BY 1",
-    "E15_vault_quality": _N + "SELECT count(*) notes, round(100 * (1 - count(DISTINCT stem) / count(*)), 2) duplicate_pct, round(sum(len(links)) / count(*), 2) density, round(100 * avg((size < 20)::INTEGER), 2) empty_pct FROM notes",
-    "C11_wikilinks": _N + "SELECT * FROM links",
-    "C12_candidates": _N + f"SELECT DISTINCT {_entity('target')} target FROM links EXCEPT SELECT {_entity('stem')} FROM notes",
-    "D19_broken_links": _N + "SELECT page_id, count(*) broken FROM links WHERE target NOT IN (SELECT stem FROM notes) GROUP BY 1",
-    "D19_orphans": _N + "SELECT DISTINCT stem FROM notes WHERE stem NOT IN (SELECT target FROM links)",
     "F1_best_scores": _I + "SELECT target, symbol FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY score DESC, symbol) k FROM imp) WHERE k <= 3",
-    "I1_selection": "WITH x AS (SELECT o_custkey task, 'o' || o_orderkey file, 1.0 weight FROM orders UNION ALL SELECT o_custkey, 'p' || l_partkey, 0.8 FROM orders JOIN lineitem ON o_orderkey = l_orderkey), y AS (SELECT task, file, max(weight)::DOUBLE weight FROM x GROUP BY ALL) SELECT task, file, weight FROM (SELECT *, row_number() OVER (PARTITION BY task ORDER BY weight DESC, file) k FROM y) WHERE k <= 15",
-    "I2_buckets": _B + "SELECT * FROM b",
-    "I3_targets": _B + "SELECT target, " + ", ".join(f"count(*) FILTER (bucket = '{k}') \"{k}\"" for k in ("primary", "direct", "indirect", "ignored")) + " FROM b GROUP BY 1",
+    "D12_unauthorized": f"WITH ch AS ({_CH}), u AS (SELECT DISTINCT change, path FROM ch), k AS (SELECT DISTINCT change, path FROM ch WHERE l_returnflag = 'R' OR l_linestatus = 'F'), o AS (SELECT change, path, CASE WHEN " + " OR ".join(f"starts_with(path, '{x}p')" for x in STARTS if x.startswith("/") or x in ("src/../../", "../a/", "./a/b/../../../")) + " THEN 'outside_workspace' WHEN (change, path) NOT IN (SELECT change, path FROM k) THEN 'not_selected' END violation FROM u) SELECT * FROM o WHERE violation IS NOT NULL",
+    "D14_allowance": f"WITH x AS (SELECT *, 'p' || (l_partkey % 40) name FROM lineitem), a AS (SELECT DISTINCT l_orderkey change, name || ({ENDS})[l_suppkey % {len(ENDS)} + 1] path FROM x), k AS (SELECT DISTINCT l_orderkey change, name || CASE WHEN l_linenumber % 2 = 0 THEN '.py' ELSE '' END path FROM x WHERE l_returnflag <> 'R') SELECT change, path, EXISTS (SELECT 1 FROM k WHERE k.change = a.change AND k.path IN (a.path, regexp_replace(a.path, '_[a-f0-9]{{6}}\\.py$', '.py'), regexp_replace(a.path, '_[a-f0-9]{{6}}\\.py$', ''))) allowed FROM a",
+    "D23_commit_gate": f"WITH ch AS ({_CH}), f AS (SELECT change, count(*) n, bool_or(starts_with(path, '../a/')) out FROM ch GROUP BY 1) SELECT o_orderkey AS commit, CASE WHEN o_orderstatus = 'P' THEN 'verdict' WHEN n > 6 THEN 'too_many_files' WHEN out THEN 'outside_workspace' WHEN o_totalprice <= 20000 OR o_custkey % 10 = 0 THEN 'approval' END reason FROM orders JOIN f ON change = o_orderkey",
+    "E5_prefixes": _P + " SELECT * FROM pre",
+    "I6_collapse": "WITH x AS (SELECT source, len(list_filter(string_split(text, chr(10)), lambda x: contains(x, ':'))) k, len(list_filter(list_transform(CASE WHEN text = '' THEN [] ELSE string_split(regexp_replace(text, '\\n$', ''), chr(10)) END, lambda x: trim(x)), lambda x: x <> '' AND x NOT LIKE '#%')) n FROM documents) SELECT source, count(*) FILTER (k = 0 AND n < 10) collapsed, count(*) FILTER (k = 0 AND n < 30) collapsed_aggressive, count(*) files FROM x GROUP BY 1",
+    "I7_aliases": _P + """, r AS (SELECT p_partkey id, 'path' kind, path FROM paths UNION ALL SELECT p_partkey, 'parent', regexp_replace(path, '[^/]+$', '') FROM paths UNION ALL SELECT a.p_partkey, 'src', a.path FROM paths a JOIN paths b ON b.p_partkey = a.p_partkey + 1 UNION ALL SELECT a.p_partkey, 'dst', b.path FROM paths a JOIN paths b ON b.p_partkey = a.p_partkey + 1),
+m AS (SELECT id, kind, r.path, arg_max(prefix, length(prefix)) prefix, arg_max(alias, length(prefix)) AS alias FROM r LEFT JOIN pre ON starts_with(r.path, prefix) GROUP BY ALL) SELECT id, kind, CASE WHEN prefix IS NULL THEN path ELSE alias || substr(path, length(prefix) + 1) END path FROM m""",
+    "K9_records": f"""WITH RECURSIVE p AS ({_K9}), o AS (SELECT *, row_number() OVER (PARTITION BY memory_id ORDER BY event_id) i FROM p WHERE "role" = 'system' OR "layer" = 'working'),
+r AS (SELECT event_id, memory_id, "layer", i, true ok, ["version"] vs, [hash] hs FROM o WHERE i = 1 UNION ALL
+  SELECT o.event_id, o.memory_id, o."layer", o.i, NOT (list_contains(vs, o."version") OR list_contains(hs, o.hash)), CASE WHEN list_contains(vs, o."version") OR list_contains(hs, o.hash) THEN vs ELSE list_append(vs, o."version") END, CASE WHEN list_contains(vs, o."version") OR list_contains(hs, o.hash) THEN hs ELSE list_append(hs, o.hash) END
+  FROM r JOIN o ON o.memory_id = r.memory_id AND o.i = r.i + 1),
+k AS (SELECT event_id, ok, count(*) FILTER (ok) OVER (PARTITION BY "layer" ORDER BY event_id DESC) n FROM r)
+SELECT event_id, CASE WHEN k.ok IS NULL THEN 'FORBIDDEN' WHEN NOT k.ok THEN 'CONFLICT' WHEN n <= 500 THEN 'ACTIVE' ELSE 'ARCHIVED' END status FROM p LEFT JOIN k USING (event_id)""",
+    "K11_recall": "WITH x AS (SELECT user_id || ':' || event_type topic, event_id, json_extract_string(props, '$.k')::BIGINT % 25 = 0 forced, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) i FROM events) SELECT topic, coalesce(max(event_id) FILTER (forced), min(event_id)) current, count(*) FILTER (NOT forced AND i > 1) conflicts FROM x GROUP BY 1",
+    "K13_sync_gate": "WITH x AS (SELECT doc_id proposal_id, CASE WHEN doc_id % 8 = 0 OR coalesce(source, '') = '' OR coalesce(lang, '') = '' OR coalesce(trim(left(text, 20)), '') = '' THEN 'INVALID' WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 0) THEN 'SYNCED' ELSE 'WAITING' END status FROM documents) SELECT proposal_id, status, CASE WHEN status = 'SYNCED' THEN 'evt_' || proposal_id END event_id FROM x",
     "I5_dictionary": "WITH s AS (SELECT l_partkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_orderkey) >= 3) SELECT l_orderkey, count(s.l_partkey) refs, count(*) FILTER (s.l_partkey IS NULL) residual FROM lineitem l LEFT JOIN s USING (l_partkey) GROUP BY 1",
-    "I6_collapse": "SELECT CASE WHEN len(list_filter(list_transform(CASE WHEN text = '' THEN [] ELSE string_split(regexp_replace(text, '\\n$', ''), chr(10)) END, lambda x: trim(x)), lambda x: x <> '' AND x NOT LIKE '#%')) < 10 THEN 'collapsed' ELSE 'kept' END how, count(*) n FROM documents GROUP BY 1",
-    "I7_aliases": f"SELECT p_partkey, alias || p_name path FROM part JOIN ({_P}) ON p_brand || '/' = prefix",
-    "I9_safety_rules": _I + ", g AS (SELECT target, count(*) FILTER (score > 0.5::DOUBLE) n FROM imp GROUP BY 1) SELECT target, CASE WHEN n > 3 THEN 'check all callers; keep the signature' WHEN n > 0 THEN 'keep the signature' ELSE '' END rules FROM g",
-    "I10_sampling": "WITH e AS (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 i, count(*) OVER (PARTITION BY user_id) n FROM events), z AS (SELECT *, greatest(1, n // 10) size FROM e) SELECT event_id, i // size chunk FROM z WHERE (i % size) % 2 = 0 OR i = 0 OR i = n - 1",
-    "I11_output_check": "SELECT event_id, len(list_filter(json_keys(props), lambda x: x <> 'name'))::INTEGER extra, length(props) > 9 too_long FROM events",
-    "K1_merged_notes": _N + f"SELECT {_entity('stem')} entity, count(*) n, sum(size)::BIGINT size FROM notes GROUP BY 1",
-    "K2_registry": _N + f"SELECT {_entity('target')} target, min(page_id) first_note FROM links GROUP BY 1",
-    "K3_duplicates": _N + f"SELECT DISTINCT {_entity('target')} target FROM links INTERSECT SELECT {_entity('stem')} FROM notes",
-    "K4_link_repair": _N + f"SELECT n.page_id, coalesce((SELECT string_agg(DISTINCT '[[' || {_entity('l.target')} || ']]', ' ' ORDER BY '[[' || {_entity('l.target')} || ']]') FROM links l WHERE l.page_id = n.page_id), '') text FROM notes n",
-    "K5_backlinks": _N + "SELECT target, string_agg(DISTINCT stem, ',' ORDER BY stem) sources FROM links GROUP BY 1",
-    "K6_index": _N + "SELECT stem, count(*) n, max(page_id) latest FROM notes GROUP BY 1",
-    "K7_rendered": _N + "SELECT page_id, '# ' || stem || chr(10) || chr(10) || 'Links: ' || len(links) || chr(10) || 'Size: ' || size || chr(10) text FROM notes",
     "K10_promotion": "WITH r AS (SELECT event_id memory_id, (['working', 'episodic', 'human_knowledge'])[user_id % 3 + 1] \"layer\", (['episodic', 'experience', 'semantic'])[(user_id + trunc(value)::INTEGER % 2) % 3 + 1] target, event_id % 4 \"version\", event_type FROM events) SELECT memory_id, target \"layer\", \"version\" + 1 \"version\" FROM r WHERE (\"layer\", target) IN (('working', 'episodic'), ('episodic', 'experience')) OR (\"layer\" = 'human_knowledge' AND target = 'semantic' AND event_type = 'purchase')",
-    "K11_recall": "SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) event_id FROM events GROUP BY ALL",
-    "K13_sync_gate": "SELECT source, count(*) accepted FROM labels JOIN documents USING (doc_id) WHERE quality = 1 AND toxic = 0 GROUP BY 1",
 }

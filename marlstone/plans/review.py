@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marlstone.operators import review as R
+from marlstone.plans.text import field_sql
 from marlstone.sources.tables import table as t
 
 c = F.col
@@ -51,7 +52,19 @@ def _traces(s, d):
     return R.trace_audit(part.where("p_size < 25").select(name), li.where("l_returnflag = 'R'").select(F.concat(F.lit("p"), "l_partkey").alias("path")), tracked.select(F.concat(F.lit("p"), "l_partkey", F.lit("/f"), "l_suppkey").alias("path")), part.where("p_type = 'PROMO'").select(name))
 
 
+def _corpus(s, d):
+    """Documents by source: unbalanced brackets are broken files, the new manifest tells stale and drifted ones."""
+    docs = t(s, d, "documents")
+    broken = F.length(F.regexp_replace("text", r"[^(]", "")) != F.length(F.regexp_replace("text", r"[^)]", ""))
+    files = docs.select("source", c("doc_id").alias("file"), broken.alias("broken"))
+    stale = docs.where("doc_id % 11 = 5 or doc_id % 7 = 0").select("source", c("doc_id").alias("file"))
+    names = F.array(F.concat(F.lit("added_"), "doc_id"), F.concat(F.lit("removed_"), F.substring(F.sha2("text", 256), 1, 6)))
+    drift = docs.where("doc_id % 7 = 0 and source <> 'web'").select("source", c("doc_id").alias("file"), F.explode(names).alias("symbol"))
+    return R.verify_corpus(files, stale, drift, group="source").select("source", *[F.round(x, 6).alias(x) for x in ("s", "c", "p", "score")], "state", "verdict")
+
+
 QUERIES = {
+    "J12_corpus": _corpus,
     "D13_permission": lambda s, d: R.permission(changes(s, d), changes(s, d).where("l_discount >= 0.03"), SUFFIXES),
     "C16_validation_tasks": lambda s, d: R.validation_tasks(changes(s, d), KINDS),
     "E21_project_type": _types,
@@ -61,7 +74,18 @@ QUERIES = {
     "J13_trace_audit": _traces,
 }
 
+_SYMBOLS = "SELECT source, doc_id, unnest(['added_' || doc_id, 'removed_' || left(sha256(text), 6)]) symbol FROM documents WHERE doc_id % 7 = 0 AND source <> 'web'"
+_LEVEL = lambda x, a, b, e, up: "CASE " + " ".join(f"WHEN {x} {'>=' if up else '<='} {v}::DOUBLE THEN {k}" for k, v in ((0, a), (2, b), (5, e))) + " ELSE 6 END"
+
 ORACLES = {
+    "J12_corpus": f"""WITH f AS (SELECT source, count(*) n, count(*) FILTER (length(regexp_replace(text, '[^(]', '', 'g')) <> length(regexp_replace(text, '[^)]', '', 'g'))) bad, count(*) FILTER (doc_id % 11 = 5 OR doc_id % 7 = 0) old FROM documents GROUP BY 1),
+y AS ({_SYMBOLS}), few AS (SELECT * FROM (SELECT source, doc_id, dense_rank() OVER (PARTITION BY source ORDER BY doc_id) k FROM (SELECT DISTINCT source, doc_id FROM y)) WHERE k <= 5),
+names AS (SELECT source, string_agg(symbol, ' ' ORDER BY symbol) txt FROM y JOIN few USING (source, doc_id) GROUP BY 1), ch AS (SELECT source, ch, count(*) k FROM (SELECT source, unnest(string_split(txt, '')) ch FROM names) GROUP BY ALL),
+h AS (SELECT source, log2(sum(k)) - sum(k * log2(k)) / sum(k) h FROM ch GROUP BY 1), mv AS (SELECT source, count(DISTINCT doc_id) m FROM y GROUP BY 1),
+v AS (SELECT f.source, bad, old, 1 - bad / n v0, least(1.0, greatest(0.0, coalesce(h / 8, coalesce(m, 0) / n)))::DOUBLE v1, 1 - old / n v2 FROM f LEFT JOIN h ON h.source IS NOT DISTINCT FROM f.source LEFT JOIN mv ON mv.source IS NOT DISTINCT FROM f.source),
+w AS (SELECT *, greatest({_LEVEL('v0', 0.8, 0.5, 0.2, True)}, {_LEVEL('v1', 0.1, 0.3, 0.6, False)}, {_LEVEL('v2', 0.9, 0.7, 0.4, True)}) lv FROM v),
+z AS ({field_sql("SELECT source, v0, v1, v2 FROM w", "source")})
+SELECT source, round(v0, 6) s, round(v1, 6) c, round(v2, 6) p, round(score, 6) score, CASE lv WHEN 0 THEN 'STABLE' WHEN 6 THEN 'DEGENERATE' ELSE 'WEAK' END state, CASE WHEN lv = 0 AND bad = 0 AND old = 0 THEN 'SEALED_STABLE' WHEN lv IN (2, 5) THEN 'WEAK' ELSE 'DEGENERATE' END verdict FROM w JOIN z USING (source)""",
     "D13_permission": _C + """, inside AS (SELECT DISTINCT change, path FROM changes WHERE l_discount >= 0.03), files AS (SELECT DISTINCT change, path FROM changes)
 SELECT change, sum((files.path NOT LIKE '%.py')::BIGINT + (i.path IS NULL AND NOT (files.path LIKE 'tests/test\\_%.py' ESCAPE '\\'))::BIGINT)::BIGINT violations, violations = 0 allowed FROM files LEFT JOIN inside i USING (change, path) GROUP BY change""",
     "C16_validation_tasks": _C + """, kinds AS (SELECT * FROM (VALUES ('unit', 1), ('integration', 2), ('regression', 3)) k(kind, priority)), tasks AS (SELECT change, priority, kind || ':' || path task_id FROM (SELECT DISTINCT change, path FROM changes), kinds)

@@ -71,12 +71,16 @@ def _arith(s, d):
     return x.select(*_K, *[F.round(f"{op}.value", 6).alias(op) for op in ("add", "sub", "mul", "div")], c("add.state").alias("state"), c("div.state").alias("div_state"), c("div.heal_count").alias("heal_count"))
 
 
-def _field_sql():
-    q = "SELECT l_orderkey, l_linenumber, l_discount * 10 v0, l_tax * 10 v1, l_quantity / 50 v2 FROM lineitem"
+def field_sql(q: str, keys: str) -> str:
+    """The field score of the columns v0, v1 and v2 of a query."""
     for _ in range(5):
-        q = "SELECT l_orderkey, l_linenumber, " + ", ".join(" + ".join(f"{m}::DOUBLE * v{j}" for j, m in enumerate(r)) + f" v{i}" for i, r in enumerate(X.FIELD)) + f" FROM ({q})"
-        q = "SELECT l_orderkey, l_linenumber, " + ", ".join(f"v{i} / CASE WHEN greatest(v0, v1, v2) > 0 THEN greatest(v0, v1, v2) ELSE 1 END v{i}" for i in range(3)) + f" FROM ({q})"
-    return f"SELECT l_orderkey, l_linenumber, round(0.6::DOUBLE * v0 + 0.2::DOUBLE * v1 + 0.2::DOUBLE * v2, 6) score FROM ({q})"
+        q = f"SELECT {keys}, " + ", ".join(" + ".join(f"{m}::DOUBLE * v{j}" for j, m in enumerate(r)) + f" v{i}" for i, r in enumerate(X.FIELD)) + f" FROM ({q})"
+        q = f"SELECT {keys}, " + ", ".join(f"v{i} / CASE WHEN greatest(v0, v1, v2) > 0 THEN greatest(v0, v1, v2) ELSE 1 END v{i}" for i in range(3)) + f" FROM ({q})"
+    return f"SELECT {keys}, 0.6::DOUBLE * v0 + 0.2::DOUBLE * v1 + 0.2::DOUBLE * v2 score FROM ({q})"
+
+
+def _field_sql():
+    return f"SELECT l_orderkey, l_linenumber, round(score, 6) score FROM ({field_sql('SELECT l_orderkey, l_linenumber, l_discount * 10 v0, l_tax * 10 v1, l_quantity / 50 v2 FROM lineitem', 'l_orderkey, l_linenumber')})"
 
 
 def _ent(s, d):
