@@ -1,10 +1,17 @@
-"""Fingerprints, similarity and search in DataFrame functions."""
+"""Fingerprints, similarity and search. Searches of a stated set of queries against all rows go by tiles: a block of
+queries and a shard of rows, both of bounded size, in one Arrow group that returns each query's best alone."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows in a shard and queries in a block.
+SHARD, BLOCK = 8192, 512
+
 
 def word_counts(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, F.explode(F.split(F.lower(text), r"\s+")).alias("word")).where("word <> ''").groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"))
@@ -46,31 +53,142 @@ def similarity(d: Column) -> Column:
     return 100.0 * (1 - d / 128)
 
 
+def tiles(queries: DataFrame, index: DataFrame, find: Callable, schema: str) -> DataFrame:
+    """``find(queries, rows)`` of every block of queries and shard of rows, as Arrow tables. ``queries`` has ``query``,
+    ``index`` has ``id``; rows of one id, and of one query, stay together."""
+    import pyarrow as pa
+
+    shards, blocks = (max(1, -(-df.count() // size)) for df, size in ((index, SHARD), (queries, BLOCK)))
+    deal = lambda c, n: F.pmod(F.xxhash64(c, F.lit(11)), F.lit(n)).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = queries.withColumn("_block", deal("query", blocks)).withColumn("_shard", spread(shards))
+    held = index.withColumn("_shard", deal("id", shards)).withColumn("_block", spread(blocks))
+
+    def run(q: pa.Table, rows: pa.Table) -> pa.Table:
+        return find(q.combine_chunks(), rows.combine_chunks())
+
+    return asked.groupBy("_block", "_shard").cogroup(held.groupBy("_block", "_shard")).applyInArrow(run, schema)
+
+
+def _column(table, name: str):
+    """A column as one Arrow array."""
+    import pyarrow as pa
+
+    chunks = table[name].chunks
+    return pa.concat_arrays(chunks) if chunks else pa.array([], table.schema.field(name).type)
+
+
+def _differing(q, rows):
+    """Bits in which fingerprints differ, queries by rows."""
+    import numpy as np
+
+    bits = lambda t, c: _column(t, c).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    return sum(np.bitwise_count(bits(q, c)[:, None] ^ bits(rows, c)[None, :]).astype(np.int16) for c in ("fp_hi", "fp_lo"))
+
+
+def _best(scores: DataFrame, k: int, *by: Column) -> DataFrame:
+    return scores.withColumn("rn", F.row_number().over(Window.partitionBy("query").orderBy(*by, "id"))).where(F.col("rn") <= k).drop("rn")
+
+
+def _id_type(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
+
+
 def nearest(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
-    """``query, id, distance``: the k nearest fingerprints of each query, ties by id. Queries are a stated, small set."""
-    pairs = index.alias("i").join(F.broadcast(queries.alias("q")), F.col("q.query") != F.col("i.id")).select("q.query", "i.id", distance("q", "i").alias("distance"))
-    return pairs.withColumn("rn", F.row_number().over(Window.partitionBy("query").orderBy("distance", "id"))).where(F.col("rn") <= k).drop("rn")
+    """``query, id, distance``: the k nearest other fingerprints of each query, ties by id."""
+
+    def find(q, rows):
+        import numpy as np
+        import pyarrow as pa
+
+        ids, asked = _column(rows, "id").to_numpy(zero_copy_only=False), _column(q, "query").to_numpy(zero_copy_only=False)
+        out: list[tuple] = []
+        for key, far in zip(asked, _differing(q, rows), strict=True):
+            near = np.lexsort((ids, far))[: k + 1]
+            out += [(key, ids[i], int(far[i])) for i in near if ids[i] != key][:k]
+        cols = list(zip(*out, strict=True)) or [(), (), ()]
+        types = [q.schema.field("query").type, rows.schema.field("id").type, pa.int32()]
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("query", "id", "distance"), cols, types, strict=True)})
+
+    found = tiles(queries.select("query", "fp_hi", "fp_lo"), index.select("id", "fp_hi", "fp_lo"), find, f"query {_id_type(queries, 'query')}, id {_id_type(index, 'id')}, distance int")
+    return _best(found, k, F.col("distance"))
 
 
 def hybrid(queries: DataFrame, index: DataFrame, k: int, threshold: float) -> DataFrame:
-    """Fingerprint similarity for 60 % and shared words for 40 %; both sides have ``fp_hi, fp_lo, words``."""
-    shared = 100.0 * F.size(F.array_intersect("q.words", "i.words")) / F.size("q.words")
-    pairs = index.alias("i").join(F.broadcast(queries.alias("q"))).select("q.query", "i.id", F.round(0.6 * similarity(distance("q", "i")) + 0.4 * shared, 6).alias("score")).where(F.col("score") >= threshold)
-    return pairs.withColumn("rn", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))).where(F.col("rn") <= k).drop("rn")
+    """``query, id, score``: fingerprint similarity for 60 % and shared words for 40 %; both sides have ``fp_hi, fp_lo,
+    words``. The k best of at least ``threshold``, ties by id."""
+
+    def find(q, rows):
+        import numpy as np
+        import pyarrow as pa
+
+        words = [set(x) for x in _column(q, "words").to_pylist()]
+        who: dict[str, list[int]] = {}
+        for i, some in enumerate(words):
+            for w in some:
+                who.setdefault(w, []).append(i)
+        shared = np.zeros((len(words), len(rows)))
+        for j, some in enumerate(_column(rows, "words").to_pylist()):
+            for w in set(some).intersection(who):
+                shared[who[w], j] += 1
+        sizes = np.maximum([len(x) for x in words], 1)[:, None]
+        score = np.round(0.6 * (100.0 * (1 - _differing(q, rows) / 128)) + 0.4 * (100.0 * shared / sizes), 6)
+        ids, asked = _column(rows, "id").to_numpy(zero_copy_only=False), _column(q, "query").to_numpy(zero_copy_only=False)
+        out: list[tuple] = []
+        for key, s in zip(asked, score, strict=True):
+            out += [(key, ids[i], float(s[i])) for i in np.lexsort((ids, -s))[:k] if s[i] >= threshold]
+        cols = list(zip(*out, strict=True)) or [(), (), ()]
+        types = [q.schema.field("query").type, rows.schema.field("id").type, pa.float64()]
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("query", "id", "score"), cols, types, strict=True)})
+
+    need = ["fp_hi", "fp_lo", "words"]
+    found = tiles(queries.select("query", *need), index.select("id", *need), find, f"query {_id_type(queries, 'query')}, id {_id_type(index, 'id')}, score double")
+    return _best(found, k, F.desc("score"))
 
 
 def near_pairs(index: DataFrame, within: int = 3) -> DataFrame:
     """``a, b, distance`` of distinct fingerprints' first ids at most ``within`` (up to 7) bits apart.
 
-    Of eight bands of 16 bits such a pair shares one; equal fingerprints are one before the join.
+    A fingerprint has two halves of four bands of 16 bits. At most ``within`` bands differ, so at least (8 - within) / 2
+    bands of one half agree: the keys are all choices of so many bands of a half, 48 bits for three differing bits, which
+    unlike texts hardly ever share. Equal fingerprints are one before the join.
     """
     one = index.groupBy("fp_hi", "fp_lo").agg(F.min("id").alias("id"))
-    bands = F.array(*[F.struct(F.lit(4 * i + j).alias("band"), F.shiftrightunsigned(c, 16 * j).bitwiseAND(0xFFFF).alias("bits")) for i, c in enumerate(("fp_hi", "fp_lo")) for j in range(4)])
+    band = lambda c, j: F.shiftrightunsigned(c, 16 * j).bitwiseAND(0xFFFF)
+    keys = [(c, some) for c in ("fp_hi", "fp_lo") for some in combinations(range(4), -(-(8 - within) // 2))]
+    bands = F.array(*[F.struct(F.lit(i).alias("band"), F.xxhash64(*[band(c, j) for j in some]).alias("bits")) for i, (c, some) in enumerate(keys)])
     x = one.select("id", "fp_hi", "fp_lo", F.explode(bands).alias("b")).select("id", "fp_hi", "fp_lo", "b.*")
     d = distance("l", "r")
     return x.alias("l").join(x.alias("r"), F.expr("l.band = r.band and l.bits = r.bits and l.id < r.id")).where(d <= within).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), d.alias("distance")).distinct()
 
 
+def aura_weights(counts: DataFrame, aura: DataFrame, key: str, scale: int = 10_000) -> DataFrame:
+    """``key, word, n`` with weights for ``simhash128``: whole ten-thousandths. ``aura`` has ``key, s, c``: words of over
+    five letters weigh (1 + 0.2 s), those of under four (1 - 0.3 c)."""
+    factor = F.when(F.length("word") > 5, 1 + 0.2 * F.col("s")).when(F.length("word") < 4, 1 - 0.3 * F.col("c")).otherwise(1.0)
+    return counts.join(aura, key).select(key, "word", F.col("n").alias("times"), (F.col("n") * F.round(factor * scale).cast("bigint")).alias("n"))
+
+
+def confidences(weights: DataFrame, aura: DataFrame, key: str, scale: int = 10_000) -> DataFrame:
+    """``key, confidence, state``: half the mean weight of a text's words, at most 1; WEAK if that mean is under 0.5,
+    SLEEPING without words, DEGENERATE with 0 where ``aura``'s ``state`` is."""
+    mean = F.sum("n") / F.sum("times") / scale
+    by = weights.groupBy(key).agg(mean.alias("mean"))
+    bad = F.col("state") == "DEGENERATE"
+    rows = aura.select(key, "state").join(by, key, "left")
+    state = F.when(bad, "DEGENERATE").when(F.col("mean").isNull(), "SLEEPING").when(F.col("mean") < 0.5, "WEAK").otherwise("STABLE")
+    return rows.select(key, F.when(bad | F.col("mean").isNull(), 0.0).otherwise(F.least(F.col("mean"), F.lit(2.0)) / 2).alias("confidence"), state.alias("state"))
+
+
+def term_overlap(files: DataFrame, terms: list[str]) -> DataFrame:
+    """``path, score``: how many of the terms the path has; of Python files whose path has none, how many their text
+    holds."""
+    wanted = F.array(*[F.lit(x) for x in terms])
+    there = F.size(F.array_intersect(F.array_distinct(F.regexp_extract_all(F.lower("path"), F.lit("([a-z0-9]+)"), F.lit(1))), wanted))
+    held = sum(F.lower("text").contains(x).cast("int") for x in terms)
+    return files.select("path", F.when((there == 0) & F.col("path").endswith(".py"), held).otherwise(there).alias("score"))
+
+
 def term_search(df: DataFrame, key: str, text: str, terms: list[str], k: int) -> DataFrame:
     """The k rows in which the terms occur most often, ties by key; rows without any are left out."""
     low = F.lower(text)
@@ -79,11 +197,27 @@ def term_search(df: DataFrame, key: str, text: str, terms: list[str], k: int) ->
 
 
 def focus(vectors: DataFrame, queries: DataFrame, least: float = 0.64) -> DataFrame:
-    """``query, id``: vectors whose squared cosine with a query exceeds ``least``. The sign is lost: opposite ones pass."""
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda acc, x: acc + x)
-    pairs = vectors.alias("v").join(F.broadcast(queries.alias("q")), F.expr("v.id <> q.query"))
-    d = dot("v.vector", "q.vector")
-    return pairs.where(d * d > least * dot("v.vector", "v.vector") * dot("q.vector", "q.vector")).select("query", "id")
+    """``query, id``: vectors whose squared cosine with a query exceeds ``least``. The sign is lost: opposite ones pass.
+    Vectors of another size than the query's, and null ones, are left out."""
+
+    def find(q, rows):
+        import numpy as np
+        import pyarrow as pa
+
+        asked, ids, out = _column(q, "query").to_pylist(), _column(rows, "id").to_pylist(), []
+        have, want = _column(rows, "vector").to_pylist(), _column(q, "vector").to_pylist()
+        for size in {len(x) for x in want if x}:
+            a = [i for i, x in enumerate(want) if x and len(x) == size]
+            b = [j for j, x in enumerate(have) if x and len(x) == size]
+            if not b:
+                continue
+            u, v = np.array([want[i] for i in a], float), np.array([have[j] for j in b], float)
+            near = (u @ v.T) ** 2 > least * (u * u).sum(axis=1)[:, None] * (v * v).sum(axis=1)[None, :]
+            out += [(asked[a[i]], ids[b[j]]) for i, j in zip(*np.nonzero(near), strict=True) if asked[a[i]] != ids[b[j]]]
+        cols = list(zip(*out, strict=True)) or [(), ()]
+        return pa.table({"query": pa.array(cols[0], q.schema.field("query").type), "id": pa.array(cols[1], rows.schema.field("id").type)})
+
+    return tiles(queries.select("query", "vector"), vectors.select("id", "vector"), find, f"query {_id_type(queries, 'query')}, id {_id_type(vectors, 'id')}")
 
 
 def cosine_of_sets(rows: DataFrame, key: str, item: str, *, least: float, k: int, hot: int = 1000) -> DataFrame:

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from marlstone.functions.lineage import cut
 from marlstone.operators import similarity as H
+from marlstone.plans.code import _F as _CODE
+from marlstone.plans.code import files
 from marlstone.sources.tables import table as t
 
 c = F.col
@@ -25,10 +28,24 @@ def _hybrid(s, d):
     return H.hybrid(q, i, 5, 45.0)
 
 
-def weighted(s, d):
-    """Word weights in tenths: 12 for words over five letters, 7 for those under four, else 10."""
-    w = H.word_counts(t(s, d, "documents"), "doc_id", "text")
-    return w.withColumn("n", c("n") * F.when(F.length("word") > 5, 12).when(F.length("word") < 4, 7).otherwise(10))
+def _nearest(s, d):
+    i = cut(index(s, d))
+    return H.nearest(i.where("id % 100 = 0").withColumnRenamed("id", "query"), i, 5)
+
+
+def aura(s, d):
+    """What is known of each document: structure and disorder between 0 and 1, and a state."""
+    x = t(s, d, "documents").select("doc_id", (c("doc_id") % 6 / 5).alias("s"), (c("doc_id") % 4 / 4).alias("c"))
+    return x.withColumn("state", F.when(c("s") == 0, "DEGENERATE").otherwise("STABLE"))
+
+
+def _weighted(s, d):
+    w = cut(H.aura_weights(H.word_counts(t(s, d, "documents"), "doc_id", "text"), aura(s, d).drop("state"), "doc_id"))
+    known = H.confidences(w, aura(s, d), "doc_id").withColumn("confidence", F.round("confidence", 6))
+    return known.join(H.simhash128(w, "doc_id"), "doc_id", "left").withColumnRenamed("doc_id", "id")
+
+
+OVERLAP = ["extra", "m3", "close", "o7", "shared", "c12"]
 
 
 _W = "w AS (SELECT doc_id id, word, count(*) n FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '\\s+')) word FROM documents) WHERE word <> '' GROUP BY ALL)"
@@ -55,17 +72,17 @@ def matrices(s, d):
 
 QUERIES = {
     "H1_simhash": index,
-    "H2_weighted_simhash": lambda s, d: H.simhash128(weighted(s, d), "doc_id").withColumnRenamed("doc_id", "id"),
+    "H2_weighted_simhash": _weighted,
     "H3_similarity": lambda s, d: index(s, d).alias("a").join(index(s, d).alias("b"), F.expr("a.id + 1 = b.id")).select("a.id", H.distance("a", "b").alias("distance"), F.round(H.similarity(H.distance("a", "b")), 6).alias("similarity")),
     "H4_hybrid_search": _hybrid,
-    "H5_nearest": lambda s, d: H.nearest(index(s, d).where("id % 100 = 0").withColumnRenamed("id", "query"), index(s, d), 5),
+    "H5_nearest": _nearest,
     "H6_near_pairs": lambda s, d: H.near_pairs(index(s, d)),
     "H7_term_search": lambda s, d: H.term_search(t(s, d, "documents"), "doc_id", "text", TERMS, 10),
     "H8_substring_search": lambda s, d: t(s, d, "documents").where(F.lower(F.to_json(F.struct("text", "source"))).contains("licensed under")).select("doc_id"),
     "H9_find": lambda s, d: t(s, d, "part").where(F.lower("p_name").contains("e")).select("p_partkey"),
-    "H10_focus": lambda s, d: H.focus(t(s, d, "embeddings").select(c("vec_id").alias("id"), c("embedding").alias("vector")), t(s, d, "embeddings").where("vec_id % 20 = 0").select(c("vec_id").alias("query"), c("embedding").alias("vector")), 0.15),
+    "H10_focus": lambda s, d: H.focus(t(s, d, "embeddings").select(c("vec_id").alias("id"), c("embedding").alias("vector")), t(s, d, "embeddings").where("vec_id % 100 = 0").select(c("vec_id").alias("query"), c("embedding").alias("vector"))),
     "H11_set_cosine": lambda s, d: H.cosine_of_sets(t(s, d, "lineitem"), "l_orderkey", "l_partkey", least=0.1, k=10).select("a", "b", F.round("cosine", 6).alias("cosine")),
-    "H12_term_overlap": lambda s, d: t(s, d, "documents").select("doc_id", F.size(F.array_intersect(words("text"), F.array(*[F.lit(x) for x in ("the", "of", "and", "de", "la", "der", "die", "que")]))).alias("score")),
+    "H12_term_overlap": lambda s, d: H.term_overlap(files(s, d), OVERLAP),
     "H13_multiply": lambda s, d: H.multiply(*matrices(s, d)).select("i", "j", F.round("v", 4).alias("v"), "rank"),
     "H13_norm": lambda s, d: matrices(s, d)[0].groupBy("i").agg(F.sum(F.abs("v")).alias("n")).agg(F.round(F.max("n"), 4).alias("norm")),
 }
@@ -75,7 +92,8 @@ _WL = "list_filter(list_distinct(regexp_split_to_array(lower(text), '\\s+')), la
 
 ORACLES = {
     "H1_simhash": _F + " SELECT * FROM f",
-    "H2_weighted_simhash": "WITH " + _simhash(_W.replace("w AS", "w0 AS") + ", w AS (SELECT id, word, n * CASE WHEN length(word) > 5 THEN 12 WHEN length(word) < 4 THEN 7 ELSE 10 END n FROM w0)") + " SELECT * FROM f",
+    "H2_weighted_simhash": "WITH " + _simhash(_W.replace("w AS", "w0 AS") + ", u AS (SELECT *, n times, CASE WHEN length(word) > 5 THEN 1 + 0.2::DOUBLE * (id % 6 / 5) WHEN length(word) < 4 THEN 1 - 0.3::DOUBLE * (id % 4 / 4) ELSE 1 END f FROM w0), w AS (SELECT id, word, times, n * round(f * 10000)::BIGINT n FROM u)")
+    + ", m AS (SELECT id, sum(n) / sum(times) / 10000 mean FROM w GROUP BY 1) SELECT doc_id id, round(CASE WHEN doc_id % 6 = 0 OR mean IS NULL THEN 0 ELSE least(mean, 2) / 2 END, 6) confidence, CASE WHEN doc_id % 6 = 0 THEN 'DEGENERATE' WHEN mean IS NULL THEN 'SLEEPING' WHEN mean < 0.5 THEN 'WEAK' ELSE 'STABLE' END state, fp_hi, fp_lo FROM documents LEFT JOIN m ON m.id = doc_id LEFT JOIN f ON f.id = doc_id",
     "H3_similarity": _F + f" SELECT a.id, {_D} distance, round(100.0 * (1 - {_D} / 128), 6)::DOUBLE similarity FROM f a JOIN f b ON a.id + 1 = b.id",
     "H4_hybrid_search": _F.replace(_W, _W.replace("doc_id id", "doc_id id").replace("SELECT doc_id, unnest(regexp_split_to_array(lower(text), '\\s+')) word FROM documents", "SELECT doc_id, unnest(regexp_split_to_array(lower(text), '\\s+')) word FROM (SELECT doc_id, text FROM documents UNION ALL SELECT -1 - item_id, text FROM benchmark)")) + f", t AS (SELECT doc_id id, {_WL} w FROM documents UNION ALL SELECT -1 - item_id, {_WL} FROM benchmark), g AS (SELECT f.*, w FROM f JOIN t USING (id)), p AS (SELECT -1 - a.id query, b.id, round(0.6::DOUBLE * (100.0 * (1 - {_D} / 128)) + 0.4::DOUBLE * (100.0 * len(list_intersect(a.w, b.w)) / len(a.w)), 6) score FROM g a JOIN g b ON a.id < 0 AND b.id >= 0), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) k FROM p WHERE score >= 45) SELECT query, id, score FROM r WHERE k <= 5",
     "H5_nearest": _F + f", r AS (SELECT a.id query, b.id, {_D} distance, row_number() OVER (PARTITION BY a.id ORDER BY {_D}, b.id) k FROM f a JOIN f b ON a.id % 100 = 0 AND a.id <> b.id) SELECT query, id, distance FROM r WHERE k <= 5",
@@ -83,9 +101,9 @@ ORACLES = {
     "H7_term_search": "SELECT doc_id, score::BIGINT score FROM (SELECT doc_id, " + " + ".join(f"(length(text) - length(replace(lower(text), '{x}', ''))) // {len(x)}" for x in TERMS) + " score FROM documents) WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 10",
     "H8_substring_search": "SELECT doc_id FROM documents WHERE contains(lower(text), 'licensed under') OR contains(lower(source), 'licensed under')",
     "H9_find": "SELECT p_partkey FROM part WHERE contains(lower(p_name), 'e')",
-    "H10_focus": "SELECT q.vec_id query, v.vec_id id FROM embeddings v JOIN embeddings q ON q.vec_id % 20 = 0 AND v.vec_id <> q.vec_id WHERE list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) ** 2 > 0.15",
-    "H11_set_cosine": "WITH r AS (SELECT DISTINCT l_orderkey k, l_partkey x FROM lineitem), c AS (SELECT x FROM r GROUP BY x HAVING count(*) > greatest(2, (SELECT count(DISTINCT k) FROM r) * 0.05)), u AS (SELECT * FROM r WHERE x NOT IN (SELECT x FROM c)), z AS (SELECT k, count(*) n FROM u GROUP BY 1), p AS (SELECT a.k a, b.k b, count(*) / sqrt(max(za.n) * max(zb.n)) cosine FROM u a JOIN u b ON a.x = b.x AND a.k <> b.k JOIN z za ON za.k = a.k JOIN z zb ON zb.k = b.k GROUP BY ALL), q AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(cosine, 9) DESC, b) i FROM p WHERE cosine > 0.1) SELECT a, b, round(cosine, 6) cosine FROM q WHERE i <= 10",
-    "H12_term_overlap": f"SELECT doc_id, len(list_intersect({_WL}, ['the', 'of', 'and', 'de', 'la', 'der', 'die', 'que']))::INTEGER score FROM documents",
+    "H10_focus": "SELECT q.vec_id query, v.vec_id id FROM embeddings v JOIN embeddings q ON q.vec_id % 100 = 0 AND v.vec_id <> q.vec_id WHERE list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) ** 2 > 0.64",
+    "H11_set_cosine": "WITH r AS (SELECT DISTINCT l_orderkey k, l_partkey x FROM lineitem), z AS (SELECT k, count(*) n FROM r GROUP BY 1), p AS (SELECT a.k a, b.k b, count(*) / sqrt(max(za.n) * max(zb.n)) cosine FROM r a JOIN r b ON a.x = b.x AND a.k <> b.k JOIN z za ON za.k = a.k JOIN z zb ON zb.k = b.k GROUP BY ALL), q AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(cosine, 9) DESC, b) i FROM p WHERE cosine > 0.1) SELECT a, b, round(cosine, 6) cosine FROM q WHERE i <= 10",
+    "H12_term_overlap": _CODE + f", k AS (SELECT path, text, len(list_intersect(regexp_extract_all(lower(path), '[a-z0-9]+'), {OVERLAP})) n FROM files) SELECT path, CASE WHEN n = 0 THEN " + " + ".join(f"contains(lower(text), '{x}')::INTEGER" for x in OVERLAP) + " ELSE n END::INTEGER score FROM k",
     "H13_multiply": f"WITH {_M} SELECT m.i, k.j, round(sum(m.v * k.v), 4) v, max(greatest(m.r, k.r)) \"rank\" FROM m JOIN k ON m.j = k.i GROUP BY ALL",
     "H13_norm": f"WITH {_M} SELECT round(max(n), 4) norm FROM (SELECT sum(abs(v)) n FROM m GROUP BY i)",
 }
