@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # fixed values: file suffixes and their languages
-LANGUAGES = {".py": "python", ".js": "javascript", ".ts": "typescript", ".go": "go", ".rs": "rust", ".java": "java", ".c": "c", ".cpp": "cpp", ".md": "markdown"}
+LANGUAGES = {
+    ".py": "python", ".pyw": "python", ".js": "javascript", ".jsx": "javascript", ".ts": "typescript", ".tsx": "typescript", ".java": "java", ".cs": "csharp", ".go": "go", ".rs": "rust",
+    ".cpp": "cpp", ".cc": "cpp", ".cxx": "cpp", ".hpp": "cpp", ".h": "cpp", ".php": "php", ".rb": "ruby",
+}
 # fixed values: an operation's keywords, in order; the first one that a text holds decides
 OPERATIONS = {
     "fix": "bugfix", "bug": "bugfix", "patch": "bugfix", "error": "bugfix", "repair": "bugfix",
@@ -165,6 +168,11 @@ def merged_origin(a: Column, b: Column) -> Column:
     return ladder(((a == "math") & (b == "math"), F.lit("math")), ((a == "math") | (b == "math"), F.lit("semantic")), (a != "unknown", a), otherwise=b)
 
 
+def security_flag(state: Column, a: Column, b: Column) -> Column:
+    """A mark where a degenerate result has a part of mathematical origin."""
+    return F.when((state == "DEGENERATE") & ((a == "math") | (b == "math")), "MATH_CORE_DEGENERATION_ANOMALY")
+
+
 def scalar_op(op: str, a: Column, b: Column) -> Column:
     """Arithmetic on structs (value, state, heal_count): division by zero gives 0 and UNSTABLE."""
     x, y = a["value"], b["value"]
@@ -205,10 +213,19 @@ def short_field(name: Column) -> Column:
     return F.when(name.contains("_"), F.array_join(F.transform(F.split(name, "_"), lambda w: F.substring(w, 1, 1)), "")).otherwise(F.lower(camel))
 
 
-def compact_json(j: Column) -> Column:
-    """A flat JSON object without null and empty fields, its field names shortened."""
-    kept = F.map_filter(F.from_json(j, "map<string,string>"), lambda k, v: v.isNotNull() & ~F.trim(v).isin("", "[]", "{}"))
-    return F.to_json(F.transform_keys(kept, lambda k, v: short_field(k)))
+def compact_json(j: Column, places: int = 2) -> Column:
+    """A JSON object without null and empty fields, its field names shortened, numbers with a fraction rounded."""
+    kept = F.map_filter(F.from_json(j, "map<string,variant>"), lambda k, v: ~F.is_variant_null(v) & ~F.trim(F.to_json(v)).isin('""', "[]", "{}") & ~F.to_json(v).rlike(r'^"\s*"$'))
+    real = lambda v: F.schema_of_variant(v).rlike("^(DECIMAL|DOUBLE|FLOAT)")
+    value = lambda v: F.when(real(v), F.round(F.try_variant_get(v, "$", "double"), places).cast("string")).otherwise(F.to_json(v))
+    fields = F.transform(F.map_entries(kept), lambda e: F.concat(F.lit('"'), short_field(e["key"]), F.lit('":'), value(e["value"])))
+    return F.concat(F.lit("{"), F.array_join(fields, ","), F.lit("}"))
+
+
+def json_structure(j: Column, most: int = 50) -> Column:
+    """Of a JSON object: its first keys, how many there are, and the type of each field."""
+    keys = F.json_object_keys(j)
+    return F.struct(F.slice(keys, 1, most).alias("keys"), F.size(keys).alias("n_keys"), F.schema_of_variant(F.try_parse_json(j)).alias("types"))
 
 
 def blast_class(score: Column, n_files: Column) -> Column:

@@ -36,6 +36,17 @@ def _layered(s, d):
 
 _LAYER = "SELECT conv_id, turn, role, (['working','episodic','semantic','human_knowledge','experience'])[turn % 5 + 1] layer FROM conversations"
 
+# kinds of events with a tenth of k, so that traces differ in what they show
+REQUIRED, TERMINAL = ["signup:1", "view:2", "click:3", "purchase:4", "view:9", "click:0", "error:7"], ["purchase:0", "purchase:5", "error:2"]
+FINE_CRITERIA = [("signup:1", 30), ("view:2", 10), ("click:3", 20), ("purchase:4", 30), ("error:5", 10)]
+
+
+def _fine(s, d):
+    return ev(s, d).withColumn("event_type", F.concat_ws(":", "event_type", F.floor(F.col("k") / 10)))
+
+
+_FINE = f"SELECT * REPLACE (event_type || ':' || floor(k / 10)::BIGINT AS event_type) FROM ({_E})"
+
 QUERIES = {
     "A5_tail": lambda s, d: L.tail(ev(s, d), 50, "ts", "event_id").select("event_id", "trace_id", "event_type"),
     "D20_visible": lambda s, d: L.visible(_layered(s, d), _rows(s, READS, "role string, layer string"), "role", "layer"),
@@ -48,9 +59,9 @@ QUERIES = {
     "E11_commands": lambda s, d: L.command_summary(ev(s, d), "event_type"),
     "E12_sessions": lambda s, d: L.session_totals(ev(s, d), "trace_id"),
     "E13_recurrence": lambda s, d: L.recurrence(ev(s, d).where("failed"), "trace_id"),
-    "E16_fidelity": lambda s, d: L.coverage(ev(s, d).where("k % 7 < 2"), "trace_id", ["signup", "view", "click", "purchase"], ["purchase", "error"]),
+    "E16_fidelity": lambda s, d: L.coverage(_fine(s, d), "trace_id", REQUIRED, TERMINAL),
     "E17_determinism": lambda s, d: L.determinism(ev(s, d), "trace_id", "event_type", "k"),
-    "E18_readiness": lambda s, d: L.readiness(ev(s, d).where("k % 7 = 1"), "trace_id", "event_type", _rows(s, CRITERIA, "event_type string, weight int")),
+    "E18_readiness": lambda s, d: L.readiness(_fine(s, d), "trace_id", "event_type", _rows(s, FINE_CRITERIA, "event_type string, weight int")),
     "E23_detection": lambda s, d: t(s, d, "labels").groupBy("quality").agg(F.count(F.lit(1)).alias("total"), F.sum("toxic").alias("blocked"), F.round(F.avg("toxic"), 6).alias("rate")),
     "E24_pivot": lambda s, d: ev(s, d).groupBy("trace_id").pivot("event_type", ["click", "error", "purchase", "signup", "view"]).agg(F.round(F.sum("value"), 4)),
     "E25_reflection": lambda s, d: L.reflection(ev(s, d), "trace_id"),
@@ -69,8 +80,8 @@ QUERIES = {
     "K8_record_query": lambda s, d: ev(s, d).where("event_type = 'click' and k = 7").orderBy("ts", "event_id").limit(100).select("event_id", "trace_id", "k"),
     "K12_audit_hash": lambda s, d: L.event_hashes(ev(s, d), "event_id", "trace_id", "event_type", "k"),
     "K14_health": lambda s, d: L.health(ev(s, d), "trace_id", (F.col("event_type") == "error") & (F.col("k") > 90)),
-    "L1_ordered_union": lambda s, d: ev(s, d).where("k < 5").select("trace_id", F.lit(0).alias("o")).unionByName(ev(s, d).where("failed").select("trace_id", F.lit(1).alias("o"))).groupBy("trace_id").agg(F.min("o").alias("source")),
-    "L2_intersection": lambda s, d: ev(s, d).where("event_type = 'click' and k < 20").select("trace_id").intersect(ev(s, d).where("failed and k < 20").select("trace_id")),
+    "L1_ordered_union": lambda s, d: ev(s, d).where("event_type = 'signup'").select("trace_id", F.lit(0).alias("o")).unionByName(ev(s, d).where("failed").select("trace_id", F.lit(1).alias("o"))).groupBy("trace_id").agg(F.min("o").alias("source")),
+    "L2_intersection": lambda s, d: ev(s, d).where("event_type = 'click'").select("trace_id", "k").intersect(ev(s, d).where("failed").select("trace_id", "k")),
     "L3_difference": lambda s, d: ev(s, d).select("trace_id", "k").exceptAll(ev(s, d).where("failed").select("trace_id", "k")).groupBy("trace_id").agg(F.count(F.lit(1)).alias("n")),
     "L4_top": lambda s, d: ev(s, d).orderBy(F.desc("value"), "event_id").limit(15).select("event_id", "value"),
 }
@@ -91,9 +102,9 @@ ORACLES = {
     "E11_commands": _CTE + "SELECT event_type, count(*) n, round(sum(value), 4) total, round(avg(value), 6) mean, round(100 * avg(CASE WHEN failed THEN 0 ELSE 1 END), 4) success_pct FROM e GROUP BY 1",
     "E12_sessions": _CTE + "SELECT trace_id, sum(k)::BIGINT tokens, max(k) largest, max(ts) last_ts FROM e GROUP BY 1",
     "E13_recurrence": _CTE + "SELECT trace_id, count(*) occurrences, max(ts) last_ts, arg_max(event_id, (ts, event_id)) last_event, arg_max(k, (ts, event_id)) FILTER (k > 0) resolution FROM e WHERE failed GROUP BY 1",
-    "E16_fidelity": _CTE + "SELECT trace_id, CASE WHEN bool_or(event_type IN ('purchase', 'error')) THEN count(DISTINCT event_type) FILTER (event_type <> 'error') / 4.0::DOUBLE ELSE 0.0::DOUBLE END::DOUBLE fidelity, count(DISTINCT event_type) kinds FROM e WHERE k % 7 < 2 GROUP BY 1",
+    "E16_fidelity": f"WITH e AS ({_FINE}) SELECT trace_id, CASE WHEN bool_or(event_type IN {tuple(TERMINAL)}) THEN count(DISTINCT event_type) FILTER (event_type IN {tuple(REQUIRED)}) / {len(REQUIRED)}.0::DOUBLE ELSE 0.0::DOUBLE END::DOUBLE fidelity, count(DISTINCT event_type) kinds FROM e GROUP BY 1",
     "E17_determinism": _CTE + "SELECT trace_id, count(DISTINCT event_type) distinct_event_type, count(DISTINCT k) distinct_k, greatest(count(DISTINCT event_type), count(DISTINCT k)) <= 1 zero_variance FROM e GROUP BY 1",
-    "E18_readiness": f"WITH e AS (SELECT * FROM ({_E}) WHERE k % 7 = 1), m AS (SELECT u.trace_id, c.col0 item, c.col1 weight, EXISTS (SELECT 1 FROM e WHERE e.trace_id = u.trace_id AND e.event_type = c.col0) met FROM (SELECT DISTINCT trace_id FROM e) u, {_values(CRITERIA)} c), g AS (SELECT trace_id, sum(CASE WHEN met THEN weight ELSE 0 END)::BIGINT score, coalesce(string_agg(item, ',' ORDER BY item) FILTER (NOT met), '') missing FROM m GROUP BY 1) SELECT *, CASE WHEN score >= 85 THEN 'L3' WHEN score >= 65 THEN 'L2' WHEN score >= 40 THEN 'L1' ELSE 'L0' END AS \"level\" FROM g",
+    "E18_readiness": f"WITH e AS ({_FINE}), m AS (SELECT u.trace_id, c.col0 item, c.col1 weight, EXISTS (SELECT 1 FROM e WHERE e.trace_id = u.trace_id AND e.event_type = c.col0) met FROM (SELECT DISTINCT trace_id FROM e) u, {_values(FINE_CRITERIA)} c), g AS (SELECT trace_id, sum(CASE WHEN met THEN weight ELSE 0 END)::BIGINT score, coalesce(string_agg(item, ',' ORDER BY item) FILTER (NOT met), '') missing FROM m GROUP BY 1) SELECT *, CASE WHEN score >= 85 THEN 'L3' WHEN score >= 65 THEN 'L2' WHEN score >= 40 THEN 'L1' ELSE 'L0' END AS \"level\" FROM g",
     "E23_detection": "SELECT quality, count(*) total, sum(toxic)::BIGINT blocked, round(avg(toxic), 6) rate FROM labels GROUP BY 1",
     "E24_pivot": "SELECT user_id trace_id, " + ", ".join(f"round(sum(value) FILTER (event_type = '{k}'), 4) \"{k}\"" for k in ("click", "error", "purchase", "signup", "view")) + " FROM events GROUP BY 1",
     "E25_reflection": _CTE + "SELECT trace_id, coalesce(string_agg(DISTINCT event_type || ':' || (k % 3), ',' ORDER BY event_type || ':' || (k % 3)) FILTER (NOT failed), '') successes, coalesce(string_agg(DISTINCT event_type || ':' || (k % 3), ',' ORDER BY event_type || ':' || (k % 3)) FILTER (failed), '') failures, count(*) FILTER (failed) risks FROM e GROUP BY 1",
@@ -112,8 +123,8 @@ ORACLES = {
     "K8_record_query": _CTE + "SELECT event_id, trace_id, k FROM e WHERE event_type = 'click' AND k = 7 ORDER BY ts, event_id LIMIT 100",
     "K12_audit_hash": _CTE + "SELECT event_id, sha256(event_id || ':' || trace_id || ':' || event_type || ':' || k) deterministic_hash FROM e",
     "K14_health": _CTE + "SELECT trace_id, CASE WHEN bool_or(event_type = 'error' AND k > 90) THEN 'DEGRADED' ELSE 'HEALTHY' END health FROM e GROUP BY 1",
-    "L1_ordered_union": _CTE + "SELECT trace_id, min(o)::INTEGER source FROM (SELECT trace_id, 0 o FROM e WHERE k < 5 UNION ALL SELECT trace_id, 1 FROM e WHERE failed) GROUP BY 1",
-    "L2_intersection": _CTE + "SELECT trace_id FROM e WHERE event_type = 'click' AND k < 20 INTERSECT SELECT trace_id FROM e WHERE failed AND k < 20",
+    "L1_ordered_union": _CTE + "SELECT trace_id, min(o)::INTEGER source FROM (SELECT trace_id, 0 o FROM e WHERE event_type = 'signup' UNION ALL SELECT trace_id, 1 FROM e WHERE failed) GROUP BY 1",
+    "L2_intersection": _CTE + "SELECT trace_id, k FROM e WHERE event_type = 'click' INTERSECT SELECT trace_id, k FROM e WHERE failed",
     "L3_difference": _CTE + "SELECT trace_id, count(*) n FROM (SELECT trace_id, k FROM e EXCEPT ALL SELECT trace_id, k FROM e WHERE failed) GROUP BY 1",
     "L4_top": "SELECT event_id, value FROM events ORDER BY value DESC, event_id LIMIT 15",
 }
