@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from marlstone.functions.lineage import cut_folder, remove
+from marlstone.operators import change as M
 from marlstone.operators import scan
-from marlstone.plans.logs import ALLOWED
+from marlstone.plans.change import _M, manifests
+from marlstone.plans.logs import ALLOWED, REQUIRED
 from marlstone.sources.tables import table as t
 from marlstone.streaming import events as S
 
@@ -17,9 +22,39 @@ def _limits(s, d):
     return t(s, d, "customer").select(F.col("c_custkey").alias("user_id"), (F.abs("c_acctbal") / 4).alias("limit"))
 
 
+def _watched(s, d):
+    """Documents as a watched tree: the old manifest is the first delivery, what changed since is the second one."""
+    old, new = manifests(s, d)
+    diff = M.manifest_diff(old, new, "doc_id", "sha256")
+    store = f"{cut_folder(s)}/watched-{uuid.uuid4().hex}"
+    rows = lambda df, op: df.select("doc_id", "sha256", "n_chars", op.alias("op"))
+    later = rows(new.join(diff.where("change <> 'removed'").select("doc_id"), "doc_id", "left_semi"), F.lit("upsert")).unionByName(rows(old.join(diff.where("change = 'removed'").select("doc_id"), "doc_id", "left_semi"), F.lit("removed")))
+    for n, part in enumerate((rows(old, F.lit("upsert")), later)):
+        part.write.mode("append").parquet(f"{store}/src")
+        changes = s.readStream.schema(part.schema).parquet(f"{store}/src")
+        S.incremental(s, changes, f"{store}/out", "doc_id", lambda b: b.select("doc_id", F.substring("sha256", 1, 12).alias("digest"), (F.col("n_chars") / 4).cast("long").alias("tokens")), removed="op = 'removed'")
+    remove(s, f"{store}/src")
+    return s.read.parquet(f"{store}/out/{n}")
+
+
+def _timeouts(s, d):
+    """Orders as requests for approval, of which finished ones get it in time; then the clock goes on."""
+    folder = f"{cut_folder(s)}/requests-{uuid.uuid4().hex}"
+    asked = t(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.lit("PENDING").alias("status"), F.col("o_orderdate").cast("timestamp").alias("ts"))
+    given = t(s, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("id"), F.lit("APPROVED").alias("status"), (F.col("o_orderdate").cast("timestamp") + F.expr("interval 10 minutes")).alias("ts"))
+    asked.unionByName(given).coalesce(1).write.parquet(f"{folder}/src")
+    late = asked.agg(F.max("ts").alias("ts"))
+    for days in (2, 4):  # rows of one id that only move the clock
+        late.select(F.lit(-1).cast("long").alias("id"), F.lit("PENDING").alias("status"), F.expr(f"ts + interval {days} days").alias("ts")).coalesce(1).write.mode("append").parquet(f"{folder}/src")
+    requests = s.readStream.schema(asked.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/src").withWatermark("ts", "1 minute")
+    return S.drain(S.expiring(requests, "id", 30), "append").where("id >= 0")
+
+
 QUERIES = {
-    "S2_trace_fidelity": lambda s, d: S.drain(S.trace_coverage(S.read(s, d).where("value > 10"), "user_id", ["signup", "view", "click", "purchase"]), "complete"),
-    "S3_transitions": lambda s, d: S.drain(S.checked_transitions(S.read(s, d), "user_id", set(ALLOWED), "start"), "append"),
+    "S1_incremental": _watched,
+    "S4_timeouts": _timeouts,
+    "S2_trace_fidelity": lambda s, d: S.drain(S.trace_coverage(S.read(s, d).withColumn("event_type", F.concat_ws(":", "event_type", F.floor(F.get_json_object("props", "$.k").cast("bigint") / 10))), "user_id", REQUIRED), "complete"),
+    "S3_transitions": lambda s, d: S.checked_transitions(S.read(s, d), "user_id", set(ALLOWED), "start"),
     "S5_recurrence": lambda s, d: S.drain(S.recurrence(S.read(s, d).where("event_type = 'error'"), "user_id"), "complete"),
     "S6_budget_guard": lambda s, d: S.drain(S.budget_guard(S.read(s, d).withColumn("k", F.get_json_object("props", "$.k").cast("bigint")), "user_id", "k", _limits(s, d)), "complete").select("user_id", "used", "stopped"),
     "S7_turn_scan": lambda s, d: S.drain(S.read(s, d, "conversations", TURNS).select("conv_id", "turn", F.array_join(scan.hits(F.col("text"), RULES), ",").alias("rules")).where("rules <> ''"), "append"),
@@ -30,7 +65,9 @@ QUERIES = {
 _LAG = "SELECT user_id, event_id, event_type, lag(event_type, 1, 'start') OVER (PARTITION BY user_id ORDER BY ts, event_id) from_state FROM events"
 _OK = ", ".join(repr(x) for x in ALLOWED)
 ORACLES = {
-    "S2_trace_fidelity": "SELECT user_id, count(DISTINCT event_type) FILTER (event_type <> 'error') / 4 fidelity FROM events WHERE value > 10 GROUP BY 1",
+    "S1_incremental": _M + "SELECT doc_id, left(sha256, 12) digest, trunc(n_chars / 4)::BIGINT tokens FROM n",
+    "S4_timeouts": "SELECT o_orderkey id, CASE WHEN o_orderstatus = 'F' THEN 'APPROVED' ELSE 'EXPIRED' END status FROM orders",
+    "S2_trace_fidelity": f"WITH e AS (SELECT user_id, event_type || ':' || floor(json_extract_string(props, '$.k')::BIGINT / 10)::BIGINT kind FROM events) SELECT user_id, count(DISTINCT kind) FILTER (kind IN {tuple(REQUIRED)}) / {len(REQUIRED)} fidelity FROM e GROUP BY 1",
     "S3_transitions": f"SELECT user_id, event_id, from_state, (from_state, event_type) IN ({_OK}) valid FROM ({_LAG})",
     "S5_recurrence": "SELECT user_id, count(*) occurrences, max(ts) last_ts FROM events WHERE event_type = 'error' GROUP BY 1",
     "S6_budget_guard": "SELECT user_id, sum(json_extract_string(props, '$.k')::BIGINT)::BIGINT used, sum(json_extract_string(props, '$.k')::BIGINT) > max(abs(c_acctbal) / 4) stopped FROM events JOIN customer ON user_id = c_custkey GROUP BY 1",
