@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from marlstone.functions.text import code_lines
 from marlstone.operators import code as C
+from marlstone.operators.change import numbered
 from marlstone.sources.tables import table as t
 
 c = F.col
@@ -82,8 +84,8 @@ QUERIES = {
     "D6_suffix_imports": lambda s, d: C.suffix_imports(C.imports(files(s, d)).where("alias = 'cust'").select("path", F.regexp_extract("target", r"([^.]+)$", 1).alias("target")), modules(s, d)),
     "D8_mentions": lambda s, d: C.mentions(files(s, d), C.symbols(files(s, d))).groupBy("name").agg(F.count(F.lit(1)).alias("n")),
     "D10_unknown": lambda s, d: C.imports(files(s, d)).where("alias = 'cust'").join(modules(s, d).select(c("module").alias("target")), "target", "left_anti").select("path", "target"),
-    "E4_shared_imports": lambda s, d: C.imports(files(s, d)).groupBy("target").agg(F.count_distinct("path").alias("n")).where("n >= 3"),
-    "E20_corpus_totals": lambda s, d: files(s, d).agg(F.count(F.lit(1)).alias("files"), F.sum(F.size(F.split("text", "\n")) - 1).alias("lines"), F.sum(F.octet_length("text")).alias("bytes")),
+    "E4_shared_imports": lambda s, d: numbered(C.imports(files(s, d)).groupBy("target").agg(F.count_distinct("path").alias("n")).where("n >= 3"), c("target"), name="at").select("target", "n", F.concat(F.lit("I"), "at").alias("ref")),
+    "E20_corpus_totals": lambda s, d: files(s, d).agg(F.count(F.lit(1)).alias("files"), F.sum(F.size(F.split("text", "\n")) - 1).alias("lines"), F.sum(code_lines(c("text"))).alias("code_lines"), F.sum(F.octet_length("text")).alias("bytes"), F.round(F.sum(F.octet_length(F.regexp_replace("text", r"\s+", " "))) / F.sum(F.octet_length("text")), 6).alias("ratio")),
     "C14_added_symbols": lambda s, d: C.added_symbols(_patches(s, d), "path").groupBy("kind", "name").agg(F.count(F.lit(1)).alias("n")),
     "D2_resolution": lambda s, d: resolved(s, d)[1],
     "D3_callees": lambda s, d: resolved(s, d)[0].drop("class_name"),
@@ -122,8 +124,8 @@ ORACLES = {
     "D6_suffix_imports": _F + f", {_MOD}, i AS (SELECT path, string_split(target, '.')[-1] target FROM imports WHERE alias = 'cust') SELECT i.path, target, min(file) file FROM i JOIN mods ON string_split(module, '.')[-1] = target GROUP BY ALL",
     "D8_mentions": _F + ", tok AS (SELECT DISTINCT path, unnest(regexp_extract_all(text, '[A-Za-z_]\\w*')) name FROM files), f AS (SELECT DISTINCT name, path FROM symbols) SELECT name, count(*) n FROM tok WHERE name IN (SELECT name FROM f) AND (name, path) NOT IN (SELECT name, path FROM f) GROUP BY 1",
     "D10_unknown": _F + f", {_MOD} SELECT path, target FROM imports WHERE alias = 'cust' AND target NOT IN (SELECT module FROM mods)",
-    "E4_shared_imports": _F + "SELECT target, count(DISTINCT path) n FROM imports GROUP BY 1 HAVING count(DISTINCT path) >= 3",
-    "E20_corpus_totals": _F + "SELECT count(*) files, sum(len(string_split(text, chr(10))) - 1)::BIGINT \"lines\", sum(strlen(text))::BIGINT bytes FROM files",
+    "E4_shared_imports": _F + "SELECT target, n, 'I' || (row_number() OVER (ORDER BY target) - 1) ref FROM (SELECT target, count(DISTINCT path) n FROM imports GROUP BY 1 HAVING count(DISTINCT path) >= 3)",
+    "E20_corpus_totals": _F + "SELECT count(*) files, sum(len(string_split(text, chr(10))) - 1)::BIGINT \"lines\", sum(len(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '' AND x NOT LIKE '#%')))::BIGINT code_lines, sum(strlen(text))::BIGINT bytes, round(sum(strlen(regexp_replace(text, '\\s+', ' ', 'g'))) / sum(strlen(text)), 6) ratio FROM files",
     "C14_added_symbols": _F + """, added AS (SELECT DISTINCT path, 'imported' kind, regexp_extract(line, '^\\s*(?:from|import)\\s+([\\w.]+)', 1) name FROM lines
   UNION SELECT path, 'defined', regexp_extract(line, '^\\s*(?:async\\s+)?(?:def|class)\\s+(\\w+)', 1) FROM lines
   UNION SELECT path, 'referenced', unnest(regexp_extract_all(line, '\\b([A-Za-z_]\\w*)\\s*\\(', 1)) FROM lines WHERE NOT regexp_matches(line, '^\\s*(?:async\\s+)?(?:def|class)\\b'))

@@ -84,7 +84,7 @@ QUERIES = {
     "E1_graph_stats": lambda s, d: edges(s, d).groupBy(F.substring("src", 1, 1).alias("kind")).agg(F.count(F.lit(1)).alias("edges"), F.count_distinct("src").alias("sources"), F.count_distinct("dst").alias("targets")),
     "E2_degrees": lambda s, d: G.degrees(edges(s, d)),
     "E3_critical": lambda s, d: G.most_used(edges(s, d), 20),
-    "E6_dependency_summary": lambda s, d: G.most_used(edges(s, d), 5),
+    "E6_dependency_summary": lambda s, d: G.most_used(edges(s, d), 5).withColumn("what", F.lit("most used")).unionByName(edges(s, d).agg(F.lit("edges").alias("node"), F.count(F.lit(1)).alias("callers"), F.lit("total").alias("what"))).unionByName(edges(s, d).agg(F.lit("used nodes").alias("node"), F.count_distinct("dst").alias("callers"), F.lit("total").alias("what"))),
     "E19_blast_score": lambda s, d: G.blast_score(_layers(s, d)),
     "G1_blast_radius": lambda s, d: G.dependents(edges(s, d), hubs(s, d), rounds=6),
     "G2_direct": lambda s, d: edges(s, d).join(hubs(s, d).withColumnRenamed("node", "dst"), "dst", "left_semi"),
@@ -105,7 +105,7 @@ ORACLES = {
     "E1_graph_stats": f"SELECT left(src, 1) kind, count(*) edges, count(DISTINCT src) sources, count(DISTINCT dst) targets FROM ({_E}) GROUP BY 1",
     "E2_degrees": f"SELECT node, sum(i)::BIGINT indegree, sum(o)::BIGINT outdegree, count(*) total FROM (SELECT src node, 0 i, 1 o FROM ({_E}) UNION ALL SELECT dst, 1, 0 FROM ({_E})) GROUP BY 1",
     "E3_critical": f"SELECT dst node, count(DISTINCT src) callers FROM ({_E}) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20",
-    "E6_dependency_summary": f"SELECT dst node, count(DISTINCT src) callers FROM ({_E}) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5",
+    "E6_dependency_summary": f"WITH e AS ({_E}) SELECT * FROM (SELECT dst node, count(DISTINCT src) callers, 'most used' what FROM e GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5) UNION ALL SELECT 'edges', count(*), 'total' FROM e UNION ALL SELECT 'used nodes', count(DISTINCT dst), 'total' FROM e",
     "E19_blast_score": _LAYERS + ", w AS (SELECT query, least(50, count(*)) n, sum(CASE layer WHEN 'PRIMARY' THEN 4 WHEN 'DIRECT' THEN 3 WHEN 'INDIRECT' THEN 2 ELSE 1 END) w FROM l GROUP BY 1) SELECT query, n n_files, least(100, least(100, floor(n / 50 * 85)) + least(35, floor(sqrt(w) * 7)))::BIGINT score FROM w",
     "G1_blast_radius": _REACH + "SELECT origin, count(*) - 1 n_reach, count(*) FILTER (\"depth\" = 1) n_direct, max(\"depth\") max_depth FROM b GROUP BY 1",
     "G2_direct": f"WITH e AS ({_E}), {_HUBS} SELECT dst, src FROM e WHERE dst IN (SELECT node FROM hubs)",

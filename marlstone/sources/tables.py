@@ -49,15 +49,24 @@ def not_ignored(files: DataFrame, globs: DataFrame) -> DataFrame:
     return files.join(rules, F.regexp_like("path", F.col("rule")) | F.regexp_like(base, F.col("rule")), "left_anti")
 
 
-def nested_json(spark: SparkSession, path: str) -> DataFrame:
-    """Nested documents, one to a file or an array of them."""
-    return spark.read.option("multiLine", True).json(path)
+def nested_json(spark: SparkSession, path: str, *, multi_line: bool = True) -> DataFrame:
+    """Nested documents, one to a file or an array of them; without ``multi_line`` one to a line."""
+    return spark.read.option("multiLine", multi_line).json(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def export_graph(edges: DataFrame, path: str) -> None:
+    """Edges ``src, dst`` as lines of JSON."""
+    edges.select("src", "dst").write.mode("overwrite").json(path)
+
+
+def load_graph(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("src string, dst string").json(path)
+
+
 def markdown_vault(spark: SparkSession, root: str) -> DataFrame:
     """Notes of a vault: class folder, stem, text and time of change."""
     md = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(root)
