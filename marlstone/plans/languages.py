@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from marlstone.operators import code as C
 from marlstone.operators import languages as L
 from marlstone.sources.tables import table as t
 
@@ -55,13 +56,23 @@ _HITS = " UNION ALL ".join(
 )
 _STRUCTURE = " UNION ALL ".join(f"SELECT path, '{k}' kind, regexp_extract_all(text, {_q('(?m)' + r)}, 1) names FROM files WHERE lang = '{n}'" for n, some in {**L.STRUCTURE, **{a: L.STRUCTURE[b] for a, b in L.ALIASES.items()}}.items() for k, r in some.items())
 
+def _plugged(s, d):
+    """Each language by an extractor of its own: Python by that of its indentation, three others by their rules."""
+    own = {"python": C.symbols, "rust": L.symbols, "go": L.symbols, "ruby": L.symbols}
+    return C.extracted(files(s, d), own).select("path", c("line_no").cast("int").alias("line_no"), "name")
+
+
 QUERIES = {
+    "U4_extractors": _plugged,
     "C1_polyglot_symbols": lambda s, d: L.symbols(files(s, d)),
     "C2_structure": lambda s, d: L.structure(files(s, d), L.rule_table(s)).select("path", "kind", F.array_join("names", ",").alias("names")),
     "C2_totals": lambda s, d: L.structure(files(s, d), L.rule_table(s)).groupBy("kind").agg(F.sum(F.size("names")).alias("names"), F.count(F.lit(1)).alias("files")),
 }
 
 ORACLES = {
+    "U4_extractors": f"""{_FILES}, lines AS (SELECT path, lang, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) line_no FROM files),
+coded AS (SELECT * FROM lines WHERE NOT regexp_matches(line, '^\\s*(//|#)')), hits AS ({_HITS}), h AS (SELECT path, line_no, name FROM hits JOIN files USING (path) WHERE lang IN ('rust', 'go', 'ruby') AND name <> '' AND NOT (rule IN ({_MEM}) AND name IN ({", ".join(map(_q, L.NOT_NAMES))})))
+SELECT path, line_no::INTEGER line_no, name FROM h UNION ALL SELECT path, line_no::INTEGER, regexp_extract(line, '^\\s*(?:class|def)\\s+([A-Za-z_]\\w*)', 1) FROM lines WHERE lang = 'python' AND regexp_matches(line, '^\\s*(class|def)\\s+[A-Za-z_]')""",
     "C1_polyglot_symbols": f"""{_FILES}, lines AS (SELECT path, lang, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) line_no FROM files),
 coded AS (SELECT * FROM lines WHERE NOT regexp_matches(line, '^\\s*(//|#)')), hits AS ({_HITS}),
 own AS (SELECT *, last_value(CASE WHEN rule IN ({_OWN}) THEN name END IGNORE NULLS) OVER (PARTITION BY path ORDER BY line_no, place) owner FROM hits WHERE name <> '' AND NOT (rule IN ({_MEM}) AND name IN ({", ".join(map(_q, L.NOT_NAMES))})))

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from marlstone.functions.lineage import cut_folder
+from marlstone.plans.notes import _N, notes
 from marlstone.plans.similarity import ORACLES as _SIMILAR
 from marlstone.plans.similarity import index
 from marlstone.sources import tables as T
@@ -29,6 +30,21 @@ def _tree(s, d):
     return found.groupBy(part("lang"), part("source")).agg(F.sum("n_bytes").alias("n_bytes"), F.sum(F.size(F.split("text", "\n")) - 1).alias("n_lines"))
 
 
+def _profile(s, d):
+    paths = t(s, d, "part").select(F.concat(F.element_at(F.array(*[F.lit(x) for x in ROOTS]), (c("p_partkey") % len(ROOTS) + 1).cast("int")), F.lit("p"), c("p_partkey") % 60, F.when(c("p_size") % 3 == 0, ".PY").when(c("p_size") % 3 == 1, ".js").otherwise(".bin")).alias("path"), c("p_retailprice").cast("long").alias("length"))
+    return T.scan_profile(paths, suffixes=[".py", ".js"], deny_dirs=["node_modules", ".git"], deny_names=["p7.js"], max_bytes=1200)
+
+
+ROOTS = ["src/", "a/node_modules/b/", ".git/", ""]
+
+
+def _vault(s, d):
+    root = folder(s, "vault")
+    notes(s, d).repartition("note_dir").select("note_dir", "text").write.partitionBy("note_dir").text(root)
+    found = T.markdown_vault(s, root, ".txt")
+    return found.groupBy(F.regexp_extract("note_dir", "=(.*)$", 1).alias("note_dir")).agg(F.sum(F.octet_length("text")).alias("n_bytes"), F.count_if(c("stem") == "").alias("nameless"))
+
+
 def _ignored(s, d):
     paths = t(s, d, "part").select(F.concat(F.element_at(F.array(*[F.lit(x) for x in ("src/", "docs/", "a/src/", "")]), (c("p_partkey") % 4 + 1).cast("int")), F.lit("p"), "p_partkey", F.when(c("p_size") % 5 == 0, "_small.py").when(c("p_size") % 5 == 1, ".md").otherwise(".py")).alias("path"))
     return T.not_ignored(paths, s.createDataFrame([(g,) for g in GLOBS], "glob string"))
@@ -67,15 +83,19 @@ def _index(s, d):
 
 QUERIES = {
     "A1_source_tree": _tree,
+    "A2_scan_profile": _profile,
     "A3_not_ignored": _ignored,
     "A4_json_log": _log,
     "A6_append": _appended,
     "A7_nested": _nested,
+    "A8_vault": _vault,
     "A9_index": _index,
 }
 
 ORACLES = {
     "A1_source_tree": "SELECT lang, source, sum(strlen(text) + 1)::BIGINT n_bytes, sum(len(string_split(text, chr(10))))::BIGINT n_lines FROM documents WHERE text IS NOT NULL AND lang <> 'fr' GROUP BY ALL",
+    "A2_scan_profile": f"WITH p AS (SELECT ({ROOTS})[p_partkey % {len(ROOTS)} + 1] || 'p' || (p_partkey % 60) || CASE p_size % 3 WHEN 0 THEN '.PY' WHEN 1 THEN '.js' ELSE '.bin' END path, trunc(p_retailprice)::BIGINT length FROM part) SELECT * FROM p WHERE NOT path LIKE '%.bin' AND length <= 1200 AND NOT path LIKE '%/p7.js' AND path <> 'p7.js' AND NOT path LIKE '%node_modules/%' AND NOT starts_with(path, '.git/')",
+    "A8_vault": _N + "SELECT note_dir, sum(strlen(text) + 1)::BIGINT n_bytes, 0 nameless FROM notes GROUP BY 1",
     "A3_not_ignored": "WITH p AS (SELECT (['src/', 'docs/', 'a/src/', ''])[p_partkey % 4 + 1] || 'p' || p_partkey || CASE p_size % 5 WHEN 0 THEN '_small.py' WHEN 1 THEN '.md' ELSE '.py' END path FROM part) SELECT path FROM p WHERE NOT starts_with(path, 'docs/') AND NOT regexp_matches(path, '(_small\\.py|\\.md)$') AND NOT regexp_matches(path, '^src/p1.\\.py$')",
     "A4_json_log": "SELECT event_id, user_id, event_type, value FROM events WHERE event_id % 50 <> 0",
     "A6_append": "SELECT event_id, user_id, event_type FROM events WHERE event_type IN ('purchase', 'click')",

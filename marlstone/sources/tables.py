@@ -28,16 +28,22 @@ def append_log(df: DataFrame, path: str, *, fmt: str = "json") -> None:
     df.write.mode("append").format(fmt).save(path)
 
 
+def scan_profile(files: DataFrame, *, suffixes: list[str], deny_dirs: list[str] = (), deny_names: list[str] = (), max_bytes: int = 2 << 20) -> DataFrame:
+    """The rows ``path, length`` that a scan reads: by suffix, without denied folders and names or large files."""
+    name, parts = F.element_at(F.split("path", "/"), -1), F.slice(F.split("path", "/"), F.lit(1), F.size(F.split("path", "/")) - 1)
+    suffix = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
+    denied = F.arrays_overlap(parts, F.array(*[F.lit(x) for x in deny_dirs or ["\0"]]))
+    return files.where(suffix.isin(list(suffixes)) & (F.col("length") <= max_bytes) & ~name.isin(list(deny_names)) & ~denied)
+
+
 def source_files(spark: SparkSession, root: str, *, suffixes: list[str], deny_dirs: list[str] = (), deny_names: list[str] = (), max_bytes: int = 2 << 20, max_files: int = 2000) -> DataFrame:
-    """Text files under a folder: by suffix, without denied folders and names or large files, first by path.
+    """Text files under a folder by ``scan_profile``, the first ``max_files`` by path.
 
     Files are chosen by path and length; contents are read for those alone.
     """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    name, parts = F.element_at(F.split("path", "/"), -1), F.split("path", "/")
+    chosen = scan_profile(found, suffixes=suffixes, deny_dirs=deny_dirs, deny_names=deny_names, max_bytes=max_bytes).orderBy("path").limit(max_files)
     suffix = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
-    fine = suffix.isin(list(suffixes)) & (F.col("length") <= max_bytes) & ~name.isin(list(deny_names)) & ~F.arrays_overlap(parts, F.array(*[F.lit(x) for x in deny_dirs or ["\0"]]))
-    chosen = found.where(fine).orderBy("path").limit(max_files)
     return chosen.select("path", suffix.alias("ext"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"), F.col("length").alias("n_bytes"), F.col("modificationTime").alias("mtime"))
 
 
@@ -67,10 +73,10 @@ def load_graph(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("src string, dst string").json(path)
 
 
-def markdown_vault(spark: SparkSession, root: str) -> DataFrame:
+def markdown_vault(spark: SparkSession, root: str, suffix: str = ".md") -> DataFrame:
     """Notes of a vault: class folder, stem, text and time of change."""
-    md = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(root)
-    return md.select("path", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("note_dir"), F.regexp_extract("path", r"([^/]+)\.md$", 1).alias("stem"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"), F.col("modificationTime").alias("mtime"))
+    md = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").load(root)
+    return md.select("path", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("note_dir"), F.regexp_extract("path", rf"([^/]+)\{suffix}$", 1).alias("stem"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"), F.col("modificationTime").alias("mtime"))
 
 
 def save_index(fingerprints: DataFrame, path: str) -> None:
