@@ -41,7 +41,7 @@ def aura(s, d):
 
 def _weighted(s, d):
     w = cut(H.aura_weights(H.word_counts(t(s, d, "documents"), "doc_id", "text"), aura(s, d).drop("state"), "doc_id"))
-    known = H.confidences(w, aura(s, d), "doc_id").withColumn("confidence", F.round("confidence", 6))
+    known = H.confidences(w, aura(s, d), "doc_id").withColumn("confidence", F.round("confidence", 12))
     return known.join(H.simhash128(w, "doc_id"), "doc_id", "left").withColumnRenamed("doc_id", "id")
 
 
@@ -93,7 +93,7 @@ _WL = "list_filter(list_distinct(regexp_split_to_array(lower(text), '\\s+')), la
 ORACLES = {
     "H1_simhash": _F + " SELECT * FROM f",
     "H2_weighted_simhash": "WITH " + _simhash(_W.replace("w AS", "w0 AS") + ", u AS (SELECT *, n times, CASE WHEN length(word) > 5 THEN 1 + 0.2::DOUBLE * (id % 6 / 5) WHEN length(word) < 4 THEN 1 - 0.3::DOUBLE * (id % 4 / 4) ELSE 1 END f FROM w0), w AS (SELECT id, word, times, n * round(f * 10000)::BIGINT n FROM u)")
-    + ", m AS (SELECT id, sum(n) / sum(times) / 10000 mean FROM w GROUP BY 1) SELECT doc_id id, round(CASE WHEN doc_id % 6 = 0 OR mean IS NULL THEN 0 ELSE least(mean, 2) / 2 END, 6) confidence, CASE WHEN doc_id % 6 = 0 THEN 'DEGENERATE' WHEN mean IS NULL THEN 'SLEEPING' WHEN mean < 0.5 THEN 'WEAK' ELSE 'STABLE' END state, fp_hi, fp_lo FROM documents LEFT JOIN m ON m.id = doc_id LEFT JOIN f ON f.id = doc_id",
+    + ", m AS (SELECT id, sum(n) / sum(times) / 10000 mean FROM w GROUP BY 1) SELECT doc_id id, round(CASE WHEN doc_id % 6 = 0 OR mean IS NULL THEN 0 ELSE least(mean, 2) / 2 END, 12) confidence, CASE WHEN doc_id % 6 = 0 THEN 'DEGENERATE' WHEN mean IS NULL THEN 'SLEEPING' WHEN mean < 0.5 THEN 'WEAK' ELSE 'STABLE' END state, fp_hi, fp_lo FROM documents LEFT JOIN m ON m.id = doc_id LEFT JOIN f ON f.id = doc_id",
     "H3_similarity": _F + f" SELECT a.id, {_D} distance, round(100.0 * (1 - {_D} / 128), 6)::DOUBLE similarity FROM f a JOIN f b ON a.id + 1 = b.id",
     "H4_hybrid_search": _F.replace(_W, _W.replace("doc_id id", "doc_id id").replace("SELECT doc_id, unnest(regexp_split_to_array(lower(text), '\\s+')) word FROM documents", "SELECT doc_id, unnest(regexp_split_to_array(lower(text), '\\s+')) word FROM (SELECT doc_id, text FROM documents UNION ALL SELECT -1 - item_id, text FROM benchmark)")) + f", t AS (SELECT doc_id id, {_WL} w FROM documents UNION ALL SELECT -1 - item_id, {_WL} FROM benchmark), g AS (SELECT f.*, w FROM f JOIN t USING (id)), p AS (SELECT -1 - a.id query, b.id, round(0.6::DOUBLE * (100.0 * (1 - {_D} / 128)) + 0.4::DOUBLE * (100.0 * len(list_intersect(a.w, b.w)) / len(a.w)), 6) score FROM g a JOIN g b ON a.id < 0 AND b.id >= 0), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) k FROM p WHERE score >= 45) SELECT query, id, score FROM r WHERE k <= 5",
     "H5_nearest": _F + f", r AS (SELECT a.id query, b.id, {_D} distance, row_number() OVER (PARTITION BY a.id ORDER BY {_D}, b.id) k FROM f a JOIN f b ON a.id % 100 = 0 AND a.id <> b.id) SELECT query, id, distance FROM r WHERE k <= 5",

@@ -15,7 +15,7 @@ from marlstone.sources.tables import table as t
 from marlstone.streaming import events as S
 
 TURNS = "conv_id bigint, turn bigint, role string, text string"
-RULES = {"the": r"(?i)(^|\s)the(\s|$)", "que": r"(?i)(^|\s)que(\s|$)", "act_as": scan.any_case(scan.INSTRUCTIONS)["act_as"]}
+RULES = {"the": r"(?i)(^|\s)the(\s|$)", "que": r"(?i)(^|\s)que(\s|$)", "act_as": "(?i)" + scan.INSTRUCTIONS["act_as"]}
 
 
 def _limits(s, d):
