@@ -80,7 +80,7 @@ class SuffixAutomaton:
         return n + (state is not root)
 
 
-def labelled_text(docs: DataFrame, *, sample_docs: int = 400, sample_chars: int = 100_000, key: str = "doc_id", text: str = "text", label: str = "lang") -> dict[str, str]:
+def labelled_text(docs: DataFrame, *, sample_docs: int = 400, sample_chars: int = 60_000, key: str = "doc_id", text: str = "text", label: str = "lang") -> dict[str, str]:
     """Language to the whole texts of a sample of its documents, in the form of ``normal``.
 
     Documents are taken by a hash of their keys, about ``sample_docs`` of each language, and of these in turn as long
@@ -91,7 +91,8 @@ def labelled_text(docs: DataFrame, *, sample_docs: int = 400, sample_chars: int
     rows = docs.where(F.col(label).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(key).alias("k"), F.col(label).alias("l"), F.col(text).alias("t"), F.length(text).alias("n"))
     counts = rows.groupBy("l").agg(F.count(F.lit(1)).alias("docs"))
     share = F.shiftrightunsigned(F.xxhash64("k"), 1) / F.lit(float(1 << 63))
-    some = rows.join(counts, "l").where(share * F.col("docs") < sample_docs).withColumn("size", F.greatest("n", F.lit(sample_chars // 8)))
+    # a row for each label: far less than the texts of each label that the driver gets
+    some = rows.join(F.broadcast(counts), "l").where(share * F.col("docs") < sample_docs).withColumn("size", F.greatest("n", F.lit(sample_chars // 8)))
     order = Window.partitionBy("l").orderBy("size", share, "k", "t")
     taken = some.withColumn("nth", F.row_number().over(order)).withColumn("held", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     got = taken.where((F.col("nth") == 1) | (F.col("held") <= sample_chars)).select("l", "nth", "t").collect()
