@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import cut, join_unique, over_texts, small_batches
+from marlstone.llm.common import cut, held, join_unique, over_texts, small_batches
 from marlstone.llm.components import components, join_labels
 
 #: Fingerprints with the same key in one chunk.
@@ -51,6 +51,7 @@ def fingerprints(docs: DataFrame, *, words: int = 4, key: str = "doc_id", text:
     """``key, fp bigint, mark binary`` of every whole text (null: empty); ``mark`` is the text's MD5, 128 bits."""
 
     def make():
+        held("fingerprints", dict)  # tables that the worker has kept for another operator go
         return lambda texts: [(fingerprint(x, words), hashlib.md5(x.encode(), usedforsecurity=False).digest()) for x in texts]
 
     return over_texts(docs, make, "fp bigint, mark binary", key=key, text=text)
@@ -142,8 +143,13 @@ def keep_one(docs: DataFrame, *, words: int = 4, radius: int = 4, key: str = "do
     Which rows stay is settled on keys and hashes alone; whole rows are shuffled once, to those.
     """
     rows, known, _ = _linked(docs, words=words, radius=radius, key=key, text=text)
-    one = F.struct(F.col(key).alias("key")).alias("key")  # in a struct, so that null equals null
-    firsts = rows.groupBy("fp").agg(F.min(F.struct(one, "mark")).alias("first")).join(known, "fp").groupBy("component").agg(F.min("first").alias("first"))
+    one = F.struct(F.struct(F.col(key).alias("key")).alias("key"), "mark")  # a struct, so that null equals null
+    firsts = rows.groupBy("fp").agg(F.min(one).alias("first")).join(known, "fp").groupBy("component").agg(F.min("first").alias("first"))
     name = "kept" + "_" * max(map(len, docs.columns))  # longer than any column's name
+    counts = rows.groupBy(one.alias(name)).agg(F.count(F.lit(1)).alias("many"))
+    kept = cut(counts.join(firsts.select(F.col("first").alias(name)), name, "left_semi"))
     marked = docs.withColumn(name, F.struct(F.struct(F.col(key).alias("key")).alias("key"), F.unhex(F.md5(F.coalesce(text, F.lit("")))).alias("mark")))
-    return marked.join(firsts.select(F.col("first").alias(name)), name, "left_semi").dropDuplicates([name]).select(docs.columns)
+    left = marked.join(kept.select(name), name, "left_semi")
+    if not kept.where("many > 1").isEmpty():  # rows that are the same in key and text
+        left = left.dropDuplicates([name])
+    return left.select(docs.columns)
