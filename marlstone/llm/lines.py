@@ -20,9 +20,15 @@ from marlstone.llm.common import cut, join_unique
 _DOC = ["key", "mark"]
 
 
+def _halves(x) -> tuple[Column, Column]:
+    """Two hashes of 64 bits."""
+    return F.xxhash64(x), F.xxhash64(F.lit(1), x)
+
+
 def _hash(x) -> Column:
     """128 bits."""
-    return F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"))
+    a, b = _halves(x)
+    return F.struct(a.alias("a"), b.alias("b"))
 
 
 def _document(key: str, text: str):
@@ -35,17 +41,19 @@ def windows_of_lines(docs: DataFrame, *, min_words: int, key: str = "doc_id", te
     by = Window.partitionBy(*_DOC)
     order, reach = by.orderBy("pos"), by.orderBy("at").rangeBetween(0, min_words - 1)
     split = docs.select(*_document(key, text), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    counted = split.select(*_DOC, "pos", _hash("line").alias("h"), F.regexp_count("line", F.lit(r"\S+")).cast("bigint").alias("n")).where("n > 0")
+    counted = split.select(*_DOC, "pos", *[x.alias(n) for n, x in zip("ab", _halves("line"), strict=True)], F.regexp_count("line", F.lit(r"\S+")).cast("bigint").alias("n")).where("n > 0")
     placed = (
         counted.repartition(*_DOC)
-        .dropDuplicates([*_DOC, "pos"])  # rows with the same key and text are one document
+        .groupBy(*_DOC, "pos")  # rows with the same key and text are one document
+        .agg(*[F.min(x).alias(x) for x in ("a", "b", "n")])
+        .withColumn("h", F.struct("a", "b"))
         .withColumn("idx", F.row_number().over(order))
         .withColumn("at", F.sum("n").over(order) - F.col("n"))
         .withColumn("total", F.sum("n").over(by))
     )
     return placed.select(
         *_DOC, "pos", "idx", "h",
-        F.min(F.struct(F.col("h.a").alias("a"), "idx")).over(reach).alias("print"),
+        F.min(F.struct("a", "idx")).over(reach).alias("print"),
         F.max("idx").over(reach).alias("last"),
         _hash(F.collect_list("h").over(reach)).alias("content"),
         (F.col("at") + min_words <= F.col("total")).alias("whole"),
@@ -80,7 +88,8 @@ def repeated_lines(docs: DataFrame, *, min_words: int = 50, key: str = "doc_id",
     asked = beside("before").unionByName(beside("after")).withColumn("source", F.struct(F.col("first.key").alias("key"), F.col("first.mark").alias("mark"), (F.col("idx") - F.col("anchor") + F.col("first.idx")).alias("idx"))).drop("first")
     # one row for each line asked for, found or not: a passage's first occurrence is asked for by all others
     wanted = asked.groupBy("source").agg(F.count(F.lit(1)).alias("many"))
-    source = wanted.join(lines.select(F.struct(*_DOC, "idx").alias("source"), F.col("h").alias("source_h")), "source", "left")
+    source = cut(wanted.join(lines.select(F.struct(*_DOC, "idx").alias("source"), F.col("h").alias("source_h")), "source", "left"))
+    n = source.agg(F.coalesce(F.sum("many"), F.lit(0))).first()[0]
     outward = Window.partitionBy(*_DOC, "side", "anchor").orderBy(F.abs(F.col("idx") - F.col("anchor")))
     extended = join_unique(asked, source, "source", "many", n).withColumn("unlike", F.sum(F.when(F.col("h") == F.col("source_h"), 0).otherwise(1)).over(outward)).where("unlike = 0")
     return near.where("covered").select(*_DOC, "pos").unionByName(extended.select(*_DOC, "pos").distinct()).distinct()
