@@ -91,14 +91,19 @@ class Likelihood:
         return g, np.array([(np.sum(d_lo[y == k + 1]) - np.sum(d_hi[y == k])) / len(y) for k in range(len(theta))])
 
 
-def fit(rows: list, *, grades: int, size: int, steps: int = 120, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
-    """(weights, thresholds) by full-batch gradient steps with momentum; all zeros if there are no rows."""
+def fit(rows: list, *, grades: int, size: int, steps: int = 120, rate: float = 0.05, prior: float = 3.0, support: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, thresholds) by full-batch gradient steps with momentum; all zeros if there are no rows.
+
+    Features of fewer than ``support`` documents of the sample have no weight. ``prior`` is how strongly weights are held
+    to zero, in documents: the more of them there are, the less it counts.
+    """
     w, theta = np.zeros(size), np.linspace(-2, 2, grades - 1) if grades > 1 else np.zeros(0)
-    rows = [r for r in rows if r["found"]]
+    often = np.bincount(np.concatenate([np.asarray(r["found"], dtype=np.int64) for r in rows] or [np.zeros(0, np.int64)]), minlength=size) >= support
+    rows = [{"grade": r["grade"], "found": [i for i in r["found"] if often[i]]} for r in rows]
+    rows = sorted((r for r in rows if r["found"]), key=lambda r: (r["grade"], r["found"]))
     if not rows:
         return w, theta
-    rows.sort(key=lambda r: (r["grade"], r["found"]))
-    model = Likelihood(rows, size, decay)
+    model = Likelihood(rows, size, prior / len(rows))
     m, v, mt, vt = np.zeros(size), np.zeros(size), np.zeros_like(theta), np.zeros_like(theta)
     for t in range(1, steps + 1):
         g, gt = model.slopes(w, theta)
