@@ -10,7 +10,6 @@ when, as here, a fixed beginning leads up to a final run of characters.
 
 from __future__ import annotations
 
-import hashlib
 import re._constants as op
 import re._parser as sre
 from array import array
@@ -280,16 +279,3 @@ def redact(docs: DataFrame, *, kinds: tuple[str, ...] = KINDS, text: str = "text
             yield batch.set_column(at, batch.field(at), pa.array([one(x) for x in batch.column(at).to_pylist()], batch.field(at).type))
 
     return small_batches(docs).mapInArrow(run, docs.schema)
-
-
-def brute(text: str) -> tuple[dict[str, int], str]:
-    """The base digest by the standard library's search, for tests."""
-    import re
-
-    out, counts = [], {}
-    plain = {"assign": rf"""(?:{_NAMES})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", "access": r"(AKIA[A-Z0-9]+)", "hex": r"([0-9a-f]+)"}
-    for i, (kind, least) in enumerate((("assign", 12), ("access", 18), ("hex", 16))):
-        hits = [m.span() for m in re.finditer(plain[kind], text) if len(m[1]) >= least]
-        counts[kind] = len(hits)
-        out += [(a, i, f"{kind}:{a}:{b}") for a, b in hits]
-    return counts, hashlib.sha256(",".join(x[2] for x in sorted(out)).encode()).hexdigest()

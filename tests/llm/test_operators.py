@@ -5,9 +5,9 @@ import random
 import zlib
 
 import numpy as np
+import plain
 import public_tokenizers as P
 import pytest
-import xxhash
 from pyspark.sql import functions as F
 
 from marlstone.llm import byte_bpe, language, lines, near_vectors, packing, quality, secrets, simhash, token_counts, topk
@@ -255,8 +255,7 @@ def test_secrets(spark, odd):
     texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(1, 14))) for _ in range(3000)]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     for r in secrets.digest(secrets.find_secrets(df)).collect():
-        counts, sha = secrets.brute(texts[r.doc_id])
-        assert (r.n_assign, r.n_access, r.n_hex, r.base_sha256) == (counts["assign"], counts["access"], counts["hex"], sha)
+        assert (r.n_assign, r.n_access, r.n_hex, r.base_sha256, r.spans) == plain.secret_digest(texts[r.doc_id])
     assert secrets.find_secrets(odd).count() == odd.count()
     clean = secrets.redact(odd)
     assert clean.columns == odd.columns and {r.text for r in clean.where("doc_id in (0, 6)").collect()} == {None, "[SECRET:assign]'"}
@@ -273,47 +272,6 @@ def test_language(spark, docs, odd, empty):
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
 
 
-def deleted_lines(docs, least):
-    """(key, mark, position) by the definition of the operator, with plain loops."""
-    seen = {(k, t) for k, t in docs if t}
-    order = sorted(seen, key=lambda x: (x[0] is not None, x[0] or 0, xxhash.xxh64_intdigest(x[1].encode(), 42) - (xxhash.xxh64_intdigest(x[1].encode(), 42) >> 63 << 64)))
-    held = {d: [(i, s) for i, s in enumerate(d[1].split("\n")) if s.split()] for d in order}
-    first, match = {}, {}
-    for d in order:
-        rows = held[d]
-        for i in range(len(rows)):
-            n, j = 0, i
-            while j < len(rows) and n < least:
-                n += len(rows[j][1].split())
-                j += 1
-            if n >= least:
-                content = tuple(s for _, s in rows[i:j])
-                if content in first:
-                    match[d, i] = (j - 1, first[content])
-                else:
-                    first[content] = (d, i)
-    gone = set()
-    for d in order:
-        rows = held[d]
-        starts = sorted(i for e, i in match if e == d)
-        covered = {k for i in starts for k in range(i, match[d, i][0] + 1)}
-        gone |= {(d, rows[k][0]) for k in covered}
-        for k in range(len(rows)):
-            if k in covered:
-                continue
-            for anchor, step in ((max((i for i in starts if i <= k), default=None), -1), (min((i for i in starts if i >= k), default=None), 1)):
-                if anchor is None:
-                    continue
-                (e, at), same, j = match[d, anchor][1], True, k
-                while j not in covered:
-                    other = j - anchor + at
-                    same &= 0 <= other < len(held[e]) and held[e][other][1] == rows[j][1]
-                    j += step
-                if same:
-                    gone.add((d, rows[k][0]))
-    return gone
-
-
 def test_lines(spark, odd, empty):
     rnd = random.Random(8)
     pool = [" ".join(f"w{rnd.randint(0, 30)}" for _ in range(rnd.randint(1, 7))) for _ in range(14)] + ["", "  "]
@@ -326,7 +284,7 @@ def test_lines(spark, odd, empty):
         texts.append("\n".join(text))
     rows = [(i, t) for i, t in enumerate(texts)] + [(70, "x y\n" * 40), (70, "x y\n" * 40), (None, texts[3]), (71, None), (72, "")]
     df = spark.createDataFrame([(k, t, 5, 6) for k, t in rows], "doc_id long, text string, idx int, mark int")
-    gone = deleted_lines(rows, 10)
+    gone = plain.deleted_lines(rows, 10)
     got = lines.dedup_lines(df, min_words=10, counts=True).collect()
     assert len(got) == len(rows)
     want = collections.Counter((k, None if t is None else "\n".join(s for i, s in enumerate(t.split("\n")) if ((k, t), i) not in gone)) for k, t in rows)
@@ -335,20 +293,11 @@ def test_lines(spark, odd, empty):
     assert lines.dedup_lines(odd).count() == odd.count() and lines.dedup_lines(empty).collect() == []
 
 
-def plain_fingerprint(text):
-    words = [w for w in "".join(c.lower() if c.isascii() else c for c in text).translate(dict.fromkeys((9, 10, 11, 12, 13), " ")).split(" ") if w]
-    if not words:
-        return 0
-    grams = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))]
-    h = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
-    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
-
-
 def kept_of_groups(rows, label):
     """One row of each group: the smallest key, null first, then the smallest hash of the text."""
     groups = {}
     for k, t in rows:
-        groups.setdefault(label[plain_fingerprint(t or "")], []).append(((k is not None, k or 0), hashlib.md5((t or "").encode()).digest(), k, t))
+        groups.setdefault(label[plain.fingerprint(t or "")], []).append(((k is not None, k or 0), hashlib.md5((t or "").encode()).digest(), k, t))
     return collections.Counter(min(g, key=lambda x: x[:2])[2:] for g in groups.values())
 
 
@@ -357,13 +306,8 @@ def test_simhash(spark, docs, odd, monkeypatch):
     base = rows[-1][1].split(" ")
     rows += [(1000 + i, " ".join(base[:i] + ["changed"] + base[i + 1 :])) for i in range(0, min(len(base), 60), 2)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    fps = [(k, plain_fingerprint(t or "")) for k, t in rows]
-    label = {f: f for _, f in fps}
-    for f in label:
-        for g in label:
-            if (f ^ g).bit_count() <= 4:
-                old, new = label[f], label[g]
-                label.update({x: min(old, new) for x in label if label[x] in (old, new)})
+    fps = [(k, plain.fingerprint(t or "")) for k, t in rows]
+    label = plain.fingerprint_labels([f for _, f in fps])
     least = {}
     for k, f in fps:
         if k is not None:
@@ -382,7 +326,7 @@ def test_simhash(spark, docs, odd, monkeypatch):
 def test_simhash_of_repeated_and_null_keys(spark):
     """Keys take no part in linking: unlike texts of one key, and of none, stay apart and all stay."""
     texts = [f"{w} " * 3 + f"stands {w} alone in text {w}" for w in ("alpha", "beta", "gamma", "delta", "epsilon", "zeta")]
-    fps = [plain_fingerprint(t) for t in texts]
+    fps = [plain.fingerprint(t) for t in texts]
     assert min((a ^ b).bit_count() for i, a in enumerate(fps) for b in fps[:i]) > 4
     rows = [(7, texts[0]), (7, texts[1]), (7, texts[0]), (None, texts[2]), (None, texts[3]), (None, texts[4]), (None, texts[4]), (8, texts[1]), (9, texts[5])]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
@@ -397,15 +341,3 @@ def test_covering_masks_miss_no_pair():
     for _ in range(20_000):
         diff = sum(1 << b for b in rnd.sample(range(64), 4))
         assert any(m & diff == 0 for m in masks)
-
-
-def test_pipeline(spark, docs):
-    import corpus_pipeline
-
-    one = docs
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        nxt = stage(spark, one, SF).cache()
-        assert nxt.columns == docs.columns and nxt.dtypes == docs.dtypes, name
-        assert nxt.count() <= one.count()
-        one = nxt
-    assert {r.doc_id for r in corpus_pipeline.run(spark, SF).select("doc_id").distinct().collect()} == {r.doc_id for r in one.select("doc_id").collect()}
