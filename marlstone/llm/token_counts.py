@@ -18,8 +18,9 @@ from pyspark.sql import DataFrame
 from marlstone.llm.byte_bpe import _JOINED
 from marlstone.llm.common import held, over_texts
 
-#: Trie nodes that a task keeps at most; beyond that it starts anew, which changes no result.
-NODES = 400_000
+#: Trie nodes, and pieces of text whose terminals are known, that a task keeps at most; beyond that it starts anew, which
+#: changes no result.
+NODES, PIECES = 800_000, 300_000
 
 #: Bytes of a pre-token that have nodes. Behind them only the last few scores are held, so that memory is bounded
 #: however long a pre-token is.
@@ -47,7 +48,8 @@ class ForwardTrie:
     def clear(self) -> None:
         self.children: dict[int, int] = {}
         self.best, self.count = [0], [0]
-        self.known: dict[str, list[int]] = {}  # terminals of the pre-tokens of a piece of text
+        # by what stands before it, a piece of text and the terminals of its pre-tokens, one alone as it is
+        self.known: dict[str, dict[str, int | list[int]]] = {"": {}, " ": {}}
         self.terminals: dict[int, int] = {}
 
     def _forward(self, word: bytes, i: int, best: list[int], count: list[int], at: list[int], behind: int) -> tuple[int, int]:
@@ -94,42 +96,49 @@ class ForwardTrie:
                 del scores[: -self.longest], tokens[: -self.longest]
         return -1, (scores[-1], tokens[-1])
 
-    def add(self, piece: str, times: int, split) -> tuple[int, int, int]:
-        """Count the pre-tokens of a piece of text ``times`` at their terminals: (pre-tokens, score, tokens), the latter
-        two of those without a terminal only."""
+    def add(self, piece: str, times: int, split) -> tuple[list[int], int, int]:
+        """Count the pre-tokens of a piece of text ``times`` at their terminals: these (-1: none), and the (score,
+        tokens) of those without one."""
         nodes, score, tokens = [], 0, 0
         for w in split(piece):
             node, (s, n) = self.insert(w.encode())
             nodes.append(node)
             score, tokens = score + s, tokens + n
-        if -1 not in nodes:
-            self.known[piece] = nodes
-        for node in nodes:
             if node >= 0:
                 self.terminals[node] = self.terminals.get(node, 0) + times
-        return times * len(nodes), times * score, times * tokens
+        return nodes, times * score, times * tokens
 
     def totals(self, text: str, split) -> tuple[int, int, int]:
         """(pre-tokens, score, tokens) of a whole text. Where single spaces part words, distinct ones are split once."""
         if not text:
             return 0, 0, 0
+        held = score = tokens = 0
         if "  " in text or text[-1] == " " or _JOINED.search(text):
-            pieces = Counter(m[0] for m in split.finditer(text))
+            pieces, space = Counter(split.findall(text)), ""
         else:
-            pieces = Counter([" " + x for x in text.split(" ")[1:]])
-            pieces[text.partition(" ")[0]] += 1
-        held = score = tokens = 0
+            first, *rest = text.split(" ")
+            pieces, space = Counter(rest), " "
+            nodes, score, tokens = self.add(first, 1, split.findall)
+            held = len(nodes)
+        known = self.known[space]
         for piece, times in pieces.items():
-            nodes = self.known.get(piece)
+            nodes = known.get(piece)
             if nodes is None:
-                if len(self.best) > self.limit or len(self.known) > self.limit:
+                if len(self.best) > self.limit or len(known) > PIECES:
                     s, n = self.collect()
                     score, tokens = score + s, tokens + n
                     self.clear()
-                k, s, n = self.add(piece, times, split.findall)
-                held, score, tokens = held + k, score + s, tokens + n
+                    known = self.known[space]
+                nodes, s, n = self.add(space + piece, times, split.findall)
+                held, score, tokens = held + times * len(nodes), score + s, tokens + n
+                if -1 not in nodes:
+                    known[piece] = nodes[0] if len(nodes) == 1 else nodes
                 continue
             terminals = self.terminals
+            if nodes.__class__ is int:  # nearly all pieces are one pre-token
+                held += times
+                terminals[nodes] = terminals.get(nodes, 0) + times
+                continue
             held += times * len(nodes)
             for node in nodes:
                 terminals[node] = terminals.get(node, 0) + times
