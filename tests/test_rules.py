@@ -42,7 +42,7 @@ def test_layers_and_scores(spark):
     rows = G.layered_impact(edges, primary, alike=alike, infra=nodes("conf"), docs=nodes("doc"), modules=nodes("m1", "m2", "a"), broad=broad)
     got = {r.node: (round(r.score, 2), r.layer) for r in rows.collect()}
     assert got == {"a": (2.0, "PRIMARY"), "b": (1.6, "DIRECT"), "c": (1.4, "DIRECT"), "d": (0.55, "INDIRECT"), "e": (2.45, "INDIRECT"), "m1": (1.45, "INDIRECT"), "conf": (0.5, "TRANSITIVE"), "doc": (0.35, "TRANSITIVE"), "m2": (0.3, "TRANSITIVE")}
-    assert [(r.n_files, r.score) for r in G.blast_score(rows).collect()] == [(9, 15 + 29)]
+    assert [(r.n_files, r.score) for r in G.blast_score(rows).collect()] == [(9, 15 + 30)]
 
 
 def test_checked_tasks(spark):
