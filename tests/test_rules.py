@@ -157,3 +157,22 @@ def test_sources_and_json(spark, tmp_path):
     assert made.select(X.compact_json(F.col("j")).alias("j")).first().j in ('{"un":"x","lnh":3.14,"n":7}',)
     s = made.select(X.json_structure(F.col("j")).alias("s")).first().s
     assert s.n_keys == 6 and "n: BIGINT" in s.types
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from marlstone.functions.lineage import cut_folder
+
+    def session(master, named=None):
+        seen = []
+        sc = SimpleNamespace(master=master, getCheckpointDir=lambda: seen[-1] if seen else None, setCheckpointDir=seen.append)
+        return SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda name, other: named or other))
+
+    for master in ("yarn", "spark://host:7077", "local-cluster[3,2,1024]", "k8s://https://host"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            cut_folder(session(master))
+        assert cut_folder(session(master, "/shared")) == "/shared"
+    assert all(cut_folder(session(m)) for m in ("local", "local[8]", "local[*]", "local[2,3]"))
