@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import byte_bpe, language, lines, near_vectors, packing, quality, secrets, simhash, token_counts, topk
+from marlstone.llm import alignment, byte_bpe, content_sort, language, lines, near_vectors, packing, prefix_trie, quality, secrets, simhash, token_counts, topk
 from marlstone.llm.common import table
 
 RANKS = {"path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
@@ -14,6 +14,8 @@ RANKS = {"path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": pub
 SEQUENCE, END_ID = 2048, 0
 #: Packing: the file whose added tokens count where a text spells them.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+#: Alignment: the second tokenizer. The first one has the ids of the JSON file above, whose ranks are in RANKS.
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +64,20 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_byte_bpe, op3_embedding_neardup, op4_best_fit_packing, op5_quality, op6_topk, op7_secret_scan, op8_language, op9_line_dedup, op10_simhash)}
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), **RANKS, model=PIECES)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie_nodes(prefix_trie.with_shared_beginnings(prefix_trie.turn_ids(table(spark, sf_dir, "conversations"))))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return content_sort.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+_OPERATORS = (op1_token_counts, op2_byte_bpe, op3_embedding_neardup, op4_best_fit_packing, op5_quality, op6_topk, op7_secret_scan, op8_language, op9_line_dedup, op10_simhash, op11_alignment, op12_prefix_trie, op13_exact_dedup)
+QUERIES = {f.__name__: f for f in _OPERATORS}
 
 
 def _line_sql(words: int) -> str:
@@ -134,11 +149,46 @@ SELECT doc_id, coalesce(n_assign, 0) n_assign, coalesce(n_access, 0) n_access, c
 FROM documents LEFT JOIN joined USING (doc_id)"""
 
 
+#: CRC-32 of the text s, bit by bit.
+_CRC32 = "xor(list_reduce(list_transform(range(1, length(s) + 1), lambda i: ascii(s[i])::BIGINT), lambda x, b: list_reduce(range(8), lambda y, k: xor(y >> 1, 3988292384 * (y & 1)), xor(x, b)), 4294967295::BIGINT), 4294967295)"
+
+_TRIE_SQL = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') r, coalesce(text, '') x FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT conv_id, list({{'r': r, 'x': x}} ORDER BY turn NULLS FIRST, md5(strlen(r) || ':' || r || x)) q, conv_id::VARCHAR s FROM t GROUP BY conv_id
+), cut AS (
+  SELECT *, {_CRC32} % 9 h FROM own
+), re AS (
+  SELECT c.conv_id, list_concat(coalesce(b.q, [])[:c.h], c.q[c.h + 1:]) q FROM cut c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 5
+), beginnings AS (
+  SELECT conv_id, len(q) total, d, q[:d] p FROM (SELECT *, unnest(range(len(q) + 1)) d FROM re)
+), nodes AS (
+  SELECT p, d, min(conv_id) conv_id, count(*) n, sha256(coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (total = d), '')) ends,
+         CASE WHEN d > 0 THEN (count(*) - 1) * strlen(p[d].x) ELSE 0 END saved
+  FROM beginnings GROUP BY p, d
+), up AS (
+  SELECT p, d, count(*) kids FROM (SELECT p[:d - 1] p, d - 1 d FROM nodes WHERE d > 0) GROUP BY p, d
+), own_sums AS (
+  SELECT n.*, coalesce(kids, 0) kids, (kids IS NULL)::BIGINT leaf FROM nodes n LEFT JOIN up USING (p, d)
+), sums AS (
+  SELECT p[:k] p, k d, sum(leaf)::BIGINT leaves, sum(saved)::BIGINT saved FROM (SELECT *, unnest(range(d + 1)) k FROM own_sums) GROUP BY p[:k], k
+)
+SELECT n.conv_id, n.d depth, m.conv_id parent_conv_id, n.n n_convs, n.kids n_children, s.leaves n_leaves, s.saved saved_tokens, n.ends ends_sha256
+FROM own_sums n JOIN sums s ON s.p = n.p AND s.d = n.d LEFT JOIN nodes m ON n.d > 0 AND m.d = n.d - 1 AND m.p = n.p[:n.d - 1]"""
+
+_CONTENT_SQL = r"""
+WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') norm FROM documents)
+SELECT doc_id, min(doc_id) OVER same keep_id, count(*) OVER same group_size, coalesce(row_number() OVER (same ORDER BY doc_id) = 1, false) kept, sha256(norm) text_sha256
+FROM t WINDOW same AS (PARTITION BY norm)"""
+
 _FINE = "embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))"
 
 ORACLES = {
     "op7_secret_scan": _secret_sql(),
     "op9_line_dedup": _line_sql(50),
+    "op12_prefix_trie": _TRIE_SQL,
+    "op13_exact_dedup": _CONTENT_SQL,
     "op3_embedding_neardup": f"""
 WITH RECURSIVE v AS (
   SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) e FROM embeddings
