@@ -27,10 +27,21 @@ def reach(edges: DataFrame, seeds: DataFrame, *, rounds: int | None = None, both
     back = edges.select(F.col("dst").alias("node"), F.col("src").alias("next"))
     if both:
         back = back.unionByName(edges.select(F.col("src").alias("node"), F.col("dst").alias("next")))
-    front = cut(seeds.select(F.col("node").alias("origin"), "node", F.lit(0).alias("depth")).distinct())
-    seen = front
+    return _found(seeds.select(F.col("node").alias("origin"), "node"), back, rounds)
+
+
+def distance(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """``node, depth``: what depends on any seed, with the shortest way to one; a node is a row, however many seeds it
+    depends on."""
+    return _found(seeds.select("node"), edges.select(F.col("dst").alias("node"), F.col("src").alias("next")), None)
+
+
+def _found(starts: DataFrame, back: DataFrame, rounds: int | None) -> DataFrame:
+    """Rows of ``starts`` at depth 0 and those that ``back`` (node, next) leads to from ``node``, once each."""
+    keys = starts.columns
+    front = seen = cut(starts.distinct().withColumn("depth", F.lit(0)))
     for depth in count(1) if rounds is None else range(1, rounds + 1):
-        new = front.join(back, "node").select("origin", F.col("next").alias("node")).distinct().join(seen.select("origin", "node"), ["origin", "node"], "left_anti")
+        new = front.join(back, "node").select(*keys[:-1], F.col("next").alias("node")).distinct().join(seen.select(keys), keys, "left_anti")
         front = cut(new.withColumn("depth", F.lit(depth)))
         if front.isEmpty():
             break

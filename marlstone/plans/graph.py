@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from marlstone.operators import cycles, reach_sets
 from marlstone.operators import graph as G
 from marlstone.sources.tables import table as t
 
@@ -26,7 +27,7 @@ def hubs(s, d, n=20):
 
 
 _HUBS = "hubs AS (SELECT dst node FROM e GROUP BY 1 ORDER BY count(DISTINCT src) DESC, 1 LIMIT 20)"
-_REACH = f"WITH RECURSIVE e AS ({_E}), {_HUBS}, r AS (SELECT node origin, node, 0 \"depth\" FROM hubs UNION SELECT origin, src, \"depth\" + 1 FROM r JOIN e ON e.dst = r.node WHERE \"depth\" < 6), b AS (SELECT origin, node, min(\"depth\")::INTEGER \"depth\" FROM r GROUP BY ALL) "
+_REACH = f"WITH RECURSIVE e AS ({_E}), {_HUBS}, r AS (SELECT node origin, node, 0 \"depth\" FROM hubs UNION SELECT origin, src, \"depth\" + 1 FROM r JOIN e ON e.dst = r.node), b AS (SELECT origin, node, min(\"depth\")::INTEGER \"depth\" FROM r GROUP BY ALL) "
 
 
 def moves(s, d):
@@ -86,16 +87,18 @@ QUERIES = {
     "E3_critical": lambda s, d: G.most_used(edges(s, d), 20),
     "E6_dependency_summary": lambda s, d: G.most_used(edges(s, d), 5).withColumn("what", F.lit("most used")).unionByName(edges(s, d).agg(F.lit("edges").alias("node"), F.count(F.lit(1)).alias("callers"), F.lit("total").alias("what"))).unionByName(edges(s, d).agg(F.lit("used nodes").alias("node"), F.count_distinct("dst").alias("callers"), F.lit("total").alias("what"))),
     "E19_blast_score": lambda s, d: G.blast_score(_layers(s, d)),
-    "G1_blast_radius": lambda s, d: G.dependents(edges(s, d), hubs(s, d), rounds=6),
+    "G1_blast_radius": lambda s, d: G.dependents(edges(s, d), hubs(s, d)),
+    "G1_reach_counts": lambda s, d: reach_sets.reach_counts(edges(s, d)),
     "G2_direct": lambda s, d: edges(s, d).join(hubs(s, d).withColumnRenamed("node", "dst"), "dst", "left_semi"),
     "G3_impact": lambda s, d: G.impact(edges(s, d), hubs(s, d)),
     "G4_neighbourhood": lambda s, d: G.reach(edges(s, d), t(s, d, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("node")), rounds=2, both=True).groupBy("origin", "depth").agg(F.count(F.lit(1)).alias("n")),
     "G5_layered_impact": _layers,
-    "G6_staleness": lambda s, d: G.reach(edges(s, d), t(s, d, "customer").where("c_acctbal < -500").select(F.concat(F.lit("c"), "c_custkey").alias("node"))).groupBy("node").agg(F.min("depth").alias("distance")),
-    "G7_cycles": lambda s, d: G.levels(moves(s, d)).select("node", F.col("level").isNull().alias("behind_cycle")),
+    "G6_staleness": lambda s, d: G.distance(edges(s, d), t(s, d, "customer").where("c_acctbal < -500").select(F.concat(F.lit("c"), "c_custkey").alias("node"))).withColumnRenamed("depth", "distance"),
+    "G7_components": lambda s, d: cycles.components(moves(s, d)),
+    "G7_cycles": lambda s, d: cycles.components(moves(s, d)).select("node", "behind_cycle"),
     "G7_tasks": lambda s, d: G.checked_tasks(moves(s, d), moves(s, d).select(F.col("src").alias("node"))),
     "G8_levels": lambda s, d: G.levels(edges(s, d)),
-    "G9_closed_paths": lambda s, d: G.on_cycle(moves(s, d), moves(s, d).select(F.col("src").alias("node")).union(moves(s, d).select("dst"))),
+    "G9_closed_paths": lambda s, d: cycles.components(moves(s, d)).select("node", F.col("on_cycle").alias("cyclic")),
 }
 
 _MOVES = "SELECT DISTINCT node src, nxt dst FROM (SELECT node, lead(node) OVER (PARTITION BY user_id ORDER BY ts, event_id) nxt FROM (SELECT *, user_id || ':' || event_type || ':' || floor(json_extract_string(props, '$.k')::BIGINT / 10)::BIGINT node FROM events)) WHERE nxt IS NOT NULL"
@@ -113,6 +116,8 @@ ORACLES = {
     "G4_neighbourhood": f"WITH RECURSIVE e AS ({_E}), n AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e), r AS (SELECT 'n' || n_nationkey origin, 'n' || n_nationkey node, 0 \"depth\" FROM nation UNION SELECT origin, dst, \"depth\" + 1 FROM r JOIN n ON n.src = r.node WHERE \"depth\" < 2), b AS (SELECT origin, node, min(\"depth\")::INTEGER \"depth\" FROM r GROUP BY ALL) SELECT origin, \"depth\", count(*) n FROM b GROUP BY ALL",
     "G5_layered_impact": _LAYERS + "SELECT * FROM l",
     "G6_staleness": f"WITH RECURSIVE e AS ({_E}), r AS (SELECT 'c' || c_custkey node, 0 \"depth\" FROM customer WHERE c_acctbal < -500 UNION SELECT src, \"depth\" + 1 FROM r JOIN e ON e.dst = r.node) SELECT node, min(\"depth\")::INTEGER distance FROM r GROUP BY 1",
+    "G1_reach_counts": f"WITH RECURSIVE e AS ({_E}), nodes AS (SELECT src node FROM e UNION SELECT dst FROM e), r AS (SELECT dst origin, src node, 1 \"depth\" FROM e UNION SELECT origin, src, \"depth\" + 1 FROM r JOIN e ON e.dst = r.node), b AS (SELECT origin, node, min(\"depth\") \"depth\" FROM r WHERE origin <> node GROUP BY ALL), c AS (SELECT origin, count(*) n, count(*) FILTER (\"depth\" = 1) n1, max(\"depth\") far FROM b GROUP BY 1) SELECT node, coalesce(n, 0) n_reach, coalesce(n1, 0) n_direct, coalesce(far, 0)::INTEGER max_depth FROM nodes LEFT JOIN c ON origin = node",
+    "G7_components": f"WITH RECURSIVE m AS ({_MOVES}), r AS (SELECT src a, dst b FROM m UNION SELECT a, dst FROM r JOIN m ON b = src), nodes AS (SELECT src node FROM m UNION SELECT dst FROM m), c AS (SELECT x.a node, min(x.b) least, count(*) size FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY 1), k AS (SELECT DISTINCT a node FROM r WHERE b IN (SELECT node FROM c)) SELECT node, coalesce(least, node) component, coalesce(size, 1)::BIGINT size, c.node IS NOT NULL on_cycle, k.node IS NOT NULL behind_cycle FROM nodes LEFT JOIN c USING (node) LEFT JOIN k USING (node)",
     "G7_cycles": f"WITH RECURSIVE m AS ({_MOVES}), r AS (SELECT src a, dst b FROM m UNION SELECT a, dst FROM r JOIN m ON b = src), c AS (SELECT a FROM r WHERE a = b), nodes AS (SELECT src node FROM m UNION SELECT dst FROM m) SELECT node, node IN (SELECT a FROM c) OR EXISTS (SELECT 1 FROM r WHERE r.a = node AND r.b IN (SELECT a FROM c)) behind_cycle FROM nodes",
     # nodes without successors are no tasks: what leads to them is missing
     "G7_tasks": f"""WITH RECURSIVE m AS ({_MOVES}), tasks AS (SELECT DISTINCT src node FROM m), i AS (SELECT src, dst FROM m WHERE dst IN (SELECT node FROM tasks)), r AS (SELECT src a, dst b FROM i UNION SELECT a, dst FROM r JOIN i ON b = src), c AS (SELECT a FROM r WHERE a = b),
