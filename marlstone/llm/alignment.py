@@ -97,7 +97,7 @@ class Pieces:
         fine = [u for u in units if u[0]]
         n = sum(len(u[1]) for u in units)
         counts, groups = np.zeros((n, 4), np.int64), [""] * n
-        where = np.repeat([u[0] for u in units], [len(u[1]) for u in units])
+        where = np.array([u[0] for u in units for _ in u[1]], bool)
         counts[~where, 3] = -1
         if fine:
             a, b = (np.fromiter((i for u in fine for i in u[k]), np.int64) for k in (2, 3))

@@ -30,6 +30,16 @@ def normalised(text: str) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+", " ")
 
 
+def runs(texts: DataFrame) -> DataFrame:
+    """Rows ``key, norm, h, piece`` sorted by contents: ``nth`` of its run of equal texts and pieces, the run's smallest
+    key and size, and for a piece's first row the text."""
+    alike = ["lead", "h", "piece", "norm"]
+    ranges = texts.withColumn("lead", F.substring("norm", 1, LEAD)).repartitionByRange(*alike[:-1])
+    order = Window.partitionBy(*alike).orderBy(F.col("key").asc_nulls_last())
+    found = ranges.select("key", *alike, F.row_number().over(order).alias("nth"), F.first("key").over(order).alias("keep"), F.count(F.lit(1)).over(Window.partitionBy(*alike)).alias("n"))
+    return found.select("key", "nth", "keep", "n", F.sha2("norm", 256).alias("mark"), "piece", F.when(F.col("piece").isNotNull() & (F.col("nth") == 1), F.col("norm")).alias("norm"))
+
+
 def exact_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shares: int = SHARES) -> DataFrame:
     """``key, keep_id, group_size, kept, text_sha256`` of every row.
 
@@ -44,23 +54,14 @@ def exact_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text"
     often = sizes.where(F.col("n") > 1).withColumn("pieces", F.least(F.ceil(share), F.col("n"))).where("pieces > 1").select("h", "pieces")
     own = F.pmod(F.xxhash64("key", F.spark_partition_id()), F.col("pieces"))
     dealt = texts.join(F.broadcast(often), "h", "left").withColumn("piece", F.when(F.col("pieces").isNotNull(), own)).drop("pieces")
-    alike = ["lead", "h", "piece", "norm"]
-    ranges = dealt.withColumn("lead", F.substring("norm", 1, LEAD)).repartitionByRange(*[F.col(c) for c in alike[:-1]])
-    order = Window.partitionBy(*alike).orderBy(F.col("key").asc_nulls_last())
+    alike = cut(runs(dealt))
     split, head = F.col("piece").isNotNull(), F.col("nth") == 1
-    runs = ranges.select(
-        "key", *alike,
-        F.row_number().over(order).alias("nth"),
-        F.first("key").over(order).alias("keep"),
-        F.count(F.lit(1)).over(Window.partitionBy(*alike)).alias("n"),
-    ).select("key", "nth", "keep", "n", F.sha2("norm", 256).alias("mark"), "piece", F.when(split & head, F.col("norm")).alias("norm"))
-    runs = cut(runs)
     first = F.struct(F.col("keep").isNull().alias("none"), F.col("keep").alias("keep"), F.col("piece").alias("piece"))
     # one row for each piece of a text that was cut, fewer than three times SHARES in all
-    heads = runs.where(split & head).groupBy("norm").agg(F.min(first).alias("first"), F.sum("n").alias("n"), F.first("mark").alias("mark"))
+    heads = alike.where(split & head).groupBy("norm").agg(F.min(first).alias("first"), F.sum("n").alias("n"), F.first("mark").alias("mark"))
     whole = F.broadcast(heads.select("mark", F.col("n").alias("whole_n"), F.col("first.keep").alias("whole_keep"), F.col("first.piece").alias("whole_piece")))
-    cut_up = runs.where(split).join(whole, "mark").select("key", "mark", F.col("whole_keep").alias("keep"), F.col("whole_n").alias("n"), (head & (F.col("piece") == F.col("whole_piece"))).alias("kept"))
-    every = runs.where(~split).select("key", "mark", "keep", "n", head.alias("kept")).unionByName(cut_up)
+    cut_up = alike.where(split).join(whole, "mark").select("key", "mark", F.col("whole_keep").alias("keep"), F.col("whole_n").alias("n"), (head & (F.col("piece") == F.col("whole_piece"))).alias("kept"))
+    every = alike.where(~split).select("key", "mark", "keep", "n", head.alias("kept")).unionByName(cut_up)
     return every.select(F.col("key").alias(key), F.col("keep").alias("keep_id"), F.col("n").alias("group_size"), "kept", F.col("mark").alias("text_sha256"))
 
 
