@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.operators.carry import carried
+
 
 def tail(df: DataFrame, n: int, *order: str) -> DataFrame:
     """The last ``n`` rows."""
@@ -77,50 +79,54 @@ def latest(df: DataFrame, key: str, *order: str) -> DataFrame:
     return df.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
 
 
-def transitions(df: DataFrame, entity: str, state: str, allowed: DataFrame, *order: str, initial: str) -> DataFrame:
-    """Each step with its state before and whether ``allowed(from_state, to_state)`` has it. The table is a policy's."""
-    w = Window.partitionBy(entity).orderBy(*order)
-    steps = df.withColumn("from_state", F.lag(state, 1, initial).over(w)).withColumn("to_state", F.col(state))
-    return steps.join(F.broadcast(allowed.withColumn("valid", F.lit(True))), ["from_state", "to_state"], "left").withColumn("valid", F.coalesce("valid", F.lit(False)))
+def transitions(df: DataFrame, entity: str | list[str], state: str, allowed: DataFrame, *order: str, initial: str, machine: str | None = None) -> DataFrame:
+    """Each step with its state before and whether ``allowed(from_state, to_state)`` has it. The table is a policy's.
 
+    With ``machine``, a column of both tables, an entity steps in a machine of its own."""
+    at = ([entity] if isinstance(entity, str) else entity) + ([machine] if machine else [])
+    steps = carried(df, at, *order, before={"from_state": (state, initial)}).withColumn("to_state", F.col(state))
+    return steps.join(F.broadcast(allowed.withColumn("valid", F.lit(True))), ["from_state", "to_state", *([machine] if machine else [])], "left").withColumn("valid", F.coalesce("valid", F.lit(False)))
 
-def first_breach(df: DataFrame, key: str, amount: str, *order: str, hard: float, soft: float) -> DataFrame:
-    """The first row of each key whose running total exceeds the hard limit, and the first that reaches the soft one."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    run = df.withColumn("running", F.sum(amount).over(w))
+
+def breaches(df: DataFrame, key: str, budgets: dict[str, tuple[Column, float | None, float]], *order: str) -> DataFrame:
+    """``key, budget, hard_breach, soft_breach``: the first row of each key at which the running total of a budget
+    (amount, soft limit or none, hard limit) exceeds the hard limit, and the first that reaches the soft one."""
+    run = carried(df, key, *order, sums={name: amount for name, (amount, _, _) in budgets.items()})
     at = F.struct(*order)
-    return run.groupBy(key).agg(F.min_by("event_id", F.when(F.col("running") > hard, at)).alias("hard_breach"), F.min_by("event_id", F.when(F.col("running") >= soft, at)).alias("soft_breach"))
+    first = lambda x: F.min_by("event_id", F.when(x, at)) if x is not None else F.lit(None).cast("bigint")
+    each = [F.struct(F.lit(name).alias("budget"), first(F.col(name) > hard).alias("hard_breach"), first(None if soft is None else F.col(name) >= soft).alias("soft_breach")) for name, (_, soft, hard) in budgets.items()]
+    return run.groupBy(key).agg(F.array(*each).alias("b")).select(key, F.inline("b"))
+
+
+def first_breach(df: DataFrame, key: str, amount: str, *order: str, hard: float, soft: float) -> DataFrame:
+    """``breaches`` of one budget."""
+    return breaches(df, key, {"running": (F.col(amount), soft, hard)}, *order).drop("budget")
 
 
 def grants(requests: DataFrame, key: str, budget: int, *order: str) -> DataFrame:
     """Requests in order: granted while the budget lasts."""
-    rn = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    return requests.withColumn("nth", rn).withColumn("granted", F.col("nth") <= budget)
+    return carried(requests, key, *order, nth="nth").withColumn("granted", F.col("nth") <= budget)
 
 
 def retention(records: DataFrame, layer: str, keep: int, *order: str) -> DataFrame:
-    """Records with their status: the newest ``keep`` of a layer are ACTIVE, older ones ARCHIVED.
-
-    Only the rank from the newest matters, so that rows far beyond the limit need no exact rank.
-    """
-    rn = F.row_number().over(Window.partitionBy(layer).orderBy(*[F.desc(c) for c in order]))
-    return records.withColumn("status", F.when(rn <= keep, "ACTIVE").otherwise("ARCHIVED"))
+    """Records with their status: the newest ``keep`` of a layer are ACTIVE, older ones ARCHIVED."""
+    ranked = carried(records, layer, *order, nth="_nth", total="_total")
+    return ranked.withColumn("status", F.when(F.col("_total") - F.col("_nth") < keep, "ACTIVE").otherwise("ARCHIVED")).drop("_nth", "_total")
 
 
 def checkpoint_stack(events: DataFrame, key: str, keep: int, *order: str) -> DataFrame:
     """The last ``keep`` states of each key, each with the one to roll back to."""
-    w = Window.partitionBy(key).orderBy(*order)
-    rows = events.withColumn("rollback_to", F.lag("event_id").over(w))
-    return rows.withColumn("depth", F.row_number().over(Window.partitionBy(key).orderBy(*[F.desc(c) for c in order]))).where(F.col("depth") <= keep)
+    rows = carried(events, key, *order, before={"rollback_to": ("event_id", None)}, nth="_nth", total="_total")
+    return rows.withColumn("depth", F.col("_total") - F.col("_nth") + 1).drop("_nth", "_total").where(F.col("depth") <= keep)
 
 
 def changes(df: DataFrame, key: str, value: str, threshold: float, *order: str) -> DataFrame:
     """Rows whose value differs from the one before (0 at first) by more than the threshold."""
-    return df.withColumn("change", F.abs(F.col(value) - F.lag(value, 1, 0.0).over(Window.partitionBy(key).orderBy(*order)))).where(F.col("change") > threshold)
+    return carried(df, key, *order, before={"_before": (value, 0.0)}).withColumn("change", F.abs(F.col(value) - F.col("_before"))).drop("_before").where(F.col("change") > threshold)
 
 
 def replay(events: DataFrame, key: str, *order: str) -> DataFrame:
-    return events.withColumn("step", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+    return carried(events, key, *order, nth="step")
 
 
 def in_order(df: DataFrame, key: str, given: str, *order: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.lineage import cut
+from marlstone.operators.carry import carried
 
 c = F.col
 
@@ -97,7 +98,7 @@ def entropy_sample(rows: DataFrame, key: str, text: Column, *order: str, ratio:
     and 7 bits; it gives rows at equal distances until the key's budget is used up. The first and last rows stay.
     """
     by = Window.partitionBy(key)
-    at = rows.withColumn("_i", F.row_number().over(by.orderBy(*order)) - 1).withColumn("_n", F.count(F.lit(1)).over(by))
+    at = carried(rows, key, *order, nth="_i", total="_n").withColumn("_i", c("_i") - 1)
     at = cut(at.withColumn("_size", F.greatest(F.lit(1), F.floor(c("_n") / chunks))).withColumn("chunk", F.floor(c("_i") / c("_size"))).withColumn("_text", text))
     chars = at.select(key, "chunk", F.explode(F.split("_text", "")).alias("ch")).where("ch <> ''").groupBy(key, "chunk", "ch").agg(F.count(F.lit(1)).alias("n"))
     entropy = chars.groupBy(key, "chunk").agg((F.log2(F.sum("n")) - F.sum(c("n") * F.log2("n")) / F.sum("n")).alias("h"))

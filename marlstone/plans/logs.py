@@ -13,6 +13,16 @@ _CTE = f"WITH e AS ({_E}) "
 
 # fixed values: which event may follow which, the criteria with weights, and who may read which layer
 ALLOWED = [("start", "signup"), ("signup", "view"), ("view", "click"), ("view", "view"), ("click", "purchase"), ("click", "view"), ("purchase", "view"), ("error", "view"), ("view", "error"), ("click", "error")]
+# fixed values: the states of each machine in order, the first one where it starts, and where each may go
+MACHINES = {
+    "operation": {"IDLE": ["RUNNING", "PAUSED"], "RUNNING": ["WAITING_APPROVAL", "FAILED", "PAUSED", "STOPPED", "COMPLETED"], "WAITING_APPROVAL": ["RUNNING", "PAUSED", "STOPPED", "COMPLETED"], "FAILED": ["RECOVERING", "PAUSED", "STOPPED"], "RECOVERING": ["RUNNING", "FAILED", "STOPPED"], "PAUSED": ["RUNNING", "STOPPED"], "STOPPED": ["IDLE"], "COMPLETED": ["IDLE"]},
+    "engine": {"CREATED": ["READY", "FAILED"], "READY": ["RUNNING", "FAILED"], "RUNNING": ["WAITING_APPROVAL", "RETRYING", "COMPLETED", "FAILED", "TERMINATED"], "WAITING_APPROVAL": ["RUNNING", "TERMINATED"], "RETRYING": ["RUNNING", "FAILED"], "COMPLETED": [], "FAILED": [], "TERMINATED": []},
+    "daemon": {"IDLE": ["RUNNING"], "RUNNING": ["VERIFYING", "FAILED"], "VERIFYING": ["COMMITTED", "REJECTED", "FAILED"], "COMMITTED": ["IDLE"], "REJECTED": ["IDLE"], "FAILED": ["RECOVERING", "FAILED_FINAL"], "RECOVERING": ["IDLE", "FAILED_FINAL"], "FAILED_FINAL": []},
+    "memory": {"CREATED": ["INDEXED", "DEPRECATED"], "INDEXED": ["ACTIVE", "DEPRECATED"], "ACTIVE": ["ARCHIVED", "FROZEN", "DEPRECATED"], "ARCHIVED": ["DEPRECATED"], "FROZEN": ["DEPRECATED"], "DEPRECATED": []},
+    "approval": {"PENDING": ["APPROVED", "REJECTED", "EXPIRED", "ESCALATED"], "ESCALATED": ["APPROVED", "REJECTED"], "APPROVED": [], "REJECTED": [], "EXPIRED": []},
+}
+# fixed values: soft and hard limits of iterations, tokens, time and violations of safety (no soft one)
+BUDGETS = {"iterations": (4, 5), "tokens": (80_000, 100_000), "time": (45.0, 60.0), "violations": (None, 0)}
 CRITERIA = [("signup", 30), ("view", 10), ("click", 20), ("purchase", 30), ("error", 10)]
 READS = [("user", "working"), ("user", "semantic"), ("assistant", "working"), ("assistant", "episodic"), ("assistant", "semantic"), ("assistant", "experience"), ("system", "working"), ("system", "human_knowledge")]
 
@@ -29,6 +39,20 @@ def _steps(s, d):
     return L.transitions(ev(s, d), "trace_id", "event_type", _rows(s, ALLOWED, "from_state string, to_state string"), "ts", "event_id", initial="start")
 
 
+def _in_machines(s, d):
+    """Events as steps of all five machines: in each, the type and k say which state is asked for."""
+    kind = F.array_position(F.array(*[F.lit(x) for x in ("signup", "view", "click", "purchase", "error")]), F.col("event_type"))
+    machines = F.array(*[F.struct(F.lit(m).alias("machine"), F.array(*[F.lit(x) for x in states]).alias("states")) for m, states in MACHINES.items()])
+    steps = ev(s, d).select("*", F.inline(machines)).withColumn("state", F.element_at("states", ((kind + F.col("k")) % F.size("states") + 1).cast("int")))
+    allowed = _rows(s, [(m, a, b) for m, states in MACHINES.items() for a, to in states.items() for b in to] + [(m, "new", next(iter(states))) for m, states in MACHINES.items()], "machine string, from_state string, to_state string")
+    return L.transitions(steps.select("event_id", "trace_id", "ts", "machine", "state"), "trace_id", "state", allowed, "ts", "event_id", initial="new", machine="machine")
+
+
+def _budgets():
+    amounts = {"iterations": F.lit(1), "tokens": F.col("k") * 1000, "time": F.col("value"), "violations": F.col("failed").cast("int")}
+    return {name: (amounts[name], *BUDGETS[name]) for name in BUDGETS}
+
+
 def _layered(s, d):
     c = t(s, d, "conversations")
     return c.select("conv_id", "turn", "role", F.element_at(F.array(*[F.lit(x) for x in ("working", "episodic", "semantic", "human_knowledge", "experience")]), (F.col("turn") % 5 + 1).cast("int")).alias("layer"))
@@ -68,14 +92,16 @@ QUERIES = {
     "E26_calibration": lambda s, d: t(s, d, "documents").groupBy("lang").agg(F.round(F.sum(F.length("text")) / F.sum(F.size(F.split("text", " "))), 2).alias("divisor")),
     "F2_latest": lambda s, d: L.latest(ev(s, d), "trace_id", "ts", "event_id").where("event_type <> 'error'").select("trace_id", "event_id", "event_type"),
     "F3_transition_validation": lambda s, d: _steps(s, d).groupBy("from_state", "to_state", "valid").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("trace_id").alias("entities")),
+    "F3_machines": lambda s, d: _in_machines(s, d).groupBy("machine", "from_state", "to_state", "valid").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("trace_id").alias("entities")),
     "F3_violations": lambda s, d: _steps(s, d).where("not valid").select("event_id", "trace_id", "from_state", "to_state"),
     "F4_budget_breach": lambda s, d: L.first_breach(ev(s, d), "trace_id", "k", "ts", "event_id", hard=1500, soft=1000),
-    "F5_heal_budget": lambda s, d: L.grants(ev(s, d).where("failed"), "trace_id", 3, "ts", "event_id").select("event_id", "trace_id", "nth", "granted"),
+    "F4_budgets": lambda s, d: L.breaches(ev(s, d), "trace_id", _budgets(), "ts", "event_id"),
+    "F5_heal_budget": lambda s, d: L.grants(ev(s, d).where("failed"), "trace_id", 3, "ts", "event_id").select("event_id", "trace_id", F.col("nth").cast("int").alias("nth"), "granted"),
     "F6_retention": lambda s, d: L.retention(ev(s, d), "trace_id", 20, "ts", "event_id").select("event_id", "status"),
-    "F7_checkpoints": lambda s, d: L.checkpoint_stack(ev(s, d), "trace_id", 10, "ts", "event_id").select("trace_id", "event_id", "rollback_to", "depth"),
+    "F7_checkpoints": lambda s, d: L.checkpoint_stack(ev(s, d), "trace_id", 10, "ts", "event_id").select("trace_id", "event_id", "rollback_to", F.col("depth").cast("int").alias("depth")),
     "F8_changes": lambda s, d: L.changes(ev(s, d), "trace_id", "value", 10.0, "ts", "event_id").select("event_id", F.round("change", 4).alias("change")),
     "F9_timeline": lambda s, d: L.tail(t(s, d, "events").where("event_type = 'purchase'"), 20, "ts", "event_id").select("event_id", "user_id"),
-    "F11_replay": lambda s, d: L.replay(ev(s, d), "trace_id", "ts", "event_id").select("trace_id", "event_id", "step"),
+    "F11_replay": lambda s, d: L.replay(ev(s, d), "trace_id", "ts", "event_id").select("trace_id", "event_id", F.col("step").cast("int").alias("step")),
     "F12_ordering": lambda s, d: L.in_order(t(s, d, "conversations"), "conv_id", "turn", "turn"),
     "K8_record_query": lambda s, d: ev(s, d).where("event_type = 'click' and k = 7").orderBy("ts", "event_id").limit(100).select("event_id", "trace_id", "k"),
     "K12_audit_hash": lambda s, d: L.event_hashes(ev(s, d), "event_id", "trace_id", "event_type", "k"),
@@ -88,6 +114,11 @@ QUERIES = {
 
 _LAG = f"SELECT e.*, lag(event_type, 1, 'start') OVER (PARTITION BY trace_id ORDER BY ts, event_id) from_state FROM ({_E}) e"
 _STEPS = f"SELECT x.*, x.event_type to_state, a.col0 IS NOT NULL valid FROM ({_LAG}) x LEFT JOIN {_values(ALLOWED)} a ON a.col0 = x.from_state AND a.col1 = x.event_type"
+_TURN = ", ".join(f"('{m}', {list(states)})" for m, states in MACHINES.items())
+_MAY = ", ".join([f"('{m}', '{a}', '{b}')" for m, states in MACHINES.items() for a, to in states.items() for b in to] + [f"('{m}', 'new', '{next(iter(states))}')" for m, states in MACHINES.items()])
+_MACHINES = f"WITH e AS ({_E}), x AS (SELECT e.*, m machine, st[(list_position(['signup','view','click','purchase','error'], event_type) + k) % len(st) + 1] to_state FROM e, (VALUES {_TURN}) v(m, st)), l AS (SELECT *, lag(to_state, 1, 'new') OVER (PARTITION BY machine, trace_id ORDER BY ts, event_id) from_state FROM x) "
+_RUNNING = {"iterations": "1", "tokens": "k * 1000", "time": "value", "violations": "failed::INTEGER"}
+_BREACH = lambda name, soft, hard: f"SELECT trace_id, '{name}' budget, arg_min(event_id, (ts, event_id)) FILTER (running > {hard}) hard_breach, " + ("NULL::BIGINT" if soft is None else f"arg_min(event_id, (ts, event_id)) FILTER (running >= {soft})") + f" soft_breach FROM (SELECT *, sum({_RUNNING[name]}) OVER (PARTITION BY trace_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) running FROM e) GROUP BY 1"
 _RANK = "row_number() OVER (PARTITION BY trace_id ORDER BY ts DESC, event_id DESC)"
 
 ORACLES = {
@@ -111,8 +142,10 @@ ORACLES = {
     "E26_calibration": "SELECT lang, round(sum(length(text)) / sum(len(string_split(text, ' ')))::DOUBLE, 2) divisor FROM documents GROUP BY 1",
     "F2_latest": _CTE + f"SELECT trace_id, event_id, event_type FROM (SELECT *, {_RANK} r FROM e) WHERE r = 1 AND event_type <> 'error'",
     "F3_transition_validation": f"SELECT from_state, to_state, valid, count(*) n, count(DISTINCT trace_id) entities FROM ({_STEPS}) GROUP BY ALL",
+    "F3_machines": _MACHINES + f"SELECT l.machine, l.from_state, l.to_state, a.m IS NOT NULL valid, count(*) n, count(DISTINCT trace_id) entities FROM l LEFT JOIN (VALUES {_MAY}) a(m, f, t) ON a.m = machine AND f = from_state AND t = to_state GROUP BY ALL",
     "F3_violations": f"SELECT event_id, trace_id, from_state, to_state FROM ({_STEPS}) WHERE NOT valid",
     "F4_budget_breach": _CTE + ", r AS (SELECT *, sum(k) OVER (PARTITION BY trace_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) running FROM e) SELECT trace_id, arg_min(event_id, (ts, event_id)) FILTER (running > 1500) hard_breach, arg_min(event_id, (ts, event_id)) FILTER (running >= 1000) soft_breach FROM r GROUP BY 1",
+    "F4_budgets": _CTE + " UNION ALL ".join(_BREACH(name, *limits) for name, limits in BUDGETS.items()),
     "F5_heal_budget": _CTE + ", r AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY ts, event_id)::INTEGER nth FROM e WHERE failed) SELECT event_id, trace_id, nth, nth <= 3 granted FROM r",
     "F6_retention": _CTE + f"SELECT event_id, CASE WHEN {_RANK} <= 20 THEN 'ACTIVE' ELSE 'ARCHIVED' END status FROM e",
     "F7_checkpoints": _CTE + f", r AS (SELECT trace_id, event_id, lag(event_id) OVER (PARTITION BY trace_id ORDER BY ts, event_id) rollback_to, {_RANK}::INTEGER \"depth\" FROM e) SELECT * FROM r WHERE \"depth\" <= 10",
