@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows in a shard and queries in a block.
 SHARD, BLOCK = 8192, 512
+#: Fingerprints of one key in a chunk of near pairs.
+SHARED = 1024
 
 
 def word_counts(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -151,15 +153,21 @@ def near_pairs(index: DataFrame, within: int = 3) -> DataFrame:
 
     A fingerprint has two halves of four bands of 16 bits. At most ``within`` bands differ, so at least (8 - within) / 2
     bands of one half agree: the keys are all choices of so many bands of a half, 48 bits for three differing bits, which
-    unlike texts hardly ever share. Equal fingerprints are one before the join.
+    unlike texts hardly ever share. Equal fingerprints are one before the join. Those of a key that many share fall into
+    chunks, and each pair of chunks is joined under numbers of its own, so that one key's pairs go to many tasks.
     """
     one = index.groupBy("fp_hi", "fp_lo").agg(F.min("id").alias("id"))
     band = lambda c, j: F.shiftrightunsigned(c, 16 * j).bitwiseAND(0xFFFF)
     keys = [(c, some) for c in ("fp_hi", "fp_lo") for some in combinations(range(4), -(-(8 - within) // 2))]
     bands = F.array(*[F.struct(F.lit(i).alias("band"), F.xxhash64(*[band(c, j) for j in some]).alias("bits")) for i, (c, some) in enumerate(keys)])
     x = one.select("id", "fp_hi", "fp_lo", F.explode(bands).alias("b")).select("id", "fp_hi", "fp_lo", "b.*")
+    many = x.groupBy("band", "bits").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SHARED).select("band", "bits", F.ceil(F.col("n") / SHARED).cast("int").alias("parts"))
+    dealt = x.join(many, ["band", "bits"], "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    lower = dealt.withColumn("low", F.col("chunk")).withColumn("high", F.explode(F.expr("sequence(chunk, parts - 1)")))
+    upper = dealt.withColumn("high", F.col("chunk")).withColumn("low", F.explode(F.expr("sequence(0, chunk)")))
     d = distance("l", "r")
-    return x.alias("l").join(x.alias("r"), F.expr("l.band = r.band and l.bits = r.bits and l.id < r.id")).where(d <= within).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), d.alias("distance")).distinct()
+    pairs = lower.alias("l").join(upper.alias("r"), F.expr("l.band = r.band and l.bits = r.bits and l.low = r.low and l.high = r.high and (l.low < l.high or l.id < r.id)"))
+    return pairs.where(d <= within).select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b"), d.alias("distance")).distinct()
 
 
 def aura_weights(counts: DataFrame, aura: DataFrame, key: str, scale: int = 10_000) -> DataFrame:

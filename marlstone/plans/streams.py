@@ -13,6 +13,7 @@ from marlstone.plans.change import _M, manifests
 from marlstone.plans.logs import ALLOWED, REQUIRED
 from marlstone.sources.tables import table as t
 from marlstone.streaming import events as S
+from marlstone.streaming import machines as M2
 
 TURNS = "conv_id bigint, turn bigint, role string, text string"
 RULES = {"the": r"(?i)(^|\s)the(\s|$)", "que": r"(?i)(^|\s)que(\s|$)", "act_as": "(?i)" + scan.INSTRUCTIONS["act_as"]}
@@ -39,18 +40,32 @@ def _watched(s, d):
 
 def _timeouts(s, d):
     """Orders as requests for approval, of which finished ones get it in time; then the clock goes on."""
-    folder = f"{cut_folder(s)}/requests-{uuid.uuid4().hex}"
-    asked = t(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.lit("PENDING").alias("status"), F.col("o_orderdate").cast("timestamp").alias("ts"))
-    given = t(s, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("id"), F.lit("APPROVED").alias("status"), (F.col("o_orderdate").cast("timestamp") + F.expr("interval 10 minutes")).alias("ts"))
-    asked.unionByName(given).coalesce(1).write.parquet(f"{folder}/src")
-    late = asked.agg(F.max("ts").alias("ts"))
-    for days in (2, 4):  # rows of one id that only move the clock
-        late.select(F.lit(-1).cast("long").alias("id"), F.lit("PENDING").alias("status"), F.expr(f"ts + interval {days} days").alias("ts")).coalesce(1).write.mode("append").parquet(f"{folder}/src")
-    requests = s.readStream.schema(asked.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/src").withWatermark("ts", "1 minute")
-    return S.drain(S.expiring(requests, "id", 30), "append").where("id >= 0")
+    at = F.col("o_orderdate").cast("timestamp")
+    row = lambda some, status, ts: some.select(F.col("o_orderkey").alias("id"), F.lit(status).alias("status"), ts.alias("ts"))
+    orders = t(s, d, "orders")
+    asked = row(orders, "PENDING", at)
+    given = row(orders.where("o_orderstatus = 'F'"), "APPROVED", at + F.expr("interval 10 minutes"))
+    clock = asked.agg((F.max("ts") + F.expr("interval 2 days")).alias("ts")).select(F.lit(-1).cast("long").alias("id"), F.lit("PENDING").alias("status"), "ts")
+    out = M2.delivered([asked.unionByName(given), clock], lambda x: M2.requests(x, "id", minutes=30, delay="1 minute"))
+    return out.where("id >= 0")
+
+
+#: Days of a delivery, one in how many events comes a delivery late, and how long the watermark waits.
+DAYS, LATE, DELAY = 10, 5, 1
+
+
+def _deliveries(s, d):
+    """Events in three deliveries by time; every fifth one comes with the next one, days after its neighbours."""
+    e = S.table_events(s, d)
+    first = e.agg(F.min("ts")).first()[0]
+    day = F.floor((F.unix_micros("ts") - F.unix_micros(F.lit(first))) / 86_400_000_000)
+    n = F.least(F.lit(2), F.floor(day / DAYS) + (F.col("event_id") % LATE == 0).cast("int"))
+    return [e.where(n == i) for i in range(3)]
 
 
 QUERIES = {
+    "S3_machine": lambda s, d: M2.delivered(_deliveries(s, d), lambda x: M2.ordered_transitions(x, "user_id", set(ALLOWED), "start", minutes=360, idle_days=3, delay=f"{DELAY} day")),
+    "S8_late_windows": lambda s, d: M2.delivered(_deliveries(s, d), lambda x: M2.windows(x, "event_type", hours=24, delay=f"{DELAY} day")).withColumn("total", F.round("total", 4)),
     "S1_incremental": _watched,
     "S4_timeouts": _timeouts,
     "S2_trace_fidelity": lambda s, d: S.drain(S.trace_coverage(S.read(s, d).withColumn("event_type", F.concat_ws(":", "event_type", F.floor(F.get_json_object("props", "$.k").cast("bigint") / 10))), "user_id", REQUIRED), "complete"),
@@ -64,7 +79,14 @@ QUERIES = {
 }
 _LAG = "SELECT user_id, event_id, event_type, lag(event_type, 1, 'start') OVER (PARTITION BY user_id ORDER BY ts, event_id) from_state FROM events"
 _OK = ", ".join(repr(x) for x in ALLOWED)
+# with each event its delivery, and the watermark that stands when this delivery comes
+_DELIVERED = f"""WITH x AS (SELECT *, epoch_ms(ts) ms, least(2, floor((epoch_us(ts) - epoch_us(min(ts) OVER ())) / 86400000000 / {DAYS})::BIGINT + (event_id % {LATE} = 0)::BIGINT) dl FROM events),
+top AS (SELECT dl, max(ms) most FROM x GROUP BY 1), e AS (SELECT *, coalesce((SELECT max(most) FROM top WHERE top.dl < x.dl), 0) - {DELAY * 86_400_000} wm, (SELECT max(most) FROM top) - {DELAY * 86_400_000} last FROM x), """
 ORACLES = {
+    "S3_machine": _DELIVERED + f"""c AS (SELECT *, ms // 21600000 * 21600000 + 21600000 stop FROM e), f AS (SELECT *, lag(event_type) OVER w prev, lag(ms) OVER w prev_at FROM c WHERE stop > wm AND stop <= last WINDOW w AS (PARTITION BY user_id ORDER BY ms, event_id))
+SELECT user_id, event_id, from_state, (from_state, event_type) IN ({_OK}) valid, false late FROM (SELECT *, CASE WHEN prev IS NULL OR ms - prev_at > 259200000 THEN 'start' ELSE prev END from_state FROM f) UNION ALL SELECT user_id, event_id, NULL, NULL, true FROM c WHERE stop <= wm""",
+    "S8_late_windows": _DELIVERED + """c AS (SELECT *, ms // 86400000 * 86400000 "start" FROM e)
+SELECT event_type, 'closed' kind, "start", NULL::BIGINT event_id, count(*) n, round(sum(value), 4) total FROM c WHERE "start" + 86400000 > wm AND "start" + 86400000 <= last GROUP BY ALL UNION ALL SELECT event_type, 'late', "start", event_id, 1, round(value, 4) FROM c WHERE "start" + 86400000 <= wm""",
     "S1_incremental": _M + "SELECT doc_id, left(sha256, 12) digest, trunc(n_chars / 4)::BIGINT tokens FROM n",
     "S4_timeouts": "SELECT o_orderkey id, CASE WHEN o_orderstatus = 'F' THEN 'APPROVED' ELSE 'EXPIRED' END status FROM orders",
     "S2_trace_fidelity": f"WITH e AS (SELECT user_id, event_type || ':' || floor(json_extract_string(props, '$.k')::BIGINT / 10)::BIGINT kind FROM events) SELECT user_id, count(DISTINCT kind) FILTER (kind IN {tuple(REQUIRED)}) / {len(REQUIRED)} fidelity FROM e GROUP BY 1",

@@ -20,6 +20,10 @@ def read(spark: SparkSession, sf_dir: str, name: str = "events", schema: str = S
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
+def table_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.schema(SCHEMA).parquet(f"{sf_dir}/events.parquet")
+
+
 def drain(stream: DataFrame, mode: str) -> DataFrame:
     """Run a stream over what there is now and return its result, by way of the shared checkpoint folder.
 

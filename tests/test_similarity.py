@@ -20,3 +20,17 @@ def test_cosine_of_sets_keeps_common_items(spark):
     for least, k, more in ((0.1, 10, {}), (0.1, 10, {"hot": 5}), (0.3, 3, {"hot": 20}), (0.1, 200, {"hot": 0})):
         got = similarity.cosine_of_sets(rows, "k", "x", least=least, k=k, **more)
         assert {(r.a, r.b, round(r.cosine, 9)) for r in got.collect()} == nearest(sets, least, k), (least, k, more)
+
+
+def test_near_pairs_of_a_key_that_many_share(spark, monkeypatch):
+    rnd = random.Random(3)
+    fps = [((5 << 40) | rnd.getrandbits(10), rnd.getrandbits(6)) for _ in range(60)] + [(rnd.getrandbits(62), rnd.getrandbits(62)) for _ in range(20)]
+    index = spark.createDataFrame([(i, *fp) for i, fp in enumerate(fps)], "id long, fp_hi long, fp_lo long")
+    first = {fp: fps.index(fp) for fp in fps}
+    ids = sorted(first.values())
+    bits = lambda a, b: ((fps[a][0] ^ fps[b][0]).bit_count() + (fps[a][1] ^ fps[b][1]).bit_count())
+    want = {(a, b, bits(a, b)) for a in ids for b in ids if a < b and bits(a, b) <= 3}
+    for shared in (1024, 7):
+        monkeypatch.setattr(similarity, "SHARED", shared)
+        got = [tuple(r) for r in similarity.near_pairs(index, 3).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and want
