@@ -78,17 +78,25 @@ def _spanning(fp: np.ndarray, split: int | None, radius: int) -> tuple[np.ndarra
     return fp[apart], fp[label[apart]]
 
 
+def chunk_pairs(chunks: DataFrame) -> DataFrame:
+    """``fps, fps2`` of every two chunks ``t, k, parts, chunk, fps`` of the same table and key. A pair of chunks has
+    numbers of its own, by which both sides are dealt out, so that one key's pairs go to all tasks."""
+    pair = ["t", "k", "low", "high"]
+    lower = chunks.where("chunk < parts - 1").select("t", "k", F.col("chunk").alias("low"), F.explode(F.expr("sequence(chunk + 1, parts - 1)")).alias("high"), "fps")
+    upper = chunks.where("chunk > 0").select("t", "k", F.explode(F.expr("sequence(0, chunk - 1)")).alias("low"), F.col("chunk").alias("high"), F.col("fps").alias("fps2"))
+    return lower.repartition(*pair).join(upper, pair).select("fps", "fps2")
+
+
 def link_fingerprints(fps: DataFrame, *, radius: int = 4) -> DataFrame:
     """Links ``a, b`` of the distinct fingerprints ``fp`` that differ in at most ``radius`` bits, enough to connect them."""
     masks = F.array(*[F.lit(m) for m in covering_masks(radius)])
     rows = fps.select("fp", F.posexplode(masks).alias("t", "mask")).select("t", F.col("fp").bitwiseAND(F.col("mask")).alias("k"), "fp")
     hot = rows.groupBy("t", "k").count().where(F.col("count") > CHUNK).select("t", "k", F.ceil(F.col("count") / CHUNK).cast("int").alias("parts"))
-    dealt = rows.join(hot, ["t", "k"], "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("parts")))
+    dealt = rows.join(hot, ["t", "k"], "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
     lists = dealt.groupBy("t", "k", "parts", "chunk").agg(F.collect_list("fp").alias("fps")).where((F.size("fps") > 1) | (F.col("parts") > 1))
     many = cut(lists.where("parts > 1"))
     none = F.array().cast("array<bigint>")
-    other = many.select("t", "k", F.col("chunk").alias("next"), F.col("fps").alias("fps2"))
-    across = many.join(other, ["t", "k"]).where("chunk < next").select("fps", "fps2")
+    across = chunk_pairs(many)
     within = lists.where("parts = 1").unionByName(many).select("fps", none.alias("fps2"))
 
     def run(batches):

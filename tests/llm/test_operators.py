@@ -336,6 +336,18 @@ def test_simhash_of_repeated_and_null_keys(spark):
     assert sorted(map(tuple, got), key=repr) == sorted([(7, 7)] * 3 + [(8, 7), (9, 9)] + [(None, None)] * 4, key=repr)
 
 
+def test_simhash_pairs_of_one_key_go_to_many_tasks(spark):
+    chunks = spark.createDataFrame([(1, 5, 20, i, [i]) for i in range(20) if i != 7], "t int, k long, parts int, chunk int, fps array<long>")
+    for limit in ("-1", "10m"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        pairs = simhash.chunk_pairs(chunks).select(F.spark_partition_id().alias("task"), F.col("fps")[0].alias("a"), F.col("fps2")[0].alias("b"))
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+        got = pairs.collect()
+        assert sorted((r.a, r.b) for r in got) == [(a, b) for a in range(20) for b in range(a + 1, 20) if 7 not in (a, b)]
+        assert plan.count("hashpartitioning(t") >= 1 and "low" in plan.split("hashpartitioning(t")[1][:60]
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_covering_masks_miss_no_pair():
     masks, rnd = simhash.covering_masks(4), random.Random(0)
     for _ in range(20_000):
