@@ -18,8 +18,11 @@ from pyspark.sql import functions as F
 from marlstone.llm.common import cut, join_unique
 from marlstone.llm.components import components, join_labels
 
-#: Vectors in a block, rows of a tile multiplied at a time, and pairs looked at again at a time.
+#: Vectors in a block at least (if their bytes allow it), rows of a tile multiplied at a time, and pairs looked at again at a time.
 BLOCK, ROWS, PAIRS = 4096, 256, 50_000
+#: Blocks into which vectors fall, about, and bytes of a block's vectors as they travel, at most. A vector travels once
+#: for each block, so blocks are as large as that leaves work for all tasks and room in one.
+BLOCKS, BLOCK_BYTES = 48, 16 << 20
 
 
 def quantised(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,6 +93,11 @@ def _tile(least: float):
     return run
 
 
+def block_count(n: int, width: int) -> int:
+    """How many blocks ``n`` vectors of up to ``width`` bytes fall into."""
+    return max(1, -(-n // max(1, min(max(BLOCK, -(-n // BLOCKS)), BLOCK_BYTES // max(1, width)))))
+
+
 def near_vectors(vectors: DataFrame, *, least: float = 0.9, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """``key, n_links, component_id, kept`` for every row: other rows with a cosine of at least ``least``, and the
     smallest key that such links lead to.
@@ -103,8 +111,8 @@ def near_vectors(vectors: DataFrame, *, least: float = 0.9, key: str = "vec_id",
     rows = vectors.select(F.col(key), F.when(F.coalesce(fine, F.lit(False)), x).alias("vector"))
     reps = rows.where(F.col("vector").isNotNull()).groupBy("vector").agg(F.min(key).alias("least"), F.count(F.lit(1)).alias("many"))
     reps = cut(reps.withColumn("id", F.monotonically_increasing_id()))  # keys may be repeated, these aren't
-    n, n_linked = reps.agg(F.count(F.lit(1)), F.coalesce(F.sum("many"), F.lit(0))).first()
-    blocks = max(1, -(-n // BLOCK))
+    n, n_linked, wide = reps.agg(F.count(F.lit(1)), F.coalesce(F.sum("many"), F.lit(0)), F.coalesce(F.max(F.size("vector")), F.lit(1))).first()
+    blocks = block_count(n, wide * (8 if "double" in reps.schema["vector"].dataType.simpleString() else 4))
     own = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(blocks)).cast("int")
     tiles = (
         reps.withColumn("own", own)

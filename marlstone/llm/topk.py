@@ -28,8 +28,14 @@ def whole_numbers(vectors: DataFrame, *, scale: int = 1024, key: str = "vec_id",
     return vectors.select(key, vector).where(F.coalesce(fine, F.lit(False)) & F.col(key).isNotNull()).select(key, F.transform(x, lambda v: F.floor(v * scale)).alias("ints"))
 
 
-def best_of_shard(ids: np.ndarray, x: np.ndarray, qid: int, q: np.ndarray, k: int, start: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """The k best (scores, ids) of one shard for one query, ties to the smaller id. ``ids`` ascend."""
+def bounds_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The largest and smallest component of each term in a shard; a query's sign says which one bounds it."""
+    return x.max(axis=0), x.min(axis=0)
+
+
+def best_of_shard(ids: np.ndarray, x: np.ndarray, qid: int, q: np.ndarray, k: int, bounds: tuple[np.ndarray, np.ndarray], start: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """The k best (scores, ids) of one shard for one query, ties to the smaller id. ``ids`` ascend; ``bounds`` are
+    ``bounds_of`` the shard."""
     allowed = ids != qid
     top_s, top_i = np.empty(0, np.int64), np.empty(0, np.int64)
 
@@ -46,7 +52,7 @@ def best_of_shard(ids: np.ndarray, x: np.ndarray, qid: int, q: np.ndarray, k: in
     if not rest.any():
         return top_s, top_i
     sign = np.where(q >= 0, 1, -1)
-    gain = np.maximum((x * sign).max(axis=0), 0) * np.abs(q)  # what each term can add at most
+    gain = np.maximum(np.where(q >= 0, bounds[0], -bounds[1]), 0) * np.abs(q)  # what each term can add at most
     order = np.argsort(gain, kind="stable")
     reach = np.cumsum(gain[order])
     if len(top_s) < k:
@@ -106,8 +112,9 @@ def search(vectors: DataFrame, is_query, *, k: int = 10, key: str = "vec_id") ->
                 xs, qs = x.astype(np.float64), q.astype(np.float64)  # sums are exact, and products fast
             else:
                 xs, qs = x.astype(object), q.astype(object)
+            bounds = None if xs.dtype == object else bounds_of(xs)
             for asked_id, number, one in zip(qid, nth, qs, strict=True):
-                s, i = _best(cid, xs, asked_id, one, k)
+                s, i = _best(cid, xs, asked_id, one, k, bounds)
                 out += [(int(asked_id), int(number), int(j), max(-(2**63), min(2**63 - 1, int(z)))) for z, j in zip(s, i, strict=True)]
         cols = list(zip(*out, strict=True)) or [[], [], [], []]
         return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "nth", "vec_id", "score"), cols, strict=True)})
@@ -128,9 +135,9 @@ def _once(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[new], x[new]
 
 
-def _best(ids, x, qid, q, k):
+def _best(ids, x, qid, q, k, bounds=None):
     if x.dtype == object:
         s = [sum(a * b for a, b in zip(row, q)) for row in x.tolist()]
         order = sorted((i for i in range(len(ids)) if ids[i] != qid), key=lambda i: (-s[i], ids[i]))[:k]
         return [s[i] for i in order], [ids[i] for i in order]
-    return best_of_shard(ids, x, qid, q, k)
+    return best_of_shard(ids, x, qid, q, k, bounds or bounds_of(x))

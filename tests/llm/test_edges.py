@@ -94,6 +94,12 @@ def test_op3_code_products_are_exact():
         assert sure <= found and (0, 0) in found and all(exact[r, c] >= least - 1e-12 for r, c in found)
 
 
+def test_op3_blocks_grow_with_the_vectors():
+    """64 floats, 256 bytes: blocks hold 4096 vectors, then a 48th of all, then 16 MB."""
+    assert [near_vectors.block_count(n, 256) for n in (0, 10, 4096, 51_000, 196_608, 1_000_000, 3_145_728, 10_000_000)] == [1, 1, 1, 13, 48, 48, 48, 153]
+    assert near_vectors.block_count(102_400, 1 << 14) == 100  # wide vectors: 1024 in a block
+
+
 def test_op3_repeated_keys(spark):
     rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 2.0]), (3, [1.0, 0.01]), (3, [1.0, 0.01])]
     got = near_vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).select("vec_id", "n_links", "component_id").collect()
