@@ -204,6 +204,15 @@ def term_search(df: DataFrame, key: str, text: str, terms: list[str], k: int) ->
     return df.select(key, n.cast("bigint").alias("score")).where("score > 0").orderBy(F.desc("score"), key).limit(k)
 
 
+def vault_search(notes: DataFrame, terms: list[str], k: int) -> DataFrame:
+    """``id, name, title, score``: the k notes in whose name and text the terms occur most often, ties by name; the title
+    is the first line, or the name where that is blank."""
+    low = F.lower(F.concat_ws("\n", "name", "text"))
+    n = sum(F.floor((F.length(low) - F.length(F.replace(low, F.lit(t), F.lit("")))) / F.lit(len(t))) for t in terms)
+    first = F.trim(F.split("text", "\n")[0])
+    return notes.select("id", "name", F.when(first != "", first).otherwise(F.col("name")).alias("title"), n.cast("bigint").alias("score")).where("score > 0").orderBy(F.desc("score"), "name").limit(k)
+
+
 def focus(vectors: DataFrame, queries: DataFrame, least: float = 0.64) -> DataFrame:
     """``query, id``: vectors whose squared cosine with a query exceeds ``least``. The sign is lost: opposite ones pass.
     Vectors of another size than the query's, and null ones, are left out."""

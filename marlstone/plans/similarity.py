@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from marlstone.functions.lineage import cut
+from marlstone.functions.lineage import cut, cut_folder
 from marlstone.operators import similarity as H
 from marlstone.plans.code import _F as _CODE
 from marlstone.plans.code import files
+from marlstone.sources import postings
 from marlstone.sources.tables import table as t
 
 c = F.col
@@ -45,6 +48,42 @@ def _weighted(s, d):
     return known.join(H.simhash128(w, "doc_id"), "doc_id", "left").withColumnRenamed("doc_id", "id")
 
 
+def indexed(s, texts):
+    """A stored index of ``id, text``, delivered in two parts."""
+    folder = f"{cut_folder(s)}/postings-{uuid.uuid4().hex}"
+    for part in (texts.where("id % 3 > 0"), texts.where("id % 3 = 0")):
+        postings.append(part, folder)
+    return folder
+
+
+def _postings(s, d):
+    """How many documents hold each three characters."""
+    folder = indexed(s, t(s, d, "documents").select(c("doc_id").alias("id"), "text"))
+    return postings.load(s, folder).groupBy("gram").agg(F.sum(F.size("ids")).alias("n"))
+
+
+def _by_terms(s, d):
+    docs = t(s, d, "documents").select(c("doc_id").alias("id"), "text")
+    return H.term_search(postings.holding(docs, indexed(s, docs), TERMS), "id", "text", TERMS, 10).withColumnRenamed("id", "doc_id")
+
+
+def _notes(s, d):
+    """Documents as notes of a vault, each with a name of its own."""
+    return t(s, d, "documents").select(c("doc_id").alias("id"), F.concat_ws("/", "source", F.concat_ws("-", "lang", "doc_id")).alias("name"), "text")
+
+
+def _vault_search(s, d):
+    notes = _notes(s, d).withColumn("both", F.concat_ws("\n", "name", "text"))
+    folder = indexed(s, notes.select("id", c("both").alias("text")))
+    return H.vault_search(postings.holding(notes, folder, VAULT_TERMS, text="both"), VAULT_TERMS, 10)
+
+
+def _by_substring(s, d):
+    rows = t(s, d, "documents").select(c("doc_id").alias("id"), F.to_json(F.struct("text", "source")).alias("text"))
+    return postings.holding(rows, indexed(s, rows), ["licensed under"]).select(c("id").alias("doc_id"))
+
+
+VAULT_TERMS = ["licensed", "en-1", "que"]
 OVERLAP = ["extra", "m3", "close", "o7", "shared", "c12"]
 
 
@@ -77,8 +116,10 @@ QUERIES = {
     "H4_hybrid_search": _hybrid,
     "H5_nearest": _nearest,
     "H6_near_pairs": lambda s, d: H.near_pairs(index(s, d)),
-    "H7_term_search": lambda s, d: H.term_search(t(s, d, "documents"), "doc_id", "text", TERMS, 10),
-    "H8_substring_search": lambda s, d: t(s, d, "documents").where(F.lower(F.to_json(F.struct("text", "source"))).contains("licensed under")).select("doc_id"),
+    "A9_postings": _postings,
+    "H7_term_search": _by_terms,
+    "H7_vault_search": _vault_search,
+    "H8_substring_search": _by_substring,
     "H9_find": lambda s, d: t(s, d, "part").where(F.lower("p_name").contains("e")).select("p_partkey"),
     "H10_focus": lambda s, d: H.focus(t(s, d, "embeddings").select(c("vec_id").alias("id"), c("embedding").alias("vector")), t(s, d, "embeddings").where("vec_id % 100 = 0").select(c("vec_id").alias("query"), c("embedding").alias("vector"))),
     "H11_set_cosine": lambda s, d: H.cosine_of_sets(t(s, d, "lineitem"), "l_orderkey", "l_partkey", least=0.1, k=10).select("a", "b", F.round("cosine", 6).alias("cosine")),
@@ -99,6 +140,8 @@ ORACLES = {
     "H5_nearest": _F + f", r AS (SELECT a.id query, b.id, {_D} distance, row_number() OVER (PARTITION BY a.id ORDER BY {_D}, b.id) k FROM f a JOIN f b ON a.id % 100 = 0 AND a.id <> b.id) SELECT query, id, distance FROM r WHERE k <= 5",
     "H6_near_pairs": _F + f", g AS (SELECT fp_hi, fp_lo, min(id) id FROM f GROUP BY ALL) SELECT a.id a, b.id b, {_D} distance FROM g a JOIN g b ON a.id < b.id AND {_D} <= 3",
     "H7_term_search": "SELECT doc_id, score::BIGINT score FROM (SELECT doc_id, " + " + ".join(f"(length(text) - length(replace(lower(text), '{x}', ''))) // {len(x)}" for x in TERMS) + " score FROM documents) WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 10",
+    "A9_postings": "WITH x AS (SELECT doc_id, lower(text) low FROM documents WHERE text IS NOT NULL) SELECT gram, count(*) n FROM (SELECT DISTINCT doc_id, unnest(CASE WHEN length(low) < 3 THEN [low] ELSE list_transform(range(1, length(low) - 1), lambda i: substr(low, i, 3)) END) gram FROM x) GROUP BY 1",
+    "H7_vault_search": "WITH n AS (SELECT doc_id id, concat_ws('/', source, concat_ws('-', lang, doc_id)) AS name, text FROM documents), x AS (SELECT *, lower(concat_ws(chr(10), name, text)) low FROM n) SELECT id, name, CASE WHEN trim(string_split(text, chr(10))[1]) <> '' THEN trim(string_split(text, chr(10))[1]) ELSE name END title, score::BIGINT score FROM (SELECT *, " + " + ".join(f"(length(low) - length(replace(low, '{x}', ''))) // {len(x)}" for x in VAULT_TERMS) + " score FROM x) WHERE score > 0 ORDER BY score DESC, name LIMIT 10",
     "H8_substring_search": "SELECT doc_id FROM documents WHERE contains(lower(text), 'licensed under') OR contains(lower(source), 'licensed under')",
     "H9_find": "SELECT p_partkey FROM part WHERE contains(lower(p_name), 'e')",
     "H10_focus": "SELECT q.vec_id query, v.vec_id id FROM embeddings v JOIN embeddings q ON q.vec_id % 100 = 0 AND v.vec_id <> q.vec_id WHERE list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) ** 2 > 0.64",
