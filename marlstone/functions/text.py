@@ -90,9 +90,9 @@ def entity_id(name: Column) -> Column:
     raw = F.translate(F.regexp_replace(F.trim(name), r"[|#][\s\S]*$", ""), "\\", "/")
     raw = F.regexp_replace(raw, r"(?i)\.(py|pyi|js|jsx|ts|tsx|md|json|yaml|yml|toml|txt|html|css|scss|pdf)$", "")
     parts = F.filter(F.array_distinct(F.split(F.regexp_replace(F.lower(raw), "[^a-z0-9]+", "_"), "_")), lambda p: p != "")
-    one = F.array_join(parts, "_")
-    one = F.when(one == "", "entity").otherwise(one)
-    return F.when(F.length(one) > 96, F.concat(F.regexp_replace(F.substring(one, 1, 83), "_+$", ""), F.lit("_"), F.substring(F.sha1(one), 1, 12))).otherwise(one)
+    short = lambda one: F.when(F.length(one) > 96, F.concat(F.regexp_replace(F.substring(one, 1, 83), "_+$", ""), F.lit("_"), F.substring(F.sha1(one), 1, 12))).when(one == "", "entity").otherwise(one)
+    # within a function over an array the joined words are one value, and aren't worked out for each use
+    return F.element_at(F.transform(F.array(F.array_join(parts, "_")), short), 1)
 
 
 def slug(t: Column, n: int = 60) -> Column:

@@ -99,6 +99,21 @@ PATCH = {
     "dynamic_import": r"(?m)^\+.*\b__import__\s*\(",
 }
 WARNINGS = ("sys_exit", "dynamic_import")
+#: Text in lower case of which a match of each rule for patches holds one: looked for before the rule is tried.
+PATCH_HINTS = {
+    "write_env": [".env", "secrets/", "credentials/"],
+    "os_system": ["os.system"],
+    "subprocess_call": ["subprocess."],
+    "api_secret": ["sk-", "bearer", "apikey", "api_key", "api-key", "password", "secret", "token"],
+    "rm_rf": ["rm"],
+    "shutil_rmtree": ["shutil.rmtree"],
+    "path_unlink_recursive": [".unlink"],
+    "eval": ["eval"],
+    "exec": ["exec"],
+    "pickle_loads": ["pickle.loads"],
+    "sys_exit": ["sys.exit"],
+    "dynamic_import": ["__import__"],
+}
 # fixed values: words of speculation, English and Turkish
 SPECULATION = ["probably", "maybe", "perhaps", "might be", "could be", "i think", "i guess", "i assume", "i believe", "generally", "usually", "typically", "it seems", "likely", "unlikely", "possibly", "muhtemelen", "olabilir", "genelde", "tahminen", "galiba"]
 # fixed values: beginnings of personal paths, and credentials by kind
@@ -181,17 +196,15 @@ def trusted(df: DataFrame, source: str, classes: DataFrame) -> DataFrame:
 
 def patch_findings(df: DataFrame, key: str, patch: str) -> DataFrame:
     """``key, rule_id, severity, evidence`` for each match on added lines; evidence has at most 160 characters."""
-    found = [_named(patch, k, r) for k, r in PATCH.items()]
-    some = df.where(F.col(patch).rlike(any_of(PATCH)))  # one look tells most patches to be clean
-    rows = some.select(key, F.explode(F.flatten(F.array(*found))).alias("f")).select(key, "f.*")
+    low = F.lower(patch)
+    hint = lambda name: reduce(lambda x, y: x | y, [low.contains(h) for h in PATCH_HINTS[name]])
+    tried = {name: F.when(hint(name), F.regexp_extract_all(patch, F.lit(f"({rule})"), F.lit(1))) for name, rule in PATCH.items()}
+    named = lambda name: lambda e: F.struct(F.lit(name).alias("rule_id"), F.substring(e, 1, 160).alias("evidence"))
+    found = F.flatten(F.array_compact(F.array(*[F.transform(every, named(name)) for name, every in tried.items()])))
+    rows = df.select(key, F.explode(found).alias("f")).select(key, "f.*")
     return rows.withColumn("severity", F.when(F.col("rule_id").isin(*WARNINGS), "WARN").otherwise("BLOCK"))
 
 
-def _named(patch: str, name: str, rule: str) -> Column:
-    every = F.when(F.col(patch).rlike(rule), F.regexp_extract_all(patch, F.lit(f"({rule})"), F.lit(1))).otherwise(F.array().cast("array<string>"))
-    return F.transform(every, lambda e: F.struct(F.lit(name).alias("rule_id"), F.substring(e, 1, 160).alias("evidence")))
-
-
 def invariants(df: DataFrame, *, files: str, patch: str, max_files: int, forbidden: list[str], imports: list[str], frozen: list[str] = (), tests: str | None = None) -> DataFrame:
     """Adds ``violations``: too many files, files under forbidden or frozen prefixes, changes without a file under
     ``tests``, functions added without docstrings, imports."""

@@ -9,6 +9,9 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.functions.lineage import cut
+from marlstone.operators.nearest import nearest  # noqa: F401
+
 #: Rows in a shard and queries in a block.
 SHARD, BLOCK = 8192, 512
 #: Fingerprints of one key in a chunk of near pairs.
@@ -96,26 +99,6 @@ def _id_type(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 
 
-def nearest(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
-    """``query, id, distance``: the k nearest other fingerprints of each query, ties by id."""
-
-    def find(q, rows):
-        import numpy as np
-        import pyarrow as pa
-
-        ids, asked = _column(rows, "id").to_numpy(zero_copy_only=False), _column(q, "query").to_numpy(zero_copy_only=False)
-        out: list[tuple] = []
-        for key, far in zip(asked, _differing(q, rows), strict=True):
-            near = np.lexsort((ids, far))[: k + 1]
-            out += [(key, ids[i], int(far[i])) for i in near if ids[i] != key][:k]
-        cols = list(zip(*out, strict=True)) or [(), (), ()]
-        types = [q.schema.field("query").type, rows.schema.field("id").type, pa.int32()]
-        return pa.table({n: pa.array(c, t) for n, c, t in zip(("query", "id", "distance"), cols, types, strict=True)})
-
-    found = tiles(queries.select("query", "fp_hi", "fp_lo"), index.select("id", "fp_hi", "fp_lo"), find, f"query {_id_type(queries, 'query')}, id {_id_type(index, 'id')}, distance int")
-    return _best(found, k, F.col("distance"))
-
-
 def hybrid(queries: DataFrame, index: DataFrame, k: int, threshold: float) -> DataFrame:
     """``query, id, score``: fingerprint similarity for 60 % and shared words for 40 %; both sides have ``fp_hi, fp_lo,
     words``. The k best of at least ``threshold``, ties by id."""
@@ -245,17 +228,23 @@ def cosine_of_sets(rows: DataFrame, key: str, item: str, *, least: float, k: int
     No pair is left out, whatever ``hot`` is, and a common item's keys are never joined with each other.
     """
     rows = rows.where(F.col(key).isNotNull()).select(key, item).distinct()
-    often = rows.groupBy(item).agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > hot).select(item)
-    common = rows.join(often, item).groupBy(key).agg(F.array_sort(F.collect_set(item)).alias("common"))
-    none = F.array().cast(f"array<{rows.schema[item].dataType.simpleString()}>")
-    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("size")).join(common, key, "left").withColumn("common", F.coalesce("common", none))
-    near = lambda n, x, y: (n + F.size(F.array_intersect(f"{x}common", f"{y}common"))) / F.sqrt(F.col(f"{x}size") * F.col(f"{y}size"))
+    often = cut(rows.groupBy(item).agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > hot).select(item))
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("size"))
+    sized = rows.join(F.broadcast(often), item, "left_anti").join(counts, key)  # fewer than all rows / hot items are common
+    # a pair is counted once, by numbers alone, and told both ways afterwards
+    pairs = sized.alias("l").join(sized.alias("r"), F.expr(f"l.{item} = r.{item} and l.{key} < r.{key}")).groupBy(F.col(f"l.{key}").alias("a"), F.col(f"r.{key}").alias("b"), F.col("l.size").alias("lsize"), F.col("r.size").alias("rsize")).count()
+    both = lambda df, n: df.select(F.inline(F.array(*[F.struct(F.col(x).alias("a"), F.col(y).alias("b"), (n / F.sqrt(F.col("lsize") * F.col("rsize"))).alias("cosine")) for x, y in ("ab", "ba")]))).where(F.col("cosine") > least)
     rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(F.round("cosine", 9)), "b"))
+    if often.isEmpty():
+        return both(pairs, F.col("count")).withColumn("rn", rank("a")).where(F.col("rn") <= k).drop("rn")
 
-    sized = rows.join(often, item, "left_anti").join(sizes, key)
-    first = lambda x: [F.first(f"{x}.{c}").alias(f"{x}{c}") for c in ("size", "common")]
-    pairs = sized.alias("l").join(sized.alias("r"), F.expr(f"l.{item} = r.{item} and l.{key} <> r.{key}")).groupBy(F.col(f"l.{key}").alias("a"), F.col(f"r.{key}").alias("b")).agg(F.count(F.lit(1)).alias("n"), *first("l"), *first("r"))
-    pairs = pairs.select("a", "b", near(F.col("n"), "l", "r").alias("cosine"))
+    common = rows.join(F.broadcast(often), item).groupBy(key).agg(F.array_sort(F.collect_set(item)).alias("common"))
+    none = F.array().cast(f"array<{rows.schema[item].dataType.simpleString()}>")
+    sizes = counts.join(common, key, "left").withColumn("common", F.coalesce("common", none))
+    near = lambda n, x, y: (n + F.size(F.array_intersect(f"{x}common", f"{y}common"))) / F.sqrt(F.col(f"{x}size") * F.col(f"{y}size"))
+    for end, name in (("a", "lcommon"), ("b", "rcommon")):
+        pairs = pairs.join(common.select(F.col(key).alias(end), F.col("common").alias(name)), end, "left").withColumn(name, F.coalesce(name, none))
+    pairs = both(pairs, F.col("count") + F.size(F.array_intersect("lcommon", "rcommon")))
 
     members = sizes.where(F.size("common") > 0)
     firsts = members.withColumn("rn", F.row_number().over(Window.partitionBy("common", "size").orderBy(key))).where(F.col("rn") <= k + 1)
@@ -266,7 +255,7 @@ def cosine_of_sets(rows: DataFrame, key: str, item: str, *, least: float, k: int
     best = meet.join(theirs, ["rcommon", "rsize"]).withColumn("rn", rank("common", "size")).where(F.col("rn") <= k + 1).select("common", "size", "b", "cosine")
     alike = members.join(best, ["common", "size"]).where(F.col(key) != F.col("b")).select(F.col(key).alias("a"), "b", "cosine")
 
-    whole = pairs.where(F.col("cosine") > least).unionByName(alike).groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
+    whole = pairs.unionByName(alike).groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
     return whole.withColumn("rn", rank("a")).where(F.col("rn") <= k).drop("rn")
 
 

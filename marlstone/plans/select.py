@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from marlstone.functions.lineage import cut
 from marlstone.operators import graph as G
 from marlstone.operators import select as P
 from marlstone.plans.graph import _E, edges
@@ -20,19 +21,20 @@ def _tasks(s, d):
     return every.select(c("target").alias("task"), F.element_at(F.array(*[F.lit(x) for x in NAMES]), (c("k") + 1).cast("int")).alias("profile"), F.when(c("m") == 0, F.concat(F.lit("no"), "target")).otherwise(c("target")).alias("target"))
 
 
-def _files(s, d):
-    e = edges(s, d)
+def _files(e):
     return e.select(c("src").alias("file")).union(e.select("dst")).groupBy("file").agg(F.count(F.lit(1)).alias("code_lines"))
 
 
 def _selection(s, d):
-    critical = [r["node"] for r in G.most_used(edges(s, d), 5).collect()]
-    return P.select_files(_tasks(s, d), edges(s, d), _files(s, d), critical=critical)
+    e = cut(edges(s, d))
+    critical = [r["node"] for r in G.most_used(e, 5).collect()]
+    return P.select_files(_tasks(s, d), e, _files(e), critical=critical)
 
 
 def _bare_selection(s, d):
     """Without critical files, so that reviews and tasks without a file get the largest ones."""
-    return P.select_files(_tasks(s, d), edges(s, d), _files(s, d))
+    e = cut(edges(s, d))
+    return P.select_files(_tasks(s, d), e, _files(e))
 
 
 def _weights(kind):

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from marlstone.functions.lineage import cut, cut_folder
+from marlstone.operators import nearest
 from marlstone.operators import similarity as H
 from marlstone.plans.code import _F as _CODE
 from marlstone.plans.code import files
@@ -33,7 +34,7 @@ def _hybrid(s, d):
 
 def _nearest(s, d):
     i = cut(index(s, d))
-    return H.nearest(i.where("id % 100 = 0").withColumnRenamed("id", "query"), i, 5)
+    return nearest.nearest(i.where("id % 100 = 0").withColumnRenamed("id", "query"), i, 5)
 
 
 def aura(s, d):
