@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.functions.lineage import cut
+
 DEF = r"^(\s*)(class|def)\s+([A-Za-z_]\w*)"
 
 
@@ -142,6 +144,19 @@ def trace_impact(files: DataFrame, found: DataFrame) -> DataFrame:
     return mentions(files, found).join(found.select("name", F.col("path").alias("home")).distinct(), "name").select("home", "path").distinct()
 
 
+def impact_counts(files: DataFrame, found: DataFrame) -> DataFrame:
+    """``home, n, first`` of ``trace_impact``: how many files a home's names are mentioned in, and the first of them.
+
+    Homes whose mentioned names are the same are one set, which meets the mentions once; a set's files are counted and
+    given to all of its homes."""
+    told = cut(mentions(files, found))
+    used = told.select("name").distinct()
+    sets = cut(found.select("name", F.col("path").alias("home")).distinct().join(used, "name", "left_semi").groupBy("home").agg(F.array_sort(F.collect_set("name")).alias("names")))
+    each = sets.select("names").distinct().select("names", F.explode("names").alias("name"))
+    files_of = each.join(told, "name").select("names", "path").distinct().groupBy("names").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("first"))
+    return sets.join(files_of, "names").select("home", "n", "first")
+
+
 def match_ratios(used: DataFrame, known: DataFrame, *, key: str = "path", most: int = 20) -> DataFrame:
     """``key, total, matched, ratio, unmatched``: distinct symbols that a text uses (``key, name``) and which of them are
     known (``name``); the first unmatched ones by name are given."""
@@ -160,11 +175,14 @@ def resolved_imports(found: DataFrame, modules: DataFrame) -> DataFrame:
 
 
 def suffix_imports(found: DataFrame, modules: DataFrame) -> DataFrame:
-    """Each import with the first module, by path, whose dotted name ends with the target."""
-    last = lambda c: F.element_at(F.split(c, r"\."), -1)
-    m = modules.select(last("module").alias("tail"), "module", F.col("path").alias("file"))
-    hit = found.withColumn("tail", last("target")).join(m, "tail").where(F.concat(F.lit("."), "module").endswith(F.concat(F.lit("."), F.col("target"))))
-    return hit.groupBy("path", "target").agg(F.min("file").alias("file"))
+    """Each import with the first module, by path, whose dotted name is the target or ends with it.
+
+    All dotted ends of the modules are keys of one table, a row each, so that an import meets one row, however many
+    modules end alike."""
+    parts = F.split("module", r"\.")
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, n, F.size(parts)), "."))
+    first = modules.select(F.col("path").alias("file"), F.explode(ends).alias("target")).groupBy("target").agg(F.min("file").alias("file"))
+    return found.select("path", "target").distinct().join(first, "target").select("path", "target", "file")
 
 
 def mentions(files: DataFrame, found: DataFrame) -> DataFrame:
@@ -242,6 +260,35 @@ def _of_kind(kind: str):
     return lambda n: F.struct(F.lit(kind).alias("kind"), n.alias("name"))
 
 
+def diff_lines(patches: DataFrame, key: str, patch: str) -> DataFrame:
+    """``key, pos, file, added, removed, hunk, op, old_no, new_no, text``: the lines of unified diffs, kept ones (op
+    blank) too, with their file, whether it is added or removed as a whole, the hunk within it, and the line's number
+    before and after the change (null where it has none).
+
+    A file begins at a line ``---`` that a line ``+++`` follows; numbers come from the hunk's header. Lines outside hunks
+    and notes such as that a last line feed is missing are left out.
+    """
+    by = Window.partitionBy(key).orderBy("pos")
+    rows = patches.select(key, F.posexplode(F.split(patch, "\n")).alias("pos", "l"))
+    rows = rows.withColumns({"next": F.lead("l").over(by), "before": F.lag("l").over(by)})
+    starts = F.col("l").startswith("--- ") & F.coalesce(F.col("next").startswith("+++ "), F.lit(False))
+    second = F.col("l").startswith("+++ ") & F.coalesce(F.col("before").startswith("--- "), F.lit(False))
+    name = lambda line: F.trim(F.substring(line, 5, 1 << 20))
+    header = F.when(starts, F.struct(name(F.col("l")).alias("old"), name(F.col("next")).alias("new")))
+    rows = rows.withColumns({"at": F.last(header, ignorenulls=True).over(by), "file_no": F.count_if(starts).over(by)})
+    within = Window.partitionBy(key, "file_no").orderBy("pos")
+    number = lambda group: F.regexp_extract("l", r"^@@ -(\d+)(?:,\d+)? \+(\d+)(?:,\d+)? @@", group).cast("int")
+    opens = F.col("l").startswith("@@ -")
+    rows = rows.withColumns({"hunk": F.count_if(opens).over(within), "from": F.last(F.when(opens, F.struct(number(1).alias("old"), number(2).alias("new"))), ignorenulls=True).over(within)})
+    op = F.substring("l", 1, 1)
+    lines_ = rows.where((F.col("hunk") > 0) & ~opens & ~starts & ~second & op.isin("+", "-", " ")).withColumn("op", op)
+    inside = Window.partitionBy(key, "file_no", "hunk").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    place = lambda side, mark: F.when(F.col("op") != mark, F.col(f"from.{side}") + F.coalesce(F.count_if(F.col("op") != mark).over(inside), F.lit(0))).cast("int")
+    gone = F.col("at.new") == "/dev/null"
+    file = F.regexp_replace(F.when(gone, F.col("at.old")).otherwise(F.col("at.new")), "^[ab]/", "")
+    return lines_.select(key, "pos", file.alias("file"), (F.col("at.old") == "/dev/null").alias("added"), gone.alias("removed"), F.col("hunk").cast("int").alias("hunk"), "op", place("old", "+").alias("old_no"), place("new", "-").alias("new_no"), F.expr("substring(l, 2)").alias("text"))
+
+
 def patch_lines(patches: DataFrame, key: str, patch: str) -> DataFrame:
     """``key, file, hunk, op, text``: lines of unified diffs with the file and hunk that they belong to."""
     rows = patches.select(key, F.posexplode(F.split(patch, "\n")).alias("pos", "l"))

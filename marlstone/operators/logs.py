@@ -13,14 +13,19 @@ def tail(df: DataFrame, n: int, *order: str) -> DataFrame:
     return df.orderBy(*[F.desc(c) for c in order]).limit(n)
 
 
-def loop_audit(events: DataFrame, *, kind: str, target: str) -> DataFrame:
-    """Executions, failures, success rate, the most frequent target and kind of failure (ties to the smallest)."""
+def loop_audit(events: DataFrame, *, kind: str, target: str, rolled_back: Column | None = None, rejected: Column | None = None) -> DataFrame:
+    """Executions, failures, success rate, the most frequent target and kind of failure (ties to the smallest); with
+    the conditions given also rollbacks and the share of executions that were rejected."""
     top = lambda c: F.min_by(c, F.struct(-F.col("n"), F.col(c)))
-    total = events.agg(F.count(F.lit(1)).alias("executions"), F.count_if("failed").alias("failures"))
+    more = {name: F.count_if(x) for name, x in (("rollbacks", rolled_back), ("rejections", rejected)) if x is not None}
+    total = events.agg(F.count(F.lit(1)).alias("executions"), F.count_if("failed").alias("failures"), *[x.alias(name) for name, x in more.items()])
     busiest = events.groupBy(target).agg(F.count(F.lit(1)).alias("n")).agg(top(target).alias("most_frequent"))
     commonest = events.where("failed").groupBy(kind).agg(F.count(F.lit(1)).alias("n")).agg(top(kind).alias("commonest_failure"))
-    rate = F.when(F.col("executions") == 0, 100.0).otherwise(100.0 * (F.col("executions") - F.col("failures")) / F.col("executions"))
-    return total.withColumn("success_pct", F.round(rate, 4)).join(busiest).join(commonest)
+    share = lambda n, none: F.when(F.col("executions") == 0, none).otherwise(100.0 * n / F.col("executions"))
+    out = total.withColumn("success_pct", F.round(share(F.col("executions") - F.col("failures"), 100.0), 4))
+    if rejected is not None:
+        out = out.withColumn("rejection_pct", F.round(share(F.col("rejections"), 0.0), 4)).drop("rejections")
+    return out.join(busiest).join(commonest)
 
 
 def loop_metrics(events: DataFrame, key: str) -> DataFrame:
@@ -38,6 +43,27 @@ def command_summary(events: DataFrame, command: str) -> DataFrame:
     return events.groupBy(command).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"), F.round(F.avg("value"), 6).alias("mean"), F.round(100 * F.avg(F.when(F.col("failed"), 0).otherwise(1)), 4).alias("success_pct"))
 
 
+def telemetry(events: DataFrame, command: str, *order: str, recent: int = 10) -> DataFrame:
+    """``part, command, place, n, total, mean, success_pct``: the grand total, each command, and the last rows, newest
+    first, each with its own value."""
+    cube = events.rollup(command).agg(F.grouping(command).alias("all"), F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"), F.round(F.avg("value"), 6).alias("mean"), F.round(100 * F.avg(F.when(F.col("failed"), 0).otherwise(1)), 4).alias("success_pct"))
+    summed = cube.select(F.when(F.col("all") == 1, "total").otherwise("command").alias("part"), F.col(command).alias("command"), F.lit(None).cast("int").alias("place"), "n", "total", "mean", "success_pct")
+    newest = tail(events, recent, *order).withColumn("place", F.row_number().over(Window.orderBy(*[F.desc(c) for c in order])))  # so many rows
+    return summed.unionByName(newest.select(F.lit("recent").alias("part"), F.col(command).alias("command"), "place", F.lit(1).cast("bigint").alias("n"), F.round("value", 4).alias("total"), F.round("value", 6).alias("mean"), F.when(F.col("failed"), 0.0).otherwise(100.0).alias("success_pct")))
+
+
+def detection(cases: DataFrame, group: str, blocked: str) -> DataFrame:
+    """``group, total, blocked, rate``: how many cases of each group a detector has blocked."""
+    hit = F.col(blocked).cast("int")
+    return cases.groupBy(group).agg(F.count(F.lit(1)).alias("total"), F.coalesce(F.sum(hit), F.lit(0)).alias("blocked"), F.round(F.avg(hit), 6).alias("rate"))
+
+
+def divisors(usage: DataFrame, model: str) -> DataFrame:
+    """``model, divisor``: characters for each token of what each model was given (``chars, tokens``); none without any
+    token."""
+    return usage.groupBy(model).agg(F.sum("chars").alias("chars"), F.sum("tokens").alias("tokens")).where("tokens > 0").select(model, F.round(F.col("chars") / F.col("tokens"), 2).alias("divisor"))
+
+
 def session_totals(events: DataFrame, session: str) -> DataFrame:
     return events.groupBy(session).agg(F.sum("k").alias("tokens"), F.max("k").alias("largest"), F.max("ts").alias("last_ts"))
 

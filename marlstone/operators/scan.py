@@ -224,6 +224,15 @@ def balance(text: Column) -> Column:
     return F.length(F.regexp_replace(text, r"[^{]", "")) - F.length(F.regexp_replace(text, r"[^}]", ""))
 
 
+def credential_markers(files: DataFrame, key: str, path: Column, text: str, limit: int = 25) -> DataFrame:
+    """``key, kind``: the first kind of credential that a file's text holds, of the first files by key. Files whose path
+    has ``example`` and texts with ``placeholder``, in any case, are passed over."""
+    low = F.lower(F.col(text))
+    kind = F.coalesce(*[F.when(low.rlike(r), F.lit(k)) for k, r in CREDENTIALS.items()])
+    rows = files.where(~F.lower(path).contains("example") & ~low.contains("placeholder")).withColumn("kind", kind)
+    return rows.where("kind is not null").orderBy(key).limit(limit).select(key, "kind")
+
+
 def log_recipe(df: DataFrame, key: str, text: str, anomalies: int = 15) -> DataFrame:
     """Lines by severity, the first that a line names counting, and the first anomalous lines, cut to 120 characters."""
     up = F.transform(text_lines(F.col(text)), F.upper)

@@ -61,6 +61,19 @@ def resolved(s, d):
     return typed, C.resolved_calls(typed, C.symbols(f))
 
 
+def _by_suffix(found):
+    """Imports as they stand, and as they stand within their package, without the first part."""
+    inner = F.regexp_extract("target", r"^[^.]+\.(.+)$", 1)
+    return found.select("path", F.explode(F.array("target", inner)).alias("target")).where("target <> ''")
+
+
+def _diffs(s, d):
+    """A patch for each module: it deletes a file, changes one in two places, and adds the module."""
+    n = F.size(F.split("text", "\n"))
+    head = F.lit("diff --git\n--- a/old.py\n+++ /dev/null\n@@ -1,2 +0,0 @@\n-gone\n-too\n--- a/kept.py\n+++ b/kept.py\n@@ -3,2 +3,2 @@ def f():\n kept\n-old\n+new\n@@ -20 +20,2 @@\n x\n+y\n\\\\ No newline at end of file\n--- /dev/null\n+++ b/")
+    return files(s, d).select("path", F.concat(head, "path", F.lit("\n@@ -0,0 +1,"), n, F.lit(" @@\n+"), F.regexp_replace("text", "\n", "\n+")).alias("patch"))
+
+
 def used_names(s, d):
     return C.calls(files(s, d)).select("path", F.element_at(F.split("callee", r"\."), -1).alias("name"))
 
@@ -75,13 +88,14 @@ QUERIES = {
     "C4_imports": lambda s, d: C.imports(files(s, d)),
     "C5_calls": lambda s, d: C.calls(files(s, d)),
     "C13_patch_lines": lambda s, d: C.patch_lines(files(s, d).select("path", F.concat(F.lit("--- a/x\n+++ b/"), "path", F.lit("\n@@ -1 +1 @@\n-old\n+"), F.regexp_replace("text", "\n", "\n+")).alias("patch")), "path", "patch").groupBy("path", "file", "op").agg(F.count(F.lit(1)).alias("n")),
+    "C13_diff_lines": lambda s, d: C.diff_lines(_diffs(s, d), "path", "patch").groupBy("path", "file", "added", "removed", "hunk", "op").agg(F.count(F.lit(1)).alias("n"), F.min("old_no").alias("old_no"), F.max("new_no").alias("new_no"), F.max_by("text", "pos").alias("last")),
     "C14_added_imports": lambda s, d: C.patch_lines(files(s, d).select("path", F.concat(F.lit("+++ b/x\n@@ -1 +1 @@\n+"), F.regexp_replace("text", "\n", "\n+")).alias("patch")), "path", "patch").where("op = '+' and text rlike '^(import|from) '").groupBy("text").agg(F.count(F.lit(1)).alias("n")),
     "C17_unused_imports": lambda s, d: C.unused_imports(files(s, d)),
     "C17_silent_excepts": lambda s, d: C.silent_excepts(files(s, d)),
     "D1_definitions": lambda s, d: C.definitions(C.symbols(files(s, d))),
     "D2_call_types": lambda s, d: C.typed_calls(files(s, d), BUILTINS),
     "D5_prefix_imports": lambda s, d: C.resolved_imports(C.imports(files(s, d)).where("not star").select("path", "target").distinct(), modules(s, d)),
-    "D6_suffix_imports": lambda s, d: C.suffix_imports(C.imports(files(s, d)).where("alias = 'cust'").select("path", F.regexp_extract("target", r"([^.]+)$", 1).alias("target")), modules(s, d)),
+    "D6_suffix_imports": lambda s, d: C.suffix_imports(_by_suffix(C.imports(files(s, d)).where("not star")), modules(s, d)),
     "D8_mentions": lambda s, d: C.mentions(files(s, d), C.symbols(files(s, d))).groupBy("name").agg(F.count(F.lit(1)).alias("n")),
     "D10_unknown": lambda s, d: C.imports(files(s, d)).where("alias = 'cust'").join(modules(s, d).select(c("module").alias("target")), "target", "left_anti").select("path", "target"),
     "E4_shared_imports": lambda s, d: numbered(C.imports(files(s, d)).groupBy("target").agg(F.count_distinct("path").alias("n")).where("n >= 3"), c("target"), name="at").select("target", "n", F.concat(F.lit("I"), "at").alias("ref")),
@@ -91,7 +105,7 @@ QUERIES = {
     "D3_callees": lambda s, d: resolved(s, d)[0].drop("class_name"),
     "D7_imports": lambda s, d: C.import_links(C.imports(files(s, d)).where("not star"), modules(s, d)),
     "D7_shared": lambda s, d: C.shared_symbols(C.symbols(files(s, d))).groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.max("others").alias("most")),
-    "D9_impact": lambda s, d: C.trace_impact(files(s, d), C.symbols(files(s, d))).groupBy("home").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("first")),
+    "D9_impact": lambda s, d: C.impact_counts(files(s, d), C.symbols(files(s, d))),
     "D11_match_ratio": lambda s, d: C.match_ratios(used_names(s, d), C.symbols(files(s, d)).select("name")).withColumn("ratio", F.round("ratio", 3)),
     "F10_short_names": lambda s, d: C.resolved_names(C.symbols(files(s, d)), resolved(s, d)[1]),
 }
@@ -115,13 +129,15 @@ ORACLES = {
     "C4_imports": _F + "SELECT * FROM imports",
     "C5_calls": _F + "SELECT * FROM calls",
     "C13_patch_lines": _F + "SELECT path, path file, op, n FROM (SELECT path, '+' op, count(*) n FROM lines GROUP BY 1 UNION ALL SELECT path, '-', 1 FROM files)",
+    "C13_diff_lines": _F + """, fixed(file, added, removed, hunk, op, n, old_no, new_no, "last") AS (VALUES ('old.py', false, true, 1, '-', 2, 1, NULL, 'too'), ('kept.py', false, false, 1, ' ', 1, 3, 3, 'kept'), ('kept.py', false, false, 1, '-', 1, 4, NULL, 'old'), ('kept.py', false, false, 1, '+', 1, NULL, 4, 'new'), ('kept.py', false, false, 2, ' ', 1, 20, 20, 'x'), ('kept.py', false, false, 2, '+', 1, NULL, 21, 'y'))
+SELECT path, fixed.* FROM files, fixed UNION ALL SELECT path, path, true, false, 1, '+', count(*), NULL, max(line_no), arg_max(line, line_no) FROM lines GROUP BY path""",
     "C14_added_imports": _F + "SELECT line text, count(*) n FROM lines WHERE regexp_matches(line, '^(import|from) ') GROUP BY 1",
     "C17_unused_imports": _F + ", tok AS (SELECT DISTINCT path, unnest(regexp_extract_all(line, '[A-Za-z_]\\w*')) alias FROM lines WHERE NOT regexp_matches(line, '^\\s*(import|from)\\b')) SELECT path, string_split(alias, '.')[1] alias, target FROM imports i WHERE NOT star AND NOT EXISTS (SELECT 1 FROM tok WHERE tok.path = i.path AND tok.alias = string_split(i.alias, '.')[1])",
     "C17_silent_excepts": _F + "SELECT path, line_no::INTEGER line_no, true bare, true silent FROM lines WHERE trim(line) = 'except:'",
     "D1_definitions": _F + "SELECT full_name, arg_max(path, (path, line_no)) path, count(*) n FROM symbols GROUP BY 1",
     "D2_call_types": _F + ", k AS (SELECT *, string_split(callee, '.')[-1] short, string_split(callee, '.')[1] head FROM calls) SELECT path, line_no, caller, callee, CASE WHEN short = caller THEN 'recursive' WHEN EXISTS (SELECT 1 FROM imports i WHERE i.path = k.path AND i.alias = head) THEN 'external' WHEN short IN ('len', 'print', 'range', 'open') THEN 'builtin' WHEN EXISTS (SELECT 1 FROM symbols y WHERE y.path = k.path AND y.name = short) THEN 'internal' ELSE 'unknown' END call_type FROM k",
     "D5_prefix_imports": _F + f", {_MOD} SELECT i.path, target, arg_max(file, length(module)) file FROM (SELECT DISTINCT path, target FROM imports WHERE NOT star) i LEFT JOIN mods ON target = module OR starts_with(target, module || '.') GROUP BY ALL",
-    "D6_suffix_imports": _F + f", {_MOD}, i AS (SELECT path, string_split(target, '.')[-1] target FROM imports WHERE alias = 'cust') SELECT i.path, target, min(file) file FROM i JOIN mods ON string_split(module, '.')[-1] = target GROUP BY ALL",
+    "D6_suffix_imports": _F + f", {_MOD}, i AS (SELECT path, target FROM imports WHERE NOT star UNION SELECT path, array_to_string(string_split(target, '.')[2:], '.') FROM imports WHERE NOT star AND contains(target, '.')) SELECT i.path, target, min(file) file FROM i JOIN (SELECT file, unnest(list_transform(range(1, len(string_split(module, '.')) + 1), lambda n: array_to_string(string_split(module, '.')[n:], '.'))) tail FROM mods) ON tail = target GROUP BY ALL",
     "D8_mentions": _F + ", tok AS (SELECT DISTINCT path, unnest(regexp_extract_all(text, '[A-Za-z_]\\w*')) name FROM files), f AS (SELECT DISTINCT name, path FROM symbols) SELECT name, count(*) n FROM tok WHERE name IN (SELECT name FROM f) AND (name, path) NOT IN (SELECT name, path FROM f) GROUP BY 1",
     "D10_unknown": _F + f", {_MOD} SELECT path, target FROM imports WHERE alias = 'cust' AND target NOT IN (SELECT module FROM mods)",
     "E4_shared_imports": _F + "SELECT target, n, 'I' || (row_number() OVER (ORDER BY target) - 1) ref FROM (SELECT target, count(DISTINCT path) n FROM imports GROUP BY 1 HAVING count(DISTINCT path) >= 3)",

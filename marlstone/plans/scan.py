@@ -100,7 +100,7 @@ QUERIES = {
     "J9_personal_paths": lambda s, d: said(s, d).withColumn("marker", F.coalesce(*[F.when(c("text").contains(m), F.lit(m)) for m in S.PERSONAL_PATHS])).where("marker is not null").orderBy("doc_id").limit(25).select("doc_id", "marker"),
     "J10_balance": lambda s, d: pages(s, d).select("page_id", S.balance(c("html")).alias("open"), (F.upper("html").rlike(r"\bSELECT\b") & ~F.upper("html").rlike(r"\bFROM\b")).alias("select_without_from")),
     "J11_contracts": lambda s, d: t(s, d, "events").select("event_id", F.from_json("props", "k long, name string").alias("p"), F.sha2("props", 256).alias("h")).select("event_id", c("p.k").isNotNull().alias("has_k"), c("p.name").isNull().alias("lacks_name"), F.col("h").rlike("^[0-9a-f]{64}$").alias("hash_fine")).groupBy("has_k", "lacks_name", "hash_fine").agg(F.count(F.lit(1)).alias("n")),
-    "J14_credentials": lambda s, d: t(s, d, "documents").withColumn("kind", F.coalesce(*[F.when(c("text").rlike(r), F.lit(k)) for k, r in S.CREDENTIALS.items()])).where(c("kind").isNotNull() & ~F.lower("text").contains("placeholder")).orderBy("doc_id").limit(25).select("doc_id", "kind"),
+    "J14_credentials": lambda s, d: S.credential_markers(t(s, d, "documents"), "doc_id", F.concat("source", F.when(c("doc_id") % 5 == 0, "/Examples/").otherwise("/src/"), "doc_id"), "text"),
     "J15_requirements": lambda s, d: S.requirements(pages(s, d), "page_id", "html", NEEDLES),
     "E22_verdicts": lambda s, d: S.verdicts(S.patch_findings(patches(s, d), "id", "patch").where("severity = 'BLOCK'"), patches(s, d), "id"),
 }
@@ -125,7 +125,7 @@ ORACLES = {
     "J9_personal_paths": "SELECT doc_id, CASE " + " ".join(f"WHEN contains(text, '{m}') THEN '{m}'" for m in S.PERSONAL_PATHS) + f" END marker FROM ({_SAID}) WHERE marker IS NOT NULL ORDER BY doc_id LIMIT 25",
     "J10_balance": "SELECT page_id, (length(regexp_replace(html, '[^{]', '', 'g')) - length(regexp_replace(html, '[^}]', '', 'g')))::INTEGER open, regexp_matches(upper(html), '\\bSELECT\\b') AND NOT regexp_matches(upper(html), '\\bFROM\\b') select_without_from FROM pages",
     "J11_contracts": "SELECT json_extract(props, '$.k') IS NOT NULL has_k, json_extract(props, '$.name') IS NULL lacks_name, regexp_matches(sha256(props), '^[0-9a-f]{64}$') hash_fine, count(*) n FROM events GROUP BY ALL",
-    "J14_credentials": "SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(text, '{_sql(r)}') THEN '{k}'" for k, r in S.CREDENTIALS.items()) + " END kind FROM documents WHERE kind IS NOT NULL AND NOT contains(lower(text), 'placeholder') ORDER BY doc_id LIMIT 25",
+    "J14_credentials": "SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(text, '{_sql(r)}') THEN '{k}'" for k, r in S.CREDENTIALS.items()) + " END kind FROM documents WHERE kind IS NOT NULL AND doc_id % 5 <> 0 AND NOT contains(lower(source), 'example') AND NOT contains(lower(text), 'placeholder') ORDER BY doc_id LIMIT 25",
     "J15_requirements": "WITH m AS (SELECT page_id, list_filter([" + ", ".join(f"CASE WHEN NOT ({' OR '.join(f'''contains(html, '{n}')''' for n in some)}) THEN '{k}' END" for k, some in NEEDLES.items()) + "], lambda x: x IS NOT NULL) m FROM pages) SELECT page_id, array_to_string(m, ',') missing, CASE len(m) WHEN 0 THEN 'PASS' WHEN 1 THEN 'WARN' ELSE 'FAIL' END verdict FROM m",
     "E22_verdicts": f"WITH p AS ({_PATCHES}), f AS (SELECT * FROM ({_PATCH}) WHERE rule_id NOT IN ('sys_exit', 'dynamic_import')) {_VERDICT}",
 }
