@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.text import code_lines
 from marlstone.operators import code as C
+from marlstone.operators import lexed
 from marlstone.operators.change import numbered
 from marlstone.sources.tables import table as t
 
@@ -61,6 +62,37 @@ def resolved(s, d):
     return typed, C.resolved_calls(typed, C.symbols(f))
 
 
+# statements over several lines, strings and comments that look like code; @k is the module's number
+ROUGH = """
+from .pkg import (
+    a as b,
+    p@k,  # from c import d
+)
+from ..up import *
+import big, \\
+    wide as w
+x = start@k(
+    "not(a call)",
+    [inner(1)],
+)  # other(2)
+\"\"\"import no
+fake(1)
+\"\"\"
+def tail(n):
+    return w(n, '}')
+"""
+
+
+def rough(s, d):
+    """The modules, with such statements at their end."""
+    n = F.regexp_extract("path", r"o(\d+)\.py$", 1)
+    return files(s, d).select("path", F.concat("text", F.replace(F.lit(ROUGH), F.lit("@k"), n)).alias("text"))
+
+
+_K = "regexp_extract(path, 'o(\\d+)\\.py$', 1)"
+_BASE = "tail_ AS (SELECT path, max(line_no)::INTEGER n, " + _K + " k FROM lines GROUP BY path)"
+
+
 def _by_suffix(found):
     """Imports as they stand, and as they stand within their package, without the first part."""
     inner = F.regexp_extract("target", r"^[^.]+\.(.+)$", 1)
@@ -86,7 +118,10 @@ QUERIES = {
     "C1_symbols": lambda s, d: C.symbols(files(s, d)),
     "C3_exact_symbols": lambda s, d: C.python_symbols(files(s, d)).select("path", "name", "kind", c("line_no").cast("int").alias("line_no")),
     "C4_imports": lambda s, d: C.imports(files(s, d)),
+    "C4_statements": lambda s, d: lexed.imports(rough(s, d)),
     "C5_calls": lambda s, d: C.calls(files(s, d)),
+    "C5_statements": lambda s, d: lexed.calls(rough(s, d)),
+    "J10_brackets": lambda s, d: lexed.balance(rough(s, d)),
     "C13_patch_lines": lambda s, d: C.patch_lines(files(s, d).select("path", F.concat(F.lit("--- a/x\n+++ b/"), "path", F.lit("\n@@ -1 +1 @@\n-old\n+"), F.regexp_replace("text", "\n", "\n+")).alias("patch")), "path", "patch").groupBy("path", "file", "op").agg(F.count(F.lit(1)).alias("n")),
     "C13_diff_lines": lambda s, d: C.diff_lines(_diffs(s, d), "path", "patch").groupBy("path", "file", "added", "removed", "hunk", "op").agg(F.count(F.lit(1)).alias("n"), F.min("old_no").alias("old_no"), F.max("new_no").alias("new_no"), F.max_by("text", "pos").alias("last")),
     "C14_added_imports": lambda s, d: C.patch_lines(files(s, d).select("path", F.concat(F.lit("+++ b/x\n@@ -1 +1 @@\n+"), F.regexp_replace("text", "\n", "\n+")).alias("patch")), "path", "patch").where("op = '+' and text rlike '^(import|from) '").groupBy("text").agg(F.count(F.lit(1)).alias("n")),
@@ -128,6 +163,13 @@ ORACLES = {
     "C3_exact_symbols": _F + "SELECT path, name, kind, line_no FROM symbols",
     "C4_imports": _F + "SELECT * FROM imports",
     "C5_calls": _F + "SELECT * FROM calls",
+    "C4_statements": _F + f""", {_BASE}, nos AS (SELECT path, line_no::INTEGER line_no, line FROM lines WHERE regexp_matches(line, '^\\s*(import|from)\\b')),
+own AS (SELECT path, line_no, unnest(regexp_split_to_array(regexp_extract(line, 'import\\s+(.+)$', 1), ',\\s*')) item, CASE WHEN line LIKE 'from%' THEN regexp_extract(line, '^from\\s+(\\S+)', 1) || '.' ELSE '' END base FROM nos)
+SELECT path, line_no, 0 AS "level", CASE WHEN contains(item, ' as ') THEN string_split(item, ' as ')[2] ELSE item END alias, base || string_split(item, ' as ')[1] target, item = '*' star FROM own
+UNION ALL SELECT path, n + 1, 1, 'b', '.pkg.a', false FROM tail_ UNION ALL SELECT path, n + 1, 1, 'p' || k, '.pkg.p' || k, false FROM tail_ UNION ALL SELECT path, n + 5, 2, '*', '..up.*', true FROM tail_ UNION ALL SELECT path, n + 6, 0, 'big', 'big', false FROM tail_ UNION ALL SELECT path, n + 6, 0, 'w', 'wide', false FROM tail_""",
+    "C5_statements": _F + f""", {_BASE}, names AS (SELECT path, arg_max(caller, line_no) FILTER (caller IS NOT NULL) one FROM calls GROUP BY path), lastdef AS (SELECT path, arg_max(regexp_extract(line, '^\\s*def\\s+(\\w+)', 1), line_no) scope FROM lines WHERE regexp_matches(line, '^\\s*def\\s') GROUP BY path)
+SELECT * FROM calls UNION ALL SELECT path, n + 8, scope, unnest(['start' || k, 'inner']) FROM tail_ JOIN lastdef USING (path) UNION ALL SELECT path, n + 16, 'tail', 'w' FROM tail_""",
+    "J10_brackets": _F + "SELECT path, 0 round, 0 square, 0 curly FROM files",
     "C13_patch_lines": _F + "SELECT path, path file, op, n FROM (SELECT path, '+' op, count(*) n FROM lines GROUP BY 1 UNION ALL SELECT path, '-', 1 FROM files)",
     "C13_diff_lines": _F + """, fixed(file, added, removed, hunk, op, n, old_no, new_no, "last") AS (VALUES ('old.py', false, true, 1, '-', 2, 1, NULL, 'too'), ('kept.py', false, false, 1, ' ', 1, 3, 3, 'kept'), ('kept.py', false, false, 1, '-', 1, 4, NULL, 'old'), ('kept.py', false, false, 1, '+', 1, NULL, 4, 'new'), ('kept.py', false, false, 2, ' ', 1, 20, 20, 'x'), ('kept.py', false, false, 2, '+', 1, NULL, 21, 'y'))
 SELECT path, fixed.* FROM files, fixed UNION ALL SELECT path, path, true, false, 1, '+', count(*), NULL, max(line_no), arg_max(line, line_no) FROM lines GROUP BY path""",
