@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions.lineage import cut_folder, remove
 from marlstone.operators import change as M
+from marlstone.operators import code as C
 from marlstone.operators import scan
 from marlstone.plans.change import _M, manifests
+from marlstone.plans.code import _F as _FILES
+from marlstone.plans.code import files as modules_of_orders
 from marlstone.plans.logs import ALLOWED, REQUIRED
 from marlstone.sources.tables import table as t
+from marlstone.streaming import deltas as D
 from marlstone.streaming import events as S
 from marlstone.streaming import machines as M2
 
@@ -63,7 +69,30 @@ def _deliveries(s, d):
     return [e.where(n == i) for i in range(3)]
 
 
+def code_facts(files):
+    """Facts of modules: an edge to each thing imported, and what the corpus totals count."""
+    found = C.imports(files).where("not star").select("path", "target").distinct()
+    sizes = files.select("path", F.lit(1).alias("files"), (F.size(F.split("text", "\n")) - 1).alias("lines"), F.octet_length("text").alias("bytes"))
+    return reduce(DataFrame.unionByName, [D.facts("path", "edge", found, a="path", b="target"), *[D.facts("path", k, sizes, amount=k) for k in ("files", "lines", "bytes")]])
+
+
+def _kept(s, d):
+    """Modules in three deliveries: all; every third one with another import; some as they were, and some gone."""
+    k = F.regexp_extract("path", r"o(\d+)\.py$", 1).cast("bigint")
+    first = modules_of_orders(s, d).select("path", "text", F.lit(False).alias("gone"))
+    other = F.concat(F.regexp_replace("text", r"^import [^\n]+\n", ""), F.lit("import zz"), k % 7, F.lit("\n"))
+    second = first.where(k % 3 == 0).withColumn("text", other)
+    third = first.where((k % 5 == 0) | (k % 6 == 0)).withColumn("gone", k % 5 == 0).withColumn("text", F.when(~F.col("gone"), F.col("text")))
+    folder = f"{cut_folder(s)}/kept-{uuid.uuid4().hex}"
+    for part in (first, second, third):
+        part.write.mode("append").parquet(f"{folder}/src")
+        D.maintain(s.readStream.schema(first.schema).parquet(f"{folder}/src"), folder, code_facts)
+    return D.log(s, f"{folder}/log")
+
+
 QUERIES = {
+    "S1_kept_degrees": lambda s, d: D.degrees(_kept(s, d)),
+    "S1_kept_totals": lambda s, d: D.totals(_kept(s, d)),
     "S3_machine": lambda s, d: M2.delivered(_deliveries(s, d), lambda x: M2.ordered_transitions(x, "user_id", set(ALLOWED), "start", minutes=360, idle_days=3, delay=f"{DELAY} day")),
     "S8_late_windows": lambda s, d: M2.delivered(_deliveries(s, d), lambda x: M2.windows(x, "event_type", hours=24, delay=f"{DELAY} day")).withColumn("total", F.round("total", 4)),
     "S1_incremental": _watched,
@@ -82,11 +111,16 @@ _OK = ", ".join(repr(x) for x in ALLOWED)
 # with each event its delivery, and the watermark that stands when this delivery comes
 _DELIVERED = f"""WITH x AS (SELECT *, epoch_ms(ts) ms, least(2, floor((epoch_us(ts) - epoch_us(min(ts) OVER ())) / 86400000000 / {DAYS})::BIGINT + (event_id % {LATE} = 0)::BIGINT) dl FROM events),
 top AS (SELECT dl, max(ms) most FROM x GROUP BY 1), e AS (SELECT *, coalesce((SELECT max(most) FROM top WHERE top.dl < x.dl), 0) - {DELAY * 86_400_000} wm, (SELECT max(most) FROM top) - {DELAY * 86_400_000} last FROM x), """
+# the modules as they are after the last delivery, and their imports
+_NOW = _FILES + r""", now AS (SELECT path, o_orderkey k, CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 2 = 1 THEN regexp_replace(text, '^import [^\n]+\n', '') || 'import zz' || (o_orderkey % 7) || chr(10) ELSE text END t FROM files WHERE o_orderkey % 5 <> 0),
+e AS (SELECT DISTINCT i.path, i.target FROM imports i JOIN now USING (path) WHERE NOT star AND NOT (k % 3 = 0 AND k % 2 = 1 AND alias = 'cust') UNION SELECT path, 'zz' || (k % 7) FROM now WHERE k % 3 = 0 AND k % 2 = 1) """
 ORACLES = {
     "S3_machine": _DELIVERED + f"""c AS (SELECT *, ms // 21600000 * 21600000 + 21600000 stop FROM e), f AS (SELECT *, lag(event_type) OVER w prev, lag(ms) OVER w prev_at FROM c WHERE stop > wm AND stop <= last WINDOW w AS (PARTITION BY user_id ORDER BY ms, event_id))
 SELECT user_id, event_id, from_state, (from_state, event_type) IN ({_OK}) valid, false late FROM (SELECT *, CASE WHEN prev IS NULL OR ms - prev_at > 259200000 THEN 'start' ELSE prev END from_state FROM f) UNION ALL SELECT user_id, event_id, NULL, NULL, true FROM c WHERE stop <= wm""",
     "S8_late_windows": _DELIVERED + """c AS (SELECT *, ms // 86400000 * 86400000 "start" FROM e)
 SELECT event_type, 'closed' kind, "start", NULL::BIGINT event_id, count(*) n, round(sum(value), 4) total FROM c WHERE "start" + 86400000 > wm AND "start" + 86400000 <= last GROUP BY ALL UNION ALL SELECT event_type, 'late', "start", event_id, 1, round(value, 4) FROM c WHERE "start" + 86400000 <= wm""",
+    "S1_kept_degrees": _NOW + "SELECT node, sum(i)::BIGINT indegree, sum(o)::BIGINT outdegree, count(*) total FROM (SELECT path node, 0 i, 1 o FROM e UNION ALL SELECT target, 1, 0 FROM e) GROUP BY 1",
+    "S1_kept_totals": _NOW + "SELECT unnest(['files', 'lines', 'bytes']) kind, unnest([count(*), sum(len(string_split(t, chr(10))) - 1)::BIGINT, sum(strlen(t))::BIGINT]) total FROM now",
     "S1_incremental": _M + "SELECT doc_id, left(sha256, 12) digest, trunc(n_chars / 4)::BIGINT tokens FROM n",
     "S4_timeouts": "SELECT o_orderkey id, CASE WHEN o_orderstatus = 'F' THEN 'APPROVED' ELSE 'EXPIRED' END status FROM orders",
     "S2_trace_fidelity": f"WITH e AS (SELECT user_id, event_type || ':' || floor(json_extract_string(props, '$.k')::BIGINT / 10)::BIGINT kind FROM events) SELECT user_id, count(DISTINCT kind) FILTER (kind IN {tuple(REQUIRED)}) / {len(REQUIRED)} fidelity FROM e GROUP BY 1",
