@@ -1,6 +1,6 @@
 """Running values over a key's rows in order, without sorting all rows of a key in one task.
 
-A key's rows are cut into chunks of the first order column (a day of a timestamp). Within a chunk a window gives what
+A key's rows are cut into chunks of the first order column (a week of a timestamp). Within a chunk a window gives what
 runs up to each row; the chunk as a whole gives a sum, a count and a last value. These are associative, so a window over
 the chunks alone, a row each, says what each chunk starts from, and is joined back on the partitioning that the first
 window has used. A key that holds half of all rows is then as many groups as it has chunks.
@@ -16,7 +16,7 @@ from pyspark.sql.types import DateType, NumericType, TimestampNTZType, Timestamp
 NUMBERS = 10_000
 
 
-def chunk_of(df: DataFrame, column: str, unit: str = "day") -> Column:
+def chunk_of(df: DataFrame, column: str, unit: str = "week") -> Column:
     """The chunk of an order column: a unit of time, a range of numbers, or (other types) one for all rows."""
     kind = df.schema[column].dataType
     if isinstance(kind, (DateType, TimestampType, TimestampNTZType)):
@@ -24,7 +24,7 @@ def chunk_of(df: DataFrame, column: str, unit: str = "day") -> Column:
     return F.floor(F.col(column) / NUMBERS) if isinstance(kind, NumericType) else F.lit(0)
 
 
-def carried(rows: DataFrame, key: str | list[str], *order: str, sums: dict[str, Column] | None = None, before: dict[str, tuple[str, object]] | None = None, nth: str | None = None, total: str | None = None, unit: str = "day") -> DataFrame:
+def carried(rows: DataFrame, key: str | list[str], *order: str, sums: dict[str, Column] | None = None, before: dict[str, tuple[str, object]] | None = None, nth: str | None = None, total: str | None = None, unit: str = "week") -> DataFrame:
     """The rows with running values over those of the same key in order, each up to and with the row itself.
 
     ``sums`` gives running sums (null: 0), ``before`` the value of a column in the row before and what stands there at
@@ -37,7 +37,7 @@ def carried(rows: DataFrame, key: str | list[str], *order: str, sums: dict[str,
     amount = {name: F.coalesce(x, F.lit(0)) for name, x in sums.items()}
     last = F.struct(*order)
     ends = dealt.groupBy("_at").agg(
-        F.count(F.lit(1)).alias("_n"),
+        *([F.count(F.lit(1)).alias("_n")] if nth or total or not (sums or before) else []),
         *[F.sum(x).alias(f"_sum_{name}") for name, x in amount.items()],
         *[F.max_by(F.struct(F.col(c).alias("x")), last).alias(f"_end_{name}") for name, (c, _) in before.items()],
     )
@@ -46,7 +46,7 @@ def carried(rows: DataFrame, key: str | list[str], *order: str, sums: dict[str,
     sofar = lambda c: F.coalesce(F.sum(c).over(prior), F.lit(0))
     start = ends.select(
         "_at",
-        sofar("_n").alias("_n"), F.sum("_n").over(Window.partitionBy("_at._key")).alias("_all"),
+        *([sofar("_n").alias("_n")] if nth else []), *([F.sum("_n").over(Window.partitionBy("_at._key")).alias("_all")] if total else []),
         *[sofar(f"_sum_{name}").alias(f"_sum_{name}") for name in sums],
         *[F.lag(f"_end_{name}").over(chunks).alias(f"_end_{name}") for name in before],
     )

@@ -35,12 +35,12 @@ def select_files(tasks: DataFrame, edges: DataFrame, files: DataFrame, *, critic
     rows = [known.select("task", "profile", c("target").alias("file"), weight("target").alias("weight"))]
     uses, used = edges.select(c("src").alias("at"), c("dst").alias("file")), edges.select(c("dst").alias("at"), c("src").alias("file"))
     at = known.withColumn("at", c("target"))
-    rows.append(at.join(uses, "at").select("task", "profile", "file", weight("direct_dep").alias("weight")))
+    direct = cut(at.join(uses, "at").select("task", "profile", "target", c("file").alias("at")).distinct())
+    rows.append(direct.select("task", "profile", c("at").alias("file"), weight("direct_dep").alias("weight")))
     rows.append(at.join(used, "at").select("task", "profile", "file", weight("reverse_dep").alias("weight")))
     deepest = F.try_element_at(F.create_map(*[F.lit(x) for p, w in profiles.items() if "indirect_dep" in w for x in (p, w["depth"])]), c("profile"))
-    front = at.select("task", "profile", "target", "at")
     for depth in range(1, 1 + max((w["depth"] for w in profiles.values() if "indirect_dep" in w), default=0)):
-        front = front.where(deepest >= depth).join(uses, "at").select("task", "profile", "target", c("file").alias("at")).distinct()
+        front = direct.where(deepest >= 1) if depth == 1 else cut(front.where(deepest >= depth).join(uses, "at").select("task", "profile", "target", c("file").alias("at")).distinct())
         rows.append(front.where("at <> target").select("task", "profile", c("at").alias("file"), weight("indirect_dep").alias("weight")))
     if critical:
         rows.append(tasks.select("task", "profile", F.explode(F.array(*[F.lit(x) for x in critical])).alias("file"), weight("critical").alias("weight")))

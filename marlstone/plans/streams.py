@@ -16,6 +16,7 @@ from marlstone.plans.change import _M, manifests
 from marlstone.plans.code import _F as _FILES
 from marlstone.plans.code import files as modules_of_orders
 from marlstone.plans.logs import ALLOWED, REQUIRED
+from marlstone.sources import watcher as W
 from marlstone.sources.tables import table as t
 from marlstone.streaming import deltas as D
 from marlstone.streaming import events as S
@@ -90,7 +91,21 @@ def _kept(s, d):
     return D.log(s, f"{folder}/log")
 
 
+def _watched_tree(s, d):
+    """Documents as files of a tree, in the two states of the manifests; the watcher is stopped between."""
+    folder, s_id = f"{cut_folder(s)}/watch-{uuid.uuid4().hex}", F.col("doc_id")
+    docs = t(s, d, "documents").select(s_id, F.concat(F.coalesce("source", F.lit("none")), F.lit("/"), "doc_id", F.lit(".txt")).alias("path"), F.coalesce("text", F.lit("")).alias("text"))
+    there, stays = (s_id % 10 != 3), (s_id % 11 != 5)
+    later = docs.where((there & ~stays) | (~there & stays) | (there & stays & (s_id % 7 == 0)))
+    s.dataSource.register(W.WatchedTree)
+    for part in (docs.where(there), later.withColumn("text", F.when(stays, F.concat("text", F.lit("!"))))):
+        W.put(part, f"{folder}/tree")
+        out = M2.run(s.readStream.format("watched_tree").option("root", f"{folder}/tree").option("manifests", f"{folder}/manifests").load(), folder)
+    return out.select("path", "change", "version")
+
+
 QUERIES = {
+    "A10_watch": _watched_tree,
     "S1_kept_degrees": lambda s, d: D.degrees(_kept(s, d)),
     "S1_kept_totals": lambda s, d: D.totals(_kept(s, d)),
     "S3_machine": lambda s, d: M2.delivered(_deliveries(s, d), lambda x: M2.ordered_transitions(x, "user_id", set(ALLOWED), "start", minutes=360, idle_days=3, delay=f"{DELAY} day")),
@@ -119,6 +134,7 @@ ORACLES = {
 SELECT user_id, event_id, from_state, (from_state, event_type) IN ({_OK}) valid, false late FROM (SELECT *, CASE WHEN prev IS NULL OR ms - prev_at > 259200000 THEN 'start' ELSE prev END from_state FROM f) UNION ALL SELECT user_id, event_id, NULL, NULL, true FROM c WHERE stop <= wm""",
     "S8_late_windows": _DELIVERED + """c AS (SELECT *, ms // 86400000 * 86400000 "start" FROM e)
 SELECT event_type, 'closed' kind, "start", NULL::BIGINT event_id, count(*) n, round(sum(value), 4) total FROM c WHERE "start" + 86400000 > wm AND "start" + 86400000 <= last GROUP BY ALL UNION ALL SELECT event_type, 'late', "start", event_id, 1, round(value, 4) FROM c WHERE "start" + 86400000 <= wm""",
+    "A10_watch": "WITH x AS (SELECT coalesce(source, 'none') || '/' || doc_id || '.txt' path, doc_id k FROM documents) SELECT path, 'added' change, 1::BIGINT AS version FROM x WHERE k % 10 <> 3 UNION ALL SELECT path, CASE WHEN k % 10 = 3 THEN 'added' WHEN k % 11 = 5 THEN 'removed' ELSE 'changed' END, 2 FROM x WHERE (k % 10 <> 3) <> (k % 11 <> 5) OR (k % 10 <> 3 AND k % 11 <> 5 AND k % 7 = 0)",
     "S1_kept_degrees": _NOW + "SELECT node, sum(i)::BIGINT indegree, sum(o)::BIGINT outdegree, count(*) total FROM (SELECT path node, 0 i, 1 o FROM e UNION ALL SELECT target, 1, 0 FROM e) GROUP BY 1",
     "S1_kept_totals": _NOW + "SELECT unnest(['files', 'lines', 'bytes']) kind, unnest([count(*), sum(len(string_split(t, chr(10))) - 1)::BIGINT, sum(strlen(t))::BIGINT]) total FROM now",
     "S1_incremental": _M + "SELECT doc_id, left(sha256, 12) digest, trunc(n_chars / 4)::BIGINT tokens FROM n",
