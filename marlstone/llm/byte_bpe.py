@@ -176,7 +176,8 @@ def decode(coded: DataFrame, *, path: str, pattern: str, key: str = "doc_id", id
 def round_trip(docs: DataFrame, *, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, n_tokens, ids_sha256, decoded_sha256, n_bytes`` of every whole text, encoded and decoded in one pass.
 
-    The ids never leave the task, so nothing is shuffled. Null texts count as empty ones. One row for each input row.
+    The ids never leave the task, so nothing is shuffled. Null texts count as empty ones. One row for each input
+    row, none for a table without rows; columns but key and text are not read, whatever their names.
     """
 
     def make():

@@ -125,7 +125,8 @@ def _predictor(model: dict[str, str]):
 def predict(docs: DataFrame, model: dict[str, str], *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, lang_pred, score`` of every whole text. ``und`` with score 0 if it is null or has no letters, or if the
     model is empty; else the score is the second language's cost over both costs (1 if there is only one). Of equal
-    costs the first label counts. One row for each input row, repeated ones too."""
+    costs the first label counts. One row for each input row, repeated ones too, none for a table without rows; columns but
+    key and text are not read, whatever their names."""
     make = _predictor(model)
 
     def many():

@@ -195,5 +195,7 @@ def pack(cut_pieces: DataFrame, *, size: int, key: str = "doc_id") -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, *, path: str, pattern: str, size: int = 2048, end_id: int = 0, tokenizer: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Tokenise once, then pack. A null text is an empty document, whose only id is ``end_id``."""
+    """Tokenise once, then pack. A null text is an empty document, whose only id is ``end_id``. Repeated rows
+    are packed as often as they stand there, null keys like others; a table without rows gives none. Columns but key and
+    text are not read, whatever their names."""
     return pack(cut(pieces(docs, path=path, pattern=pattern, size=size, end_id=end_id, tokenizer=tokenizer, key=key, text=text)), size=size, key=key)

@@ -118,7 +118,8 @@ def fit(rows: list, *, grades: int, size: int, steps: int = 120, rate: float = 0
 def score(docs: DataFrame, weights: np.ndarray, thresholds: np.ndarray, *, least: float = 0.5, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, grade, tail, kept`` of every whole text: expected grade, P(highest grade) and whether that is >= least.
 
-    Null and empty texts have only the shape's features. One row for each input row.
+    Null and empty texts have only the shape's features. One row for each input row; a table without rows gives none.
+    Columns but key and text are not read, whatever their names.
     """
     size, sc = len(weights), docs.sparkSession.sparkContext
     shared = sc.broadcast((weights.astype(np.float32), thresholds))  # bounded by the number of features

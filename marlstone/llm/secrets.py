@@ -234,7 +234,8 @@ KINDS = tuple(r.kind for r in BASE + MORE)
 def find_secrets(docs: DataFrame, *, kinds: tuple[str, ...] = KINDS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, spans array<struct<kind, start, end>>`` of every whole text, in code points, end exclusive.
 
-    Null and empty texts have no spans. One row for each input row; nothing is shuffled.
+    Null and empty texts have no spans. One row for each input row, none for a table without rows; nothing is shuffled.
+    Columns but key and text are not read, whatever their names.
     """
 
     def make():

@@ -136,7 +136,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 4, radius: int = 4, key: st
     Texts that are null, empty or without words have fingerprint zero, which links like any other. Rows with a null
     key belong to their fingerprint's component, which is null if no row of it has a key. Where keys are repeated,
     components that share their smallest key have the same component_id, but aren't joined. A table without rows gives
-    none; repeated rows are rows of one fingerprint.
+    none; repeated rows are rows of one fingerprint. Columns but key and text are not read, whatever their names.
     """
     rows, known, n = _linked(docs, words=words, radius=radius, key=key, text=text)
     names = known.groupBy("component").agg(F.min("least").alias("name"), F.count(F.lit(1)).alias("fps"))
