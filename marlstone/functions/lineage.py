@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Keys that ``join_unique`` treats as hot, at most.
 HOT_KEYS = 1_000
+#: Rows of a table that ``small`` has broadcast, at most.
+SMALL_ROWS = 100_000
 
 
 def cut_folder(spark: SparkSession) -> str:
@@ -38,6 +40,12 @@ def remove(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small(df: DataFrame) -> DataFrame:
+    """A caller's table for a broadcast join, if it is as small as policies are (``SMALL_ROWS``); a larger one is joined
+    as Spark sees fit."""
+    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
+
+
 def join_unique(rows: DataFrame, known: DataFrame, key: str, many: str, total: int) -> DataFrame:
     """Inner join with ``known``, which has one row for each ``key`` and in ``many`` how often ``rows`` holds it.
 

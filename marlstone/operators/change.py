@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.functions.lineage import cut
+from marlstone.functions.lineage import cut, small
 
 
 def manifest_diff(old: DataFrame, new: DataFrame, key: str, digest: str) -> DataFrame:
@@ -42,7 +42,7 @@ def stale_snapshot(old: DataFrame, new: DataFrame, key: str, mtime: str, size: s
 
 def promote(records: DataFrame, paths: DataFrame, approved: DataFrame) -> DataFrame:
     """Records on an allowed path, with their next version; those whose path needs approval only if they have it."""
-    ok = records.join(F.broadcast(paths), ["layer", "target"]).join(approved.withColumn("ok", F.lit(True)), "memory_id", "left")
+    ok = records.join(small(paths), ["layer", "target"]).join(approved.withColumn("ok", F.lit(True)), "memory_id", "left")
     return ok.where(~F.col("needs_approval") | F.coalesce("ok", F.lit(False))).select("memory_id", F.col("target").alias("layer"), (F.col("version") + 1).alias("version"))
 
 
@@ -121,7 +121,7 @@ def create_records(params: DataFrame, rights: DataFrame, *, limit: int = 1000) -
     or the hash; the others are accepted: the latest ``limit`` of a layer are ACTIVE, older ones ARCHIVED. Who is first
     with both its version and its hash is accepted, those behind it conflict, and so on until all are settled.
     """
-    ok = params.join(F.broadcast(rights.select("role", "layer", F.lit(True).alias("ok")).distinct()), ["role", "layer"], "left")
+    ok = params.join(small(rights.select("role", "layer", F.lit(True).alias("ok")).distinct()), ["role", "layer"], "left")
     ok = cut(ok.select("event_id", "memory_id", "layer", "version", "hash", "ok"))
     forbidden = ok.where("ok is null").select("event_id", "layer", F.lit("FORBIDDEN").alias("status"))
     left = ok.where("ok").drop("ok")

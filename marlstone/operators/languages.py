@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from marlstone.functions.lineage import small
+
 # fixed values: symbol rules of nine languages, by kind
 SYMBOLS = {
     "javascript": {
@@ -126,5 +128,5 @@ def rule_table(spark: SparkSession, rules: dict[str, dict[str, str]] = STRUCTURE
 def structure(files: DataFrame, rules: DataFrame) -> DataFrame:
     """``path, kind, names``: distinct names of each kind, sorted; rules are a small table ``lang, kind, rule``. Kinds
     without a name have no row."""
-    found = files.join(F.broadcast(rules), "lang").select("path", "kind", F.regexp_extract_all("text", F.concat(F.lit("(?md)"), "rule"), F.lit(1)).alias("names"))
+    found = files.join(small(rules), "lang").select("path", "kind", F.regexp_extract_all("text", F.concat(F.lit("(?md)"), "rule"), F.lit(1)).alias("names"))
     return found.where(F.size("names") > 0).select("path", "kind", F.array_sort(F.array_distinct("names")).alias("names"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.functions.lineage import small
 from marlstone.operators.carry import carried
 
 
@@ -89,7 +90,7 @@ def determinism(runs: DataFrame, scenario: str, *outputs: str) -> DataFrame:
 
 def readiness(observed: DataFrame, key: str, item: str, criteria: DataFrame) -> DataFrame:
     """Weighted score of covered criteria (item, weight), which ones are missing, and the level (85 / 65 / 40)."""
-    every = observed.select(key).distinct().join(F.broadcast(criteria))
+    every = observed.select(key).distinct().join(small(criteria))
     met = every.join(observed.select(key, item).distinct().withColumn("met", F.lit(True)), [key, item], "left")
     out = met.groupBy(key).agg(F.sum(F.when(F.col("met"), F.col("weight")).otherwise(0)).alias("score"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("met").isNull(), F.col(item)))), ",").alias("missing"))
     return out.withColumn("level", readiness_level(F.col("score")))
@@ -111,7 +112,7 @@ def transitions(df: DataFrame, entity: str | list[str], state: str, allowed: Dat
     With ``machine``, a column of both tables, an entity steps in a machine of its own."""
     at = ([entity] if isinstance(entity, str) else entity) + ([machine] if machine else [])
     steps = carried(df, at, *order, before={"from_state": (state, initial)}).withColumn("to_state", F.col(state))
-    return steps.join(F.broadcast(allowed.withColumn("valid", F.lit(True))), ["from_state", "to_state", *([machine] if machine else [])], "left").withColumn("valid", F.coalesce("valid", F.lit(False)))
+    return steps.join(small(allowed.withColumn("valid", F.lit(True))), ["from_state", "to_state", *([machine] if machine else [])], "left").withColumn("valid", F.coalesce("valid", F.lit(False)))
 
 
 def breaches(df: DataFrame, key: str, budgets: dict[str, tuple[Column, float | None, float]], *order: str) -> DataFrame:
@@ -182,4 +183,4 @@ def hash_conflicts(records: DataFrame, key: str, version: str, digest: str) -> D
 
 def visible(rows: DataFrame, policy: DataFrame, *keys: str, forbidden: bool = False) -> DataFrame:
     """Rows whose (role, layer) the policy allows, or those that it doesn't."""
-    return rows.join(F.broadcast(policy), list(keys), "left_anti" if forbidden else "left_semi")
+    return rows.join(small(policy), list(keys), "left_anti" if forbidden else "left_semi")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.functions.lineage import small
 from marlstone.functions.text import entropy, ladder, merged_state, with_field_score
 
 c = F.col
@@ -35,7 +36,7 @@ def project_types(files: DataFrame, indicators: list[tuple[str, str]], *, key: s
     places = {x: i for i, x in enumerate(dict.fromkeys(x for x, _ in indicators))}
     known = files.sparkSession.createDataFrame([(x, i, places[x]) for x, i in indicators], "type string, indicator string, place int")
     seen = F.explode(F.array(F.struct(c("name").alias("indicator"), F.lit(2).alias("points")), F.struct(c("suffix").alias("indicator"), F.lit(1).alias("points"))))
-    hits = files.select(key, seen.alias("s")).select(key, "s.*").join(F.broadcast(known), "indicator", "left")
+    hits = files.select(key, seen.alias("s")).select(key, "s.*").join(small(known), "indicator", "left")
     best = hits.groupBy(key, "type", "place", F.when(c("type").isNotNull(), c("indicator")).alias("indicator")).agg(F.max("points").alias("points"))
     scores = best.groupBy(key, "type", "place").agg(F.sum(F.when(c("type").isNotNull(), c("points")).otherwise(0)).alias("score"))
     top = F.max_by(F.struct("type", "score"), F.struct("score", -F.coalesce("place", F.lit(len(places)))))

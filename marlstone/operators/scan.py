@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.functions.lineage import small
 from marlstone.functions.text import text_lines
 
 # fixed values: rules for instructions hidden in text, in any case
@@ -191,7 +192,7 @@ def guard_findings(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def trusted(df: DataFrame, source: str, classes: DataFrame) -> DataFrame:
     """Adds ``trust`` from ``classes(source, trust)``; sources that it lacks are untrusted."""
-    return df.join(F.broadcast(classes.withColumnRenamed("source", source)), source, "left").withColumn("trust", F.coalesce("trust", F.lit("untrusted")))
+    return df.join(small(classes.withColumnRenamed("source", source)), source, "left").withColumn("trust", F.coalesce("trust", F.lit("untrusted")))
 
 
 def patch_findings(df: DataFrame, key: str, patch: str) -> DataFrame:

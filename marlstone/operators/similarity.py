@@ -230,7 +230,7 @@ def cosine_of_sets(rows: DataFrame, key: str, item: str, *, least: float, k: int
     rows = rows.where(F.col(key).isNotNull()).select(key, item).distinct()
     often = cut(rows.groupBy(item).agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > hot).select(item))
     counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("size"))
-    sized = rows.join(F.broadcast(often), item, "left_anti").join(counts, key)  # fewer than all rows / hot items are common
+    sized = rows.join(often, item, "left_anti").join(counts, key)
     # a pair is counted once, by numbers alone, and told both ways afterwards
     pairs = sized.alias("l").join(sized.alias("r"), F.expr(f"l.{item} = r.{item} and l.{key} < r.{key}")).groupBy(F.col(f"l.{key}").alias("a"), F.col(f"r.{key}").alias("b"), F.col("l.size").alias("lsize"), F.col("r.size").alias("rsize")).count()
     both = lambda df, n: df.select(F.inline(F.array(*[F.struct(F.col(x).alias("a"), F.col(y).alias("b"), (n / F.sqrt(F.col("lsize") * F.col("rsize"))).alias("cosine")) for x, y in ("ab", "ba")]))).where(F.col("cosine") > least)
@@ -238,7 +238,7 @@ def cosine_of_sets(rows: DataFrame, key: str, item: str, *, least: float, k: int
     if often.isEmpty():
         return both(pairs, F.col("count")).withColumn("rn", rank("a")).where(F.col("rn") <= k).drop("rn")
 
-    common = rows.join(F.broadcast(often), item).groupBy(key).agg(F.array_sort(F.collect_set(item)).alias("common"))
+    common = rows.join(often, item).groupBy(key).agg(F.array_sort(F.collect_set(item)).alias("common"))
     none = F.array().cast(f"array<{rows.schema[item].dataType.simpleString()}>")
     sizes = counts.join(common, key, "left").withColumn("common", F.coalesce("common", none))
     near = lambda n, x, y: (n + F.size(F.array_intersect(f"{x}common", f"{y}common"))) / F.sqrt(F.col(f"{x}size") * F.col(f"{y}size"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.functions.lineage import small
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -50,7 +52,7 @@ def source_files(spark: SparkSession, root: str, *, suffixes: list[str], deny_di
 def not_ignored(files: DataFrame, globs: DataFrame) -> DataFrame:
     """Files that no glob matches: ``dir/`` is a prefix, others match the whole path or the last part."""
     regex = F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(F.regexp_replace("glob", r"([.+(){}|^$\\])", r"\\$1"), r"\*", ".*"), r"\?", "."), F.lit("$"))
-    rules = F.broadcast(globs.select(F.when(F.col("glob").endswith("/"), F.concat(F.lit("^"), F.col("glob"))).otherwise(regex).alias("rule")))
+    rules = small(globs.select(F.when(F.col("glob").endswith("/"), F.concat(F.lit("^"), F.col("glob"))).otherwise(regex).alias("rule")))
     base = F.element_at(F.split("path", "/"), -1)
     return files.join(rules, F.regexp_like("path", F.col("rule")) | F.regexp_like(base, F.col("rule")), "left_anti")
 

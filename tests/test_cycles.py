@@ -37,9 +37,9 @@ def counts(edges):
 
 
 GRAPHS = {
-    "sparse": (90, 110), "dense": (40, 120),
+    "sparse": (60, 70), "dense": (30, 60),
     "loops": [("a", "a"), ("b", "a"), ("b", "b"), ("c", "d"), ("d", "c"), ("d", "e"), ("e", "f"), ("f", "e"), ("g", "c"), ("f", "h"), ("x", "y")],
-    "ring": [(f"{i:03}", f"{(i + 1) % 40:03}") for i in range(40)],
+    "ring": [(f"{i:03}", f"{(i + 1) % 12:03}") for i in range(12)],
 }
 
 
