@@ -124,7 +124,9 @@ CREDENTIALS = {
     "bearer_token": r"(?i)\bbearer\s+[A-Za-z0-9_./+=\-]{20,}",
     "private_key": r"(?i)-----BEGIN [A-Z ]*PRIVATE KEY-----",
 }
-BASE64 = r"\b([A-Za-z0-9+/]{24,}={0,2}\b)"
+#: Where a word of ASCII begins or ends. Java's \b takes letters of any script as parts of a word.
+EDGE = r"(?:(?<!\w)(?=\w)|(?<=\w)(?!\w))"
+BASE64 = EDGE + r"([A-Za-z0-9+/]{24,}={0,2}" + EDGE + ")"
 REMOVED = "[UNTRUSTED_CONTENT_REMOVED]"
 
 

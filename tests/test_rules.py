@@ -182,3 +182,14 @@ def test_merged_note_of_many_texts_is_whole(spark):
     notes = spark.range(1500).selectExpr("id as note_id", "'Redis' as stem", "'Entities' as note_dir", "concat('text ', id, '.') as text")
     (one,) = N.merged(notes).collect()
     assert (one.n, one.part) == (1500, 0) and one.text == "text 0." + "".join(f"{N.MERGED}text {i}.\n" for i in range(1, 1500))
+
+
+def test_base64_beside_letters_of_other_scripts(spark):
+    body = "QUJDREVGR0hJSktMTU5PUFFSU1RV"
+    texts = [body, f"é{body}", f"{body}ü", f"{body}=é", f"x_{body}", f"中{body}́"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {r.id: r.c for r in rows.select("id", S.candidates(F.col("text")).alias("c")).collect()}
+    import duckdb
+
+    want = {i: duckdb.execute(r"SELECT regexp_extract_all(?, '\b([A-Za-z0-9+/]{24,}={0,2}\b)', 1)", [t]).fetchone()[0] for i, t in enumerate(texts)}
+    assert got == want and got[1] == got[2] == got[3] == [body]
