@@ -62,3 +62,11 @@ def test_as_the_standard_parser_has_it(spark):
     names = {(r.path, r.callee.split(".")[-1]) for r in lexed.calls(files).collect()}
     called = {(p, n.func.attr if isinstance(n.func, ast.Attribute) else n.func.id) for p, t in texts.items() for n in ast.walk(ast.parse(t)) if isinstance(n, ast.Call) and isinstance(n.func, (ast.Attribute, ast.Name))}
     assert len(called - names) <= 2  # those in format strings, which are strings here
+
+
+def test_a_file_is_lexed_where_it_is(spark):
+    files = spark.createDataFrame([("a.py", "import a, \\\n b\nf(1)\n"), ("a.py", "def g():\n  h(\n2)")], "path string, text string")
+    work = lexed.imports(files), lexed.calls(files)
+    assert not any("Exchange" in df._jdf.queryExecution().toString() for df in work)  # no rows of tokens, and none dealt out
+    assert sorted(r.alias for r in work[0].collect()) == ["a", "b"]
+    assert sorted((r.line_no, r.caller or "", r.callee) for r in work[1].collect()) == [(2, "g", "h"), (3, "", "f")]
