@@ -83,7 +83,7 @@ def _column(table, name: str):
     return pa.concat_arrays(chunks) if chunks else pa.array([], table.schema.field(name).type)
 
 
-def _differing(q, rows):
+def differing(q, rows):
     """Bits in which fingerprints differ, queries by rows."""
     import numpy as np
 
@@ -91,11 +91,11 @@ def _differing(q, rows):
     return sum(np.bitwise_count(bits(q, c)[:, None] ^ bits(rows, c)[None, :]).astype(np.int16) for c in ("fp_hi", "fp_lo"))
 
 
-def _best(scores: DataFrame, k: int, *by: Column) -> DataFrame:
+def best_of(scores: DataFrame, k: int, *by: Column) -> DataFrame:
     return scores.withColumn("rn", F.row_number().over(Window.partitionBy("query").orderBy(*by, "id"))).where(F.col("rn") <= k).drop("rn")
 
 
-def _id_type(df: DataFrame, column: str) -> str:
+def id_type(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 
 
@@ -117,7 +117,7 @@ def hybrid(queries: DataFrame, index: DataFrame, k: int, threshold: float) -> Da
             for w in set(some).intersection(who):
                 shared[who[w], j] += 1
         sizes = np.maximum([len(x) for x in words], 1)[:, None]
-        score = np.round(0.6 * (100.0 * (1 - _differing(q, rows) / 128)) + 0.4 * (100.0 * shared / sizes), 6)
+        score = np.round(0.6 * (100.0 * (1 - differing(q, rows) / 128)) + 0.4 * (100.0 * shared / sizes), 6)
         ids, asked = _column(rows, "id").to_numpy(zero_copy_only=False), _column(q, "query").to_numpy(zero_copy_only=False)
         out: list[tuple] = []
         for key, s in zip(asked, score, strict=True):
@@ -127,8 +127,8 @@ def hybrid(queries: DataFrame, index: DataFrame, k: int, threshold: float) -> Da
         return pa.table({n: pa.array(c, t) for n, c, t in zip(("query", "id", "score"), cols, types, strict=True)})
 
     need = ["fp_hi", "fp_lo", "words"]
-    found = tiles(queries.select("query", *need), index.select("id", *need), find, f"query {_id_type(queries, 'query')}, id {_id_type(index, 'id')}, score double")
-    return _best(found, k, F.desc("score"))
+    found = tiles(queries.select("query", *need), index.select("id", *need), find, f"query {id_type(queries, 'query')}, id {id_type(index, 'id')}, score double")
+    return best_of(found, k, F.desc("score"))
 
 
 def near_pairs(index: DataFrame, within: int = 3) -> DataFrame:
@@ -217,7 +217,7 @@ def focus(vectors: DataFrame, queries: DataFrame, least: float = 0.64) -> DataFr
         cols = list(zip(*out, strict=True)) or [(), ()]
         return pa.table({"query": pa.array(cols[0], q.schema.field("query").type), "id": pa.array(cols[1], rows.schema.field("id").type)})
 
-    return tiles(queries.select("query", "vector"), vectors.select("id", "vector"), find, f"query {_id_type(queries, 'query')}, id {_id_type(vectors, 'id')}")
+    return tiles(queries.select("query", "vector"), vectors.select("id", "vector"), find, f"query {id_type(queries, 'query')}, id {id_type(vectors, 'id')}")
 
 
 def cosine_of_sets(rows: DataFrame, key: str, item: str, *, least: float, k: int, hot: int = 1000) -> DataFrame:

@@ -29,3 +29,24 @@ def test_parts_hold_every_bit_once():
         parts = nearest.parts_of(n)
         bits = sorted((half, a + j) for half, a, w in parts for j in range(w))
         assert len(bits) == 128 == len(set(bits)) and all(5 <= w <= 16 for _, _, w in parts)
+
+
+def test_nearest_keeps_no_pairs(spark, monkeypatch):
+    """Tiles of any size give the same; each returns a query's best alone."""
+    from marlstone.operators import similarity as H
+
+    def tiled(queries, *rest, tiles=H.tiles):
+        made.append(tiles(queries, *rest))
+        return made[-1]
+
+    made, got = [], []
+    monkeypatch.setattr(H, "tiles", tiled)
+    rnd = random.Random(4)
+    index = spark.createDataFrame([(i, rnd.getrandbits(63), rnd.getrandbits(63)) for i in range(100)] + [(None, 1, 1), (500, None, 1)], "id long, fp_hi long, fp_lo long")
+    queries = index.where("id % 10 = 0 and id < 100").withColumnRenamed("id", "query")
+    for shard, block in ((1000, 1000), (30, 4)):
+        monkeypatch.setattr(H, "SHARD", shard)
+        monkeypatch.setattr(H, "BLOCK", block)
+        got.append({tuple(r) for r in nearest.nearest(queries, index, 3).collect()})
+        assert len(made[-1].collect()) <= 10 * 3 * (1 if shard > 100 else 4)
+    assert got[0] == got[1] and len(got[0]) == 30
