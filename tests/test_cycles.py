@@ -56,6 +56,16 @@ def test_components_and_reach(spark, name):
     assert {tuple(r) for r in got} == counts(edges) and len(got) == len(counts(edges))
 
 
+def test_passes_grow_with_the_logarithm_of_the_blocks(spark, monkeypatch):
+    """32 blocks of origins, one in the first pass, are counted in a few passes; two of the origins share all bits of one."""
+    done, cut = [], reach_sets.cut
+    monkeypatch.setattr(reach_sets, "cut", lambda df: done.append(1) or cut(df))
+    edges = [(f"d{i:04}", f"o{i:04}") for i in range(2048)] + [("x", f"o{i:04}") for i in range(70)]
+    got = reach_sets.reach_counts(spark.createDataFrame(edges, "src string, dst string").coalesce(1), at_once=1).collect()
+    assert {tuple(r) for r in got} == counts(edges) and len(got) == len(counts(edges))
+    assert len(done) < 16
+
+
 def test_no_edges(spark):
     none = spark.createDataFrame([], "src string, dst string")
     assert cycles.components(none).collect() == [] == reach_sets.reach_counts(none).collect()
