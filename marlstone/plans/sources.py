@@ -22,9 +22,10 @@ def folder(s, name):
 
 
 def _tree(s, d):
-    """Documents as a tree of text files by language and source, without the French part and hidden folders."""
+    """Documents as a tree of text files by language and source, without the French part and hidden folders. Every task
+    writes files of its own, so that no folder is one file or goes through one task."""
     root = folder(s, "tree")
-    t(s, d, "documents").select("lang", "source", "text").where("text is not null").repartition("lang", "source").write.partitionBy("lang", "source").text(root)
+    t(s, d, "documents").select("lang", "source", "text").where("text is not null").write.partitionBy("lang", "source").text(root)
     found = T.source_files(s, root, suffixes=[".txt"], deny_dirs=["lang=fr"], max_bytes=1 << 40, max_files=100_000)
     part = lambda k: F.regexp_extract("path", rf"/{k}=([^/]*)/", 1).alias(k)
     return found.groupBy(part("lang"), part("source")).agg(F.sum("n_bytes").alias("n_bytes"), F.sum(F.size(F.split("text", "\n")) - 1).alias("n_lines"))

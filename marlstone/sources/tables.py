@@ -41,10 +41,13 @@ def scan_profile(files: DataFrame, *, suffixes: list[str], deny_dirs: list[str]
 def source_files(spark: SparkSession, root: str, *, suffixes: list[str], deny_dirs: list[str] = (), deny_names: list[str] = (), max_bytes: int = 2 << 20, max_files: int = 2000) -> DataFrame:
     """Text files under a folder by ``scan_profile``, the first ``max_files`` by path.
 
-    Files are chosen by path and length; contents are read for those alone.
+    Files are chosen by path and length, without their contents: these never go through the one task that finds the
+    first paths, and stay where they are read.
     """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    chosen = scan_profile(found, suffixes=suffixes, deny_dirs=deny_dirs, deny_names=deny_names, max_bytes=max_bytes).orderBy("path").limit(max_files)
+    fit = lambda files: scan_profile(files, suffixes=suffixes, deny_dirs=deny_dirs, deny_names=deny_names, max_bytes=max_bytes)
+    first = fit(found.select("path", "length")).orderBy("path").limit(max_files).select("path")
+    chosen = fit(found).join(small(first), "path", "left_semi")
     suffix = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
     return chosen.select("path", suffix.alias("ext"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"), F.col("length").alias("n_bytes"), F.col("modificationTime").alias("mtime"))
 
