@@ -22,6 +22,12 @@ def word_counts(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, F.explode(F.split(F.lower(text), r"\s+")).alias("word")).where("word <> ''").groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"))
 
 
+def words_of(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, word, n``: each occurrence of a word, with a weight of 1. Fingerprints of these are those of
+    ``word_counts``, as their sums are the same; a text's are added up where it is, and its words are never shuffled."""
+    return df.select(key, F.explode(F.split(F.lower(text), r"\s+")).alias("word"), F.lit(1).alias("n")).where("word <> ''")
+
+
 def simhash128(weights: DataFrame, key: str, word: str = "word", weight: str = "n") -> DataFrame:
     """``key, fp_hi, fp_lo``: a bit is set if the words whose hash (128 bits of SHA-256) has it outweigh the others.
 

@@ -18,7 +18,7 @@ c = F.col
 
 
 def index(s, d):
-    return H.simhash128(H.word_counts(t(s, d, "documents"), "doc_id", "text"), "doc_id").withColumnRenamed("doc_id", "id")
+    return H.simhash128(H.words_of(t(s, d, "documents"), "doc_id", "text"), "doc_id").withColumnRenamed("doc_id", "id")
 
 
 def words(text):
@@ -27,7 +27,7 @@ def words(text):
 
 def _hybrid(s, d):
     b = t(s, d, "benchmark")
-    q = H.simhash128(H.word_counts(b, "item_id", "text"), "item_id").join(b.select("item_id", words("text").alias("words")), "item_id").withColumnRenamed("item_id", "query")
+    q = H.simhash128(H.words_of(b, "item_id", "text"), "item_id").join(b.select("item_id", words("text").alias("words")), "item_id").withColumnRenamed("item_id", "query")
     i = index(s, d).join(t(s, d, "documents").select(c("doc_id").alias("id"), words("text").alias("words")), "id")
     return H.hybrid(q, i, 5, 45.0)
 

@@ -34,3 +34,24 @@ def test_near_pairs_of_a_key_that_many_share(spark, monkeypatch):
         monkeypatch.setattr(similarity, "SHARED", shared)
         got = [tuple(r) for r in similarity.near_pairs(index, 3).collect()]
         assert len(got) == len(set(got)) and set(got) == want and want
+
+
+def test_words_of_a_text_are_never_shuffled(spark):
+    """The plan of fingerprints has one exchange, of sums; they are those of counted words, rows of one key together."""
+    texts = spark.createDataFrame([(1, "b a\ta B"), (1, "c a"), (2, ""), (3, None), (4, "x" * 50)], "id int, text string")
+    got = similarity.simhash128(similarity.words_of(texts, "id", "text"), "id")
+    assert got._jdf.queryExecution().sparkPlan().toString().count("Exchange") == 0
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    want = similarity.simhash128(similarity.word_counts(texts, "id", "text"), "id")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 2
+
+
+def test_contents_stay_where_files_are_read(spark, tmp_path):
+    from marlstone.sources import tables
+
+    for name in ("b.txt", "a.txt", "c.md"):
+        (tmp_path / name).write_text(name)
+    files = tables.source_files(spark, f"file://{tmp_path}", suffixes=[".txt"], max_files=1)
+    assert [r.text for r in files.collect()] == ["a.txt"]
+    sorts = [x for x in files._jdf.queryExecution().executedPlan().toString().splitlines() if "TakeOrdered" in x]
+    assert sorts and all("content" not in x and "text" not in x and "n_bytes" not in x for x in sorts)
