@@ -205,16 +205,22 @@ def silent_excepts(files: DataFrame) -> DataFrame:
     return rows.where(bare | silent).select("path", "line_no", bare.alias("bare"), silent.alias("silent"))
 
 
+#: Fields of the syntax tree that hold statements; definitions stand nowhere else.
+_BLOCKS = ("body", "handlers", "orelse", "finalbody", "cases")
+
+
 def python_symbols(files: DataFrame) -> DataFrame:
-    """Exact definitions of Python files by the standard parser, file by file; files that don't parse have none."""
+    """Exact definitions of Python files by the standard parser, file by file; files that don't parse have none. Only
+    statements are walked through: expressions, which are most of a tree, hold no definitions."""
     import ast
 
-    import pandas as pd
+    import pyarrow as pa
 
     def run(batches):
+        schema = pa.schema([("path", pa.string()), ("name", pa.string()), ("kind", pa.string()), ("line_no", pa.int64()), ("parent", pa.string()), ("docstring", pa.string())])
         for batch in batches:
             rows = []
-            for path, text in zip(batch["path"], batch["text"], strict=True):
+            for path, text in zip(batch["path"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 try:
                     tree = ast.parse(text)
                 except (SyntaxError, ValueError):
@@ -222,17 +228,18 @@ def python_symbols(files: DataFrame) -> DataFrame:
                 todo = [(tree, None)]
                 while todo:
                     node, parent = todo.pop()
-                    for x in ast.iter_child_nodes(node):
+                    for x in [x for field in _BLOCKS for x in getattr(node, field, ())]:
                         is_class = isinstance(x, ast.ClassDef)
                         if is_class or isinstance(x, (ast.FunctionDef, ast.AsyncFunctionDef)):
                             kind = "class" if is_class else "method" if isinstance(node, ast.ClassDef) else "function"
                             rows.append((path, x.name, kind, x.lineno, parent, ast.get_docstring(x)))
                             todo.append((x, x.name))
-                        else:
+                        elif hasattr(x, "body") or hasattr(x, "cases"):
                             todo.append((x, parent))
-            yield pd.DataFrame(rows, columns=["path", "name", "kind", "line_no", "parent", "docstring"])
+            columns = list(zip(*rows, strict=True)) or [()] * len(schema)
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    return files.select("path", "text").mapInPandas(run, "path string, name string, kind string, line_no long, parent string, docstring string")
+    return files.select("path", "text").mapInArrow(run, "path string, name string, kind string, line_no long, parent string, docstring string")
 
 
 def extracted(files: DataFrame, by_language: dict) -> DataFrame:

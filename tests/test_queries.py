@@ -71,6 +71,15 @@ def test_exact_symbols_skip_what_does_not_parse(spark):
     assert {("A", "class"), ("m", "method")} <= regex
 
 
+def test_exact_symbols_of_all_blocks(spark):
+    """Definitions in all kinds of blocks, by a walk over statements alone, file by file without pandas."""
+    text = "if a:\n    def f(): pass\nelif b:\n    class C:\n        if c:\n            def g(self): x = lambda: (yield)\nelse:\n    async def h(): pass\ntry:\n    def i(): 'doc'\nexcept E:\n    def j(): pass\nelse:\n    def k(): pass\nfinally:\n    def l(): pass\nfor x in y:\n    def m(): pass\nelse:\n    def n(): pass\nwith z:\n    while 1:\n        def o(): pass\nmatch q:\n    case 1:\n        @dec(lambda: 1)\n        def p(): pass\n"
+    found = code.python_symbols(spark.createDataFrame([("a.py", text), ("b.py", "x = 1")], "path string, text string"))
+    rows = {(r.name, r.kind, r.line_no, r.parent, r.docstring) for r in found.collect()}
+    assert {r[0] for r in rows} == set("CfghijklmnopC") and ("g", "function", 6, "C", None) in rows and ("i", "function", 10, None, "doc") in rows and ("p", "function", 27, None, None) in rows
+    assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_graph_loops_end_on_cycles(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "a"), ("e", "f")], "src string, dst string")
     seeds = spark.createDataFrame([("a",), ("f",)], "node string")
