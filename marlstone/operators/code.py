@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.functions.lineage import cut
+from marlstone.functions.lineage import cut, join_unique
 
 DEF = r"^(\s*)(class|def)\s+([A-Za-z_]\w*)"
 
@@ -133,10 +133,11 @@ def import_links(found: DataFrame, modules: DataFrame) -> DataFrame:
 
 def shared_symbols(found: DataFrame) -> DataFrame:
     """``path, name, others``: a file's symbols that others define too, and how many do. A symbol of many files costs a
-    row for each of them, never one for each pair."""
-    one = found.select("path", "name").distinct()
-    often = one.groupBy("name").agg((F.count(F.lit(1)) - 1).alias("others")).where("others > 0")
-    return one.join(often, "name").select("path", "name", "others")
+    row for each of them, never one for each pair; its files are never gathered in one task."""
+    one = cut(found.select("path", "name").distinct())
+    often = cut(one.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    total = often.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return join_unique(one, often, "name", "n", total).select("path", "name", (F.col("n") - 1).alias("others"))
 
 
 def trace_impact(files: DataFrame, found: DataFrame) -> DataFrame:

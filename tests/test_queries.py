@@ -80,6 +80,20 @@ def test_exact_symbols_of_all_blocks(spark):
     assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_files_of_a_common_name_are_not_gathered(spark):
+    """The join of names that many files define broadcasts them, whatever their number of files."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = spark.createDataFrame([(f"f{i}", n) for i in range(50) for n in ("run", "run", f"own{i}", f"two{i // 2}")], "path string, name string").coalesce(1)
+        got = code.shared_symbols(found)
+        assert "BroadcastHashJoin" in got._jdf.queryExecution().sparkPlan().toString()
+        assert {tuple(r) for r in got.collect()} == {(f"f{i}", "run", 49) for i in range(50)} | {(f"f{i}", f"two{i // 2}", 1) for i in range(50)} and got.count() == 100
+        assert code.shared_symbols(found.limit(0)).collect() == []
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_graph_loops_end_on_cycles(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "a"), ("e", "f")], "src string, dst string")
     seeds = spark.createDataFrame([("a",), ("f",)], "node string")
