@@ -14,6 +14,8 @@ from marlstone.operators.nearest import nearest  # noqa: F401
 
 #: Rows in a shard and queries in a block.
 SHARD, BLOCK = 8192, 512
+#: Texts whose words are multiplied at once with those of a block of queries.
+AT_ONCE = 256
 #: Fingerprints of one key in a chunk of near pairs.
 SHARED = 1024
 
@@ -89,6 +91,13 @@ def _column(table, name: str):
     return pa.concat_arrays(chunks) if chunks else pa.array([], table.schema.field(name).type)
 
 
+def _places(lists):
+    """For each item of an Arrow array of lists, which list it is in; null lists hold none."""
+    import pyarrow.compute as pc
+
+    return pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
+
+
 def differing(q, rows):
     """Bits in which fingerprints differ, queries by rows."""
     import numpy as np
@@ -112,17 +121,23 @@ def hybrid(queries: DataFrame, index: DataFrame, k: int, threshold: float) -> Da
     def find(q, rows):
         import numpy as np
         import pyarrow as pa
-
-        words = [set(x) for x in _column(q, "words").to_pylist()]
-        who: dict[str, list[int]] = {}
-        for i, some in enumerate(words):
-            for w in some:
-                who.setdefault(w, []).append(i)
-        shared = np.zeros((len(words), len(rows)))
-        for j, some in enumerate(_column(rows, "words").to_pylist()):
-            for w in set(some).intersection(who):
-                shared[who[w], j] += 1
-        sizes = np.maximum([len(x) for x in words], 1)[:, None]
+        import pyarrow.compute as pc
+
+        asked_for, sets = _column(q, "words"), _column(rows, "words")
+        vocabulary, n = asked_for.flatten().unique(), len(asked_for)
+        # a word of a text is a number or null; texts are taken some at a time, so that a product stays small
+        held = np.zeros((n, len(vocabulary) + 1), np.float32)
+        held[_places(asked_for), pc.index_in(asked_for.flatten(), vocabulary).to_numpy(zero_copy_only=False)] = 1
+        number = pc.fill_null(pc.index_in(sets.flatten(), vocabulary), len(vocabulary)).to_numpy(zero_copy_only=False)
+        place, shared = _places(sets), np.zeros((n, len(rows)))
+        known = number < len(vocabulary)
+        place, number = place[known], number[known]
+        for start in range(0, len(rows), AT_ONCE):
+            at = slice(*np.searchsorted(place, [start, start + AT_ONCE]))
+            some = np.zeros((len(vocabulary) + 1, min(AT_ONCE, len(rows) - start)), np.float32)
+            some[number[at], place[at] - start] = 1
+            shared[:, start : start + AT_ONCE] = held @ some
+        sizes = np.maximum(held.sum(axis=1).astype(np.int64), 1)[:, None]
         score = np.round(0.6 * (100.0 * (1 - differing(q, rows) / 128)) + 0.4 * (100.0 * shared / sizes), 6)
         ids, asked = _column(rows, "id").to_numpy(zero_copy_only=False), _column(q, "query").to_numpy(zero_copy_only=False)
         out: list[tuple] = []

@@ -55,3 +55,22 @@ def test_contents_stay_where_files_are_read(spark, tmp_path):
     assert [r.text for r in files.collect()] == ["a.txt"]
     sorts = [x for x in files._jdf.queryExecution().executedPlan().toString().splitlines() if "TakeOrdered" in x]
     assert sorts and all("content" not in x and "text" not in x and "n_bytes" not in x for x in sorts)
+
+
+def test_hybrid_search_is_exact_over_several_products(spark):
+    """More texts than one product of words takes, with repeated, null and no words; scores as sets give them."""
+    rnd = random.Random(3)
+    made = lambda n: [(i, rnd.getrandbits(63), rnd.getrandbits(63), rnd.choice([[], None, [f"w{rnd.randrange(9)}" for _ in range(6)]]) if i % 3 else [f"w{i % 7}", f"w{i % 7}", None]) for i in range(n)]
+    queries, index = made(9), made(2 * similarity.AT_ONCE + 5)
+    schema = "{} long, fp_hi long, fp_lo long, words array<string>"
+    want = set()
+    # null lists have no words
+    for q, qh, ql, qw in queries:
+        scored = []
+        for i, h, lo, w in index:
+            d = ((qh ^ h).bit_count()) + ((ql ^ lo).bit_count())
+            s = round(0.6 * (100.0 * (1 - d / 128)) + 0.4 * (100.0 * len(set(qw or []) & set(w or [])) / max(1, len(set(qw or [])))), 6)
+            scored.append((-s, i))
+        want |= {(q, i, -s) for s, i in sorted(scored)[:5] if -s >= 30.0}
+    got = similarity.hybrid(spark.createDataFrame(queries, schema.format("query")), spark.createDataFrame(index, schema.format("id")), 5, 30.0)
+    assert {(r["query"], r["id"], r["score"]) for r in got.collect()} == want
