@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from marlstone.functions.text import code_lines
 from marlstone.operators import code as C
 from marlstone.operators import lexed
+from marlstone.operators import where_they_are as W
 from marlstone.operators.change import numbered
 from marlstone.sources.tables import table as t
 
@@ -58,8 +59,8 @@ _MOD = "mods AS (SELECT replace(regexp_replace(path, '\\.py$', ''), '/', '.') mo
 
 def resolved(s, d):
     f = files(s, d)
-    typed = C.typed_callees(C.call_sites(f), C.imports(f), BUILTINS)
-    return typed, C.resolved_calls(typed, C.symbols(f))
+    typed = W.typed_callees(f, BUILTINS)
+    return typed.drop("undefined"), W.resolved_calls(typed, f)
 
 
 # statements over several lines, strings and comments that look like code; @k is the module's number
@@ -128,7 +129,7 @@ QUERIES = {
     "C17_unused_imports": lambda s, d: C.unused_imports(files(s, d)),
     "C17_silent_excepts": lambda s, d: C.silent_excepts(files(s, d)),
     "D1_definitions": lambda s, d: C.definitions(C.symbols(files(s, d))),
-    "D2_call_types": lambda s, d: C.typed_calls(files(s, d), BUILTINS),
+    "D2_call_types": lambda s, d: W.typed_calls(files(s, d), BUILTINS),
     "D5_prefix_imports": lambda s, d: C.resolved_imports(C.imports(files(s, d)).where("not star").select("path", "target").distinct(), modules(s, d)),
     "D6_suffix_imports": lambda s, d: C.suffix_imports(_by_suffix(C.imports(files(s, d)).where("not star")), modules(s, d)),
     "D8_mentions": lambda s, d: C.mentions(files(s, d), C.symbols(files(s, d))).groupBy("name").agg(F.count(F.lit(1)).alias("n")),
