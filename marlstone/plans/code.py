@@ -124,7 +124,7 @@ QUERIES = {
     "C5_statements": lambda s, d: lexed.calls(rough(s, d)),
     "J10_brackets": lambda s, d: lexed.balance(rough(s, d)),
     "C13_patch_lines": lambda s, d: C.patch_lines(files(s, d).select("path", F.concat(F.lit("--- a/x\n+++ b/"), "path", F.lit("\n@@ -1 +1 @@\n-old\n+"), F.regexp_replace("text", "\n", "\n+")).alias("patch")), "path", "patch").groupBy("path", "file", "op").agg(F.count(F.lit(1)).alias("n")),
-    "C13_diff_lines": lambda s, d: C.diff_lines(_diffs(s, d), "path", "patch").groupBy("path", "file", "added", "removed", "hunk", "op").agg(F.count(F.lit(1)).alias("n"), F.min("old_no").alias("old_no"), F.max("new_no").alias("new_no"), F.max_by("text", "pos").alias("last")),
+    "C13_diff_lines": lambda s, d: W.diff_lines(_diffs(s, d), "path", "patch").groupBy("path", "file", "added", "removed", "hunk", "op").agg(F.count(F.lit(1)).alias("n"), F.min("old_no").alias("old_no"), F.max("new_no").alias("new_no"), F.max_by("text", "pos").alias("last")),
     "C14_added_imports": lambda s, d: C.patch_lines(files(s, d).select("path", F.concat(F.lit("+++ b/x\n@@ -1 +1 @@\n+"), F.regexp_replace("text", "\n", "\n+")).alias("patch")), "path", "patch").where("op = '+' and text rlike '^(import|from) '").groupBy("text").agg(F.count(F.lit(1)).alias("n")),
     "C17_unused_imports": lambda s, d: C.unused_imports(files(s, d)),
     "C17_silent_excepts": lambda s, d: C.silent_excepts(files(s, d)),
