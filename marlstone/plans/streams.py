@@ -3,15 +3,12 @@
 from __future__ import annotations
 
 import uuid
-from functools import reduce
 
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions.lineage import cut_folder, remove
 from marlstone.operators import change as M
-from marlstone.operators import code as C
-from marlstone.operators import scan
+from marlstone.operators import scan, where_they_are
 from marlstone.plans.change import _M, manifests
 from marlstone.plans.code import _F as _FILES
 from marlstone.plans.code import files as modules_of_orders
@@ -72,9 +69,8 @@ def _deliveries(s, d):
 
 def code_facts(files):
     """Facts of modules: an edge to each thing imported, and what the corpus totals count."""
-    found = C.imports(files).where("not star").select("path", "target").distinct()
-    sizes = files.select("path", F.lit(1).alias("files"), (F.size(F.split("text", "\n")) - 1).alias("lines"), F.octet_length("text").alias("bytes"))
-    return reduce(DataFrame.unionByName, [D.facts("path", "edge", found, a="path", b="target"), *[D.facts("path", k, sizes, amount=k) for k in ("files", "lines", "bytes")]])
+    sizes = {"files": F.lit(1), "lines": F.size(F.split("text", "\n")) - 1, "bytes": F.octet_length("text")}
+    return D.facts("path", "edge", where_they_are.imported(files), a="path", b="target").unionByName(D.amounts("path", files, sizes))
 
 
 def _kept(s, d):

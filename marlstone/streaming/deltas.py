@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Folders of a log by path.
@@ -19,6 +19,10 @@ _FACT = ["path", "kind", "a", "b", "amount"]
 _LOG = "path string, kind string, a string, b string, amount bigint, sign bigint, bucket int, delivery bigint"
 
 
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("path"), F.lit(BUCKETS)).cast("int")
+
+
 def facts(path: str, kind: str, rows: DataFrame, *, a: str | None = None, b: str | None = None, amount: str | None = None) -> DataFrame:
     """Facts of one kind from columns: an edge from ``a`` to ``b``, or an amount."""
     none = F.lit(None).cast("string")
@@ -29,11 +33,19 @@ def log(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(_LOG).parquet(folder)
 
 
+def amounts(path: str, rows: DataFrame, kinds: dict[str, Column]) -> DataFrame:
+    """Amounts of several kinds of each row, as facts."""
+    each = F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), n.cast("bigint").alias("amount")) for k, n in kinds.items()]))
+    none = F.lit(None).cast("string")
+    return rows.select(F.col(path).alias("path"), each).select("path", "kind", none.alias("a"), none.alias("b"), "amount")
+
+
 def signed(known: DataFrame, batch: DataFrame, new: DataFrame) -> DataFrame:
-    """The facts that a batch adds (1) and takes back (-1), from what is known of its paths and what they hold now."""
-    old = known.join(batch.select("path").distinct(), "path", "left_semi").groupBy(*_FACT).agg(F.sum("sign").alias("sign")).where("sign <> 0")
-    both = new.groupBy(*_FACT).agg(F.count(F.lit(1)).alias("sign")).unionByName(old.withColumn("sign", -F.col("sign")))
-    return both.groupBy(*_FACT).agg(F.sum("sign").alias("sign")).where("sign <> 0")
+    """The facts that a batch adds (1) and takes back (-1), from what is known of its paths and what they hold now, with
+    their bucket. They are dealt out by bucket once, and summed and written where they then are."""
+    old = known.join(batch.select("path"), "path", "left_semi").withColumn("sign", -F.col("sign"))
+    both = new.withColumn("sign", F.lit(1).cast("bigint")).unionByName(old.select(*_FACT, "sign"))
+    return both.withColumn("bucket", _bucket()).repartition("bucket").groupBy("bucket", *_FACT).agg(F.sum("sign").alias("sign")).where("sign <> 0")
 
 
 def maintain(changes: DataFrame, folder: str, analyse: Callable[[DataFrame], DataFrame]) -> None:
@@ -43,13 +55,12 @@ def maintain(changes: DataFrame, folder: str, analyse: Callable[[DataFrame], Dat
     A delivery that is worked on twice is written once, under its number.
     """
     spark = changes.sparkSession
-    bucket = F.pmod(F.xxhash64("path"), F.lit(BUCKETS)).cast("int")
 
     def one(batch: DataFrame, n: int) -> None:
-        touched = [r[0] for r in batch.select(bucket).distinct().collect()]  # at most BUCKETS
+        touched = [r[0] for r in batch.select(_bucket()).distinct().collect()]  # at most BUCKETS
         known = log(spark, f"{folder}/log").where((F.col("delivery") < n) & F.col("bucket").isin(touched)) if n else spark.createDataFrame([], _LOG)
         out = signed(known, batch, analyse(batch.where("not coalesce(gone, false)").select("path", "text")))
-        out.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/log/delivery={n}")
+        out.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/log/delivery={n}")
 
     changes.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(one).start().awaitTermination()
 

@@ -24,3 +24,12 @@ def test_kept_tables_equal_a_full_analysis(spark):
         for table in (deltas.edges, deltas.degrees, deltas.totals):
             assert sorted(map(tuple, table(kept).collect())) == sorted(map(tuple, table(whole).collect())), (n, table)
     assert kept.where("delivery = 2 and path = 'a'").count() == 0  # what is as it was cancels out
+
+
+def test_facts_of_a_delivery_are_shuffled_once(spark):
+    files = spark.createDataFrame([("a", "import x\nimport x\n"), ("b", "from x import *\n")], "path string, text string")
+    known = spark.createDataFrame([("a", "edge", "a", "x", 1, 1), ("a", "files", None, None, 1, 1), ("a", "edge", "a", "y", 1, 1), ("c", "files", None, None, 1, 1)], "path string, kind string, a string, b string, amount bigint, sign bigint").coalesce(1)
+    got = deltas.signed(known, files, code_facts(files)).drop("bucket", "path")
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, [("edge", "a", "y", 1, -1), ("lines", None, None, 2, 1), ("bytes", None, None, 18, 1), ("files", None, None, 1, 1), ("lines", None, None, 1, 1), ("bytes", None, None, 16, 1)]))
+    first = deltas.signed(known.limit(0).where("false"), files, code_facts(files))
+    assert first._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
