@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.lineage import cut, join_unique
 from marlstone.operators.graph import CUT_EVERY, levels
+from marlstone.operators.reach_sets import numbered
 
 
 def _turned(edges: DataFrame) -> DataFrame:
@@ -85,8 +86,12 @@ def components(edges: DataFrame) -> DataFrame:
     from it to itself; it is behind one if a path of one edge or more leads from it to such a node, as it does for
     nodes on a cycle. Edges with a null end are left out; repeated ones count once.
     """
-    some = cut(edges.where("src is not null and dst is not null").select("src", "dst").distinct())
-    nodes = some.select(F.col("src").alias("node")).union(some.select("dst")).distinct()
+    named_edges = cut(edges.where("src is not null and dst is not null").select("src", "dst").distinct())
+    ends = named_edges.select(F.col("src").alias("node")).union(named_edges.select("dst")).distinct()
+    # all rounds work on numbers, in the order of names
+    names = cut(numbered(ends.withColumn("leaf", F.lit(False))).select(F.col("node").alias("name"), F.col("number").alias("node")))
+    end = lambda c: names.select(F.col("name").alias(c), F.col("node").alias(f"{c}_"))
+    some = cut(named_edges.join(end("src"), "src").join(end("dst"), "dst").select(F.col("src_").alias("src"), F.col("dst_").alias("dst")))
     left = leads_to_cycle(some)
     behind = cut(left.select(F.col("src").alias("node")).distinct())
     left = _turned(leads_to_cycle(_turned(left)))
@@ -95,11 +100,12 @@ def components(edges: DataFrame) -> DataFrame:
         found, rest = _named(left, coloured(left))
         parts.append(found)
         left = _peeled(rest)
-    named = reduce(DataFrame.unionByName, parts) if parts else nodes.select("node", F.col("node").alias("component")).limit(0)
-    sizes = cut(named.groupBy("component").agg(F.count(F.lit(1)).alias("size")))
+    named = reduce(DataFrame.unionByName, parts) if parts else names.select("node", F.col("node").alias("component")).limit(0)
+    counted = named.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    sizes = cut(counted.join(names.select(F.col("node").alias("component"), F.col("name").alias("first")), "component"))
     sized = join_unique(named, sizes, "component", "size", sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0])
     loops = some.where("src = dst").select(F.col("src").alias("node"), F.lit(True).alias("loop"))
-    out = nodes.join(sized, "node", "left").join(loops, "node", "left").join(behind.withColumn("behind", F.lit(True)), "node", "left")
+    out = names.join(sized, "node", "left").join(loops, "node", "left").join(behind.withColumn("behind", F.lit(True)), "node", "left")
     size = F.coalesce("size", F.lit(1)).cast("bigint")
     yes = lambda c: F.coalesce(c, F.lit(False))
-    return out.select("node", F.coalesce("component", "node").alias("component"), size.alias("size"), (yes("loop") | (size > 1)).alias("on_cycle"), yes("behind").alias("behind_cycle"))
+    return out.select(F.col("name").alias("node"), F.coalesce("first", "name").alias("component"), size.alias("size"), (yes("loop") | (size > 1)).alias("on_cycle"), yes("behind").alias("behind_cycle"))

@@ -75,3 +75,12 @@ def test_distance_is_one_row_a_node(spark):
     edges = spark.createDataFrame([("b", "a"), ("c", "b"), ("c", "x"), ("d", "c"), ("a", "d")], "src string, dst string")
     seeds = spark.createDataFrame([("a",), ("x",), ("a",)], "node string")
     assert sorted(map(tuple, graph.distance(edges, seeds).collect())) == [("a", 0), ("b", 1), ("c", 1), ("d", 2), ("x", 0)]
+
+
+def test_rounds_work_on_numbers(spark, monkeypatch):
+    """Names go through no round, however long they are."""
+    seen, levels = [], cycles.levels
+    monkeypatch.setattr(cycles, "levels", lambda e: seen.append(dict(e.dtypes)) or levels(e))
+    edges = [(f"{i:03}" + "x" * 99, f"{j:03}" + "x" * 99) for i, j in ((1, 2), (2, 1), (2, 3), (4, 1))]
+    got = cycles.components(spark.createDataFrame(edges, "src string, dst string")).collect()
+    assert {tuple(r) for r in got} == components(edges) and seen and all(x == {"src": "bigint", "dst": "bigint"} for x in seen)
