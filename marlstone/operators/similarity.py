@@ -241,42 +241,81 @@ def focus(vectors: DataFrame, queries: DataFrame, least: float = 0.64) -> DataFr
     return tiles(queries.select("query", "vector"), vectors.select("id", "vector"), find, f"query {id_type(queries, 'query')}, id {id_type(vectors, 'id')}")
 
 
-def cosine_of_sets(rows: DataFrame, key: str, item: str, *, least: float, k: int, hot: int = 1000) -> DataFrame:
+def cosine_of_sets(rows: DataFrame, key: str, item: str, *, least: float, k: int, hot: int = 1000, wide: int = 32) -> DataFrame:
     """``a, b, cosine``: for each key the k others whose items are most alike, ties by key.
 
-    Keys are joined by items that at most ``hot`` keys hold. Those that share none of these depend on the common items
-    and the number of items alone: keys that are alike in both are a class, in whose first k + 1 keys the nearest are.
-    No pair is left out, whatever ``hot`` is, and a common item's keys are never joined with each other.
+    Items that over ``hot`` keys hold are common, the others rare. Of the keys that share one rare item with a key, and
+    are alike in common items, the smallest sets are nearest: an item tells each of its keys the first k + 1 alone.
+    Those that share two or more are found by pairs of items, or, of a key with over ``wide`` rare items, by its items,
+    and counted. Those that share no rare item depend on the common items and the number of items alone: keys that are
+    alike in both are a class, in whose first k + 1 keys the nearest are. No pair is left out, whatever ``hot`` and
+    ``wide`` are, and a common item's keys are never joined with each other.
     """
-    rows = rows.where(F.col(key).isNotNull()).select(key, item).distinct()
-    often = cut(rows.groupBy(item).agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > hot).select(item))
-    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("size"))
-    sized = rows.join(often, item, "left_anti").join(counts, key)
-    # a pair is counted once, by numbers alone, and told both ways afterwards
-    pairs = sized.alias("l").join(sized.alias("r"), F.expr(f"l.{item} = r.{item} and l.{key} < r.{key}")).groupBy(F.col(f"l.{key}").alias("a"), F.col(f"r.{key}").alias("b"), F.col("l.size").alias("lsize"), F.col("r.size").alias("rsize")).count()
-    both = lambda df, n: df.select(F.inline(F.array(*[F.struct(F.col(x).alias("a"), F.col(y).alias("b"), (n / F.sqrt(F.col("lsize") * F.col("rsize"))).alias("cosine")) for x, y in ("ab", "ba")]))).where(F.col("cosine") > least)
+    of_item = rows.schema[item].dataType.simpleString()
+    rows = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("a"), F.col(item).alias("item"))
+    over = lambda name, n: rows.where(F.col(name).isNotNull()).groupBy(name).agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > n).select(name)
+    # rows are counted with repeated ones first; few items are left to be counted by keys
+    often = cut(rows.join(over("item", hot), "item", "left_semi").distinct().groupBy("item").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > hot).select("item"))
+    some_common, some_wide = not often.isEmpty(), not over("a", wide).isEmpty()
+
+    # one shuffle by key serves for distinct rows, sizes and pairs of items
+    by_key, more = Window.partitionBy("a"), ["common"] if some_common else []
+    of_key, later = (by_key.orderBy("item").rowsBetween(x, Window.unboundedFollowing) for x in (Window.unboundedPreceding, 1))
+    sets = rows.repartition("a").distinct().withColumns({"size": F.count(F.lit(1)).over(of_key), "held": F.count("item").over(of_key)})
+    rare = sets.where(F.col("item").isNotNull())
+    if some_common:
+        none = F.array().cast(f"array<{of_item}>")
+        common = rare.join(often, "item").groupBy("a").agg(F.array_sort(F.collect_set("item")).alias("common"))
+        with_common = lambda df, end, name: df.join(common.select(F.col("a").alias(end), F.col("common").alias(name)), end, "left").withColumn(name, F.coalesce(name, none))
+        rare = with_common(rare.join(often, "item", "left_anti"), "a", "common").withColumn("held", F.count(F.lit(1)).over(of_key))
+    cosine = lambda n, x, y: n / F.sqrt(x.cast("double") * y)
     rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(F.round("cosine", 9)), "b"))
-    if often.isEmpty():
-        return both(pairs, F.col("count")).withColumn("rn", rank("a")).where(F.col("rn") <= k).drop("rn")
-
-    common = rows.join(often, item).groupBy(key).agg(F.array_sort(F.collect_set(item)).alias("common"))
-    none = F.array().cast(f"array<{rows.schema[item].dataType.simpleString()}>")
-    sizes = counts.join(common, key, "left").withColumn("common", F.coalesce("common", none))
-    near = lambda n, x, y: (n + F.size(F.array_intersect(f"{x}common", f"{y}common"))) / F.sqrt(F.col(f"{x}size") * F.col(f"{y}size"))
-    for end, name in (("a", "lcommon"), ("b", "rcommon")):
-        pairs = pairs.join(common.select(F.col(key).alias(end), F.col("common").alias(name)), end, "left").withColumn(name, F.coalesce(name, none))
-    pairs = both(pairs, F.col("count") + F.size(F.array_intersect("lcommon", "rcommon")))
-
-    members = sizes.where(F.size("common") > 0)
-    firsts = members.withColumn("rn", F.row_number().over(Window.partitionBy("common", "size").orderBy(key))).where(F.col("rn") <= k + 1)
+
+    # keys that share two rare items or more: n items are n (n - 1) / 2 pairs, each of which at most ``hot`` keys hold
+    count = lambda df: df.groupBy(*[F.col(f"{x}.{y}").alias(z) for x, y, z in (("l", "a", "a"), ("r", "a", "b"), ("l", "size", "lsize"), ("r", "size", "rsize"))]).agg(F.count(F.lit(1)).alias("n"))
+    twos = rare.where(F.col("held").between(2, wide)).withColumn("y", F.collect_list("item").over(later)).select("a", "size", F.col("item").alias("x"), F.explode("y").alias("y"))
+    shared = twos.withColumn("times", F.count(F.lit(1)).over(Window.partitionBy("x", "y"))).where("times > 1").groupBy("x", "y").agg(F.collect_list(F.struct("a", "size")).alias("keys"))
+    pairs = count(shared.select("keys", F.explode("keys").alias("l")).select("l", F.explode("keys").alias("r")).where("l.a < r.a")).withColumn("n", ((1 + F.sqrt(1 + 8 * F.col("n"))) / 2).cast("bigint"))
+    if some_wide:
+        met = rare.where(F.col("held") > wide).alias("l").join(rare.where("held > 1").alias("r"), F.expr(f"l.item = r.item and (r.held <= {wide} or l.a < r.a)"))
+        pairs = pairs.unionByName(count(met).where("n > 1"))
+    if some_common:
+        pairs = with_common(with_common(pairs, "a", "lcommon"), "b", "rcommon").withColumn("n", F.col("n") + F.size(F.array_intersect("lcommon", "rcommon")))
+    both = pairs.select(F.inline(F.array(*[F.struct(F.col(x).alias("a"), F.col(y).alias("b"), cosine(F.col("n"), F.col("lsize"), F.col("rsize")).alias("cosine")) for x, y in ("ab", "ba")])))
+    best = both.where(F.col("cosine") > least).withColumn("rn", rank("a")).where(F.col("rn") <= k)
+    ranked = lambda b, cos: F.struct((-F.round(cos, 9)).alias("at"), b.alias("b"), cos.alias("cosine"))
+    best = best.groupBy("a").agg(F.collect_list(ranked(F.col("b"), F.col("cosine"))).alias("best"))
+
+    # keys that share one; sets of so many items that rounded cosines over the least might tie are all told
+    tied = lambda size: size >= 1e8 * least
+    first = F.row_number().over(Window.partitionBy("item", *more).orderBy("size", "a"))
+    told = rare.withColumn("first", (first <= k + 1) | tied(F.col("size")))
+    told = told.withColumn("firsts", F.collect_list(F.when(F.col("first"), F.struct("size", F.col("a").alias("b"), *more))).over(Window.partitionBy("item")))
+    told = told.select("a", "size", *more, "firsts").repartition("a").withColumn("rn", F.row_number().over(by_key.orderBy("size")))
+    told = told.withColumn("firsts", F.collect_list("firsts").over(by_key)).where("rn = 1").join(best, "a", "left")  # one row a key
+    known, its = F.transform("best", lambda x: x["b"]), F.flatten("firsts")
+    others = F.when(F.col("best").isNull(), F.filter(its, lambda x: x["b"] != F.col("a"))).otherwise(F.filter(its, lambda x: (x["b"] != F.col("a")) & ~F.array_contains(known, x["b"])))
+    told, n = told.select("a", "size", *more, "best", others.alias("others")), lambda x: F.lit(1)
+    if some_common:
+        n = lambda x: 1 + F.size(F.array_intersect(F.col("common"), x["common"]))
+    else:  # the k nearest are none larger than the k-th smallest
+        told = told.withColumn("last", F.get(F.sort_array(F.transform("others", lambda x: x["size"])), F.lit(k - 1)))
+        told = told.withColumn("others", F.when(F.col("last").isNull(), F.col("others")).otherwise(F.filter("others", lambda x: (x["size"] <= F.col("last")) | tied(x["size"]))))
+    alone = F.transform("others", lambda x: ranked(x["b"], cosine(n(x), F.col("size"), x["size"])))
+    told = told.select("a", F.when(F.col("best").isNull(), alone).otherwise(F.concat(alone, "best")).alias("all"))
+    found = told.select("a", F.inline(F.slice(F.sort_array("all"), 1, k))).where(F.col("cosine") > least).select("a", "b", "cosine")
+    if not some_common:
+        return found
+
+    members = sets.where(F.col("item").isNotNull()).select("a", "size").distinct().join(common, "a")
+    firsts = members.withColumn("rn", F.row_number().over(Window.partitionBy("common", "size").orderBy("a"))).where(F.col("rn") <= k + 1)
     kinds = firsts.where("rn = 1").select("common", "size", F.explode("common").alias("one"))
     others = kinds.select(F.col("common").alias("rcommon"), F.col("size").alias("rsize"), "one")
-    meet = kinds.join(others, "one").select("common", "size", "rcommon", "rsize").distinct().withColumn("cosine", near(F.lit(0), "", "r")).where(F.col("cosine") > least)
-    theirs = firsts.select(F.col("common").alias("rcommon"), F.col("size").alias("rsize"), F.col(key).alias("b"))
-    best = meet.join(theirs, ["rcommon", "rsize"]).withColumn("rn", rank("common", "size")).where(F.col("rn") <= k + 1).select("common", "size", "b", "cosine")
-    alike = members.join(best, ["common", "size"]).where(F.col(key) != F.col("b")).select(F.col(key).alias("a"), "b", "cosine")
-
-    whole = pairs.unionByName(alike).groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
+    meet = kinds.join(others, "one").select("common", "size", "rcommon", "rsize").distinct().withColumn("cosine", cosine(F.size(F.array_intersect("common", "rcommon")), F.col("size"), F.col("rsize"))).where(F.col("cosine") > least)
+    theirs = firsts.select(F.col("common").alias("rcommon"), F.col("size").alias("rsize"), F.col("a").alias("b"))
+    nearest_classes = meet.join(theirs, ["rcommon", "rsize"]).withColumn("rn", rank("common", "size")).where(F.col("rn") <= k + 1).select("common", "size", "b", "cosine")
+    alike = members.join(nearest_classes, ["common", "size"]).where("a <> b").select("a", "b", "cosine")
+    whole = found.unionByName(alike).groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
     return whole.withColumn("rn", rank("a")).where(F.col("rn") <= k).drop("rn")
 
 

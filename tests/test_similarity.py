@@ -74,3 +74,19 @@ def test_hybrid_search_is_exact_over_several_products(spark):
         want |= {(q, i, -s) for s, i in sorted(scored)[:5] if -s >= 30.0}
     got = similarity.hybrid(spark.createDataFrame(queries, schema.format("query")), spark.createDataFrame(index, schema.format("id")), 5, 30.0)
     assert {(r["query"], r["id"], r["score"]) for r in got.collect()} == want
+
+
+def test_cosine_of_sets_tells_a_key_the_nearest_of_an_item(spark):
+    """Copies, sets of many items, null and repeated items; the plan doesn't join items' keys with each other."""
+    rnd = random.Random(8)
+    sets = {i: {rnd.randint(1, 25) for _ in range(rnd.randint(1, 5))} for i in range(120)}
+    sets |= {200 + i: set(sets[3] | {7, 8}) for i in range(15)} | {300 + i: set(range(i, i + 22)) for i in range(4)} | {400: {99}}
+    rows = spark.createDataFrame([(a, x) for a, some in sets.items() for x in some] + [(5, x) for x in sets[5]] + [(None, 1)], "k long, x long")
+    for least, k, more in ((0.1, 10, {}), (0.1, 3, {"wide": 2}), (0.0, 5, {"wide": 0}), (0.05, 4, {"wide": 3, "hot": 12}), (0.2, 2, {"hot": 30})):
+        got = [(r.a, r.b, round(r.cosine, 9)) for r in similarity.cosine_of_sets(rows, "k", "x", least=least, k=k, **more).collect()]
+        assert len(got) == len(set(got)) and set(got) == nearest(sets, least, k), (least, k, more)
+    nulls = spark.createDataFrame([(1, 5), (1, None), (2, 5), (3, None)], "k long, x long")
+    assert {(r.a, r.b, round(r.cosine, 6)) for r in similarity.cosine_of_sets(nulls, "k", "x", least=0.1, k=3).collect()} == {(1, 2, 0.707107), (2, 1, 0.707107)}
+    assert similarity.cosine_of_sets(rows.limit(0), "k", "x", least=0.1, k=3).collect() == []
+    plan = similarity.cosine_of_sets(rows, "k", "x", least=0.1, k=10)._jdf.queryExecution().sparkPlan().toString()
+    assert "item#" in plan and not [x for x in plan.splitlines() if "Join [item#" in x]
