@@ -12,11 +12,13 @@ from marlstone.sources.tables import table as t
 
 def edges(s, d):
     """Orders depend on their customer, parts on the orders that hold them, suppliers' nations on regions; typed ids."""
-    tag = lambda p, c: F.concat(F.lit(p), F.col(c))
-    o, li, n, su = (t(s, d, x) for x in ("orders", "lineitem", "nation", "supplier"))
-    e = o.select(tag("o", "o_orderkey").alias("src"), tag("c", "o_custkey").alias("dst"))
-    e = e.union(li.select(tag("p", "l_partkey"), tag("o", "l_orderkey")))
-    return e.union(su.select(tag("s", "s_suppkey"), tag("n", "s_nationkey"))).union(n.select(tag("n", "n_nationkey"), tag("r", "n_regionkey"))).distinct()
+    # edges of two tables differ in their tags, so that each table's are made distinct as numbers
+    def of(name, p, src, q, dst):
+        e = t(s, d, name).select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct()
+        return e.select(F.concat(F.lit(p), "src").alias("src"), F.concat(F.lit(q), "dst").alias("dst"))
+
+    e = of("orders", "o", "o_orderkey", "c", "o_custkey").union(of("lineitem", "p", "l_partkey", "o", "l_orderkey"))
+    return e.union(of("supplier", "s", "s_suppkey", "n", "s_nationkey")).union(of("nation", "n", "n_nationkey", "r", "n_regionkey"))
 
 
 _E = "SELECT 'o' || o_orderkey src, 'c' || o_custkey dst FROM orders UNION SELECT 'p' || l_partkey, 'o' || l_orderkey FROM lineitem UNION SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation"
