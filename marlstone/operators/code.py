@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from marlstone.functions.lineage import cut, join_unique
 
 DEF = r"^(\s*)(class|def)\s+([A-Za-z_]\w*)"
+#: What a call adds to the score of its target and of its caller.
+CALLED, CALLER = 2.5, 0.5
 
 
 def lines(files: DataFrame) -> DataFrame:
@@ -113,9 +115,14 @@ def resolved_names(found: DataFrame, calls_: DataFrame) -> DataFrame:
     """``name, resolution, full_name, score``: a short name with one full name is that; of several the one with the most
     calls (2 for each call of it, and half for each call by or of it) unless the second has calls and is less than 1
     behind, which is ambiguous."""
-    ends = calls_.select(F.col("target").alias("full_name"), F.lit(2.5).alias("s")).union(calls_.select("caller", F.lit(0.5)))
+    ends = calls_.select(F.col("target").alias("full_name"), F.lit(CALLED).alias("s")).union(calls_.select("caller", F.lit(CALLER)))
     scores = ends.groupBy("full_name").agg(F.sum("s").alias("score"))
-    names = found.select("name", "full_name").distinct().join(scores, "full_name", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    return best_names(found.select("name", "full_name").distinct().join(scores, "full_name", "left").withColumn("score", F.coalesce("score", F.lit(0.0))))
+
+
+def best_names(names: DataFrame) -> DataFrame:
+    """``resolved_names`` of rows ``name, full_name, score``, one for each full name. A task hands on two full names of a
+    name at most, so that a name of many is never gathered."""
     best = Window.partitionBy("name").orderBy(F.desc("score"), "full_name")
     ranked = names.withColumn("rn", F.row_number().over(best)).where("rn <= 2")
     top = ranked.groupBy("name").agg(F.max(F.when(F.col("rn") == 1, F.col("full_name"))).alias("one"), F.max(F.when(F.col("rn") == 1, F.col("score"))).alias("score"), F.max(F.when(F.col("rn") == 2, F.col("score"))).alias("second"))
