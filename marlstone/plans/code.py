@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from marlstone.functions.text import code_lines
 from marlstone.operators import code as C
 from marlstone.operators import lexed
+from marlstone.operators import short_names as N
 from marlstone.operators import where_they_are as W
 from marlstone.operators.change import numbered
 from marlstone.sources.tables import table as t
@@ -143,7 +144,7 @@ QUERIES = {
     "D7_shared": lambda s, d: C.shared_symbols(C.symbols(files(s, d))).groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.max("others").alias("most")),
     "D9_impact": lambda s, d: C.impact_counts(files(s, d), C.symbols(files(s, d))),
     "D11_match_ratio": lambda s, d: C.match_ratios(used_names(s, d), C.symbols(files(s, d)).select("name")).withColumn("ratio", F.round("ratio", 3)),
-    "F10_short_names": lambda s, d: C.best_names(W.scored_names(files(s, d), BUILTINS)),
+    "F10_short_names": lambda s, d: C.best_names(N.scored_names(files(s, d), BUILTINS)),
 }
 _TYPED = _F + r""", tops AS (SELECT path, line_no, line, last_value(CASE WHEN regexp_matches(line, '^(class|def)\s') THEN CASE WHEN line LIKE 'class%' THEN regexp_extract(line, '^class\s+([A-Za-z_]\w*)', 1) ELSE '' END END IGNORE NULLS) OVER (PARTITION BY path ORDER BY line_no) top FROM lines),
 scopes AS (SELECT *, last_value(CASE WHEN regexp_matches(line, '^\s*def\s+[A-Za-z_]') THEN {'c': CASE WHEN regexp_matches(line, '^\s') THEN nullif(top, '') END, 'n': regexp_extract(line, '^\s*def\s+([A-Za-z_]\w*)', 1)} END IGNORE NULLS) OVER (PARTITION BY path ORDER BY line_no) scope FROM tops),

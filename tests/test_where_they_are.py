@@ -2,6 +2,7 @@
 
 from marlstone import plans
 from marlstone.operators import code as C
+from marlstone.operators import short_names as N
 from marlstone.operators import where_they_are as W
 
 ODD = [
@@ -37,17 +38,17 @@ def test_calls(spark):
 
 
 def test_short_names(spark, monkeypatch):
-    """Names and their scores come of one pass over the files, however often a task hands on what it has added up."""
+    """Names and their scores come of one pass over the files, however many of them a worker takes together."""
     more = [("g.py", "class A:\n  def run(self): pass\nclass C:\n  def run(self):\n    self.gone()\n    run(1)\nclass D:\n  def run(self): pass\n  def gone(self): pass\ndef alone():\n  alone(alone())\nclass E:\n  def tie(self): \n    self.tie()\nclass G:\n  def tie(self):\n    self.tie()\n")]
     files = spark.createDataFrame(ODD + more, "path string, text string")
     typed = C.typed_callees(C.call_sites(files), C.imports(files), ["len"])
     old = C.resolved_names(C.symbols(files), C.resolved_calls(typed, C.symbols(files))).cache()
-    for names in (W.NAMES, 3):
-        monkeypatch.setattr(W, "NAMES", names)
-        got = C.best_names(W.scored_names(files, ["len"]))
+    for size in (N.BYTES, 1):
+        monkeypatch.setattr(N, "BYTES", size)
+        got = C.best_names(N.scored_names(files.coalesce(1), ["len"]))
         same(got, old)
     assert {"unique", "ambiguous", "graph_scored"} == {r.resolution for r in got.collect()}
-    assert C.best_names(W.scored_names(files.limit(0), ["len"])).count() == 0
+    assert C.best_names(N.scored_names(files.limit(0), ["len"])).count() == 0
     plan = plans.queries()["F10_short_names"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1 and "posexplode" not in plan and "WindowGroupLimit" in plan
 
